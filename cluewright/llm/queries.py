@@ -7,8 +7,12 @@ import importlib
 #: query name -> module of this package that has a function of that name and, where SQL can express it, SQL.
 _MODULES = {
     "op3_quality_rules": "quality_rules",
+    "op4_telephony": "telephony",
+    "op5_packing": "packing",
     "op6_line_dedup": "line_dedup",
     "op7_sharding": "sharding",
+    "op9_mixing": "mixing",
+    "op10_licences": "licences",
 }
 
 
