@@ -1,14 +1,13 @@
-"""What the operators of this subpackage share: tables in the cluster's folder, keys of texts, file access."""
+"""What the operators of this subpackage share: tables, keys of texts, bounded sets."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.storage import shared_dir, stored  # noqa: F401
+
 #: ASCII white space as the operators' contracts name it.
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -18,23 +17,6 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Only where the session names none is a folder of our own set."""
-    place = spark.conf.get("spark.checkpoint.dir", None)
-    if not place:
-        place = f"file://{tempfile.mkdtemp(prefix='shared-')}"
-        spark.conf.set("spark.checkpoint.dir", place)
-    return place.rstrip("/")
-
-
-def stored(df: DataFrame, name: str = "part") -> DataFrame:
-    """Cut the lineage: write df as a table in the shared folder and read it again."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_of(column: str = "text") -> Column:
     """The text, where null counts as empty."""
     return F.coalesce(F.col(column), F.lit(""))

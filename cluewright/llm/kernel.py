@@ -131,13 +131,18 @@ def shingles(hashes: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, n
 
 
 def distinct_per_row(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct hashes of each row."""
-    order = np.lexsort((h, row))
+    """Distinct hashes of each row, in ascending order. Rows ascend."""
+    if not len(h):
+        return h, row
+    bits = np.uint64(max(1, int(row[-1]).bit_length()))
+    order = np.argsort((row.astype(np.uint64) << (np.uint64(64) - bits)) | (h >> bits))
     h, row = h[order], row[order]
-    if len(h):
-        new = np.r_[True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])]
-        h, row = h[new], row[new]
-    return h, row
+    near = np.flatnonzero((h[1:] >> bits == h[:-1] >> bits) & (row[1:] == row[:-1]) & (h[1:] < h[:-1]))
+    if len(near):  # hashes that agree but for the bits that made room for the row
+        order = np.lexsort((h, row))
+        h, row = h[order], row[order]
+    new = np.r_[True, (h[1:] != h[:-1]) | (row[1:] != row[:-1])]
+    return h[new], row[new]
 
 
 def list_array(values: np.ndarray, row: np.ndarray, rows: int) -> pa.ListArray:

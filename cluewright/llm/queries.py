@@ -12,6 +12,7 @@ _MODULES = {
     "op5_packing": "packing",
     "op6_line_dedup": "line_dedup",
     "op7_sharding": "sharding",
+    "op8_ngram_join": "ngram_join",
     "op9_mixing": "mixing",
     "op10_licences": "licences",
 }
