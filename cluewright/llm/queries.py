@@ -6,6 +6,7 @@ import importlib
 
 #: query name -> module of this package that has a function of that name and, where SQL can express it, SQL.
 _MODULES = {
+    "op1_kneser_ney": "kneser_ney",
     "op2_suffix_dedup": "suffix_dedup",
     "op3_quality_rules": "quality_rules",
     "op4_telephony": "telephony",
