@@ -28,7 +28,9 @@ ORDER = 4
 #: A document is kept up to this quantile of its language's trusted perplexities, times SLACK.
 QUANTILE, SLACK = 0.995, 1.05
 #: Text bytes of a batch.
-BATCH_BYTES = 24 << 20
+BATCH_BYTES = 12 << 20
+#: Text bytes that are worked on at once.
+CHUNK = 1 << 20
 #: Trusted ids are broadcast up to this number, 16 MB, and joined by a shuffle beyond.
 BROADCAST_IDS = 1_000_000
 #: Perplexities are ranked by thousandths of their logarithm.
@@ -40,7 +42,7 @@ def _grams(data: np.ndarray, offs: np.ndarray, order: int) -> tuple[np.ndarray,
     """The n-gram that ends at each byte, as an integer, and its row. Before a row's first byte there are zeros."""
     g = data.astype(np.uint32)
     row = np.repeat(np.arange(len(offs) - 1), np.diff(offs))
-    place = np.arange(len(data)) - offs[row]
+    place = (np.arange(len(data)) - offs[row]).astype(np.int32)
     out = g.copy()
     for back in range(1, order):
         earlier = np.zeros_like(g)
@@ -60,7 +62,7 @@ def _counts(order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lang, part in _by_language(batch):
-                for _, _, data, offs in K.chunks(part.column(part.schema.get_field_index("t"))):
+                for _, _, data, offs in K.chunks(part.column(part.schema.get_field_index("t")), CHUNK):
                     g, n = np.unique(_grams(data, offs, order)[0], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g.astype(np.int64)), pa.array(n)], ["lang", "g", "n"])
 
@@ -75,11 +77,11 @@ def _cut(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[int, p
     def closed() -> tuple[int, pa.Table]:
         table = pa.Table.from_batches(held).combine_chunks()
         told = hashlib.blake2b(digest_size=8)
-        for column in table.columns:
-            told.update(str(column.null_count).encode())
-        for _, _, data, offs in K.chunks(table.column("t"), 1 << 62):
-            told.update(data.tobytes() + offs.tobytes())
-        told.update(repr(table.column("lang").to_pylist()).encode())
+        for _, _, data, offs in K.chunks(table.column("t"), CHUNK):
+            told.update(data)
+            told.update(offs)
+        for lang in table.column("lang").unique().to_pylist():
+            told.update(lang.encode() + b"\0")
         return int.from_bytes(told.digest(), "little", signed=True), table
 
     for batch in batches:
@@ -98,7 +100,7 @@ def _requests(order: int, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, table in _cut(batches, limit):
             for lang, part in _by_language(table.to_batches()[0]):
-                seen = [np.unique(_grams(data, offs, order)[0]) for _, _, data, offs in K.chunks(part.column(part.schema.get_field_index("t")))]
+                seen = [np.unique(_grams(data, offs, order)[0]) for _, _, data, offs in K.chunks(part.column(part.schema.get_field_index("t")), CHUNK)]
                 g = np.unique(np.concatenate(seen)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), name)), pa.array([lang] * len(g), pa.string()), pa.array(g)], ["batch", "lang", "g"])
 
@@ -139,7 +141,7 @@ def _scored(order: int):
                 value = np.full((len(context), 256), np.nan, np.float32)
                 value[slot, g & np.uint32(255)] = lp
                 sums, sizes = [], []
-                for _, _, data, offs in K.chunks(text):
+                for _, _, data, offs in K.chunks(text, CHUNK):
                     grams, _ = _grams(data, offs, order)
                     at = where[grams >> np.uint32(8)]
                     x = np.where(at < 0, np.nan, value[at, data]).astype(np.float64)
