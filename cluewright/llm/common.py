@@ -41,11 +41,12 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
 def bitmap(keys: DataFrame, column: str, bits: int) -> np.ndarray:
     """A set of 64-bit hashes as 2**bits flags, packed in uint8: a bounded and one-sided filter.
 
-    The driver gets 2**bits / 64 rows at most, whatever the number of keys.
+    The driver gets 2**bits / 64 rows at most, whatever the number of keys. A
+    hash's low bits choose its flag, as callers select hashes by size.
     """
-    slot = F.shiftrightunsigned(F.col(column), 64 - bits)
+    slot = F.col(column).bitwiseAND((1 << bits) - 1)
     rows = (
-        keys.select(F.shiftright(slot, 6).alias("w"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned({column}, {64 - bits}) & 63 as int))").alias("b"))
+        keys.select(F.shiftright(slot, 6).alias("w"), F.expr(f"shiftleft(1L, cast({column} & 63 as int))").alias("b"))
         .groupBy("w")
         .agg(F.bit_or("b").alias("b"))
         .toPandas()
@@ -57,6 +58,5 @@ def bitmap(keys: DataFrame, column: str, bits: int) -> np.ndarray:
 
 def in_bitmap(flags: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Whether each 64-bit hash may be in the set."""
-    bits = int(len(flags)).bit_length() - 1 + 3
-    slot = h.astype(np.uint64) >> np.uint64(64 - bits)
+    slot = h.astype(np.uint64) & np.uint64(8 * len(flags) - 1)
     return (flags[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0

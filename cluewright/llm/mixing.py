@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, text_of, without
+from .common import load, stored, text_of, without
 
 SEED, TEMPERATURE = "mix-1", 0.5
 #: A mean above this is split into equal parts with a draw each, which keeps exp(-mean) from underflow.
@@ -66,7 +66,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, temperature: f
     docs = without(docs, ["copy", "rate", "shuffle_key", "__source", "__n", "__id"])
     plan = rates(docs, weights, temperature, scale)
     draws = F.greatest(F.lit(1), F.ceil(F.col("rate") / MOST_MEAN)).cast("int")
-    plan = plan.select("__source", "rate", draws.alias("__draws"), _cdf(F.col("rate") / draws).alias("__cdf"))
+    # As a table its size is known: Spark broadcasts it up to its threshold and shuffles beyond.
+    plan = stored(plan.select("__source", "rate", draws.alias("__draws"), _cdf(F.col("rate") / draws).alias("__cdf")), "rates")
     ident = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(text_of()))
     count = F.aggregate(
         F.sequence(F.lit(1), F.col("__draws")),

@@ -31,8 +31,8 @@ from . import kernel as K
 from .common import bitmap, in_bitmap, load, stored, text_of
 
 WORDS, PERCENT = 3, 90
-#: Shingles in this many documents' first hashes count as frequent.
-FREQUENT = 10
+#: Shingles among the first hashes of this many documents go last in the order.
+FREQUENT = 2
 BITS = 25
 #: Sets in a block, and n-grams in a slice of the product.
 BLOCK, SLICE = 256, 2048
