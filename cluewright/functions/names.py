@@ -12,6 +12,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Suffixes of organisation names.
 ORG_SUFFIXES = [
@@ -25,7 +26,7 @@ ORG_SUFFIXES = [
 CJK = "[\\u4e00-\\u9fff]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(names: pd.Series) -> pd.Series:
     return names.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))
 
