@@ -38,7 +38,7 @@ def vocabulary() -> str:
 
 @lru_cache(maxsize=2)
 def encoder(path: str):
-    """The byte-level BPE of a tokenizers file, run by tiktoken, which gives the same ids several times as fast. Strings of special tokens are ordinary text."""
+    """The byte-level BPE of a tokenizers file, run by tiktoken, which gives the same ids several times as fast. Strings of added tokens in a text are those tokens, as they are there."""
     import public_tokenizers
     import tiktoken
 
@@ -47,9 +47,9 @@ def encoder(path: str):
     letters = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
     with open(path, encoding="utf-8") as f:
         said = json.load(f)
-    special = {t["content"] for t in said.get("added_tokens", [])}
+    special = {t["content"]: t["id"] for t in said.get("added_tokens", [])}
     ranks = {bytes(letters[c] for c in word): i for word, i in said["model"]["vocab"].items() if word not in special}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
 def _cut(path: str, room: int):
@@ -58,7 +58,7 @@ def _cut(path: str, room: int):
         for batch in batches:
             out: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.append(encode(text.as_py(), disallowed_special=()), END_ID).astype("<u4")
+                ids = np.append(encode(text.as_py(), allowed_special="all"), END_ID).astype("<u4")
                 first = len(ids) % room or room
                 cuts = [0, *range(first, len(ids) + 1, room)]
                 out += [(doc_id, k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]

@@ -247,7 +247,7 @@ def suffix_dedup(docs: DataFrame, span: int = SPAN, gram: int = GRAM, cover: int
         .agg(F.collect_set(F.struct((F.col("lo") + F.col("a")).alias("start"), (F.col("lo") + F.col("b") + span - 1).alias("end"))).alias("__found"))
     )
     rest = [f for f in docs.schema.fields if f.name != "text"]
-    joined = docs.select(*[F.col(f"`{f.name}`") for f in rest], text_of().alias("__t"), digest(text_of()).alias("__key")).join(spans, F.col("__key") == F.col("key"), "left").drop("key", "__key")
+    joined = docs.select(*[F.col(f"`{f.name}`") for f in rest], text_of().alias("__t"), digest(text_of()).alias("__key")).join(spans.withColumnRenamed("key", "__key"), "__key", "left").drop("__key")
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in rest], "kept binary, spans array<struct<start:bigint,end:bigint>>, n_bytes long"])
     return joined.mapInArrow(_removed, schema)
 
