@@ -31,7 +31,7 @@ def line_dedup(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min_length:
     others kept. An empty table gives an empty result. Texts of any length are
     taken whole.
     """
-    docs = without(docs, ["n_lines", "n_dropped", "__text", "__drop"])
+    docs = without(docs, ["n_lines", "n_dropped", "__text", "__drop", "__lines"])
     texts = docs.select(text_of().alias("t"))
     keys = F.transform(F.split("t", "\n"), line_key)
     hashed = F.transform(keys, lambda k: F.when(F.char_length(k) >= min_length, digest(k)))
@@ -53,12 +53,15 @@ def line_dedup(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min_length:
         .groupBy("__text")
         .agg(F.collect_list("i").alias("__drop"))
     )
-    out = docs.withColumn("__text", digest(text_of())).join(drops, "__text", "left")
-    split = F.split(text_of(), "\n")
-    kept = F.array_join(F.filter(split, lambda line, i: ~F.array_contains(F.col("__drop"), i)), "\n")
+    # The runs of lines between dropped ones; cutting runs takes time in proportion to the lines.
+    ends = F.array_sort("__drop")
+    runs = F.zip_with(F.array_prepend(ends, F.lit(-1)), F.array_append(ends, F.size("__lines")), lambda a, b: F.slice("__lines", a + 2, b - a - 1))
+    # Lines are split before the join, so that no run splits the text again.
+    out = docs.withColumn("__text", digest(text_of())).withColumn("__lines", F.split(text_of(), "\n")).drop("text").join(drops, "__text", "left")
+    text = F.array_join(F.when(F.col("__drop").isNull(), F.col("__lines")).otherwise(F.flatten(runs)), "\n")
     return out.select(
-        *[F.when(F.col("__drop").isNull(), text_of()).otherwise(kept).alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns],
-        F.size(split).cast("long").alias("n_lines"),
+        *[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns],
+        F.size("__lines").cast("long").alias("n_lines"),
         F.coalesce(F.size("__drop"), F.lit(0)).cast("long").alias("n_dropped"),
     )
 
