@@ -91,6 +91,33 @@ def _stats_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*[part.column(batch.schema.get_field_index(c)) for c in rest], *stats.columns], [*rest, *stats.schema.names])
 
 
+def _cleaned(data: np.ndarray, common: np.ndarray) -> str:
+    """A text without its lines of common hashes."""
+    offs = np.array([0, len(data)])
+    start, end, _ = K.words(data, offs)
+    ls, le, _ = K.lines(data, offs)
+    lo, hi = np.searchsorted(start, ls), np.searchsorted(start, le)
+    has = hi > lo
+    gone = np.zeros(len(ls), bool)
+    gone[has] = np.isin(K.span_hash(K.prefix_sums(data, lower=True), start[lo[has]], end[hi[has] - 1]).view(np.int64), common)
+    body = data.tobytes()
+    return b"\n".join(body[a:b] for a, b in zip(ls[~gone], le[~gone])).decode()
+
+
+def _without_common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at = batch.schema.get_field_index("text")
+        texts, common = batch.column(at), batch.column(batch.schema.get_field_index("__common"))
+        hit = np.flatnonzero(common.is_valid().to_numpy(zero_copy_only=False))
+        if len(hit):
+            values = texts.to_pylist()
+            for i in hit:
+                values[i] = _cleaned(np.frombuffer(values[i].encode(), np.uint8), common[int(i)].values.to_numpy())
+            texts = pa.array(values, texts.type)
+        rest = [c for c in batch.schema.names if c != "__common"]
+        yield pa.RecordBatch.from_arrays([texts if c == "text" else batch.column(batch.schema.get_field_index(c)) for c in rest], rest)
+
+
 def with_stats(docs: DataFrame) -> DataFrame:
     """docs with the columns of STATS, one per row; null and empty texts have zeros and no lines."""
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields], STATS])
@@ -128,21 +155,18 @@ def quality_rules(docs: DataFrame, share: float = LINE_SHARE, documents: int = L
         .select("__text", "__host", F.col("x.line_hash").alias("h"), F.col("x.line_words").alias("w"))
         .join(common, ["__host", "h"])
         .groupBy("__text", "__host")
-        .agg(F.sum("w").alias("n_common_words"), F.collect_set("h").alias("__common"))
+        .agg(F.sum("w").alias("n_common_words"), *([F.collect_set("h").alias("__common")] if texts else []))
     )
     judged = measured.join(lost, ["__text", "__host"], "left").withColumn("n_common_words", F.coalesce("n_common_words", F.lit(0)).cast("long"))
     base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     judged = judged.withColumn("base_failed", base_failed).withColumn("kept", ~base_failed & (F.col("n_words") - F.col("n_common_words") >= least_kept * F.col("n_words")))
-    judged = judged.select("__text", "__host", *_OWN[:8], *(["__common", "line_hash"] if texts else []))
+    judged = judged.select("__text", "__host", *_OWN[:8], *(["__common"] if texts else []))
     out = docs.withColumn("__text", digest(text_of())).withColumn("__host", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")))
     if not texts:
         return out.join(judged, ["__text", "__host"]).select(*[F.col(f"`{c}`") for c in docs.columns], *_OWN[:8])
-    # line_hash has the lines with a word, in order: number those to find each line's hash.
-    split = F.split(text_of(), "\n")
-    solid = F.filter(F.sequence(F.lit(0), F.size(split) - 1), lambda i: F.element_at(split, i + 1).rlike("[^ \\t-\\r]"))
-    gone = F.filter(F.transform(F.arrays_zip(solid.alias("i"), F.col("line_hash").alias("h")), lambda x: F.when(F.array_contains("__common", x["h"]), x["i"])), lambda i: i.isNotNull())
-    cleaned = F.when(F.col("__common").isNull(), F.col("text")).otherwise(F.array_join(F.filter(split, lambda line, i: ~F.array_contains(gone, i)), "\n"))
-    return out.join(judged, ["__text", "__host"]).select(*[cleaned.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns], *_OWN[:8])
+    schema = ", ".join([f"`{f.name}` {'string' if f.name == 'text' else f.dataType.simpleString()}" for f in docs.schema.fields] + [f"`{f.name}` {f.dataType.simpleString()}" for c in _OWN[:8] for f in [judged.schema[c]]])
+    joined = out.withColumn("text", text_of()).join(judged, ["__text", "__host"])
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], *_OWN[:8], "__common").mapInArrow(_without_common, schema)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
