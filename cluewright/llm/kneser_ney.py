@@ -7,7 +7,8 @@ the distinct n-grams it has, these are resolved against the model order by
 order, and the answers meet the batch again, which sums them up per document.
 So what moves is each batch's own n-grams and the compressed batch, and no
 table of the model has to fit anywhere. Perplexities are held against a
-quantile of the trusted documents of the same language.
+quantile of the trusted documents of the same language that the model was
+not trained on, as its own texts would look better than any new one.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from .common import load, stored, text_of
 ORDER = 4
 #: A document is kept up to this quantile of its language's trusted perplexities, times SLACK.
 QUANTILE, SLACK = 0.995, 1.05
+#: One in HELD trusted documents, by a hash of the id, is held out of training and sets the thresholds.
+HELD = 5
 #: Text bytes of a batch.
 BATCH_BYTES = 12 << 20
 #: Text bytes that are worked on at once.
@@ -219,11 +222,20 @@ def perplexities(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]], batc
     return scored.select("doc_id", "lang", F.when(F.col("n_bytes") > 0, -F.col("total") / F.col("n_bytes")).alias("log_perplexity"), "n_bytes")
 
 
+def _held(ids: DataFrame) -> DataFrame:
+    return ids.withColumn("held", F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(HELD)) == 0)
+
+
 def _thresholds(trusted: DataFrame, quantile: float, slack: float) -> DataFrame:
-    """(lang, most): the log perplexity up to which documents are kept. Exact ranks over a histogram of bounded grain."""
+    """(lang, most): the log perplexity up to which documents are kept. Exact ranks over a histogram of bounded grain.
+
+    trusted has held: a language without held-out text goes by what it was trained on.
+    """
     from pyspark.sql import Window as W
 
-    bins = trusted.where("log_perplexity is not null").groupBy("lang", F.ceil(F.col("log_perplexity") * GRAIN).alias("bin")).agg(F.count(F.lit(1)).alias("k"))
+    trusted = trusted.where("log_perplexity is not null")
+    any_held = trusted.groupBy("lang").agg(F.max("held").alias("any"))
+    bins = trusted.join(any_held, "lang").where("held = any").groupBy("lang", F.ceil(F.col("log_perplexity") * GRAIN).alias("bin")).agg(F.count(F.lit(1)).alias("k"))
     up = bins.withColumn("below", F.sum("k").over(W.partitionBy("lang").orderBy("bin"))).withColumn("all", F.sum("k").over(W.partitionBy("lang")))
     return up.where(F.col("below") >= quantile * F.col("all")).groupBy("lang").agg((F.min("bin") / GRAIN * slack).alias("most"))
 
@@ -231,11 +243,11 @@ def _thresholds(trusted: DataFrame, quantile: float, slack: float) -> DataFrame:
 def quality_classifier(docs: DataFrame, trusted_ids: DataFrame, order: int = ORDER, quantile: float = QUANTILE, slack: float = SLACK, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """Per row of docs: doc_id, lang, n_bytes, perplexity, threshold, kept.
 
-    trusted_ids has doc_id: rows of docs with these ids are trusted and train
-    the model of their language. kept says whether the perplexity is at most
-    the language's threshold. Texts are scored whole, byte by byte. An empty
+    trusted_ids has doc_id: rows of docs with these ids are trusted. Most of
+    them train the model of their language, one in HELD sets its threshold.
+    kept says whether the perplexity is at most that. Texts are scored whole, byte by byte. An empty
     or null text has no perplexity and is not kept. A null lang is a language
-    of its own. Documents of a language without trusted text have neither
+    of its own. Documents of a language without training text have neither
     perplexity nor threshold and are kept, as nothing speaks against them.
     Null ids are never trusted; repeated rows and ids are scored each by
     itself. Only doc_id, lang and text are read, so other columns cannot
@@ -244,12 +256,12 @@ def quality_classifier(docs: DataFrame, trusted_ids: DataFrame, order: int = ORD
     rather than score batches that changed.
     """
     slim = docs.select("doc_id", F.coalesce(F.concat(F.lit("l"), "lang"), F.lit("")).alias("lang"), text_of().alias("t"))
-    ids = trusted_ids.select(F.col("doc_id")).where("doc_id is not null").distinct()
+    ids = _held(trusted_ids.select(F.col("doc_id")).where("doc_id is not null").distinct())
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    model = train(slim.join(ids, "doc_id", "left_semi").select("lang", "t"), order)
+    model = train(slim.join(ids, "doc_id").where("not held").select("lang", "t"), order)
     scores = stored(perplexities(slim, model, batch_bytes), "scores")
-    most = stored(_thresholds(scores.join(ids, "doc_id", "left_semi"), quantile, slack), "thresholds")
+    most = stored(_thresholds(scores.join(ids, "doc_id"), quantile, slack), "thresholds")
     return scores.join(most, "lang", "left").select(
         "doc_id",
         F.when(F.col("lang") != "", F.expr("substring(lang, 2)")).alias("lang"),
