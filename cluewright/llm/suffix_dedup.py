@@ -17,7 +17,10 @@ the bucket of their anchor's hash, whichever document they are from.
    cover, in coordinates relative to the anchor, by that position's
    precomputed rank among the cover's samples, and by the bytes after the
    sample: long ties cost one comparison. Neighbours that agree repeat.
-4. What repeats is joined back to the stretches of each distinct text.
+4. A bucket of over MOST_CLASSES classes, such as the edge of a passage that
+   very many documents share, is not gathered: the strings of its suffixes are
+   counted by hash with a partial aggregate, which gives the same verdicts.
+5. What repeats is joined back to the stretches of each distinct text.
 """
 
 from __future__ import annotations
@@ -38,6 +41,8 @@ COVER = 32
 #: Size of the bitmaps, as a power of two of flags.
 BITS = 25
 CHUNK = 1 << 20
+#: Classes, of up to 3 * SPAN / 2 bytes each, that a task sorts as one bucket.
+MOST_CLASSES = 4096
 
 
 def _parts(data: np.ndarray, offs: np.ndarray, span: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
@@ -112,17 +117,38 @@ def _occurrences(span: int, gram: int, flags: np.ndarray):
     return run
 
 
-def _class_texts(span: int, gram: int, flags: np.ndarray):
+def _classes_of(batches: Iterator[pa.RecordBatch], span: int, gram: int, flags: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """Classes of flagged buckets, each once for a run of texts: bytes, bucket, class, first suffix, suffixes, anchor's place."""
+    for batch in batches:
+        for _, _, data, offs in K.chunks(batch.column(0), CHUNK):
+            for part, cut, _, _ in _parts(data, offs, span):
+                h, r, _, lo, n, pre = stretches(part, cut, span, gram)
+                may = np.flatnonzero(in_bitmap(flags, h))
+                may = may[np.lexsort((r[may], h[may]))]
+                if len(may):
+                    may = may[np.r_[True, (h[may][1:] != h[may][:-1]) | (r[may][1:] != r[may][:-1])]]
+                yield part, h[may], r[may], lo[may], n[may], pre[may]
+
+
+def _class_texts(span: int, gram: int, flags: np.ndarray, hot: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, data, offs in K.chunks(batch.column(0), CHUNK):
-                for part, cut, _, _ in _parts(data, offs, span):
-                    h, r, _, lo, n, pre = stretches(part, cut, span, gram)
-                    may = np.flatnonzero(in_bitmap(flags, h))
-                    may = may[np.lexsort((r[may], h[may]))]
-                    may = may[np.r_[True, (h[may][1:] != h[may][:-1]) | (r[may][1:] != r[may][:-1])]] if len(may) else may
-                    text = pa.array([part[a : a + k + span - 1].tobytes() for a, k in zip(lo[may], n[may])], pa.binary())
-                    yield pa.RecordBatch.from_arrays([_i64(h[may]), _i64(r[may]), pa.array(pre[may].astype(np.int32)), text], ["h", "r", "pre", "text"])
+        for part, h, r, lo, n, pre in _classes_of(batches, span, gram, flags):
+            cold = np.flatnonzero(~in_bitmap(hot, h))
+            text = pa.array([part[a : a + k + span - 1].tobytes() for a, k in zip(lo[cold], n[cold])], pa.binary())
+            yield pa.RecordBatch.from_arrays([_i64(h[cold]), _i64(r[cold]), pa.array(pre[cold].astype(np.int32)), text], ["h", "r", "pre", "text"])
+
+    return run
+
+
+def _class_suffixes(span: int, gram: int, hot: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, h, r, lo, n, pre in _classes_of(batches, span, gram, hot):
+            own = np.repeat(np.arange(len(h)), n)
+            i = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+            p = lo[own] + i
+            # A suffix is told from the others of its bucket by its place before the anchor and its string.
+            x = K.mix(K.span_hash(K.prefix_sums(part), p, p + span) + (i - pre[own]).astype(np.uint64)) if len(p) else h
+            yield pa.RecordBatch.from_arrays([_i64(h[own]), _i64(r[own]), pa.array(i.astype(np.int32)), _i64(x)], ["h", "r", "i", "x"])
 
     return run
 
@@ -219,7 +245,7 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*[batch.column(at(c)) for c in rest], pa.array(kept, pa.binary()), pa.array(spans, kind), pa.array(sizes, pa.int64())], [*rest, "kept", "spans", "n_bytes"])
 
 
-def suffix_dedup(docs: DataFrame, span: int = SPAN, gram: int = GRAM, cover: int = COVER, bits: int = BITS) -> DataFrame:
+def suffix_dedup(docs: DataFrame, span: int = SPAN, gram: int = GRAM, cover: int = COVER, bits: int = BITS, most_classes: int = MOST_CLASSES) -> DataFrame:
     """docs with text replaced by kept (its remaining bytes), spans (what was removed) and n_bytes.
 
     All texts are judged as they came. A string that starts twice in one text
@@ -235,10 +261,14 @@ def suffix_dedup(docs: DataFrame, span: int = SPAN, gram: int = GRAM, cover: int
     flags = bitmap(counted.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1"), "h", bits)
     found = stored(texts.mapInArrow(_occurrences(span, gram, flags), "key binary, h long, r long, lo long, n int"), "stretches")
     classes = stored(found.groupBy("h", "r").agg(F.count(F.lit(1)).alias("copies"), F.first("n").alias("n")), "classes")
-    mixed = classes.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    flags = bitmap(mixed, "h", bits)
-    sample = texts.select("t").mapInArrow(_class_texts(span, gram, flags), "h long, r long, pre int, text binary").dropDuplicates(["h", "r"])
+    kinds = stored(classes.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "buckets")
+    flags, hot = bitmap(kinds, "h", bits), bitmap(kinds.where(F.col("k") > most_classes), "h", bits)
+    sample = texts.select("t").mapInArrow(_class_texts(span, gram, flags, hot), "h long, r long, pre int, text binary").dropDuplicates(["h", "r"])
     runs = sample.repartition(F.col("h")).sortWithinPartitions("h").mapInArrow(_sorted_buckets(span, cover), "h long, r long, a int, b int")
+    if hot.any():
+        suffixes = stored(texts.select("t").mapInArrow(_class_suffixes(span, gram, hot), "h long, r long, i int, x long"), "suffixes")
+        again = suffixes.groupBy("h", "x").agg(F.min("r").alias("a"), F.max("r").alias("b")).where("a <> b").select("h", "x")
+        runs = runs.unionByName(suffixes.join(again, ["h", "x"]).select("h", "r", F.col("i").alias("a"), (F.col("i") + 1).alias("b")).distinct())
     single = classes.where("copies = 1").select("h", "r")
     verdicts = classes.where("copies > 1").select("h", "r", F.lit(0).alias("a"), F.col("n").alias("b")).unionByName(runs.join(single, ["h", "r"], "left_semi"))
     spans = (

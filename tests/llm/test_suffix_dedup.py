@@ -59,8 +59,8 @@ def texts_of(seed, n, alphabet, span):
 def test_shared_passages(spark, seed, alphabet):
     texts = texts_of(seed, 60, alphabet, 20)
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    for bits in (8, 20):
-        got = S.suffix_dedup(docs, span=20, gram=10, cover=4, bits=bits)
+    for bits, most in ((8, 4096), (20, 4096), (20, 3), (8, 3)):
+        got = S.suffix_dedup(docs, span=20, gram=10, cover=4, bits=bits, most_classes=most)
         assert sorted(result(got)) == sorted(by_hand(texts, 20))
 
 
@@ -72,7 +72,8 @@ def test_one_passage_in_very_many_texts(spark, monkeypatch):
     passage = word(45)
     texts = [word(rng.randint(0, 60)) + passage + word(rng.randint(0, 60)) for _ in range(500)]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    assert sorted(result(S.suffix_dedup(docs, span=20, gram=10, cover=4))) == sorted(by_hand(texts, 20))
+    for most in (4096, 50):
+        assert sorted(result(S.suffix_dedup(docs, span=20, gram=10, cover=4, most_classes=most))) == sorted(by_hand(texts, 20))
 
 
 def test_sorting_kernel_against_a_plain_sort():
