@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from ..functions.predicates import contains_any, round_amount
 
 MONEY = "decimal(18,2)"
+#: Evidence rows that a finding cites.
+EVIDENCE = 1000
 
 
 def _day(column: str) -> Column:
@@ -122,19 +124,19 @@ def related_parties(registry: DataFrame, rep_marks: list[str], party_marks: list
     return registry.where(contains_any(F.col("legal_rep"), rep_marks) | contains_any(F.col("related_party"), party_marks)).select("subject", "legal_rep", "related_party")
 
 
-def findings(flow: DataFrame, calls: DataFrame, moves: DataFrame, registry: DataFrame, rep_marks: list[str], party_marks: list[str]) -> DataFrame:
+def findings(flow: DataFrame, calls: DataFrame, moves: DataFrame, registry: DataFrame, rep_marks: list[str], party_marks: list[str], modulus: int = 10000) -> DataFrame:
     """(candidate, basis, level, source_rows): a row for each scan that found something."""
 
     def found(rows: DataFrame, candidate: str, basis: str) -> DataFrame:
-        # Evidence of one scan, a report's size: totals by quarter or pair, five pairs, register rows.
-        told = rows.agg(F.sort_array(F.collect_list(F.to_json(F.struct(*rows.columns)))).alias("source_rows"))
+        # Evidence is a sample for a report: the first EVIDENCE rows; the scans themselves have all.
+        told = rows.select(F.to_json(F.struct(*rows.columns)).alias("row")).orderBy("row").limit(EVIDENCE).agg(F.sort_array(F.collect_list("row")).alias("source_rows"))
         return told.where(F.size("source_rows") > 0).select(F.lit(candidate).alias("candidate"), F.lit(basis).alias("basis"), F.lit("待核实").alias("level"), "source_rows")
 
     hit = frequency_spike(calls).where("hit").select(F.lit(1).alias("one"))
-    meetings = co_location_counts(moves).where("subject_a < subject_b").orderBy(F.desc("meetings"), "subject_a", "subject_b", "place").limit(1000)
+    meetings = co_location_counts(moves).where("subject_a < subject_b").orderBy(F.desc("meetings"), "subject_a", "subject_b", "place").limit(EVIDENCE)
     return (
-        found(period_totals(flow, "quarter", by_subject=False, modulus=10000), "整数现金存入", "与工资非整数规律不符")
-        .unionByName(found(pair_totals(flow), "第三方过桥结构", "整数转账资金链"))
+        found(period_totals(flow, "quarter", by_subject=False, modulus=modulus), "整数现金存入", "与工资非整数规律不符")
+        .unionByName(found(pair_totals(flow, modulus), "第三方过桥结构", "跨主体转账资金链"))
         .unionByName(found(spike_evidence(calls).join(F.broadcast(hit)).drop("one"), "通话频次突增", "头部对端高于其他对端中位数"))
         .unionByName(found(meetings, "轨迹同框", "不同主体同地点先后出现"))
         .unionByName(found(related_parties(registry, rep_marks, party_marks), "工商登记利益关联", "法人或关联人与对象人员重叠"))

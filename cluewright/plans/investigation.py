@@ -1,0 +1,55 @@
+"""The whole job: scans to findings, hypotheses and clues, merged, ranked, cross-checked and given their saved status."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import disposal, graph, hypotheses, lineage, preflight, scans
+from .storage import stored
+
+# Which channel a source of evidence belongs to.
+SOURCE_CHANNEL = {
+    "银行流水": "生间", "中标档案": "因间", "招投标档案": "因间", "通话记录": "生间", "轨迹出行": "生间",
+    "工商信息": "死间", "公开OSINT": "死间", "举报材料": "内间", "银行流水(过桥)": "反间",
+}
+
+
+def channel_crossing(active: DataFrame) -> DataFrame:
+    """(channel, sources, hit, level): channels of the sources that have evidence, and what all hits together amount to. active has source."""
+    spark = active.sparkSession
+    known = spark.createDataFrame(list(SOURCE_CHANNEL.items()), "source string, channel string")
+    hit = active.select("source").distinct().withColumn("hit", F.lit(True))
+    rows = known.join(hit, "source", "left").groupBy("channel").agg(F.array_sort(F.collect_list("source")).alias("sources"), F.coalesce(F.max("hit"), F.lit(False)).alias("hit"))
+    total = rows.agg(F.sum(F.col("hit").cast("long")).alias("n"))
+    return rows.join(F.broadcast(total)).select("channel", "sources", "hit", lineage.level(F.col("n")).alias("level"))  # total is one row
+
+
+def investigate(tables: dict[str, DataFrame], rep_marks: list[str], party_marks: list[str], modulus: int = 10000, saved: DataFrame | None = None) -> dict[str, DataFrame]:
+    """tables: flow, calls, moves, registry, tenders. What comes back: findings, hypotheses, clues, crossing, paths, collisions, preflight, statuses.
+
+    The scans run once; findings are written and read by all that follows.
+    saved has clue_id and status from an earlier run.
+    """
+    flow = tables["flow"]
+    spark: SparkSession = flow.sparkSession
+    found = stored(scans.findings(flow, tables["calls"], tables["moves"], tables["registry"], rep_marks, party_marks, modulus), "findings")
+    clues = lineage.prioritised(lineage.merged_clues(lineage.finding_clues(found, hypotheses.pattern_table(spark))))
+    clues = stored(clues if saved is None else disposal.restored(clues, saved).drop("changed"), "clues")
+    sample = preflight.sample(flow, ["subject", "counterparty", "date"])
+    return {
+        "findings": found,
+        "hypotheses": hypotheses.from_findings(found, spark),
+        "clues": clues,
+        "crossing": lineage.cross_level(clues),
+        "paths": graph.bridges(flow, modulus),
+        "collisions": scans.time_window_collisions(tables["tenders"], flow, modulus=modulus),
+        "preflight": preflight.preflight(sample, {"H1": None, "H4": None}, modulus),
+        "statuses": disposal.histogram(clues),
+    }
+
+
+def write(result: dict[str, DataFrame], folder: str) -> None:
+    """Each result as a table of its own."""
+    for name, df in result.items():
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")

@@ -7,6 +7,7 @@ at a multiple of 100, as the data have few multiples of 10,000.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +16,11 @@ from pyspark.sql import functions as F
 from .functions import names
 from .functions.predicates import either_contains, whole_hit, without_note
 from .operators import disposal, graph, hypotheses, lineage, preflight, resolve, scans
-from .sources.ingest import coerced
+from .plans import investigation
+from .plans.storage import shared_dir, stored
+from .sources.ingest import coerced, read_file
 from .sources.tables import cold_scan, put_features
+from .streaming import rollup
 
 ROUND = 100
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -528,3 +532,141 @@ def missing_sources(spark, sf_dir):
 def dimension_coverage(spark, sf_dir):
     found = hypotheses.dimension_coverage(hypotheses.hypothesis_table(spark).where("id <> 'H2'"))
     return hypotheses.summary(found).withColumn("missing", F.array_join("missing", ","))
+
+
+# ---- findings and what follows from them ----
+
+
+def _registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, n, c = (_table(spark, sf_dir, t) for t in ("supplier", "nation", "customer"))
+    return s.join(n, s.s_nationkey == n.n_nationkey).join(c, s.s_suppkey == c.c_custkey).select(F.col("s_name").alias("subject"), F.col("n_name").alias("legal_rep"), F.col("c_name").alias("related_party"))
+
+
+def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.findings(_flow(spark, sf_dir), _calls(spark, sf_dir), _moves(spark, sf_dir), _registry(spark, sf_dir), ["AN", "1"], ["7"], ROUND)
+
+
+_FOUND = f"""{FLOW}, {_PAIRS},
+seen AS (SELECT concat('U', user_id) AS subject, concat(event_type, '/', props) AS place, CAST(ts AS DATE) AS d FROM events),
+n AS (SELECT 1 AS k, '整数现金存入' AS candidate, 'H1' AS h, '生间' AS channel, (SELECT count(DISTINCT date_trunc('quarter', dt)) FROM flow WHERE {IS_ROUND}) AS n
+  UNION ALL SELECT 2, '第三方过桥结构', 'H4', '反间', (SELECT count(*) FROM (SELECT DISTINCT subject, counterparty FROM flow WHERE {IS_ROUND}))
+  UNION ALL SELECT 3, '通话频次突增', 'H3', '生间', (SELECT count(*) FROM placed WHERE rn <= 5 AND (SELECT max(c) FROM placed WHERE rn = 1) >= 2 * (SELECT median(c) FROM placed WHERE rn > 1))
+  UNION ALL SELECT 4, '轨迹同框', 'H3', '生间', (SELECT count(*) FROM (SELECT DISTINCT a.subject, b.subject, a.place FROM seen a JOIN seen b ON a.place = b.place AND a.subject < b.subject AND abs(date_diff('day', a.d, b.d)) <= 1))
+  UNION ALL SELECT 5, '工商登记利益关联', 'H2', '因间', (SELECT count(*) FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN customer ON c_custkey = s_suppkey WHERE n_name LIKE '%AN%' OR n_name LIKE '%1%' OR c_name LIKE '%7%')),
+found AS (SELECT k, candidate, h, channel, least(n, 1000) AS n FROM n WHERE n > 0)"""
+
+
+@_query(f"WITH {_FOUND} SELECT candidate, '待核实' AS level, CAST(n AS INTEGER) AS evidence FROM found")
+def scan_findings(spark, sf_dir):
+    return _findings(spark, sf_dir).select("candidate", "level", F.size("source_rows").alias("evidence"))
+
+
+@_query(f"WITH {_FOUND} SELECT candidate AS title, h AS hypothesis, channel, CAST(n AS INTEGER) AS evidence, '待查' AS status FROM found")
+def finding_clues(spark, sf_dir):
+    clues = lineage.finding_clues(stored(_findings(spark, sf_dir), "findings"), hypotheses.pattern_table(spark))
+    return clues.select("title", F.get("assumption_chain", 0).alias("hypothesis"), F.get("channels", 0).alias("channel"), F.size("source_rows").alias("evidence"), "status")
+
+
+@_query(f"WITH {_FOUND} SELECT h AS id, CAST(sum(n) AS INTEGER) AS evidence FROM found GROUP BY h")
+def auto_hypotheses(spark, sf_dir):
+    return hypotheses.from_findings(stored(_findings(spark, sf_dir), "findings"), spark).select("id", F.size("source_rows").alias("evidence"))
+
+
+@_query("""WITH k AS (SELECT unnest(['银行流水','中标档案','招投标档案','通话记录','轨迹出行','工商信息','公开OSINT','举报材料','银行流水(过桥)']) AS source,
+  unnest(['生间','因间','因间','生间','生间','死间','死间','内间','反间']) AS channel),
+a AS (SELECT '银行流水' AS source FROM orders UNION SELECT '通话记录' FROM events UNION SELECT '工商信息' FROM supplier UNION SELECT '举报材料' FROM events WHERE event_type = 'no such'),
+r AS (SELECT channel, string_agg(k.source, '|' ORDER BY k.source) AS sources, bool_or(a.source IS NOT NULL) AS hit FROM k LEFT JOIN a ON a.source = k.source GROUP BY 1)
+SELECT channel, sources, hit, CASE WHEN (SELECT count(*) FROM r WHERE hit) >= 3 THEN '可立案依据候选' WHEN (SELECT count(*) FROM r WHERE hit) = 2 THEN '线索' ELSE '观察' END AS level FROM r""")
+def channel_crossing(spark, sf_dir):
+    source = lambda name, df: df.limit(1).select(F.lit(name).alias("source"))  # noqa: E731  whether there is a row at all
+    active = source("银行流水", _table(spark, sf_dir, "orders")).union(source("通话记录", _table(spark, sf_dir, "events"))).union(source("工商信息", _table(spark, sf_dir, "supplier")))
+    return investigation.channel_crossing(active).withColumn("sources", F.array_join("sources", "|"))
+
+
+@_query("SELECT unnest(['银行流水','招投标档案','工商信息','通话记录','轨迹出行','公开OSINT','举报材料']) AS name, unnest([TRUE, TRUE, TRUE, TRUE, TRUE, FALSE, FALSE]) AS covered")
+def source_coverage(spark, sf_dir):
+    sources = spark.createDataFrame([(s,) for s in ("银行流水", "招投标档案", "工商信息", "通话记录", "轨迹出行", "公开OSINT", "举报材料")], "name string")
+    return hypotheses.source_coverage(hypotheses.hypothesis_table(spark), sources)
+
+
+@_query("SELECT unnest(['生间','反间','因间','死间','内间']) AS name, unnest([TRUE, TRUE, TRUE, FALSE, FALSE]) AS covered")
+def channel_coverage(spark, sf_dir):
+    return hypotheses.channel_coverage(hypotheses.hypothesis_table(spark))
+
+
+@_query(f"WITH {_CLUES}, cn AS (SELECT u, count(*) AS many FROM ch GROUP BY 1) SELECT clue_id, CASE WHEN status = '已立案' THEN '已立案，转入侦查' WHEN status = '已排除' THEN '已排除，留档' WHEN status = '已固证' THEN '可报立案审批' WHEN many >= 2 THEN '多源印证，优先核查' ELSE '补充其他来源后核查' END AS suggestion FROM clue JOIN cn ON cn.u = clue.u")
+def next_steps(spark, sf_dir):
+    return _clues(spark, sf_dir).select("clue_id", disposal.suggestion(F.col("status"), F.size("channels")).alias("suggestion"))
+
+
+@_query("""WITH q AS (SELECT c_custkey AS k, CASE c_custkey % 4 WHEN 0 THEN 'ACCEPTED' WHEN 1 THEN 'REJECTED' WHEN 2 THEN 'DEFERRED' END AS d, CASE WHEN c_custkey % 5 = 0 THEN 'AI ' ELSE 'Li' END AS op, CASE WHEN c_custkey % 3 = 0 THEN ' ' ELSE 'why' END AS note FROM customer)
+SELECT concat('r', k) AS candidate_id, CASE WHEN d = 'ACCEPTED' AND op = 'Li' THEN d WHEN d = 'REJECTED' AND op = 'Li' AND note = 'why' THEN d WHEN d = 'DEFERRED' THEN d ELSE 'PENDING' END AS decision FROM q""")
+def review_decisions(spark, sf_dir):
+    k = F.col("c_custkey")
+    c = _table(spark, sf_dir, "customer")
+    queue = c.select(F.concat(F.lit("r"), k).alias("candidate_id"), F.lit("PENDING").alias("decision"))
+    said = c.where(k % 4 < 3).select(
+        F.concat(F.lit("r"), k).alias("candidate_id"), F.element_at(F.array(F.lit("ACCEPTED"), F.lit("REJECTED"), F.lit("DEFERRED")), (k % 4 + 1).cast("int")).alias("decision"),
+        F.when(k % 5 == 0, "AI ").otherwise("Li").alias("operator"), F.when(k % 3 == 0, " ").otherwise("why").alias("note"),
+    )
+    return disposal.decided(queue, said).select("candidate_id", "decision")
+
+
+@_query("""WITH RECURSIVE r AS (SELECT concat('Firm ', CAST(c_custkey % 700 AS VARCHAR), CASE c_custkey % 3 WHEN 0 THEN ' (east)' WHEN 1 THEN '  ' ELSE '' END) AS name,
+  trim(lower(concat('firm ', CAST(c_custkey % 700 AS VARCHAR)))) || CASE WHEN c_custkey % 3 = 0 THEN ' ' ELSE '' END AS core, CASE WHEN c_custkey % 4 = 0 THEN concat('r', CAST(c_custkey % 90 AS VARCHAR)) END AS rep FROM customer),
+ev AS (SELECT DISTINCT core, rep FROM r WHERE rep IS NOT NULL), link AS (SELECT DISTINCT a.core AS x, b.core AS y FROM ev a JOIN ev b ON a.rep = b.rep),
+w AS (SELECT core, core AS reach FROM (SELECT DISTINCT core FROM r) UNION SELECT w.core, l.y FROM w JOIN link l ON l.x = w.reach),
+label AS (SELECT core, min(reach) AS cluster FROM w GROUP BY 1),
+c AS (SELECT cluster, count(DISTINCT r.name) AS names, count(DISTINCT r.core) AS cores, count(rep) AS reps FROM label JOIN r ON r.core = label.core GROUP BY 1),
+s AS (SELECT *, reps > 0 OR names = 1 OR cores > 1 AS strong FROM c)
+SELECT count(*) AS clusters, CAST(sum(names - 1) AS BIGINT) AS merged, CAST(sum(CASE WHEN strong AND names > 1 THEN 1 ELSE 0 END) AS BIGINT) AS strong_merges, CAST(sum(CASE WHEN strong THEN 0 ELSE 1 END) AS BIGINT) AS review FROM s""")
+def resolution_report(spark, sf_dir):
+    return resolve.report(resolve.clusters(_records(spark, sf_dir), ["legal_rep"], "person"))
+
+
+@_query(f"WITH {_LOG}, r AS (SELECT *, row_number() OVER (PARTITION BY clue_id ORDER BY stamp DESC, seq % 2 DESC, seq DESC) AS rn FROM log) SELECT clue_id, status, stamp AS updated_at FROM r WHERE rn = 1")
+def status_upsert(spark, sf_dir):
+    """Even entries are the table as it was, odd ones the update; put in twice, as a rerun would."""
+    log = _log(spark, sf_dir).withColumn("updated_at", F.col("at")).withColumn("note", F.lit("")).withColumn("operator", F.lit("Li"))
+    keep = ["clue_id", "status", "note", "operator", "updated_at"]
+    half = lambda n: scans.latest(log.where(F.col("seq") % 2 == n), ["clue_id"], ["updated_at", "seq"]).select(*keep)
+    once = disposal.snapshot(half(0), half(1))
+    return disposal.snapshot(once, half(1)).select("clue_id", "status", "updated_at")
+
+
+# ---- files and streams ----
+
+
+def _place(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{uuid.uuid4().hex}-{name}"
+
+
+@_query("SELECT CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS date, concat('C', o_custkey) AS subject, o_orderpriority AS counterparty, CAST(trunc(o_totalprice) AS DOUBLE) AS amount FROM orders")
+def csv_ingest(spark, sf_dir):
+    """Orders as a semicolon file with foreign headers and amounts with marks, read back into the contract's names and types."""
+    rows = _table(spark, sf_dir, "orders").select(
+        F.to_date("o_orderdate").cast("string").alias("交易日期"), F.concat(F.lit("C"), "o_custkey").alias("付款方"), F.col("o_orderpriority").alias("收款方"), F.concat(F.lit("¥"), F.format_number(F.floor("o_totalprice"), 0)).alias("交易金额")
+    )
+    rows.write.option("header", True).option("sep", ";").csv(to := _place(spark, "flow.csv"))
+    return read_file(spark, to).select("date", "subject", "counterparty", "amount")
+
+
+@_query("SELECT n_name AS subject, n_regionkey AS \"detail.region\", n_nationkey % 3 AS \"tags[0]\", CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey % 5 END AS \"tags[1]\" FROM nation")
+def json_ingest(spark, sf_dir):
+    """Nations as one nested document, its records found and flattened."""
+    k = F.col("n_nationkey")
+    record = F.struct(F.col("n_name").alias("name"), F.struct(F.col("n_regionkey").alias("region")).alias("detail"), F.when(k % 2 == 0, F.array(k % 3, k % 5)).otherwise(F.array(k % 3)).alias("tags"))
+    document = _table(spark, sf_dir, "nation").agg(F.to_json(F.struct(F.struct(F.collect_list(record).alias("records")).alias("data"))).alias("value"))  # 25 nations
+    document.write.text(to := _place(spark, "records.json"))
+    back = read_file(spark, to)
+    return back.select("subject", *[F.col(f"`{c}`").cast("int").alias(c) for c in ("detail.region", "tags[0]", "tags[1]")])
+
+
+@_query(f"WITH {FLOW} SELECT subject, CAST(date_trunc('month', dt) AS DATE) AS period, CAST(count(*) AS BIGINT) AS cnt, {MONEY} AS total FROM flow GROUP BY 1, 2")
+def stream_rollup(spark, sf_dir):
+    """The flow as files that arrive, rolled up batch by batch."""
+    flow = _flow(spark, sf_dir)
+    flow.repartition(3).write.parquet(arrived := _place(spark, "arrived"))
+    to = _place(spark, "rollup")
+    rollup.start_rollup(rollup.flow_stream(spark, arrived, flow.schema, files_per_batch=2), to, _place(spark, "offsets")).awaitTermination()
+    return _money(rollup.rollup(spark, to))
