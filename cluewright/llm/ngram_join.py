@@ -10,8 +10,10 @@ and never lists all pairs of a group:
 2. Shingles that two sets share in that prefix are posting lists. Each member
    is verified against the list's least member alone: one pair for a posting.
    This links groups of near copies, however large.
-3. Where a list still spans several components, its members are gathered into
-   clusters, cut into blocks by size band, and multiplied block by block.
+3. A list that still spans several components is cut where neighbouring sizes
+   rule each other out. Parts of one component are done; of parts with the
+   same members, as near copies have many, one is kept. Parts are multiplied
+   block by block, and large ones are cut into blocks by size band first.
    Blocks whose sizes rule each other out, or that lie in one component, do
    not meet. A block pair gives back a spanning forest of its links.
 4. Links of both kinds make the components.
@@ -24,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..plans.components import components
@@ -180,6 +183,20 @@ def _product(percent: int):
     return run
 
 
+def _members(lists: DataFrame, percent: int) -> DataFrame:
+    """(cluster, s, c, n): sets of lists (h, s, c, n) that may link with sets of other components, those that may with each other in one cluster."""
+    # Sizes are few however long a list is, so the window is over them and not over members.
+    sizes = lists.select("h", "n").distinct()
+    smaller = F.lag("n").over(W.partitionBy("h").orderBy("n"))
+    start = F.when(F.lit(100) * smaller >= F.lit(percent) * F.col("n"), 0).otherwise(1)
+    parts = sizes.withColumn("start", start).withColumn("part", F.sum("start").over(W.partitionBy("h").orderBy("n"))).select("h", "n", "part")
+    rows = stored(lists.join(parts, ["h", "n"]).select("h", "part", "s", "c", "n"), "list-parts")
+    open_parts = rows.groupBy("h", "part").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.min("s").alias("least")).where("a <> b").select("h", "part", "least")
+    rows = stored(rows.join(open_parts, ["h", "part"]).select("s", "c", "n", "least").distinct(), "open-parts")
+    clusters = components(rows, "s", "least").select(F.col("vertex").alias("s"), F.col("component").alias("cluster"))
+    return rows.select("s", "c", "n").distinct().join(clusters, "s")
+
+
 def _blocks(members: DataFrame, percent: int, block: int) -> DataFrame:
     """Rows of members (cluster, s, c, n), once for each pair of blocks they are in, with that pair's id."""
     total = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"))
@@ -233,10 +250,9 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     parts = stored(components(linked, "s", "pivot"), "parts")
     # Lists that still span several components.
     own = shared_postings.join(parts.withColumnRenamed("vertex", "s"), "s", "left").select("h", "s", "n", F.coalesce("component", "s").alias("c"))
-    open_lists = own.groupBy("h").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.min("s").alias("least")).where("a <> b").select("h", "least")
+    open_lists = own.groupBy("h").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("h")
     rest = stored(own.join(open_lists, "h"), "open")
-    clusters = components(rest, "s", "least").select(F.col("vertex").alias("s"), F.col("component").alias("cluster"))
-    members = stored(rest.select("s", "c", "n").distinct().join(clusters, "s"), "members")
+    members = stored(_members(rest, percent), "members")
     met = _blocks(members, percent, block).join(grams, "s")
     more = met.groupBy("pair").applyInArrow(_product(percent), "u binary, v binary")
     final = components(linked.select(F.col("s").alias("u"), F.col("pivot").alias("v")).union(more))
