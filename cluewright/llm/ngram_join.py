@@ -37,8 +37,10 @@ WORDS, PERCENT = 3, 90
 #: Shingles among the first hashes of this many documents go last in the order.
 FREQUENT = 2
 BITS = 25
-#: Sets in a block, and n-grams in a slice of the product.
-BLOCK, SLICE = 256, 2048
+#: Sets and n-grams in a block at most, and n-grams in a slice of the product.
+BLOCK, BLOCK_GRAMS, SLICE = 1024, 1 << 19, 1024
+#: Text bytes that are worked on at once.
+CHUNK = 1 << 20
 _SET = pa.binary(16)
 
 
@@ -65,7 +67,7 @@ def _names(a: np.ndarray, b: np.ndarray) -> pa.Array:
 def _keys(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for top, last, data, offs in K.chunks(batch.column(1)):
+            for top, last, data, offs in K.chunks(batch.column(1), CHUNK):
                 _, _, size, a, b = _sets(data, offs, n)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(top, last - top), _names(a, b), pa.array(size)], ["doc_id", "s", "n"])
 
@@ -77,7 +79,7 @@ def _low_counts(n: int, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, offs in K.chunks(batch.column(0)):
+            for _, _, data, offs in K.chunks(batch.column(0), CHUNK):
                 h, own, size, _, _ = _sets(data, offs, n)
                 place = np.arange(len(h)) - (np.cumsum(size) - size)[own]
                 low, count = np.unique(h[place < 2 * _prefix(size, percent)[own]], return_counts=True)
@@ -95,7 +97,7 @@ def _prefix_postings(n: int, percent: int, frequent: np.ndarray, shared: np.ndar
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, offs in K.chunks(batch.column(0)):
+            for _, _, data, offs in K.chunks(batch.column(0), CHUNK):
                 h, own, size, a, b = _sets(data, offs, n)
                 late = in_bitmap(frequent, h)
                 order = np.argsort(own * 2 + late, kind="stable")
@@ -115,7 +117,7 @@ def _prefix_postings(n: int, percent: int, frequent: np.ndarray, shared: np.ndar
 def _full_sets(n: int, wanted: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, offs in K.chunks(batch.column(0)):
+            for _, _, data, offs in K.chunks(batch.column(0), CHUNK):
                 h, _, size, a, b = _sets(data, offs, n)
                 at = np.r_[0, np.cumsum(size)]
                 rows = np.flatnonzero((size > 0) & in_bitmap(wanted, a))
@@ -171,13 +173,13 @@ def _product(percent: int):
                 parent[x] = x = parent[parent[x]]
             return x
 
-        i, j = np.nonzero(np.triu(_linked(overlap.astype(np.int64), size[:, None], size[None, :], percent), 1))
         out = []
-        for a, b in zip(i, j):
-            x, y = root(comp[a]), root(comp[b])
-            if x != y:
-                parent[x] = y
-                out.append((names[a], names[b]))
+        for i in range(len(rows)):  # a row at a time: the whole matrix of verdicts would need several times the memory
+            for j in np.flatnonzero(_linked(overlap[i, i + 1 :].astype(np.int64), size[i], size[i + 1 :], percent)) + i + 1:
+                x, y = root(comp[i]), root(comp[j])
+                if x != y:
+                    parent[x] = y
+                    out.append((names[i], names[j]))
         return pa.table({"u": pa.array([x for x, _ in out], pa.binary()), "v": pa.array([y for _, y in out], pa.binary())})
 
     return run
@@ -197,16 +199,16 @@ def _members(lists: DataFrame, percent: int) -> DataFrame:
     return rows.select("s", "c", "n").distinct().join(clusters, "s")
 
 
-def _blocks(members: DataFrame, percent: int, block: int) -> DataFrame:
+def _blocks(members: DataFrame, percent: int, block: int, grams: int) -> DataFrame:
     """Rows of members (cluster, s, c, n), once for each pair of blocks they are in, with that pair's id."""
-    total = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("m"))
-    small = members.join(total.where(F.col("m") <= 2 * block), "cluster").select(F.xxhash64("cluster").alias("pair"), "s", "c", "n")
-    large = members.join(total.where(F.col("m") > 2 * block).drop("m"), "cluster")
+    total = members.groupBy("cluster").agg(((F.count(F.lit(1)) <= 2 * block) & (F.sum("n") <= 2 * grams)).alias("fits"))
+    small = members.join(total.where("fits"), "cluster").select(F.xxhash64("cluster").alias("pair"), "s", "c", "n")
+    large = members.join(total.where("not fits").drop("fits"), "cluster")
     # Sets of one band or of neighbouring bands can link; others cannot.
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)) + F.lit(1e-9)).cast("long") if percent < 100 else F.col("n")
     heavy = large.groupBy("cluster", "c").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= block).select("cluster", "c", F.col("c").alias("own"))
     large = large.join(heavy, ["cluster", "c"], "left").withColumn("band", band)
-    width = large.groupBy("cluster", "band", "own").agg(F.ceil(F.count(F.lit(1)) / block).alias("w"))
+    width = large.groupBy("cluster", "band", "own").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n") / grams)).alias("w"))
     same = [large[x].eqNullSafe(width[x]) for x in ("cluster", "band", "own")]
     large = large.join(width, same[0] & same[1] & same[2]).select(large["*"], F.pmod(F.xxhash64("s"), F.col("w")).alias("part"))
     large = stored(large.withColumn("block", F.xxhash64("cluster", "band", "own", "part")), "blocks")
@@ -218,7 +220,7 @@ def _blocks(members: DataFrame, percent: int, block: int) -> DataFrame:
     return small.unionByName(large.join(sides, "block").select("pair", "s", "c", "n"))
 
 
-def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, frequent: int = FREQUENT, bits: int = BITS, block: int = BLOCK) -> DataFrame:
+def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, frequent: int = FREQUENT, bits: int = BITS, block: int = BLOCK, block_grams: int = BLOCK_GRAMS) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id, the least doc_id that links of percent Jaccard or more reach.
 
     A set is the distinct runs of `words` words, A-Z lower-cased; a text with
@@ -253,7 +255,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     open_lists = own.groupBy("h").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("h")
     rest = stored(own.join(open_lists, "h"), "open")
     members = stored(_members(rest, percent), "members")
-    met = _blocks(members, percent, block).join(grams, "s")
+    met = _blocks(members, percent, block, block_grams).join(grams, "s")
     more = met.groupBy("pair").applyInArrow(_product(percent), "u binary, v binary")
     final = components(linked.select(F.col("s").alias("u"), F.col("pivot").alias("v")).union(more))
     labelled = sets.join(final.withColumnRenamed("vertex", "s"), "s", "left").withColumn("c", F.when(F.col("n") > 0, F.coalesce("component", "s")))

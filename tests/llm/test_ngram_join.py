@@ -83,7 +83,7 @@ def test_blocks_of_large_clusters(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = by_hand(rows)
     assert result(J.jaccard_components(docs, bits=8, block=8)) == want
-    assert result(J.jaccard_components(docs)) == want
+    assert result(J.jaccard_components(docs, bits=8, block_grams=150)) == want
 
 
 def test_other_thresholds(spark):
