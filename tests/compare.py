@@ -53,7 +53,7 @@ def database(folder: str) -> duckdb.DuckDBPyConnection:
 def check(spark, query, sql: str, folder: str) -> None:
     """The query's rows, names and types are those of its SQL."""
     got = query(spark, folder).toArrow()
-    want = database(folder).execute(sql).to_arrow_table()
+    want = database(folder).sql(sql).to_arrow_table()
     assert schema(got) == schema(want)
     a, b = rows(got), rows(want)
     assert len(a) == len(b)

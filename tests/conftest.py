@@ -15,7 +15,7 @@ def spark(tmp_path_factory):
     s = session(
         "tests",
         "local[4]",
-        spark__sql__shuffle__partitions="4",
+        spark__sql__shuffle__partitions="3",
         spark__ui__enabled="false",
         spark__driver__memory="3g",
         spark__sql__warehouse__dir=str(tmp_path_factory.mktemp("warehouse")),
