@@ -40,7 +40,7 @@ SPAN, GRAM = 200, 100
 COVER = 32
 #: Size of the bitmaps, as a power of two of flags.
 BITS = 25
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 #: Classes, of up to 3 * SPAN / 2 bytes each, that a task sorts as one bucket.
 MOST_CLASSES = 4096
 
