@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ..plans.components import components
 from . import kernel as K
-from .common import bitmap, in_bitmap, load, stored, text_of
+from .common import bitmap, digest, in_bitmap, load, stored, text_of
 
 WORDS, PERCENT = 3, 90
 #: Shingles among the first hashes of this many documents go last in the order.
@@ -264,11 +264,26 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     return labelled.join(least, "c", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
+def text_groups(docs: DataFrame, **options) -> DataFrame:
+    """(text_key, group_key): the digest of each distinct text that has shingles, and the least digest that links reach."""
+    texts = docs.select(digest(text_of()).alias("doc_id"), text_of().alias("text")).dropDuplicates(["doc_id"])
+    return jaccard_components(texts, **options).where("n_shingles > 0").select(F.col("doc_id").alias("text_key"), F.col("component_id").alias("group_key"))
+
+
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """docs without near duplicates: of each component the row of the least doc_id stays. Rows of null doc_id stay."""
-    least = jaccard_components(docs, **options).where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(least, F.col("doc_id") == F.col("__id"), "left_semi")
-    return kept.unionByName(docs.where("doc_id is null"))
+    """docs without near duplicates: one row of each component stays, of the least doc_id, nulls last.
+
+    Among rows of one doc_id the digests of the text and of the other columns
+    decide; of rows equal in all columns one stays. Texts without shingles link
+    with nothing, so their rows all stay.
+    """
+    groups = stored(text_groups(docs, **options), "text-groups")
+    rest = digest(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "text"]), {"ignoreNullFields": "false"}))
+    keyed = docs.withColumn("__text", digest(text_of())).withColumn("__rest", rest)
+    rows = keyed.select("__text", "__rest", F.col("doc_id").alias("__id")).join(groups, F.col("__text") == F.col("text_key"))
+    first = rows.groupBy("group_key").agg(F.min(F.struct(F.col("__id").isNull(), F.col("__id"), F.col("__text"), F.col("__rest"))).alias("x"))
+    kept = keyed.join(first.select("x.__text", "x.__rest"), ["__text", "__rest"], "left_semi").dropDuplicates(["__text", "__rest"])
+    return kept.unionByName(keyed.join(groups, F.col("__text") == F.col("text_key"), "left_anti")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,3 +73,18 @@ def test_clean_documents_stay(spark, tmp_path):
         stage(spark, docs, "").write.parquet(str(tmp_path / f"c{k}"))
         docs = spark.read.parquet(str(tmp_path / f"c{k}"))
     assert {(r.doc_id, r.text) for r in docs.collect()} == {(r[0], r[1]) for r in rows_}
+
+
+def test_near_copies_by_five_words(spark):
+    """The stage against a brute force of 5-word Jaccard 0.8, with pairs that 3 words and 0.9 would leave, and rows that share an id."""
+    base = [f"word{k}" for k in range(80)]
+    texts = [" ".join([*base[:-n], *(f"new{n}x{k}" for k in range(n))]) for n in range(1, 9)]
+    texts += [" ".join(f"other{i}x{k}" for k in range(60)) for i in range(3)]
+    rows_ = [(i, t, "en", "a", len(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows_, "doc_id long, text string, lang string, source string, n_chars long")
+    label = {i: c for i, _, c in test_ngram_join.by_hand(list(enumerate(texts)), 5, 80)}
+    narrow = {i: c for i, _, c in test_ngram_join.by_hand(list(enumerate(texts)), 3, 90)}
+    assert label != narrow
+    repeated = docs.unionByName(docs).unionByName(docs.withColumn("lang", F.lit("de")))
+    kept = corpus_pipeline.keep_one_copy(spark, repeated, "").collect()
+    assert sorted(r.doc_id for r in kept) == sorted({c for c in label.values()})
