@@ -20,13 +20,15 @@ def line_key(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(BLANKS)))
 
 
-def line_dedup(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min_length: int = MIN_LENGTH) -> DataFrame:
+def line_dedup(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min_length: int = MIN_LENGTH, groups: DataFrame | None = None) -> DataFrame:
     """docs with their lines of common keys dropped, and n_lines, n_dropped.
 
     A key is the line without white space at its ends and with A-Z lower-cased.
     Keys of at least min_length code points that stand in at least
     min_documents rows lose all their lines. Each row counts as one document,
-    so repeated rows and ids count each time. A null or empty text is one empty
+    so repeated rows and ids count each time. With groups (text_key, group_key),
+    of digests of texts, a group counts as one document however many rows and
+    texts it has, and so does each text outside of groups. A null or empty text is one empty
     line and comes back empty. Columns named n_lines or n_dropped are replaced,
     others kept. An empty table gives an empty result. Texts of any length are
     taken whole.
@@ -36,9 +38,13 @@ def line_dedup(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min_length:
     keys = F.transform(F.split("t", "\n"), line_key)
     hashed = F.transform(keys, lambda k: F.when(F.char_length(k) >= min_length, digest(k)))
     lines = texts.select(digest(F.col("t")).alias("__text"), hashed.alias("h"))
+    if groups is None:
+        found = lines.select(F.explode(F.array_distinct("h")).alias("h"))
+    else:
+        own = lines.join(groups.select("text_key", "group_key"), F.col("__text") == F.col("text_key"), "left")
+        found = own.select(F.coalesce("group_key", "__text").alias("g"), F.explode(F.array_distinct("h")).alias("h")).distinct()
     common = (
-        lines.select(F.explode(F.array_distinct("h")).alias("h"))
-        .where(F.col("h").isNotNull())
+        found.where(F.col("h").isNotNull())
         .groupBy("h")
         .agg(F.count(F.lit(1)).alias("n"))
         .where(F.col("n") >= min_documents)

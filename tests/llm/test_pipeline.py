@@ -88,3 +88,18 @@ def test_near_copies_by_five_words(spark):
     repeated = docs.unionByName(docs).unionByName(docs.withColumn("lang", F.lit("de")))
     kept = corpus_pipeline.keep_one_copy(spark, repeated, "").collect()
     assert sorted(r.doc_id for r in kept) == sorted({c for c in label.values()})
+
+
+def test_one_of_many_copies_stays(spark, tmp_path):
+    """A clean document with 10 or more exact copies, and one with as many near copies that share their lines, each keep one row."""
+    body = lambda name: [" ".join(f"{name}{j}x{k}" for k in range(14)) for j in range(8)]
+    exact, near = body("exact"), body("near")
+    texts = ["\n".join(exact)] * 15 + ["\n".join([*near[: i % 8], near[i % 8] + f" end{i}", *near[i % 8 + 1 :]]) for i in range(24)]
+    texts += ["\n".join([*body(f"own{i}y"), "Read more on our page"]) for i in range(12)]
+    docs = spark.createDataFrame([(i, t, "en", f"src{i % 3}", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[1:3]):
+        stage(spark, docs, "").write.parquet(str(tmp_path / f"m{k}"))
+        docs = spark.read.parquet(str(tmp_path / f"m{k}"))
+    got = {r.doc_id: r.text for r in docs.collect()}
+    assert sorted(got) == [0, 15, *range(39, 51)]
+    assert got[0] == texts[0] and got[15] == texts[15] and "Read more" not in got[39]
