@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from . import kernel as K
 from .common import digest, load, stored, text_of, without
 
-#: A line is common on a host if over LINE_SHARE of the host's distinct texts, and over LINE_DOCUMENTS of them, have it.
-LINE_SHARE, LINE_DOCUMENTS = 0.05, 20
+#: A line is common on a host if over LINE_DOCUMENTS of its distinct texts have it, however many texts there are. On a small host
+#: over LINE_SHARE of them is enough, but not fewer than over LEAST_DOCUMENTS.
+LINE_SHARE, LINE_DOCUMENTS, LEAST_DOCUMENTS = 0.05, 20, 10
 #: A document that keeps less than this share of its words is depleted.
 LEAST_KEPT = 0.3
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 50, 50, 3
@@ -128,8 +129,9 @@ def quality_rules(docs: DataFrame, share: float = LINE_SHARE, documents: int = L
     """docs with their counts, base_failed, kept, and (texts) their common lines removed.
 
     base_failed: fewer than 50 words, or over half of them in 3-word windows
-    found twice or more. A line is common if over `documents`, and over `share`
-    of all, distinct texts of its source have it in normalised form; texts
+    found twice or more. A line is common if over `documents` distinct texts
+    of its source have it in normalised form, or over `share` of them and over
+    LEAST_DOCUMENTS; the share never raises the limit of a large source. Texts
     that are exact copies count once, so copies alone never make a line
     common. kept is false for base_failed rows and for rows that keep under
     `least_kept` of their words. Null texts count as empty, a null source is a
@@ -145,9 +147,9 @@ def quality_rules(docs: DataFrame, share: float = LINE_SHARE, documents: int = L
         measured.select("__host", F.explode(F.array_distinct("line_hash")).alias("h"))
         .groupBy("__host", "h")
         .agg(F.count(F.lit(1)).alias("found"))
-        .where(F.col("found") > documents)
+        .where(F.col("found") > min(documents, LEAST_DOCUMENTS))
         .join(hosts, "__host")
-        .where(F.col("found") > share * F.col("n"))
+        .where(F.col("found") > F.least(F.lit(documents), F.greatest(F.lit(LEAST_DOCUMENTS), share * F.col("n"))))
         .select("__host", "h")
     )
     lost = (
