@@ -4,6 +4,9 @@ Segments are every line, every block of lines between blank lines and the
 whole text. A segment can reach the threshold only with a size within bounds
 that depend on the template's size, and only with enough bigrams of the
 templates' own; both are checked on arrays before any set is built.
+
+Passages are runs of words anywhere in a text, over lines and blocks: they
+begin and end at bigrams of a template and are at most its size bound long.
 """
 
 from __future__ import annotations
@@ -32,6 +35,15 @@ TEMPLATES = {
     "MIT notice": "Released under the MIT License.",
     "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
 }
+_BSD_3 = " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+TEMPLATES |= {
+    "BSD-3-Clause": TEMPLATES["BSD-2-Clause"] + _BSD_3,
+    "BSD warranty": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "MIT warranty": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "MPL-2.0 header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "AGPL-3.0 header": TEMPLATES["GPL-3.0 header"].replace("GNU General", "GNU Affero General"),
+    "LGPL-3.0 header": TEMPLATES["GPL-3.0 header"].replace("GNU General", "GNU Lesser General"),
+}
 
 #: Normal form: A-Z lower-cased, letters, digits and bytes over 127 kept, all else a gap.
 _NORMAL = np.full(256, 32, np.uint8)
@@ -72,17 +84,48 @@ def _best(segment: np.ndarray, templates: list[tuple[str, np.ndarray]], threshol
     return found
 
 
+def _passages(bi: np.ndarray, templates: list[tuple[str, np.ndarray]], threshold: float) -> list[tuple[int, str, float]]:
+    """(first bigram, template, score) of one text's passages. Of those that overlap, the one with most bigrams in common stays."""
+    previous = np.full(len(bi), -1)  # where a bigram was before: it counts once in a passage
+    order = np.argsort(bi, kind="stable")
+    again = np.flatnonzero(bi[order[1:]] == bi[order[:-1]]) + 1
+    previous[order[again]] = order[again - 1]
+    found = []
+    for name, bigrams in templates:
+        m = len(bigrams)
+        width = int(np.ceil(m * (2 - threshold) / threshold)) + m // 8 + 1  # the size bound, and room for bigrams that recur
+        hit = bigrams[np.minimum(np.searchsorted(bigrams, bi), m - 1)] == bi
+        sums = np.r_[0, np.cumsum(hit)]
+        at = np.flatnonzero(hit)
+        at = at[sums[np.minimum(at + width, len(bi))] - sums[at] >= threshold * m / (2 - threshold) - 1e-9]
+        for i in at:
+            new = previous[i : i + width] < i
+            both = np.cumsum(new & hit[i : i + width])
+            score = 2 * both / (np.cumsum(new) + m)
+            j = int(np.argmax(score))
+            if score[j] >= threshold:
+                found.append((-int(both[j]), -float(score[j]), name, int(i), int(i) + j))
+    taken = np.zeros(len(bi), bool)
+    out = []
+    for _, score, name, i, j in sorted(found):
+        if not taken[i : j + 1].any():
+            taken[i : j + 1] = True
+            out.append((i, name, -score))
+    return sorted(out)
+
+
 def _scan(templates: list[tuple[str, np.ndarray]], threshold: float):
     known = np.unique(np.concatenate([b for _, b in templates]))
     sizes = [len(b) for _, b in templates]
     # A segment's distinct bigrams are known ones for threshold / 2 of its and the template's sizes together.
     least_hits = max(1, int(np.ceil(threshold * min(sizes) / 2)))
 
-    def rows(data: np.ndarray, offs: np.ndarray) -> list[list[dict]]:
+    def rows(data: np.ndarray, offs: np.ndarray) -> tuple[list[list[dict]], list[list[dict]]]:
         out: list[list[dict]] = [[] for _ in range(len(offs) - 1)]
+        passages: list[list[dict]] = [[] for _ in range(len(offs) - 1)]
         h, start, row = _words(data, offs)
         if len(h) < 2:
-            return out
+            return out, passages
         bi = _bigrams(h)
         slot = np.minimum(np.searchsorted(known, bi), len(known) - 1)
         hit = np.r_[0, np.cumsum((known[slot] == bi) & (row[1:] == row[:-1]))]
@@ -107,14 +150,21 @@ def _scan(templates: list[tuple[str, np.ndarray]], threshold: float):
             for i in np.flatnonzero((b - a > 1) & (hit[np.maximum(b - 1, a)] - hit[a] >= least_hits)):
                 if found := _best(bi[a[i] : b[i] - 1], templates, threshold):
                     out[own[i]].append({"line": int(line[i]), "kind": kind, "license": found[0], "score": found[1]})
-        return out
+        for r in np.flatnonzero(text_hi - text_lo > 1):
+            if hit[text_hi[r] - 1] - hit[text_lo[r]] < least_hits:
+                continue
+            for i, name, score in _passages(bi[text_lo[r] : text_hi[r] - 1], templates, threshold):
+                line = np.count_nonzero(data[offs[r] : start[text_lo[r] + i]] == 10)
+                passages[r].append({"line": int(line), "kind": "passage", "license": name, "score": score})
+        return out, passages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("line", pa.int32()), ("kind", pa.string()), ("license", pa.string()), ("score", pa.float64())]))
         for batch in batches:
-            found = [m for _, _, data, offs in K.chunks(batch.column(batch.schema.get_field_index("__t"))) for m in rows(data, offs)]
+            both = [rows(data, offs) for _, _, data, offs in K.chunks(batch.column(batch.schema.get_field_index("__t")))]
+            found, passages = ([m for part in both for m in part[k]] for k in (0, 1))
             rest = [c for c in batch.schema.names if c != "__t"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in rest], pa.array(found, kind)], [*rest, "matches"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in rest], pa.array(found, kind), pa.array(passages, kind)], [*rest, "matches", "passages"])
 
     return run
 
@@ -122,20 +172,25 @@ def _scan(templates: list[tuple[str, np.ndarray]], threshold: float):
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """docs with matches: segments whose best template has a Dice coefficient of threshold or more.
 
-    line is the segment's first line, from 0. Segments of fewer than two words
+    passages has the same of runs of words anywhere in the text, which may
+    begin and end within lines; none overlap. line is the first line, from 0. Segments of fewer than two words
     match nothing; null and empty texts have none. Ties between templates go
     to the first by name. Rows are independent, so repeated rows, null ids and
-    empty tables need no rule; texts of any length are taken whole. A column
-    named matches is replaced, others kept.
+    empty tables need no rule; texts of any length are taken whole. Columns
+    named matches or passages are replaced, others kept.
     """
-    docs = without(docs, ["matches", "__t"])
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields], f"matches {MATCH}"])
+    docs = without(docs, ["matches", "passages", "__t"])
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields], f"matches {MATCH}", f"passages {MATCH}"])
     return docs.withColumn("__t", text_of()).mapInArrow(_scan(_templates(templates or TEMPLATES), threshold), schema)
 
 
 def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     best = F.expr("array_sort(matches, (a, b) -> case when a.score > b.score then -1 when a.score < b.score then 1 when a.license < b.license then -1 when a.license > b.license then 1 else 0 end)[0]")
-    return license_scan(docs).withColumn("best", F.when(F.size("matches") > 0, best)).select(
-        "doc_id", F.size("matches").cast("long").alias("n_matches"), F.col("best.license").alias("license"), F.col("best.score").alias("score"), F.col("best.line").cast("long").alias("first_line")
+    docs = license_scan(docs).withColumn("n_matches", F.size("matches").cast("long")).withColumn("n_passages", F.size("passages").cast("long"))
+    # Texts that no segment matches go by their passages.
+    docs = docs.withColumn("licenses", F.array_sort(F.array_distinct(F.concat("matches.license", "passages.license"))))
+    docs = docs.withColumn("matches", F.when(F.col("n_matches") > 0, F.col("matches")).otherwise(F.col("passages"))).withColumn("best", F.when(F.size("matches") > 0, best))
+    return docs.select(
+        "doc_id", "n_matches", F.col("best.license").alias("license"), F.col("best.score").alias("score"), F.col("best.line").cast("long").alias("first_line"), "n_passages", "licenses"
     )

@@ -83,3 +83,25 @@ def test_odd_rows(odd, none):
     out = L.license_scan(odd.withColumn("Matches", F.lit(1)))
     assert out.count() == odd.count() and out.where("size(matches) > 0").count() == 0
     assert L.license_scan(none).count() == 0
+
+
+def test_passages_over_blocks_and_within_lines(spark, tmp_path):
+    """Licences in their usual layout of several paragraphs, in comments above code and within longer lines."""
+    T = L.TEMPLATES
+    cut = lambda t, *marks: re.sub("|".join(f"(?={re.escape(m)})" for m in marks), "\n\n", t)
+    mit = "MIT License\n\nCopyright (c) 2020 A Name\n\n" + cut(T["MIT"], "The above copyright") + "\n\n" + T["MIT warranty"]
+    apache = "Copyright 2020 A Name\n\n" + cut(T["Apache-2.0 header"], "You may obtain", "Unless required")
+    gpl = cut(T["GPL-3.0 header"], "This program is distributed", "You should have")
+    bsd = "Copyright (c) 2020, A Name\nAll rights reserved.\n\n" + cut(T["BSD-3-Clause"], "1. ", "2. ", "3. ") + "\n\n" + T["BSD warranty"]
+    code = "\n".join(f"def f{i}(x):\n    return x + {i}\n" for i in range(60))
+    above = "".join(f"# {x}\n" for x in apache.split("\n")) + "\n" + code
+    inline = "Some words before that. Released under the MIT License. And as many words after it, in one long line."
+    texts = {1: mit, 2: apache, 3: gpl, 4: bsd, 5: above, 6: inline, 7: code, 8: "prose of no licence " * 300, 9: code + "\n" + mit}
+    want = {1: {"MIT", "MIT warranty"}, 2: {"Apache-2.0 header"}, 3: {"GPL-3.0 header"}, 4: {"BSD-3-Clause", "BSD warranty"}, 5: {"Apache-2.0 header"}, 6: {"MIT notice"}, 7: set(), 8: set(), 9: {"MIT", "MIT warranty"}}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.passages for r in L.license_scan(docs).collect()}
+    assert {i: {m.license for m in p} for i, p in got.items()} == want
+    assert min(m.line for m in got[9]) == code.count("\n") + 5
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r.doc_id: r for r in L.op10_licences(spark, str(tmp_path)).collect()}
+    assert all(want[i] <= set(out[i].licenses) and bool(out[i].license) == bool(want[i]) for i in texts)
