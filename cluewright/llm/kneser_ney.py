@@ -26,8 +26,8 @@ from .common import load, stored, text_of
 
 #: Bytes of an n-gram, 4 at most.
 ORDER = 4
-#: A document is kept up to this quantile of its language's trusted perplexities, times SLACK.
-QUANTILE, SLACK = 0.995, 1.05
+#: A document is kept up to this quantile of its language's held-out trusted perplexities; SLACK multiplies its logarithm.
+QUANTILE, SLACK = 0.95, 1.0
 #: One in HELD trusted documents, by a hash of the id, is held out of training and sets the thresholds.
 HELD = 5
 #: Text bytes of a batch.

@@ -111,3 +111,13 @@ def test_odd_rows(spark, odd, none):
     assert all((r.perplexity is None) == (not r.n_bytes or r.threshold is None) for r in out)
     assert K.quality_classifier(none, ids).count() == 0
     assert K.quality_classifier(odd, ids.where("false")).where("kept").count() == odd.where("length(text) > 0").count()
+
+
+def test_rates_by_language(spark):
+    """Trained on half of the good labels: in each language most good documents of the other half are kept and few bad ones."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    out = K.quality_classifier(docs, K.trusted(labels).where("doc_id % 2 = 0"))
+    seen = out.join(labels.where("doc_id % 2 = 1"), "doc_id").groupBy("lang", "quality").agg(F.avg(F.col("kept").cast("double")).alias("share")).collect()
+    assert len(seen) == 8
+    assert all(r.share > 0.85 if r.quality else r.share < 0.15 for r in seen), seen
