@@ -23,7 +23,7 @@ _CODE_LOWER = _CODE[_LOWER]
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 #: Bytes of text that are worked on at once.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 _powers = np.ones(1, np.uint64)
 _inverses = np.ones(1, np.uint64)
@@ -60,6 +60,27 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix((sums[end] - sums[start]) * _inverses[start] + (end - start).astype(np.uint64))
 
 
+def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = False, piece: int = CHUNK_BYTES) -> np.ndarray:
+    """span_hash() of ascending spans that do not overlap, such as words or lines, with sums over a piece of the data at a time.
+
+    The memory for sums depends on the piece, not on the text, and a span may
+    be longer than a piece: what stands in later pieces adds to its polynomial.
+    """
+    total = np.zeros(len(start), np.uint64)
+    for at in range(0, len(data), piece):
+        part = data[at : at + piece]
+        first, last = np.searchsorted(end, at, "right"), np.searchsorted(start, at + len(part))
+        if first >= last:
+            continue
+        sums = prefix_sums(part, lower)
+        a, b = np.maximum(start[first:last] - at, 0), np.clip(end[first:last] - at, 0, len(part))
+        raw = (sums[b] - sums[a]) * _inverses[a]
+        if start[first] < at:
+            raw[:1] *= np.array([pow(int(_BASE), int(at - start[first]), 1 << 64)], np.uint64)
+        total[first:last] += raw
+    return mix(total + (end - start).astype(np.uint64))
+
+
 def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets from 0) of runs of rows with about limit bytes; null is empty.
 

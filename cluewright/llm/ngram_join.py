@@ -1,22 +1,22 @@
-"""N-gram Jaccard join: overlap counts by a blocked product of the document by n-gram incidence.
-
-Texts with equal shingle sets are one set from the start. The rest is exact
-and never lists all pairs of a group:
-
-1. Two sets can only reach the threshold if they share one of the first
-   n - ceil(t * n) + 1 shingles in a fixed order. The order puts frequent
-   shingles last, which a bitmap of fixed size records; any order is right,
-   this one is selective.
-2. Shingles that two sets share in that prefix are posting lists. Each member
-   is verified against the list's least member alone: one pair for a posting.
-   This links groups of near copies, however large.
-3. A list that still spans several components is cut where neighbouring sizes
-   rule each other out. Parts of one component are done; of parts with the
-   same members, as near copies have many, one is kept. Parts are multiplied
-   block by block, and large ones are cut into blocks by size band first.
-   Blocks whose sizes rule each other out, or that lie in one component, do
-   not meet. A block pair gives back a spanning forest of its links.
-4. Links of both kinds make the components.
+"""N-gram Jaccard join: overlap counts by a blocked sparse product of the document by n-gram incidence.
+
+Texts are shingled once, into a table of the distinct sets of n-grams. The
+rest is exact and never lists all pairs of a group:
+
+1. The columns of the incidence, the n-grams, are dealt into blocks by their
+   hash. Sizes bound how many n-grams two linked sets can differ by, and there
+   are more blocks than that: linked sets have the same n-grams in one block
+   at least. So a set is told by a key for each of its blocks, sets that share
+   a key are a list, and pairs without a common list are discarded unseen.
+2. Lists that share sets are one cluster. A cluster is a block of rows, and
+   the sparse product of its rows accumulates the overlap of each pair.
+3. A cluster that is too large for one block is contracted first: each member
+   is held against least members of its lists. Lists that still span several
+   components are cut where neighbouring sizes rule each other out, and what
+   is left is multiplied block by block. Blocks whose sizes rule each other
+   out, or that lie in one component, do not meet.
+4. Links of all kinds make the components. A block gives back a spanning
+   forest of its links.
 """
 
 from __future__ import annotations
@@ -25,29 +25,43 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..plans.components import components
+from ..plans.components import components, least_reached
 from . import kernel as K
 from .common import bitmap, digest, in_bitmap, load, stored, text_of
 
 WORDS, PERCENT = 3, 90
-#: Shingles among the first hashes of this many documents go last in the order.
-FREQUENT = 2
-BITS = 25
-#: Sets and n-grams in a block at most, and n-grams in a slice of the product.
-BLOCK, BLOCK_GRAMS, SLICE = 1024, 1 << 19, 1024
+#: Sizes of the bitmaps that keep rows from a shuffle, as powers of two: at most the first, and at least 2**SPARE flags for a key up to there.
+MOST_BITS, LEAST_BITS, SPARE = 27, 18, 4
+#: Sets and n-grams in a block of rows at most.
+BLOCK, BLOCK_GRAMS = 1024, 1 << 19
+#: Columns that more rows than this share are multiplied as dense slices of so many columns.
+THIN, SLICE = 24, 1024
+#: Sizes from one border to the next are one family; borders grow by this factor.
+FAMILY = 1.5
 #: Text bytes that are worked on at once.
 CHUNK = 1 << 20
 _SET = pa.binary(16)
 
 
-def _sets(data: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Shingle hashes by row, their rows, the size and both fingerprints of each row's set."""
+def _borders() -> np.ndarray:
+    out = [8]
+    while out[-1] < 1 << 40:
+        out.append(max(out[-1] + 1, int(out[-1] * FAMILY)))
+    return np.array(out, np.int64)
+
+
+BORDERS = _borders()
+
+
+def _sets(data: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Shingle hashes by row, ascending; the size and both fingerprints of each row's set."""
     start, end, row = K.words(data, offs)
-    h, own = K.distinct_per_row(*K.shingles(K.span_hash(K.prefix_sums(data, lower=True), start, end), row, n))
+    h, own = K.distinct_per_row(*K.shingles(K.hash_spans(data, start, end, lower=True), row, n))
     rows = len(offs) - 1
     size = np.bincount(own, minlength=rows)
     prints = []
@@ -57,81 +71,187 @@ def _sets(data: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
         if len(h):
             total[full] = np.add.reduceat(K.mix(h ^ np.uint64(salt)), (np.cumsum(size) - size)[full])
         prints.append(total)
-    return h, own, size, prints[0], prints[1]
+    return h, size, prints[0], prints[1]
 
 
 def _names(a: np.ndarray, b: np.ndarray) -> pa.Array:
     return pa.FixedSizeBinaryArray.from_buffers(_SET, len(a), [None, pa.py_buffer(np.stack([a, b], 1).astype(">u8"))]).cast(pa.binary())
 
 
-def _keys(n: int):
+def _shingled(n: int):
+    """Each row's set: a row id that the table keeps, the set's name, its size, its n-grams as 64-bit hashes in ascending order."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Unique, as mixing is one to one, and spread evenly.
+        at = TaskContext.get().partitionId() << 40
         for batch in batches:
             for top, last, data, offs in K.chunks(batch.column(1), CHUNK):
-                _, _, size, a, b = _sets(data, offs, n)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(top, last - top), _names(a, b), pa.array(size)], ["doc_id", "s", "n"])
+                h, size, a, b = _sets(data, offs, n)
+                ends = np.r_[0, np.cumsum(size) * 8].astype(np.int64)
+                grams = pa.LargeBinaryArray.from_buffers(pa.large_binary(), last - top, [None, pa.py_buffer(ends), pa.py_buffer(h)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(top, last - top), pa.array(K.mix((at + np.arange(last - top)).astype(np.uint64)).view(np.int64)), _names(a, b), pa.array(size), grams], ["doc_id", "rid", "s", "n", "grams"])
+                at += last - top
 
     return run
 
 
-def _low_counts(n: int, percent: int):
-    """Counts of the hashes in twice the prefix that an order by hash alone would give."""
+def _incidence(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of rows of the table, end to end, and each row's number of them."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    offs = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    body = column.buffers()[2]
+    data = np.frombuffer(body, np.uint8)[offs[0] : offs[-1]] if body is not None else np.zeros(0, np.uint8)
+    return np.frombuffer(data.tobytes(), np.uint64), np.diff(offs) // 8
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, data, offs in K.chunks(batch.column(0), CHUNK):
-                h, own, size, _, _ = _sets(data, offs, n)
-                place = np.arange(len(h)) - (np.cumsum(size) - size)[own]
-                low, count = np.unique(h[place < 2 * _prefix(size, percent)[own]], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(low.view(np.int64)), pa.array(count)], ["h", "n"])
-
-    return run
 
+def _first_print(names: pa.Array) -> np.ndarray:
+    at = np.frombuffer(names.buffers()[1], np.int32)[names.offset] if len(names) else 0
+    return np.frombuffer(names.buffers()[2], ">i8", 2 * len(names), at)[::2].astype(np.int64)
 
-def _prefix(size: np.ndarray, percent: int) -> np.ndarray:
-    return size + (-percent * size // 100) + 1
 
+def column_blocks(size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """For sets of families by size: blocks of columns, and how many of them may be empty without a key.
 
-def _prefix_postings(n: int, percent: int, frequent: np.ndarray, shared: np.ndarray | None):
-    """Each set's prefix: (h, first fingerprint), or the full postings of hashes in shared."""
+    Sets up to r n-grams that link differ by 2 r (100 - percent) / (100 +
+    percent) n-grams at most; with so many blocks and one more, they agree on
+    one. Further blocks make up for empty ones, in which sets agree by chance:
+    a set with no more empty blocks than that has no key for them, a set with
+    more has one for each.
+    """
+    most = 2 * size * (100 - percent) // (100 + percent)
+    spare = 1 + most // 64
+    return most + 1 + spare, spare
+
+
+def block_keys(h: np.ndarray, size: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(key, row) of the rows' blocks of columns, family by family. Sets too small to link with any other have none."""
+    first = np.cumsum(size) - size
+    can = 100 * size >= percent * (size + 1)
+    own = np.searchsorted(BORDERS, size)
+    last = np.searchsorted(BORDERS, 100 * size // percent)  # the family of the largest set it may link with
+    for step in range(int((last - own)[can].max(initial=-1)) + 1):
+        rows = np.flatnonzero(can & (own + step <= last))
+        if not len(rows):
+            continue
+        family = own[rows] + step
+        blocks, spare = column_blocks(BORDERS[family], percent)
+        many = size[rows]
+        mine = np.repeat(np.arange(len(rows)), many)
+        grams = h[np.repeat(first[rows] - (np.cumsum(many) - many), many) + np.arange(len(mine))]
+        block = ((grams >> np.uint64(32)) * blocks.astype(np.uint64)[mine] >> np.uint64(32)).astype(np.int64)
+        new = np.flatnonzero(np.r_[True, (mine[1:] != mine[:-1]) | (block[1:] != block[:-1])])
+        content = np.add.reduceat(K.mix(grams ^ np.uint64(0xA4093822299F31D0)), new)
+        where = K.mix((block[new] * 64 + family[mine[new]]).astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+        yield K.mix(content + where), rows[mine[new]]
+        filled = np.bincount(mine[new], minlength=len(rows))
+        for r in np.flatnonzero(blocks - filled > spare):
+            empty = np.setdiff1d(np.arange(blocks[r]), block[new][mine[new] == r])
+            yield K.mix(K.mix((empty * 64 + family[r]).astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))), np.full(len(empty), rows[r])
+
+
+def _keys(percent: int, shared: np.ndarray | None):
+    """(k, first fingerprint) of each set's keys, or (k, s, n) of those that may be in shared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, offs in K.chunks(batch.column(0), CHUNK):
-                h, own, size, a, b = _sets(data, offs, n)
-                late = in_bitmap(frequent, h)
-                order = np.argsort(own * 2 + late, kind="stable")
-                place = np.empty(len(h), np.int64)
-                place[order] = np.arange(len(h)) - (np.cumsum(size) - size)[own]
-                take = place < _prefix(size, percent)[own]
-                if shared is None:
-                    yield pa.RecordBatch.from_arrays([pa.array(h[take].view(np.int64)), pa.array(a[own[take]].view(np.int64))], ["h", "a"])
-                    continue
-                take &= in_bitmap(shared, h)
-                row = own[take]
-                yield pa.RecordBatch.from_arrays([pa.array(h[take].view(np.int64)), _names(a[row], b[row]), pa.array(size[row])], ["h", "s", "n"])
+            name, n = batch.column(0), batch.column(1).to_numpy()
+            ends = np.cumsum(n)
+            at = 0
+            while at < len(n):
+                # As many rows as have a chunk's n-grams, one at least.
+                end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK // 8, "right")))
+                h, size = _incidence(batch.column(2).slice(at, end - at))
+                for key, row in block_keys(h, size, percent):
+                    own = name.slice(at, end - at)
+                    if shared is None:
+                        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(_first_print(own)[row])], ["k", "a"])
+                        continue
+                    may = in_bitmap(shared, key)
+                    yield pa.RecordBatch.from_arrays([pa.array(key[may].view(np.int64)), own.take(pa.array(row[may])), pa.array(size[row[may]])], ["k", "s", "n"])
+                at = end
 
     return run
 
 
-def _full_sets(n: int, wanted: np.ndarray):
+def _wanted(flags: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, offs in K.chunks(batch.column(0), CHUNK):
-                h, _, size, a, b = _sets(data, offs, n)
-                at = np.r_[0, np.cumsum(size)]
-                rows = np.flatnonzero((size > 0) & in_bitmap(wanted, a))
-                _, one = np.unique(a[rows], return_index=True)
-                rows = rows[one]
-                yield pa.RecordBatch.from_arrays([_names(a[rows], b[rows]), pa.array([h[at[r] : at[r + 1]].tobytes() for r in rows], pa.binary())], ["s", "grams"])
+            yield batch.filter(pa.array(in_bitmap(flags, batch.column(0).to_numpy())))
 
     return run
 
 
-def _linked(overlap, a, b, percent: int):
+def linked(overlap, a, b, percent: int):
     return 100 * overlap >= percent * (a + b - overlap)
 
 
+def overlaps(h: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The number of n-grams that each two different rows share: the product of the incidence with its transpose.
+
+    Columns of one row are left out, equal columns are one with a weight. Thin
+    columns add their pairs, thick ones are multiplied as dense slices.
+    """
+    m = len(size)
+    own = np.repeat(np.arange(m), size)
+    order = np.argsort(h, kind="stable")
+    h, own = h[order], own[order]
+    new = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
+    count = np.diff(np.r_[new, len(h)])
+    keep = count > 1
+    total = np.zeros(m * m)  # counts stay far below 2**53
+    if not keep.any():
+        return total.astype(np.int64).reshape(m, m)
+    told = K.mix(np.arange(1, m + 1).astype(np.uint64))
+    pattern = np.add.reduceat(told[own], new)[keep]
+    _, first, weight = np.unique(pattern, return_index=True, return_counts=True)
+    new, count, weight = new[keep][first], count[keep][first], weight.astype(np.float64)
+    for k in np.unique(count[count <= THIN]):
+        at = np.flatnonzero(count == k)
+        step = max(1, (1 << 18) // int(k * k))
+        for lo in range(0, len(at), step):
+            part = at[lo : lo + step]
+            rows = own[new[part][:, None] + np.arange(k)]
+            np.add.at(total, (rows[:, :, None] * m + rows[:, None, :]).ravel(), np.repeat(weight[part], k * k))
+    thick = np.flatnonzero(count > THIN)
+    dense = total.reshape(m, m)
+    for lo in range(0, len(thick), SLICE):
+        part = thick[lo : lo + SLICE]
+        column = np.repeat(np.arange(len(part)), count[part])
+        row = own[np.repeat(new[part] - (np.cumsum(count[part]) - count[part]), count[part]) + np.arange(len(column))]
+        slice_ = np.zeros((m, len(part)))
+        slice_[row, column] = 1
+        dense += (slice_ * weight[part]) @ slice_.T
+    return dense.astype(np.int64)
+
+
+def _forest(h: np.ndarray, size: np.ndarray, percent: int) -> np.ndarray:
+    """For each row the least row that links reach."""
+    both = overlaps(h, size)
+    a, b = np.nonzero(np.triu(both, 1))
+    link = linked(both[a, b], size[a], size[b], percent)
+    return least_reached(a[link], b[link], len(size))
+
+
+def _product(percent: int, by: str):
+    """Links of a block, or of the blocks of column `by` that a group packs together."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by(by).combine_chunks()
+        h, size = _incidence(table.column("grams"))
+        at = np.r_[0, np.cumsum(size)]
+        block = table.column(by).combine_chunks().dictionary_encode().indices.to_numpy()
+        cuts = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True]) if len(block) else np.zeros(1, np.int64)
+        label = np.arange(len(size))
+        for lo, hi in zip(cuts, cuts[1:]):
+            label[lo:hi] = lo + _forest(h[at[lo] : at[hi]], size[lo:hi], percent)
+        moved = np.flatnonzero(label != np.arange(len(size)))
+        names = table.column("s").combine_chunks()
+        return pa.table({"u": names.take(pa.array(moved)), "v": names.take(pa.array(label[moved]))})
+
+    return run
+
+
 def _verified(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,74 +261,52 @@ def _verified(percent: int):
             for x, y in zip(left, right):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 slot = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                keep.append(bool(_linked(int(np.count_nonzero(y[slot] == x)), len(x), len(y), percent)))
+                keep.append(bool(linked(int(np.count_nonzero(y[slot] == x)), len(x), len(y), percent)))
             yield batch.select(["s", "pivot"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _product(percent: int):
-    def run(table: pa.Table) -> pa.Table:
-        names = table.column("s").to_pylist()
-        comp = table.column("c").to_pylist()
-        rows = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("grams").combine_chunks()] if len(names) else []
-        size = np.array([len(r) for r in rows], np.int64)
-        grams, column, count = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
-        own = np.repeat(np.arange(len(rows)), size)
-        both = count[column] > 1  # an n-gram of one set adds to no overlap
-        number = (np.cumsum(count > 1) - 1)[column[both]]
-        own = own[both]
-        order = np.argsort(number, kind="stable")
-        number, own = number[order], own[order]
-        overlap = np.zeros((len(rows), len(rows)), np.float32)
-        for lo in range(0, int(number[-1]) + 1 if len(number) else 0, SLICE):
-            a, b = np.searchsorted(number, [lo, lo + SLICE])
-            part = np.zeros((len(rows), SLICE), np.float32)
-            part[own[a:b], number[a:b] - lo] = 1
-            overlap += part @ part.T
-        parent: dict = {}
-
-        def root(x):
-            while parent.setdefault(x, x) != x:
-                parent[x] = x = parent[parent[x]]
-            return x
-
-        out = []
-        for i in range(len(rows)):  # a row at a time: the whole matrix of verdicts would need several times the memory
-            for j in np.flatnonzero(_linked(overlap[i, i + 1 :].astype(np.int64), size[i], size[i + 1 :], percent)) + i + 1:
-                x, y = root(comp[i]), root(comp[j])
-                if x != y:
-                    parent[x] = y
-                    out.append((names[i], names[j]))
-        return pa.table({"u": pa.array([x for x, _ in out], pa.binary()), "v": pa.array([y for _, y in out], pa.binary())})
+def _bits(keys: int) -> int:
+    return min(MOST_BITS, max(LEAST_BITS, int(keys).bit_length() + SPARE))
 
-    return run
+
+def _contracted(pairs: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
+    """(u, v): pairs (s, pivot) that link, where one pivot of a set that most lists name is tried before the others."""
+    right = grams.select(F.col("s").alias("pivot"), F.col("grams").alias("pivot_grams"))
+
+    def tried(rows: DataFrame) -> DataFrame:
+        return stored(rows.select("s", "pivot").join(grams.select("s", "grams"), "s").join(right, "pivot").select("s", "pivot", "grams", "pivot_grams").mapInArrow(_verified(percent), "s binary, pivot binary"), "links")
+
+    best = pairs.groupBy("s").agg(F.max_by("pivot", F.struct("lists", "pivot")).alias("pivot"))
+    once = tried(best)
+    label = stored(components(once, "s", "pivot"), "parts")
+    cs, cp = label.select(F.col("vertex").alias("s"), F.col("component").alias("cs")), label.select(F.col("vertex").alias("pivot"), F.col("component").alias("cp"))
+    rest = pairs.join(best, ["s", "pivot"], "left_anti").join(cs, "s", "left").join(cp, "pivot", "left").where("not coalesce(cs = cp, false)")
+    return once.unionByName(tried(rest)).select(F.col("s").alias("u"), F.col("pivot").alias("v"))
 
 
 def _members(lists: DataFrame, percent: int) -> DataFrame:
-    """(cluster, s, c, n): sets of lists (h, s, c, n) that may link with sets of other components, those that may with each other in one cluster."""
+    """(cluster, s, c, n): sets of lists (k, s, c, n) that may link with sets of other components, those that may with each other in one cluster."""
     # Sizes are few however long a list is, so the window is over them and not over members.
-    sizes = lists.select("h", "n").distinct()
-    smaller = F.lag("n").over(W.partitionBy("h").orderBy("n"))
+    sizes = lists.select("k", "n").distinct()
+    smaller = F.lag("n").over(W.partitionBy("k").orderBy("n"))
     start = F.when(F.lit(100) * smaller >= F.lit(percent) * F.col("n"), 0).otherwise(1)
-    parts = sizes.withColumn("start", start).withColumn("part", F.sum("start").over(W.partitionBy("h").orderBy("n"))).select("h", "n", "part")
-    rows = stored(lists.join(parts, ["h", "n"]).select("h", "part", "s", "c", "n"), "list-parts")
-    open_parts = rows.groupBy("h", "part").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.min("s").alias("least")).where("a <> b").select("h", "part", "least")
-    rows = stored(rows.join(open_parts, ["h", "part"]).select("s", "c", "n", "least").distinct(), "open-parts")
+    parts = sizes.withColumn("start", start).withColumn("part", F.sum("start").over(W.partitionBy("k").orderBy("n"))).select("k", "n", "part")
+    rows = stored(lists.join(parts, ["k", "n"]).select("k", "part", "s", "c", "n"), "list-parts")
+    open_parts = rows.groupBy("k", "part").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.min("s").alias("least")).where("a <> b").select("k", "part", "least")
+    rows = stored(rows.join(open_parts, ["k", "part"]).select("s", "c", "n", "least").distinct(), "open-parts")
     clusters = components(rows, "s", "least").select(F.col("vertex").alias("s"), F.col("component").alias("cluster"))
     return rows.select("s", "c", "n").distinct().join(clusters, "s")
 
 
 def _blocks(members: DataFrame, percent: int, block: int, grams: int) -> DataFrame:
     """Rows of members (cluster, s, c, n), once for each pair of blocks they are in, with that pair's id."""
-    total = members.groupBy("cluster").agg(((F.count(F.lit(1)) <= 2 * block) & (F.sum("n") <= 2 * grams)).alias("fits"))
-    small = members.join(total.where("fits"), "cluster").select(F.xxhash64("cluster").alias("pair"), "s", "c", "n")
-    large = members.join(total.where("not fits").drop("fits"), "cluster")
     # Sets of one band or of neighbouring bands can link; others cannot.
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)) + F.lit(1e-9)).cast("long") if percent < 100 else F.col("n")
-    heavy = large.groupBy("cluster", "c").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= block).select("cluster", "c", F.col("c").alias("own"))
-    large = large.join(heavy, ["cluster", "c"], "left").withColumn("band", band)
-    width = large.groupBy("cluster", "band", "own").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n") / grams)).alias("w"))
+    heavy = members.groupBy("cluster", "c").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= block).select("cluster", "c", F.col("c").alias("own"))
+    large = members.join(heavy, ["cluster", "c"], "left").withColumn("band", band)
+    width = large.groupBy("cluster", "band", "own").agg(F.greatest(F.ceil(2 * F.count(F.lit(1)) / block), F.ceil(2 * F.sum("n") / grams)).alias("w"))
     same = [large[x].eqNullSafe(width[x]) for x in ("cluster", "band", "own")]
     large = large.join(width, same[0] & same[1] & same[2]).select(large["*"], F.pmod(F.xxhash64("s"), F.col("w")).alias("part"))
     large = stored(large.withColumn("block", F.xxhash64("cluster", "band", "own", "part")), "blocks")
@@ -217,10 +315,10 @@ def _blocks(members: DataFrame, percent: int, block: int, grams: int) -> DataFra
     pairs = blocks.join(other, "cluster").where("(band2 = band and block2 >= block or band2 = band + 1) and not coalesce(own = own2, false)")
     pairs = pairs.withColumn("pair", F.xxhash64("block", "block2", F.lit("pair")))
     sides = pairs.select("pair", "block").union(pairs.select("pair", F.col("block2").alias("block"))).distinct()
-    return small.unionByName(large.join(sides, "block").select("pair", "s", "c", "n"))
+    return large.join(sides, "block").select("pair", "s")
 
 
-def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, frequent: int = FREQUENT, bits: int = BITS, block: int = BLOCK, block_grams: int = BLOCK_GRAMS) -> DataFrame:
+def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK, block_grams: int = BLOCK_GRAMS, most_bits: int = MOST_BITS) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id, the least doc_id that links of percent Jaccard or more reach.
 
     A set is the distinct runs of `words` words, A-Z lower-cased; a text with
@@ -228,37 +326,48 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     link with nothing and are their own component. Repeated rows and ids are
     members like others. A null doc_id never names a component unless all ids
     in it are null. Only doc_id and text are read, so other columns cannot
-    clash. An empty table gives an empty result.
+    clash. An empty table gives an empty result. A text of any length is taken
+    whole; its words are hashed a piece at a time.
     """
-    texts = docs.select(text_of().alias("t"))
-    sets = stored(docs.select("doc_id", text_of().alias("t")).mapInArrow(_keys(words), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, s binary, n long"), "sets")
-    low = texts.mapInArrow(_low_counts(words, percent), "h long, n long")
-    late = bitmap(low.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= frequent), "h", bits)
-    first = texts.mapInArrow(_prefix_postings(words, percent, late, None), "h long, a long")
-    shared = bitmap(first.groupBy("h").agg(F.min("a").alias("a"), F.max("a").alias("b")).where("a <> b"), "h", bits)
-    postings = texts.mapInArrow(_prefix_postings(words, percent, late, shared), "h long, s binary, n long").distinct()
-    postings = stored(postings, "postings")
-    pivots = postings.groupBy("h").agg(F.min_by("n", "s").alias("pivot_n"), F.min("s").alias("pivot"), F.max("s").alias("last")).where("pivot <> last")
-    sized = (F.lit(100) * F.least("n", "pivot_n") >= F.lit(percent) * F.greatest("n", "pivot_n")) & (F.col("s") != F.col("pivot"))
-    pairs = stored(postings.join(pivots.drop("last"), "h").where(sized).select("s", "pivot").distinct(), "pairs")
-    shared_postings = stored(postings.join(pivots.select("h"), "h", "left_semi"), "lists")
-    named = shared_postings.select("s").distinct()
-    first_print = F.expr("cast(conv(hex(substring(s, 1, 8)), 16, -10) as bigint)")
-    wanted = bitmap(named.select(first_print.alias("a")), "a", bits)
-    grams = texts.mapInArrow(_full_sets(words, wanted), "s binary, grams binary").join(named, "s", "left_semi").dropDuplicates(["s"])
-    grams = stored(grams, "grams")
-    right = grams.select(F.col("s").alias("pivot"), F.col("grams").alias("pivot_grams"))
-    linked = stored(pairs.join(grams, "s").join(right, "pivot").select("s", "pivot", "grams", "pivot_grams").mapInArrow(_verified(percent), "s binary, pivot binary"), "links")
-    parts = stored(components(linked, "s", "pivot"), "parts")
-    # Lists that still span several components.
-    own = shared_postings.join(parts.withColumnRenamed("vertex", "s"), "s", "left").select("h", "s", "n", F.coalesce("component", "s").alias("c"))
-    open_lists = own.groupBy("h").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("h")
-    rest = stored(own.join(open_lists, "h"), "open")
-    members = stored(_members(rest, percent), "members")
-    met = _blocks(members, percent, block, block_grams).join(grams, "s")
-    more = met.groupBy("pair").applyInArrow(_product(percent), "u binary, v binary")
-    final = components(linked.select(F.col("s").alias("u"), F.col("pivot").alias("v")).union(more))
-    labelled = sets.join(final.withColumnRenamed("vertex", "s"), "s", "left").withColumn("c", F.when(F.col("n") > 0, F.coalesce("component", "s")))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    sets = stored(docs.select("doc_id", text_of().alias("t")).mapInArrow(_shingled(words), f"doc_id {kind}, rid long, s binary, n long, grams binary"), "sets")
+    rows = sets.where("n > 0").select("s", "n", "grams")
+    seen = rows.mapInArrow(_keys(percent, None), "k long, a long").groupBy("k").agg(F.min("a").alias("a"), F.max("a").alias("b"))
+    shared = stored(seen.where("a <> b").select("k"), "shared")
+    flags = bitmap(shared, "k", min(most_bits, _bits(shared.count())))
+    postings = stored(rows.mapInArrow(_keys(percent, flags), "k long, s binary, n long").distinct(), "postings")
+    pivots = postings.groupBy("k").agg(F.min_by("n", "s").alias("pivot_n"), F.min("s").alias("pivot"), F.max("s").alias("last")).where("pivot <> last").drop("last")
+    pairs = postings.join(pivots, "k").where("s <> pivot").groupBy("s", "pivot").agg(F.count(F.lit(1)).alias("lists"), F.first("n").alias("n"), F.first("pivot_n").alias("pivot_n"))
+    pairs = stored(pairs, "pairs")
+    clusters = components(pairs, "s", "pivot").select(F.col("vertex").alias("s"), F.col("component").alias("cluster"))
+    reps = sets.where("n > 0").groupBy("s").agg(F.min("rid").alias("rid"), F.first("n").alias("n"))
+    clusters = stored(clusters.join(reps, "s"), "clusters")
+    flags = bitmap(clusters, "rid", min(most_bits, _bits(clusters.count())))
+    grams = sets.where("n > 0").select("rid", "grams").mapInArrow(_wanted(flags), "rid long, grams binary").join(clusters, "rid").select("cluster", "s", "n", "grams")
+    sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("all_n"))
+    small = (F.col("sets") <= block) & (F.col("all_n") <= block_grams)
+    totals = sizes.agg(F.sum(F.when(small, F.col("sets"))).alias("sets"), F.sum(F.when(small, F.col("all_n"))).alias("n"), F.max(~small).alias("large")).first()
+    packs = max(1, -(-2 * (totals["sets"] or 0) // block), -(-2 * (totals["n"] or 0) // block_grams))
+    fits = sizes.withColumn("fits", small).select("cluster", "fits")
+    met = grams.join(fits, "cluster")
+    if not totals["large"]:
+        links = met.withColumn("pack", F.pmod(F.xxhash64("cluster"), F.lit(packs))).groupBy("pack").applyInArrow(_product(percent, "cluster"), "u binary, v binary")
+    else:
+        met = stored(met, "grams")
+        links = met.where("fits").withColumn("pack", F.pmod(F.xxhash64("cluster"), F.lit(packs))).groupBy("pack").applyInArrow(_product(percent, "cluster"), "u binary, v binary")
+        rest = met.where("not fits").select("s", "grams")
+        wide = stored(clusters.join(fits.where("not fits"), "cluster").select("s"), "wide")
+        sized = F.lit(100) * F.least("n", "pivot_n") >= F.lit(percent) * F.greatest("n", "pivot_n")
+        known = stored(_contracted(pairs.where(sized).join(wide, "s", "left_semi"), rest, percent), "known")
+        parts = stored(components(known), "parts")
+        # Lists that still span several components.
+        own = postings.join(wide, "s", "left_semi").join(parts.withColumnRenamed("vertex", "s"), "s", "left").select("k", "s", "n", F.coalesce("component", "s").alias("c"))
+        open_lists = own.groupBy("k").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("k")
+        members = stored(_members(stored(own.join(open_lists, "k"), "open"), percent), "members")
+        more = _blocks(members, percent, block, block_grams).join(rest, "s").groupBy("pair").applyInArrow(_product(percent, "pair"), "u binary, v binary")
+        links = links.union(known).union(more)
+    final = components(links)
+    labelled = sets.select("doc_id", "s", "n").join(final.withColumnRenamed("vertex", "s"), "s", "left").withColumn("c", F.when(F.col("n") > 0, F.coalesce("component", "s")))
     labelled = labelled.select("doc_id", "n", "c")
     least = labelled.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("least"))
     return labelled.join(least, "c", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
@@ -266,8 +375,8 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
 
 def text_groups(docs: DataFrame, **options) -> DataFrame:
     """(text_key, group_key): the digest of each distinct text that has shingles, and the least digest that links reach."""
-    texts = docs.select(digest(text_of()).alias("doc_id"), text_of().alias("text")).dropDuplicates(["doc_id"])
-    return jaccard_components(texts, **options).where("n_shingles > 0").select(F.col("doc_id").alias("text_key"), F.col("component_id").alias("group_key"))
+    texts = docs.select(digest(text_of()).alias("doc_id"), "text")
+    return jaccard_components(texts, **options).where("n_shingles > 0").select(F.col("doc_id").alias("text_key"), F.col("component_id").alias("group_key")).distinct()
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
@@ -280,10 +389,14 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     groups = stored(text_groups(docs, **options), "text-groups")
     rest = digest(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "text"]), {"ignoreNullFields": "false"}))
     keyed = docs.withColumn("__text", digest(text_of())).withColumn("__rest", rest)
-    rows = keyed.select("__text", "__rest", F.col("doc_id").alias("__id")).join(groups, F.col("__text") == F.col("text_key"))
-    first = rows.groupBy("group_key").agg(F.min(F.struct(F.col("__id").isNull(), F.col("__id"), F.col("__text"), F.col("__rest"))).alias("x"))
-    kept = keyed.join(first.select("x.__text", "x.__rest"), ["__text", "__rest"], "left_semi").dropDuplicates(["__text", "__rest"])
-    return kept.unionByName(keyed.join(groups, F.col("__text") == F.col("text_key"), "left_anti")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = stored(keyed.select("__text", "__rest", F.col("doc_id").alias("__id")).join(groups.withColumnRenamed("text_key", "__text"), "__text", "left"), "text-rows")
+    first = rows.where("group_key is not null").groupBy("group_key").agg(F.min(F.struct(F.col("__id").isNull(), F.col("__id"), F.col("__text"), F.col("__rest"))).alias("x"))
+    alone = rows.where("group_key is null").select("__text", "__rest", F.lit(True).alias("__all")).distinct()
+    stay = first.select("x.__text", "x.__rest", F.lit(False).alias("__all")).unionByName(alone)
+    # Of rows equal in all columns one stays, unless their text has no shingles: then each is told by a number of its own.
+    numbered = keyed.withColumn("__row", F.monotonically_increasing_id()).join(stay, ["__text", "__rest"])
+    kept = numbered.withColumn("__row", F.when(F.col("__all"), F.col("__row"))).dropDuplicates(["__text", "__rest", "__row"])
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -66,6 +66,66 @@ def varied(seed, n, length, edits):
     return [(i * 3, " ".join(t)) for i, t in enumerate(texts)]
 
 
+def test_product():
+    """The sparse product, of thin and thick columns, against sets."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = [np.unique(rng.integers(0, 60 if i % 2 else 400, rng.integers(1, 80))).astype(np.uint64) for i in range(70)]
+    rows += [np.unique(np.r_[np.arange(500, 700), rng.integers(0, 400, 9)]).astype(np.uint64) for _ in range(60)]
+    got = J.overlaps(np.concatenate(rows), np.array([len(r) for r in rows]))
+    want = [[len(np.intersect1d(a, b)) for b in rows] for a in rows]
+    assert np.triu(got, 1).tolist() == np.triu(want, 1).tolist() and (got == got.T).all()
+
+
+def test_linked_sets_share_a_key():
+    """Whatever the sizes: sets that link have a key in common, also where blocks are empty."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for percent in (50, 80, 90, 99):
+        for _ in range(150):
+            n = int(rng.integers(2, 400))
+            a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+            b = np.unique(np.r_[a[rng.random(len(a)) > (100 - percent) / 130], rng.integers(0, 1 << 63, rng.integers(0, 1 + n * (100 - percent) // 130), dtype=np.uint64)])
+            common = len(np.intersect1d(a, b))
+            if len(b) and common < max(len(a), len(b)) and J.linked(common, len(a), len(b), percent):
+                found = [set() for _ in range(2)]
+                for key, row in J.block_keys(np.r_[a, b], np.array([len(a), len(b)]), percent):
+                    for i in range(2):
+                        found[i] |= set(key[row == i].tolist())
+                assert found[0] & found[1]
+
+
+def test_family_of_near_copies(spark):
+    """2000 near copies of one text, most of which do not link with each other, and a chain of links among them."""
+    rng = random.Random(12)
+    base = [f"w{k}" for k in range(60)]
+    rows = [(i, " ".join(f"e{i}x{k}" if rng.random() < 0.06 else w for k, w in enumerate(base))) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in J.jaccard_components(docs, block=256).collect()}
+    assert len(set(got.values())) > 100
+    sets = [shingles(t) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 90 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    least = {}
+    for i in range(len(rows)):
+        least.setdefault(root(i), i)
+    assert got == {i: least[root(i)] for i in range(len(rows))}
+
+
 @pytest.mark.parametrize(("seed", "length", "edits"), [(1, 60, 2), (2, 120, 3)])
 def test_chains(spark, seed, length, edits):
     rows = varied(seed, 220, length, edits)
@@ -82,8 +142,8 @@ def test_blocks_of_large_clusters(spark):
     rows += [(20_000 + i, f"head{i % 40} " + " ".join(f"b{k}" for k in range(40))) for i in range(80)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = by_hand(rows)
-    assert result(J.jaccard_components(docs, bits=8, block=8)) == want
-    assert result(J.jaccard_components(docs, bits=8, block_grams=150)) == want
+    assert result(J.jaccard_components(docs, most_bits=8, block=8)) == want
+    assert result(J.jaccard_components(docs, most_bits=8, block_grams=150)) == want
 
 
 def test_other_thresholds(spark):
