@@ -2,7 +2,7 @@
 
 Lines are exploded as 16-byte hashes, each once per document, counted with a
 partial aggregate before the shuffle, and the hashes over the threshold are
-joined back. Texts themselves move once, to meet the positions to drop. Every
+joined back, by broadcast while they are few. Texts themselves move once, to meet the positions to drop. Every
 step is a DataFrame operation.
 """
 
@@ -11,54 +11,69 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ascii_lower, digest, load, text_of, without
+from .common import BLANKS, ascii_lower, digest, load, stored, text_of, without
 
 MIN_DOCUMENTS, MIN_LENGTH = 10, 1
+#: Keys of common lines, of 16 bytes each, that are broadcast at most.
+BROADCAST_KEYS = 500_000
 
 
 def line_key(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(BLANKS)))
 
 
-def line_dedup(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min_length: int = MIN_LENGTH, groups: DataFrame | None = None) -> DataFrame:
+def _matched(lines: DataFrame, keys: DataFrame) -> DataFrame:
+    """lines whose h is among keys, a table. Few keys are broadcast; beyond, the join shuffles and adaptive execution splits hot keys."""
+    few = keys.count() <= BROADCAST_KEYS
+    return lines.join(F.broadcast(keys) if few else keys, "h", "left_semi")
+
+
+def _common_by_copies(docs: DataFrame, keys: Column, min_documents: int, min_length: int) -> DataFrame:
+    """(h,) of keys in min_documents documents, where texts that are mostly made of lines of other texts count as one.
+
+    Lines of at least min_documents distinct texts may be common. A text with
+    half of its bytes or more in such lines is a copy or near copy, told by the
+    least of them; any other text counts by itself. So copies of one text, or
+    near copies of it, hardly add to the documents of their lines, however
+    many there are.
+    """
+    told = F.transform(keys, lambda k: F.when(F.char_length(k) >= min_length, F.struct(digest(k).alias("h"), F.octet_length(k).cast("long").alias("w"))))
+    lines = docs.select(digest(F.col("t")).alias("__text"), F.explode(F.array_distinct(told)).alias("x")).where("x is not null").select("__text", "x.h", "x.w")
+    lines = stored(lines.distinct(), "lines")
+    often = stored(lines.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_documents).select("h"), "often")
+    hits = stored(_matched(lines, often), "often-lines")
+    whole = lines.groupBy("__text").agg(F.sum("w").alias("all"))
+    shared = hits.groupBy("__text").agg(F.sum("w").alias("w"), F.min("h").alias("least"))
+    group = shared.join(whole, "__text").select("__text", F.when(2 * F.col("w") >= F.col("all"), F.col("least")).otherwise(F.col("__text")).alias("g"))
+    found = hits.join(group, "__text").select("h", "g").distinct()
+    return found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_documents).select("h")
+
+
+def line_dedup(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min_length: int = MIN_LENGTH, copies_once: bool = False) -> DataFrame:
     """docs with their lines of common keys dropped, and n_lines, n_dropped.
 
     A key is the line without white space at its ends and with A-Z lower-cased.
     Keys of at least min_length code points that stand in at least
     min_documents rows lose all their lines. Each row counts as one document,
-    so repeated rows and ids count each time. With groups (text_key, group_key),
-    of digests of texts, a group counts as one document however many rows and
-    texts it has, and so does each text outside of groups. A null or empty text is one empty
-    line and comes back empty. Columns named n_lines or n_dropped are replaced,
-    others kept. An empty table gives an empty result. Texts of any length are
-    taken whole.
+    so repeated rows and ids count each time; with copies_once, equal texts
+    count once, and so do texts that share most of their lines. A null or empty
+    text is one empty line and comes back empty. Columns named n_lines or
+    n_dropped are replaced, others kept. An empty table gives an empty result.
+    Texts of any length are taken whole.
     """
     docs = without(docs, ["n_lines", "n_dropped", "__text", "__drop", "__lines"])
     texts = docs.select(text_of().alias("t"))
     keys = F.transform(F.split("t", "\n"), line_key)
     hashed = F.transform(keys, lambda k: F.when(F.char_length(k) >= min_length, digest(k)))
-    lines = texts.select(digest(F.col("t")).alias("__text"), hashed.alias("h"))
-    if groups is None:
-        found = lines.select(F.explode(F.array_distinct("h")).alias("h"))
+    if copies_once:
+        common = _common_by_copies(texts, keys, min_documents, min_length)
     else:
-        own = lines.join(groups.select("text_key", "group_key"), F.col("__text") == F.col("text_key"), "left")
-        found = own.select(F.coalesce("group_key", "__text").alias("g"), F.explode(F.array_distinct("h")).alias("h")).distinct()
-    common = (
-        found.where(F.col("h").isNotNull())
-        .groupBy("h")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") >= min_documents)
-        .select("h")
-    )
+        found = texts.select(F.explode(F.array_distinct(hashed)).alias("h")).where(F.col("h").isNotNull())
+        common = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_documents).select("h")
+    common = stored(common, "common-lines")
     # Positions depend on the text alone: one copy of equal texts looks them up.
-    drops = (
-        lines.select("__text", F.posexplode("h").alias("i", "h"))
-        .where(F.col("h").isNotNull())
-        .dropDuplicates(["__text", "i"])
-        .join(common, "h", "left_semi")
-        .groupBy("__text")
-        .agg(F.collect_list("i").alias("__drop"))
-    )
+    lines = texts.select(digest(F.col("t")).alias("__text"), F.posexplode(hashed).alias("i", "h")).where(F.col("h").isNotNull())
+    drops = _matched(lines, common).select("__text", "i").distinct().groupBy("__text").agg(F.collect_list("i").alias("__drop"))
     # The runs of lines between dropped ones; cutting runs takes time in proportion to the lines.
     ends = F.array_sort("__drop")
     runs = F.zip_with(F.array_prepend(ends, F.lit(-1)), F.array_append(ends, F.size("__lines")), lambda a, b: F.slice("__lines", a + 2, b - a - 1))

@@ -1,9 +1,9 @@
 """Quality rules: per-text repetition rules, then lines that too many documents of one host share.
 
 One Arrow pass over the texts gives their counts and the hash of each
-normalised line. Distinct texts of a host are counted for each line hash;
-lines above the host's limit are removed, and a document that loses too many
-of its words this way is rejected as depleted. Only hashes are shuffled.
+normalised line. Documents of a host are counted for each line hash; lines
+above the host's limit are removed, and a document that loses too many of its
+words this way is rejected as depleted. Only hashes are shuffled.
 """
 
 from __future__ import annotations
@@ -18,9 +18,11 @@ from pyspark.sql import functions as F
 from . import kernel as K
 from .common import digest, load, stored, text_of, without
 
-#: A line is common on a host if over LINE_DOCUMENTS of its distinct texts have it, however many texts there are. On a small host
+#: A line is common on a host if over LINE_DOCUMENTS of its documents have it, however many documents there are. On a small host
 #: over LINE_SHARE of them is enough, but not fewer than over LEAST_DOCUMENTS.
 LINE_SHARE, LINE_DOCUMENTS, LEAST_DOCUMENTS = 0.05, 20, 10
+#: Exact copies count as one document.
+COPIES_ONCE = True
 #: A document that keeps less than this share of its words is depleted.
 LEAST_KEPT = 0.3
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 50, 50, 3
@@ -43,16 +45,27 @@ def _again(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return later, twice
 
 
+def _line_keys(data: np.ndarray, offs: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of lines with a word: first byte, end, row, number of words, and the key: the hash of the line without white space at its ends and with A-Z lower-cased."""
+    ls, le, row = K.lines(data, offs)
+    # Words of a line. A word never crosses a line.
+    lo, hi = np.searchsorted(start, ls), np.searchsorted(start, le)
+    has = hi > lo
+    lo, hi = lo[has], hi[has]
+    return ls[has], le[has], row[has], hi - lo, K.hash_spans(data, start[lo], end[hi - 1], lower=True)
+
+
 def text_stats(column: pa.Array) -> Iterator[pa.RecordBatch]:
-    """Counts and line hashes of a column of texts, as STATS."""
+    """Counts and line hashes of a column of texts, as STATS. Bytes are hashed a piece at a time, however long a text is."""
     for _, _, data, offs in K.chunks(column):
         n = len(offs) - 1
-        sums = K.prefix_sums(data)
         start, end, row = K.words(data, offs)
         count = lambda own: np.bincount(own, minlength=n)
         solid = ~K._IS_SPACE[data] & ((data & 0xC0) != 0x80)
-        total = lambda flags: np.diff(np.r_[0, np.cumsum(flags)][offs])
-        shingle, own = K.shingles(K.span_hash(sums, start, end), row, WINDOW)
+        total = lambda flags: np.diff(np.r_[np.int32(0), np.cumsum(flags, dtype=np.int32)][offs]).astype(np.int64)
+        chars, symbols = total(solid), total(_SYMBOL[data])
+        del solid
+        shingle, own = K.shingles(K.hash_spans(data, start, end), row, WINDOW)
         whole = count(row)[own] >= WINDOW  # shorter texts have no window
         _, twice = _again(shingle[whole], own[whole])
         in_window = np.zeros(len(start), bool)
@@ -62,22 +75,17 @@ def text_stats(column: pa.Array) -> Iterator[pa.RecordBatch]:
             at = first[mine] + np.arange(len(mine)) - np.searchsorted(mine, mine)
             for i in range(WINDOW):
                 in_window[at[twice] + i] = True
-        ls, le, lrow = K.lines(data, offs)
-        # Words of a line, and the line without white space at its ends. A word never crosses a line.
-        lo, hi = np.searchsorted(start, ls), np.searchsorted(start, le)
-        has = hi > lo
-        later, _ = _again(K.span_hash(sums, ls[has], le[has]), lrow[has])
-        low = K.prefix_sums(data, lower=True)
-        key = K.span_hash(low, start[lo[has]], end[hi[has] - 1])
+        ls, le, lrow, words, key = _line_keys(data, offs, start, end)
+        later, _ = _again(K.hash_spans(data, ls, le), lrow)
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(count(row)),
-                pa.array(total(solid)),
-                pa.array(total(_SYMBOL[data])),
-                pa.array(count(lrow[has][later])),
+                pa.array(chars),
+                pa.array(symbols),
+                pa.array(count(lrow[later])),
                 pa.array(count(row[in_window])),
-                K.list_array(key.view(np.int64), lrow[has], n),
-                K.list_array((hi - lo)[has].astype(np.int32), lrow[has], n),
+                K.list_array(key.view(np.int64), lrow, n),
+                K.list_array(words.astype(np.int32), lrow, n),
             ],
             ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "line_hash", "line_words"],
         )
@@ -92,31 +100,48 @@ def _stats_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*[part.column(batch.schema.get_field_index(c)) for c in rest], *stats.columns], [*rest, *stats.schema.names])
 
 
-def _cleaned(data: np.ndarray, common: np.ndarray) -> str:
-    """A text without its lines of common hashes."""
-    offs = np.array([0, len(data)])
+def _cleaned(data: np.ndarray, offs: np.ndarray, common: list[np.ndarray | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of rows without their lines of common keys. Lines that stay are joined by one line break."""
     start, end, _ = K.words(data, offs)
-    ls, le, _ = K.lines(data, offs)
-    lo, hi = np.searchsorted(start, ls), np.searchsorted(start, le)
-    has = hi > lo
-    gone = np.zeros(len(ls), bool)
-    gone[has] = np.isin(K.span_hash(K.prefix_sums(data, lower=True), start[lo[has]], end[hi[has] - 1]).view(np.int64), common)
-    body = data.tobytes()
-    return b"\n".join(body[a:b] for a, b in zip(ls[~gone], le[~gone])).decode()
+    first, last, row, _, key = _line_keys(data, offs, start, end)
+    key = key.view(np.int64)
+    gone = np.zeros(len(first), bool)
+    at = np.searchsorted(row, np.arange(len(offs)))
+    for r, keys in enumerate(common):
+        if keys is not None:
+            gone[at[r] : at[r + 1]] = np.isin(key[at[r] : at[r + 1]], keys)
+    ls, le, lrow = K.lines(data, offs)
+    out = np.zeros(len(ls), bool)
+    out[np.searchsorted(le, last[gone])] = True  # ends of lines are distinct but for empty ones, and these have no word
+    # A line goes with the break after it; behind the last line that stays nothing does.
+    edge = np.zeros(len(data) + 1, np.int8)
+    np.add.at(edge, ls[out], 1)
+    np.add.at(edge, np.minimum(le[out] + 1, offs[lrow[out] + 1]), -1)
+    keep = np.cumsum(edge[:-1], dtype=np.int8) == 0
+    stays = np.flatnonzero(~out)
+    end_of_row = offs[:-1].copy()
+    np.maximum.at(end_of_row, lrow[stays], le[stays])
+    hit = np.unique(lrow[out])
+    for r in hit:
+        keep[end_of_row[r] : offs[r + 1]] = False
+    return data[keep], np.r_[0, np.cumsum(keep)][offs]
 
 
 def _without_common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         at = batch.schema.get_field_index("text")
         texts, common = batch.column(at), batch.column(batch.schema.get_field_index("__common"))
-        hit = np.flatnonzero(common.is_valid().to_numpy(zero_copy_only=False))
-        if len(hit):
-            values = texts.to_pylist()
-            for i in hit:
-                values[i] = _cleaned(np.frombuffer(values[i].encode(), np.uint8), common[int(i)].values.to_numpy())
-            texts = pa.array(values, texts.type)
         rest = [c for c in batch.schema.names if c != "__common"]
-        yield pa.RecordBatch.from_arrays([texts if c == "text" else batch.column(batch.schema.get_field_index(c)) for c in rest], rest)
+        for top, last, data, offs in K.chunks(texts):
+            part = batch.slice(top, last - top).select(rest)
+            own = common.slice(top, last - top)
+            if own.null_count < len(own):
+                valid = own.is_valid().to_pylist()
+                body, ends = _cleaned(data, offs, [own[i].values.to_numpy() if ok else None for i, ok in enumerate(valid)])
+                kind = pa.large_string() if len(body) >> 31 else pa.string()
+                made = pa.Array.from_buffers(kind, len(own), [None, pa.py_buffer(ends.astype(np.int64 if kind == pa.large_string() else np.int32)), pa.py_buffer(np.ascontiguousarray(body))]).cast(texts.type)
+                part = part.set_column(rest.index("text"), "text", made)
+            yield part
 
 
 def with_stats(docs: DataFrame) -> DataFrame:
@@ -125,28 +150,31 @@ def with_stats(docs: DataFrame) -> DataFrame:
     return docs.withColumn("__t", text_of()).mapInArrow(_stats_rows, schema)
 
 
-def quality_rules(docs: DataFrame, share: float = LINE_SHARE, documents: int = LINE_DOCUMENTS, least_kept: float = LEAST_KEPT, texts: bool = True) -> DataFrame:
+def quality_rules(docs: DataFrame, share: float = LINE_SHARE, documents: int = LINE_DOCUMENTS, least_kept: float = LEAST_KEPT, texts: bool = True, copies_once: bool = COPIES_ONCE) -> DataFrame:
     """docs with their counts, base_failed, kept, and (texts) their common lines removed.
 
     base_failed: fewer than 50 words, or over half of them in 3-word windows
-    found twice or more. A line is common if over `documents` distinct texts
-    of its source have it in normalised form, or over `share` of them and over
-    LEAST_DOCUMENTS; the share never raises the limit of a large source. Texts
-    that are exact copies count once, so copies alone never make a line
-    common. kept is false for base_failed rows and for rows that keep under
-    `least_kept` of their words. Null texts count as empty, a null source is a
-    source of its own; repeated rows and ids are judged each by itself. Columns
-    of the names made here are replaced, others kept. An empty table gives an
-    empty result.
+    found twice or more. A line is common if over `documents` documents of its
+    source have it in normalised form, or over `share` of them and over
+    LEAST_DOCUMENTS; the share never raises the limit of a large source. With
+    copies_once exact copies count as one document, so that copies alone never
+    make a line common. kept is false for base_failed rows and for rows that
+    keep under `least_kept` of their words. Null texts count as empty, a null
+    source is a source of its own; repeated rows and ids are judged each by
+    itself. Columns of the names made here are replaced, others kept. An empty
+    table gives an empty result. Texts of any length are taken whole.
     """
     docs = without(docs, _OWN)
     slim = docs.select(text_of().alias("text"), F.coalesce(F.concat(F.lit("s"), "source"), F.lit("")).alias("__host"))
-    measured = stored(with_stats(slim).select(digest(F.col("text")).alias("__text"), "__host", *[c for c in _OWN[:5]], "line_hash", "line_words").dropDuplicates(["__text", "__host"]), "stats")
-    hosts = measured.groupBy("__host").agg(F.count(F.lit(1)).alias("n"))
+    stats = with_stats(slim).select(digest(F.col("text")).alias("__text"), "__host", *_OWN[:5], "line_hash", "line_words")
+    own = ["__text", "__host"]
+    measured = stored(stats.groupBy(*own).agg(F.count(F.lit(1)).alias("__n"), *[F.first(c).alias(c) for c in [*_OWN[:5], "line_hash", "line_words"]]), "stats")
+    many = F.count(F.lit(1)) if copies_once else F.sum("__n")
+    hosts = measured.groupBy("__host").agg(many.alias("n"))
     common = (
-        measured.select("__host", F.explode(F.array_distinct("line_hash")).alias("h"))
+        measured.select("__host", "__n", F.explode(F.array_distinct("line_hash")).alias("h"))
         .groupBy("__host", "h")
-        .agg(F.count(F.lit(1)).alias("found"))
+        .agg(many.alias("found"))
         .where(F.col("found") > min(documents, LEAST_DOCUMENTS))
         .join(hosts, "__host")
         .where(F.col("found") > F.least(F.lit(documents), F.greatest(F.lit(LEAST_DOCUMENTS), share * F.col("n"))))

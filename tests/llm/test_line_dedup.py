@@ -22,6 +22,32 @@ def by_hand(texts, documents):
     return out
 
 
+def by_copies(texts, documents):
+    """As by_hand, where equal texts count once, and texts of which lines of many texts make up half or more count by the least of these."""
+    print_ = lambda k: hashlib.md5(k.encode()).digest()
+    own = {t: {k for x in t.split("\n") if (k := x.strip(BLANK).translate(LOW))} for t in {t or "" for t in texts}}
+    often = {k for k, n in Counter(k for ks in own.values() for k in ks).items() if n >= documents}
+    size = lambda ks: sum(len(k.encode()) for k in ks)
+    found = {(k, min(map(print_, ks & often)) if 2 * size(ks & often) >= size(ks) else t) for t, ks in own.items() for k in ks & often}
+    common = {k for k, n in Counter(k for k, _ in found).items() if n >= documents}
+    out = []
+    for t in texts:
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if x.strip(BLANK).translate(LOW) not in common]
+        out.append((len(lines), len(lines) - len(kept), "\n".join(kept)))
+    return out
+
+
+def test_copies_once(spark, odd, none, documents):
+    texts = [t for _, t in documents]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.n_lines, r.n_dropped, r.text) for r in L.line_dedup(docs, copies_once=True, min_documents=3).collect())
+    assert got == [(i, *x) for i, x in enumerate(by_copies(texts, 3))]
+    got = L.line_dedup(odd, min_documents=2, copies_once=True).collect()
+    assert sorted((r.n_lines, r.n_dropped, r.text) for r in got) == sorted(by_copies([r.text for r in odd.collect()], 2))
+    assert L.line_dedup(none, copies_once=True).count() == 0
+
+
 def test_sql(spark, sf):
     check(spark, L.op6_line_dedup, L.SQL, sf)
 

@@ -25,11 +25,11 @@ def plain(docs, spark):
     one = [put(r, j[7]) for r, j in zip(source, judged) if j[6]]
     yield Counter(one)
     two = []
-    for r, (_, dropped, text) in zip(one, test_line_dedup.by_hand([r[at("text")] for r in one], 10)):
+    for r, (_, dropped, text) in zip(one, test_line_dedup.by_copies([r[at("text")] for r in one], 10)):
         if not dropped or text.strip():
             two.append(put(r, text))
     yield Counter(two)
-    label = {i: c for i, _, c in test_ngram_join.by_hand([(r[at("doc_id")], r[at("text")]) for r in two])}
+    label = {i: c for i, _, c in test_ngram_join.by_hand([(r[at("doc_id")], r[at("text")]) for r in two], 5, 80)}
     yield Counter(r for r in two if label[r[at("doc_id")]] == r[at("doc_id")])
 
 

@@ -73,6 +73,14 @@ def test_copies_alone_make_no_line_common(spark):
     assert Q.quality_rules(docs).where("kept").count() == 200
 
 
+def test_copies_may_count(spark):
+    """Without copies_once each row is a document."""
+    text = "\n".join(" ".join(f"v{j}z{k}" for k in range(12)) for j in range(6))
+    docs = spark.createDataFrame([(i, text, "a") for i in range(21)] + [(i, text, "b") for i in range(20)], "doc_id long, text string, source string")
+    assert {r.source for r in Q.quality_rules(docs, copies_once=False, share=1).where("kept").collect()} == {"b"}
+    assert Q.quality_rules(docs, copies_once=False).where("text = ''").count() == 41
+
+
 def test_odd_rows(odd, none):
     rows = odd.collect()
     got = Q.quality_rules(odd, documents=1).collect()
