@@ -1,7 +1,9 @@
 """N-gram Jaccard join: overlap counts by a blocked sparse product of the document by n-gram incidence.
 
-Texts are shingled once, into a table of the distinct sets of n-grams. The
-rest is exact and never lists all pairs of a group:
+Equal sets of n-grams are one row of the incidence, which one text of them
+represents. The rest is exact and never lists all pairs of a group. The
+incidence itself is not written, as it is twice as large as the documents it
+comes from: texts that represent a set are shingled where they are needed.
 
 1. The columns of the incidence, the n-grams, are dealt into blocks by their
    hash. Sizes bound how many n-grams two linked sets can differ by, and there
@@ -25,7 +27,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -78,38 +79,38 @@ def _names(a: np.ndarray, b: np.ndarray) -> pa.Array:
     return pa.FixedSizeBinaryArray.from_buffers(_SET, len(a), [None, pa.py_buffer(np.stack([a, b], 1).astype(">u8"))]).cast(pa.binary())
 
 
-def _shingled(n: int):
-    """Each row's set: a row id that the table keeps, the set's name, its size, its n-grams as 64-bit hashes in ascending order."""
+def _named(n: int):
+    """Each row's set by name and size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Unique, as mixing is one to one, and spread evenly.
-        at = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for top, last, data, offs in K.chunks(batch.column(1), CHUNK):
-                h, size, a, b = _sets(data, offs, n)
-                ends = np.r_[0, np.cumsum(size) * 8].astype(np.int64)
-                grams = pa.LargeBinaryArray.from_buffers(pa.large_binary(), last - top, [None, pa.py_buffer(ends), pa.py_buffer(h)]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(top, last - top), pa.array(K.mix((at + np.arange(last - top)).astype(np.uint64)).view(np.int64)), _names(a, b), pa.array(size), grams], ["doc_id", "rid", "s", "n", "grams"])
-                at += last - top
+            for top, last, data, offs in K.chunks(batch.column(2), CHUNK):
+                _, size, a, b = _sets(data, offs, n)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(top, last - top), batch.column(1).slice(top, last - top), _names(a, b), pa.array(size)], ["doc_id", "rid", "s", "n"])
 
     return run
 
 
-def _incidence(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams of rows of the table, end to end, and each row's number of them."""
+def _incidence(batches: Iterator[pa.RecordBatch], n: int, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]:
+    """(n-grams of rows end to end, their number by row, names) for the texts whose row id may be in rows, some at a time."""
+    for batch in batches:
+        batch = batch.filter(pa.array(in_bitmap(rows, batch.column(0).to_numpy())))
+        for _, _, data, offs in K.chunks(batch.column(1), CHUNK):
+            h, size, a, b = _sets(data, offs, n)
+            yield h, size, _names(a, b)
+
+
+def _joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of a column of sets, end to end, and the number of them in each."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    if not len(column):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     offs = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    body = column.buffers()[2]
-    data = np.frombuffer(body, np.uint8)[offs[0] : offs[-1]] if body is not None else np.zeros(0, np.uint8)
+    data = np.frombuffer(column.buffers()[2], np.uint8)[offs[0] : offs[-1]]
     return np.frombuffer(data.tobytes(), np.uint64), np.diff(offs) // 8
 
 
-def _first_print(names: pa.Array) -> np.ndarray:
-    at = np.frombuffer(names.buffers()[1], np.int32)[names.offset] if len(names) else 0
-    return np.frombuffer(names.buffers()[2], ">i8", 2 * len(names), at)[::2].astype(np.int64)
-
-
 def column_blocks(size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """For sets of families by size: blocks of columns, and how many of them may be empty without a key.
 
@@ -150,34 +151,27 @@ def block_keys(h: np.ndarray, size: np.ndarray, percent: int) -> Iterator[tuple[
             yield K.mix(K.mix((empty * 64 + family[r]).astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))), np.full(len(empty), rows[r])
 
 
-def _keys(percent: int, shared: np.ndarray | None):
-    """(k, first fingerprint) of each set's keys, or (k, s, n) of those that may be in shared."""
+def _keys(n: int, percent: int, rows: np.ndarray, shared: np.ndarray | None):
+    """k, each set's keys; or (k, s, n), those that may be in shared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            name, n = batch.column(0), batch.column(1).to_numpy()
-            ends = np.cumsum(n)
-            at = 0
-            while at < len(n):
-                # As many rows as have a chunk's n-grams, one at least.
-                end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK // 8, "right")))
-                h, size = _incidence(batch.column(2).slice(at, end - at))
-                for key, row in block_keys(h, size, percent):
-                    own = name.slice(at, end - at)
-                    if shared is None:
-                        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(_first_print(own)[row])], ["k", "a"])
-                        continue
-                    may = in_bitmap(shared, key)
-                    yield pa.RecordBatch.from_arrays([pa.array(key[may].view(np.int64)), own.take(pa.array(row[may])), pa.array(size[row[may]])], ["k", "s", "n"])
-                at = end
+        for h, size, names in _incidence(batches, n, rows):
+            for key, row in block_keys(h, size, percent):
+                if shared is None:
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], ["k"])
+                    continue
+                may = in_bitmap(shared, key)
+                yield pa.RecordBatch.from_arrays([pa.array(key[may].view(np.int64)), names.take(pa.array(row[may])), pa.array(size[row[may]])], ["k", "s", "n"])
 
     return run
 
 
-def _wanted(flags: np.ndarray):
+def _grams(n: int, rows: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(in_bitmap(flags, batch.column(0).to_numpy())))
+        for h, size, names in _incidence(batches, n, rows):
+            ends = np.r_[0, np.cumsum(size) * 8].astype(np.int32)
+            grams = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(h))])
+            yield pa.RecordBatch.from_arrays([names, grams], ["s", "grams"])
 
     return run
 
@@ -237,16 +231,18 @@ def _product(percent: int, by: str):
     """Links of a block, or of the blocks of column `by` that a group packs together."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by(by).combine_chunks()
-        h, size = _incidence(table.column("grams"))
-        at = np.r_[0, np.cumsum(size)]
+        names = table.column("s").combine_chunks()
         block = table.column(by).combine_chunks().dictionary_encode().indices.to_numpy()
+        order = np.lexsort((names.dictionary_encode().indices.to_numpy(), block))
+        table, block = table.take(pa.array(order)).combine_chunks(), block[order]
+        names = table.column("s").combine_chunks()
+        h, size = _joined(table.column("grams"))
+        at = np.r_[0, np.cumsum(size)]
         cuts = np.flatnonzero(np.r_[True, block[1:] != block[:-1], True]) if len(block) else np.zeros(1, np.int64)
         label = np.arange(len(size))
         for lo, hi in zip(cuts, cuts[1:]):
             label[lo:hi] = lo + _forest(h[at[lo] : at[hi]], size[lo:hi], percent)
         moved = np.flatnonzero(label != np.arange(len(size)))
-        names = table.column("s").combine_chunks()
         return pa.table({"u": names.take(pa.array(moved)), "v": names.take(pa.array(label[moved]))})
 
     return run
@@ -267,10 +263,6 @@ def _verified(percent: int):
     return run
 
 
-def _bits(keys: int) -> int:
-    return min(MOST_BITS, max(LEAST_BITS, int(keys).bit_length() + SPARE))
-
-
 def _contracted(pairs: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
     """(u, v): pairs (s, pivot) that link, where one pivot of a set that most lists name is tried before the others."""
     right = grams.select(F.col("s").alias("pivot"), F.col("grams").alias("pivot_grams"))
@@ -318,7 +310,7 @@ def _blocks(members: DataFrame, percent: int, block: int, grams: int) -> DataFra
     return large.join(sides, "block").select("pair", "s")
 
 
-def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK, block_grams: int = BLOCK_GRAMS, most_bits: int = MOST_BITS) -> DataFrame:
+def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK, block_grams: int = BLOCK_GRAMS, most_bits: int = MOST_BITS, rows_by: list[str] | None = None) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id, the least doc_id that links of percent Jaccard or more reach.
 
     A set is the distinct runs of `words` words, A-Z lower-cased; a text with
@@ -327,36 +319,39 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     members like others. A null doc_id never names a component unless all ids
     in it are null. Only doc_id and text are read, so other columns cannot
     clash. An empty table gives an empty result. A text of any length is taken
-    whole; its words are hashed a piece at a time.
+    whole; its words are hashed a piece at a time. docs has to give the same
+    rows each time it is read. Columns rows_by, doc_id if there are none, tell
+    rows of one text apart; that only saves work.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sets = stored(docs.select("doc_id", text_of().alias("t")).mapInArrow(_shingled(words), f"doc_id {kind}, rid long, s binary, n long, grams binary"), "sets")
-    rows = sets.where("n > 0").select("s", "n", "grams")
-    seen = rows.mapInArrow(_keys(percent, None), "k long, a long").groupBy("k").agg(F.min("a").alias("a"), F.max("a").alias("b"))
-    shared = stored(seen.where("a <> b").select("k"), "shared")
-    flags = bitmap(shared, "k", min(most_bits, _bits(shared.count())))
-    postings = stored(rows.mapInArrow(_keys(percent, flags), "k long, s binary, n long").distinct(), "postings")
+    told = rows_by or ["doc_id"]
+    texts = docs.select("doc_id", F.xxhash64(*[F.col(f"`{c}`") for c in told], text_of()).alias("rid"), text_of().alias("t"))
+    sets = stored(texts.mapInArrow(_named(words), f"doc_id {kind}, rid long, s binary, n long"), "sets")
+    texts = texts.select("rid", "t")
+    flagged = lambda of, key, n: bitmap(of, key, min(most_bits, max(LEAST_BITS, int(n).bit_length() + SPARE)))
+    reps = stored(sets.where("n > 0").groupBy("s").agg(F.min("rid").alias("rid"), F.first("n").alias("n")), "reps")
+    first = flagged(reps, "rid", reps.count())
+    seen = texts.mapInArrow(_keys(words, percent, first, None), "k long").groupBy("k").agg(F.count(F.lit(1)).alias("c"))
+    shared = stored(seen.where("c > 1").select("k"), "shared")
+    flags = flagged(shared, "k", shared.count())
+    postings = stored(texts.mapInArrow(_keys(words, percent, first, flags), "k long, s binary, n long").distinct(), "postings")
     pivots = postings.groupBy("k").agg(F.min_by("n", "s").alias("pivot_n"), F.min("s").alias("pivot"), F.max("s").alias("last")).where("pivot <> last").drop("last")
     pairs = postings.join(pivots, "k").where("s <> pivot").groupBy("s", "pivot").agg(F.count(F.lit(1)).alias("lists"), F.first("n").alias("n"), F.first("pivot_n").alias("pivot_n"))
     pairs = stored(pairs, "pairs")
     clusters = components(pairs, "s", "pivot").select(F.col("vertex").alias("s"), F.col("component").alias("cluster"))
-    reps = sets.where("n > 0").groupBy("s").agg(F.min("rid").alias("rid"), F.first("n").alias("n"))
     clusters = stored(clusters.join(reps, "s"), "clusters")
-    flags = bitmap(clusters, "rid", min(most_bits, _bits(clusters.count())))
-    grams = sets.where("n > 0").select("rid", "grams").mapInArrow(_wanted(flags), "rid long, grams binary").join(clusters, "rid").select("cluster", "s", "n", "grams")
     sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("all_n"))
     small = (F.col("sets") <= block) & (F.col("all_n") <= block_grams)
     totals = sizes.agg(F.sum(F.when(small, F.col("sets"))).alias("sets"), F.sum(F.when(small, F.col("all_n"))).alias("n"), F.max(~small).alias("large")).first()
+    # Small clusters are packed, so that a group of them makes up about half a block.
     packs = max(1, -(-2 * (totals["sets"] or 0) // block), -(-2 * (totals["n"] or 0) // block_grams))
-    fits = sizes.withColumn("fits", small).select("cluster", "fits")
-    met = grams.join(fits, "cluster")
-    if not totals["large"]:
-        links = met.withColumn("pack", F.pmod(F.xxhash64("cluster"), F.lit(packs))).groupBy("pack").applyInArrow(_product(percent, "cluster"), "u binary, v binary")
-    else:
-        met = stored(met, "grams")
-        links = met.where("fits").withColumn("pack", F.pmod(F.xxhash64("cluster"), F.lit(packs))).groupBy("pack").applyInArrow(_product(percent, "cluster"), "u binary, v binary")
-        rest = met.where("not fits").select("s", "grams")
-        wide = stored(clusters.join(fits.where("not fits"), "cluster").select("s"), "wide")
+    placed = stored(clusters.join(sizes.select("cluster", small.alias("fits")), "cluster").withColumn("pack", F.pmod(F.xxhash64("cluster"), F.lit(packs))), "placed")
+    wanted = texts.mapInArrow(_grams(words, flagged(clusters, "rid", clusters.count())), "s binary, grams binary")
+    packed = wanted.join(placed.where("fits").select("s", "cluster", "pack"), "s").select("pack", "cluster", "s", "grams")
+    links = packed.groupBy("pack").applyInArrow(_product(percent, "cluster"), "u binary, v binary")
+    if totals["large"]:
+        wide = placed.where("not fits").select("s")
+        rest = stored(wanted.join(wide, "s").dropDuplicates(["s"]), "grams")
         sized = F.lit(100) * F.least("n", "pivot_n") >= F.lit(percent) * F.greatest("n", "pivot_n")
         known = stored(_contracted(pairs.where(sized).join(wide, "s", "left_semi"), rest, percent), "known")
         parts = stored(components(known), "parts")
@@ -375,8 +370,8 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
 
 def text_groups(docs: DataFrame, **options) -> DataFrame:
     """(text_key, group_key): the digest of each distinct text that has shingles, and the least digest that links reach."""
-    texts = docs.select(digest(text_of()).alias("doc_id"), "text")
-    return jaccard_components(texts, **options).where("n_shingles > 0").select(F.col("doc_id").alias("text_key"), F.col("component_id").alias("group_key")).distinct()
+    texts = docs.select(digest(text_of()).alias("doc_id"), F.col("doc_id").alias("__row"), "text")
+    return jaccard_components(texts, rows_by=["__row"], **options).where("n_shingles > 0").select(F.col("doc_id").alias("text_key"), F.col("component_id").alias("group_key")).distinct()
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
