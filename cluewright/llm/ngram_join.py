@@ -13,17 +13,19 @@ comes from: texts that represent a set are shingled where they are needed.
 2. Lists that share sets are one cluster. A cluster is a block of rows, and
    the sparse product of its rows accumulates the overlap of each pair.
 3. A cluster that is too large for one block is contracted first: each member
-   is held against least members of its lists. Lists that still span several
-   components are cut where neighbouring sizes rule each other out, and what
-   is left is multiplied block by block. Blocks whose sizes rule each other
-   out, or that lie in one component, do not meet.
+   is held against least members of its lists, unless the parities of their
+   n-grams, a bit for each, show that they differ by too many. Of lists that
+   still span several components, short ones let their pairs meet in the same
+   way. Long ones are cut where neighbouring sizes rule each other out and
+   multiplied block by block; blocks whose sizes rule each other out, or that
+   lie in one component, do not meet.
 4. Links of all kinds make the components. A block gives back a spanning
    forest of its links.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +42,8 @@ WORDS, PERCENT = 3, 90
 MOST_BITS, LEAST_BITS, SPARE = 27, 18, 4
 #: Sets and n-grams in a block of rows at most.
 BLOCK, BLOCK_GRAMS = 1024, 1 << 19
+#: Sets of a list at most for its pairs to meet one by one.
+FEW = 32
 #: Columns that more rows than this share are multiplied as dense slices of so many columns.
 THIN, SLICE = 24, 1024
 #: Sizes from one border to the next are one family; borders grow by this factor.
@@ -112,16 +116,22 @@ def _joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def column_blocks(size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """For sets of families by size: blocks of columns, and how many of them may be empty without a key.
+    """For families of sets of up to size: blocks of columns, and how many of them may be empty without a key.
 
     Sets up to r n-grams that link differ by 2 r (100 - percent) / (100 +
     percent) n-grams at most; with so many blocks and one more, they agree on
     one. Further blocks make up for empty ones, in which sets agree by chance:
     a set with no more empty blocks than that has no key for them, a set with
-    more has one for each.
+    more has one for each. They are as many as the family's small sets hardly
+    ever exceed, four standard deviations over the mean.
     """
     most = 2 * size * (100 - percent) // (100 + percent)
-    spare = 1 + most // 64
+    spare = np.ones(len(size))
+    for _ in range(20):
+        blocks = most + 1 + spare
+        empty = blocks * np.exp(-size / FAMILY / blocks)
+        spare = 1 + np.ceil(empty + 4 * np.sqrt(empty))
+    spare = np.minimum(spare, most + 1).astype(np.int64)
     return most + 1 + spare, spare
 
 
@@ -263,19 +273,91 @@ def _verified(percent: int):
     return run
 
 
-def _contracted(pairs: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
-    """(u, v): pairs (s, pivot) that link, where one pivot of a set that most lists name is tried before the others."""
+def signature(h: np.ndarray) -> np.ndarray:
+    """For as many bits as n-grams at least, a power of two: the parity of the n-grams whose hash ends in the bit's number. Packed, 8 bits a byte."""
+    bits = max(64, 1 << int(len(h) - 1).bit_length()) if len(h) else 64
+    return np.packbits((np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little")
+
+
+def least_difference(x: np.ndarray, y: np.ndarray) -> int:
+    """How many n-grams two sets differ by at least: each flips one bit of one of their signatures."""
+    if len(x) > len(y):
+        x, y = y, x
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _signatures(n: int, rows: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for h, size, names in _incidence(batches, n, rows):
+            ends = np.cumsum(size)
+            yield pa.RecordBatch.from_arrays([names, pa.array([signature(h[e - k : e]).tobytes() for e, k in zip(ends, size)], pa.binary())], ["s", "told"])
+
+    return run
+
+
+def _alike(pairs: DataFrame, told: DataFrame, percent: int) -> DataFrame:
+    """pairs (s, n, pivot, pivot_n) without those that sizes or signatures rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index
+            most = (batch.column(at("n")).to_numpy() + batch.column(at("pivot_n")).to_numpy()) * (100 - percent) // (100 + percent)
+            keep = [least_difference(np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)) <= d for x, y, d in zip(batch.column(at("told")), batch.column(at("pivot_told")), most)]
+            yield batch.select(names).filter(pa.array(keep, pa.bool_()))
+
+    names = pairs.columns
+    sized = F.lit(100) * F.least("n", "pivot_n") >= F.lit(percent) * F.greatest("n", "pivot_n")
+    other = told.select(F.col("s").alias("pivot"), F.col("told").alias("pivot_told"))
+    met = pairs.where(sized).join(told, "s").join(other, "pivot").select(*names, "told", "pivot_told")
+    return stored(met.mapInArrow(run, pairs.schema), "alike")
+
+
+def _tried(pairs: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
+    """(s, pivot) of the pairs that link."""
     right = grams.select(F.col("s").alias("pivot"), F.col("grams").alias("pivot_grams"))
+    met = pairs.select("s", "pivot").join(grams.select("s", "grams"), "s").join(right, "pivot").select("s", "pivot", "grams", "pivot_grams")
+    return stored(met.mapInArrow(_verified(percent), "s binary, pivot binary"), "links")
 
-    def tried(rows: DataFrame) -> DataFrame:
-        return stored(rows.select("s", "pivot").join(grams.select("s", "grams"), "s").join(right, "pivot").select("s", "pivot", "grams", "pivot_grams").mapInArrow(_verified(percent), "s binary, pivot binary"), "links")
 
-    best = pairs.groupBy("s").agg(F.max_by("pivot", F.struct("lists", "pivot")).alias("pivot"))
-    once = tried(best)
-    label = stored(components(once, "s", "pivot"), "parts")
+def _apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """pairs whose ends links do not connect."""
+    label = stored(components(links, "s", "pivot"), "parts")
     cs, cp = label.select(F.col("vertex").alias("s"), F.col("component").alias("cs")), label.select(F.col("vertex").alias("pivot"), F.col("component").alias("cp"))
-    rest = pairs.join(best, ["s", "pivot"], "left_anti").join(cs, "s", "left").join(cp, "pivot", "left").where("not coalesce(cs = cp, false)")
-    return once.unionByName(tried(rest)).select(F.col("s").alias("u"), F.col("pivot").alias("v"))
+    return pairs.join(cs, "s", "left").join(cp, "pivot", "left").where("not coalesce(cs = cp, false)").select(*pairs.columns)
+
+
+def _large(pairs: DataFrame, lists: DataFrame, told: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int, block: int, block_grams: int) -> DataFrame:
+    """(u, v): links of the sets of clusters that are larger than a block.
+
+    pairs: sets and least members of their lists; lists: (k, s, n); told:
+    signatures by s. fetch(sets with s) gives (s, grams): the few that stand
+    when sizes and signatures have had their say.
+    """
+    sides = lambda df: df.select("s").union(df.select("pivot")).distinct()
+    ends = lambda df: df.select(F.col("s").alias("u"), F.col("pivot").alias("v"))
+    # One pivot of a set, which most of its lists name, before the others.
+    pairs = _alike(pairs, told, percent)
+    grams = fetch(sides(pairs))
+    best = pairs.groupBy("s").agg(F.max_by("pivot", F.struct("lists", "pivot")).alias("pivot"))
+    once = _tried(best, grams, percent)
+    known = once.unionByName(_tried(_apart(pairs.join(best, ["s", "pivot"], "left_anti"), once), grams, percent))
+    parts = stored(components(known, "s", "pivot"), "parts")
+    # Lists that still span several components.
+    own = lists.join(parts.withColumnRenamed("vertex", "s"), "s", "left").select("k", "s", "n", F.coalesce("component", "s").alias("c"))
+    wide = own.groupBy("k").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.count(F.lit(1)).alias("sets")).where("a <> b").select("k", "sets")
+    rest = stored(own.join(wide, "k"), "open")
+    # In a list of a few sets all pairs may meet, in longer ones blocks do.
+    few = rest.where(F.col("sets") <= FEW)
+    other = few.select("k", F.col("s").alias("pivot"), F.col("n").alias("pivot_n"), F.col("c").alias("pivot_c"))
+    met = few.join(other, "k").where("s < pivot and c <> pivot_c").select("s", "n", "pivot", "pivot_n").distinct()
+    met = _alike(met, told, percent)
+    members = stored(_members(rest.where(F.col("sets") > FEW).drop("sets"), percent), "members")
+    grams = fetch(sides(met).union(members.select("s")).distinct())
+    more = _tried(met, grams, percent)
+    blocks = _blocks(members, percent, block, block_grams).join(grams, "s").groupBy("pair").applyInArrow(_product(percent, "pair"), "u binary, v binary")
+    return ends(known).unionByName(ends(more)).unionByName(blocks)
 
 
 def _members(lists: DataFrame, percent: int) -> DataFrame:
@@ -351,16 +433,16 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     links = packed.groupBy("pack").applyInArrow(_product(percent, "cluster"), "u binary, v binary")
     if totals["large"]:
         wide = placed.where("not fits").select("s")
-        rest = stored(wanted.join(wide, "s").dropDuplicates(["s"]), "grams")
-        sized = F.lit(100) * F.least("n", "pivot_n") >= F.lit(percent) * F.greatest("n", "pivot_n")
-        known = stored(_contracted(pairs.where(sized).join(wide, "s", "left_semi"), rest, percent), "known")
-        parts = stored(components(known), "parts")
-        # Lists that still span several components.
-        own = postings.join(wide, "s", "left_semi").join(parts.withColumnRenamed("vertex", "s"), "s", "left").select("k", "s", "n", F.coalesce("component", "s").alias("c"))
-        open_lists = own.groupBy("k").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("k")
-        members = stored(_members(stored(own.join(open_lists, "k"), "open"), percent), "members")
-        more = _blocks(members, percent, block, block_grams).join(rest, "s").groupBy("pair").applyInArrow(_product(percent, "pair"), "u binary, v binary")
-        links = links.union(known).union(more)
+
+        def fetch(some: DataFrame) -> DataFrame:
+            some = stored(some.join(reps, "s").select("s", "rid"), "some")
+            rows = texts.mapInArrow(_grams(words, flagged(some, "rid", some.count())), "s binary, grams binary")
+            return stored(rows.join(some.select("s"), "s").dropDuplicates(["s"]), "grams")
+
+        rids = placed.where("not fits").select("rid")
+        told = texts.mapInArrow(_signatures(words, flagged(rids, "rid", rids.count())), "s binary, told binary")
+        told = stored(told.join(wide, "s").dropDuplicates(["s"]), "signatures")
+        links = links.unionByName(_large(pairs.join(wide, "s", "left_semi"), postings.join(wide, "s", "left_semi"), told, fetch, percent, block, block_grams))
     final = components(links)
     labelled = sets.select("doc_id", "s", "n").join(final.withColumnRenamed("vertex", "s"), "s", "left").withColumn("c", F.when(F.col("n") > 0, F.coalesce("component", "s")))
     labelled = labelled.select("doc_id", "n", "c")

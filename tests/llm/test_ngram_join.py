@@ -78,6 +78,18 @@ def test_product():
     assert np.triu(got, 1).tolist() == np.triu(want, 1).tolist() and (got == got.T).all()
 
 
+def test_signatures_bound_the_difference():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 60, 64, 65, 700, 5000):
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        for share in (0, 0.1, 0.9):
+            b = np.unique(np.r_[a[rng.random(len(a)) > share], rng.integers(0, 1 << 63, int(n * share), dtype=np.uint64)])
+            bound, apart = J.least_difference(J.signature(a), J.signature(b)), len(np.setxor1d(a, b))
+            assert bound <= apart and bound >= 0.25 * apart
+
+
 def test_linked_sets_share_a_key():
     """Whatever the sizes: sets that link have a key in common, also where blocks are empty."""
     import numpy as np
