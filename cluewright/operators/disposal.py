@@ -50,9 +50,17 @@ def transitions(clues: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def applied(clues: DataFrame, checked: DataFrame) -> DataFrame:
-    """Clues with the status of their valid request; a clue has one request at a time."""
-    new = checked.where("valid").groupBy("clue_id").agg(F.max("status").alias("__new"))
-    return clues.join(new, "clue_id", "left").withColumn("status", F.coalesce("__new", "status")).drop("__new")
+    """Clues with the status of their valid request.
+
+    With a column at in checked the latest request counts. Without it, and
+    among requests of one time, a clue with different valid requests keeps its
+    status, as nothing says which came last.
+    """
+    valid = checked.where("valid")
+    if "at" in checked.columns:
+        valid = valid.join(valid.groupBy("clue_id").agg(F.max("at").alias("at")), ["clue_id", "at"])
+    new = valid.groupBy("clue_id").agg(F.min("status").alias("__new"), F.max("status").alias("__other")).where("__new = __other")
+    return clues.join(new.drop("__other"), "clue_id", "left").withColumn("status", F.coalesce("__new", "status")).drop("__new")
 
 
 def audit(checked: DataFrame) -> DataFrame:
@@ -112,6 +120,12 @@ def rejected_names(queue: DataFrame) -> DataFrame:
     return queue.where("decision = 'REJECTED'").select(F.explode("variants").alias("name"))
 
 
+def review_summary(queue: DataFrame) -> DataFrame:
+    """One row: total, pending, accepted, rejected, deferred."""
+    kind = lambda d: F.coalesce(F.sum((F.col("decision") == d).cast("long")), F.lit(0)).alias(d.lower())
+    return queue.agg(F.count(F.lit(1)).alias("total"), *[kind(d) for d in ("PENDING", "ACCEPTED", "REJECTED", "DEFERRED")])
+
+
 def suggestion(status: Column, channels: Column) -> Column:
     """What to do next."""
     return (

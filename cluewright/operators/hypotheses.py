@@ -11,44 +11,32 @@ from ..functions.predicates import either_contains, without_note
 from .lineage import CHANNELS
 
 MOST, DIMENSION_ALARM = 5, 0.8
-# Dimensions; patterns of findings and the hypotheses they lead to; the enumeration space.
+# Sections of a report, the one that closes it, and what must not be deduced by a machine.
+SECTIONS = ["庙算基线", "双向盘点", "虚实扫描", "奇正分工", "用间交叉", "全胜校验"]
+CLOSING, JUDGEMENT, DEDUCIBLE = "全胜校验", "收受财物", "可推演"
+# Dimensions; patterns of findings and the hypotheses they lead to.
 DIMENSIONS = ["资金", "通讯", "行为", "关系", "时间"]
 PATTERNS = [
     (1, "整数", "H1"), (1, "存入", "H1"), (2, "过桥", "H4"), (3, "频次", "H3"), (3, "突增", "H3"), (4, "同框", "H3"), (5, "利益关联", "H2"),
 ]
-HYPOTHESES = [
-    ("H1", "收受财物（异常整数现金存入）", ["银行流水", "言词证据"], ["银行流水", "招投标档案"], ["资金", "时间"], ["生间"]),
-    ("H2", "宏业公司因行贿获中标优势（利益关联）", ["中标评分表", "利益输送链"], ["工商信息", "招投标档案"], ["关系"], ["因间"]),
-    ("H3", "二人存在密切私下关系（通讯频次突增）", ["通话频次", "轨迹同框"], ["通话记录", "轨迹出行"], ["通讯", "行为"], ["生间"]),
-    ("H4", "财物通过第三方过桥", ["A建材公司完整流水", "冠字号码溯源"], ["银行流水", "工商信息"], ["资金", "时间"], ["反间"]),
-]
-SPACE = {
-    "subject": ["张卫国", "李志强", "A建材", "张卫国配偶"],
-    "behaviour": ["现金收受", "购物卡", "转账", "过桥", "代持"],
-    "time": ["2018前", "2018-2024", "2024后"],
-    "amount": ["小额多次", "大额单次"],
-    "relation": ["直接", "间接"],
-}
-SUPPORTED = {"现金收受": "H1", "过桥": "H4"}
-
-
-def pattern_table(spark: SparkSession) -> DataFrame:
-    """(ord, keyword, hypothesis, channels)."""
-    channels = {h[0]: h[5] for h in HYPOTHESES}
-    return spark.createDataFrame([(o, k, h, channels[h]) for o, k, h in PATTERNS], "ord int, keyword string, hypothesis string, channels array<string>")
-
-
-def hypothesis_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(HYPOTHESES, "id string, description string, evidence_needed array<string>, data_sources array<string>, dimensions array<string>, channels array<string>")
-
-
-def from_findings(findings: DataFrame, spark: SparkSession) -> DataFrame:
-    """Hypotheses that findings lead to, each once, five at most, with their evidence rows."""
+COLUMNS = "id string, description string, evidence_needed array<string>, data_sources array<string>, dimensions array<string>, channels array<string>"
+
+
+def pattern_table(hypotheses: DataFrame, patterns: list[tuple[int, str, str]] | None = None) -> DataFrame:
+    """(ord, keyword, hypothesis, channels): patterns with the channels of their hypotheses."""
+    rules = hypotheses.sparkSession.createDataFrame(patterns or PATTERNS, "ord int, keyword string, hypothesis string")
+    return rules.join(hypotheses.select(F.col("id").alias("hypothesis"), "channels"), "hypothesis").select("ord", "keyword", "hypothesis", "channels")
+
+
+def from_findings(findings: DataFrame, evidence: DataFrame, hypotheses: DataFrame, patterns: list[tuple[int, str, str]] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Hypotheses that findings lead to, each once, MOST at most, with n_rows; and (id, x), their evidence rows, each once."""
     text = F.concat("candidate", "basis")
-    hits = findings.join(F.broadcast(pattern_table(spark)), text.contains(F.col("keyword")))  # the patterns are a few rules
-    one = hits.groupBy("candidate", "basis").agg(F.min_by("hypothesis", "ord").alias("id"), F.first("source_rows").alias("source_rows"))
-    rows = one.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("source_rows"))).alias("source_rows"))
-    return hypothesis_table(spark).join(rows, "id").orderBy("id").limit(MOST)
+    hits = findings.join(F.broadcast(pattern_table(hypotheses, patterns)), text.contains(F.col("keyword")))  # the patterns are a few rules
+    one = hits.groupBy("candidate", "basis").agg(F.min_by("hypothesis", "ord").alias("id"))
+    first = one.select("id").distinct().orderBy("id").limit(MOST)
+    cited = evidence.join(F.broadcast(one.join(first, "id")), ["candidate", "basis"]).select("id", "x").distinct()  # a row for each finding
+    counts = cited.groupBy("id").agg(F.count(F.lit(1)).alias("n_rows"))
+    return hypotheses.join(counts, "id"), cited
 
 
 def marked(hypotheses: DataFrame, available: list[str], unavailable: list[str]) -> DataFrame:
@@ -84,9 +72,8 @@ def summary(coverage: DataFrame, alarm_below: float = DIMENSION_ALARM) -> DataFr
     return out.select("covered", "expected", F.round(100 * share, 1).alias("percent"), (share < alarm_below).alias("alarm"), "missing")
 
 
-def combinations(spark: SparkSession, space: dict[str, list[str]] | None = None) -> DataFrame:
+def combinations(spark: SparkSession, space: dict[str, list[str]]) -> DataFrame:
     """All combinations of the dimensions' values, numbered from C1 in order; the number is computed from the values' places, so nothing is sorted."""
-    space = space or SPACE
     out, place = spark.range(1).select(F.lit(0).cast("long").alias("place")), 1
     for name, values in space.items():
         out = out.select("*", F.posexplode(F.array(*[F.lit(v) for v in values])).alias("__i", name)).withColumn("place", F.col("place") * len(values) + F.col("__i")).drop("__i")
@@ -94,11 +81,34 @@ def combinations(spark: SparkSession, space: dict[str, list[str]] | None = None)
     return out.withColumn("id", F.concat(F.lit("C"), F.col("place") + 1))
 
 
-def backlog(combos: DataFrame, hypotheses: DataFrame) -> DataFrame:
-    """(id, behaviour, hypothesis): the first combination of each behaviour, without those whose hypothesis stands already; hypothesis is null where no scan supports it."""
+def backlog(combos: DataFrame, hypotheses: DataFrame, supported: DataFrame) -> DataFrame:
+    """(id, behaviour, hypothesis): the first combination of each behaviour, without those whose hypothesis stands already.
+
+    supported (behaviour, hypothesis) says which scan speaks for a behaviour;
+    hypothesis is null where none does.
+    """
     first = combos.groupBy("behaviour").agg(F.min("place").alias("place"))
-    rule = F.lit(None).cast("string")
-    for behaviour, h in SUPPORTED.items():
-        rule = F.when(F.col("behaviour") == behaviour, h).otherwise(rule)
-    out = first.withColumn("hypothesis", rule).join(hypotheses.select(F.col("id").alias("hypothesis")), "hypothesis", "left_anti")
+    out = first.join(supported, "behaviour", "left").join(hypotheses.select(F.col("id").alias("hypothesis")), "hypothesis", "left_anti")
     return out.select(F.concat(F.lit("C"), F.col("place") + 1).alias("id"), "behaviour", "hypothesis")
+
+
+def missing_sections(report: DataFrame, required: list[str] | None = None) -> DataFrame:
+    """(report_id, error): sections that a report lacks, and sources that are empty in its closing section.
+
+    report has report_id, section, field, value. A row for each thing wrong;
+    a report without rows here passes.
+    """
+    ids = report.select("report_id").distinct()
+    have = report.select("report_id", "section").distinct()
+    wanted = ids.withColumn("section", F.explode(F.array(*[F.lit(s) for s in required or SECTIONS])))
+    absent = wanted.join(have, ["report_id", "section"], "left_anti").select("report_id", F.concat(F.lit("缺少段落："), "section").alias("error"))
+    empty = report.where((F.col("section") == CLOSING) & F.col("field").contains("溯源") & (F.col("value") == "")).select("report_id", F.concat(F.lit("红线："), "field", F.lit(" 溯源为空")).alias("error"))
+    return absent.unionByName(empty)
+
+
+def red_lines(hypotheses: DataFrame, own_side: DataFrame) -> DataFrame:
+    """(warning,): no facts of one's own side; or a hypothesis of a crime that is marked as one to deduce. hypotheses has description and status."""
+    spark = hypotheses.sparkSession
+    none = spark.createDataFrame([("红线：知己栏为空",)], "warning string").join(own_side.limit(1).select(F.lit(1).alias("one")), how="left_anti")
+    judged = hypotheses.where(F.col("description").contains(JUDGEMENT) & (F.col("status") == DEDUCIBLE)).select(F.lit("红线：定性类假设不得标记为可推演，应交由正兵").alias("warning"))
+    return none.unionByName(judged)

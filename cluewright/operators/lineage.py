@@ -1,8 +1,9 @@
 """Clues with their evidence: overlap, merging, scoring, escalation.
 
-A clue row: clue_id, ord, skill_id, title, assumption_chain, source_rows,
-channels, needs_human_review, policy, status. Evidence rows are compared by
-content (evidence_key).
+A clue row: clue_id, ord, skill_id, title, assumption_chain, n_rows, channels,
+needs_human_review, policy, status. Evidence is a table of its own, (clue_id,
+x) with a row for each evidence row, as a clue may cite any number of them;
+n_rows counts them. Evidence rows are compared by content (evidence_key).
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..plans.components import components
+from ..plans.ranking import ranked
 from ..plans.storage import stored
 
 # Channels of evidence by weight, confidences of hypotheses, escalation levels.
@@ -20,6 +22,12 @@ CONFIDENCE, OTHER_CONFIDENCE = {"H1": 0.9, "H4": 0.7}, 0.7
 LEVELS = {3: "可立案依据候选", 2: "线索", 1: "观察"}
 CHANNELS = ["生间", "反间", "因间", "死间", "内间"]
 FILED, CONFIRMED, VERIFYING, PENDING, EXCLUDED = "已立案", "已固证", "查证中", "待查", "已排除"
+# Scopes of the scans by a word in the title.
+SCOPES = {"flow": "现金", "call": "通话", "trajectory": "轨迹"}
+#: Where clues come from: scans, crossed channels, a plan of tasks.
+SCAN, CROSSING, PLAN = "scan", "crossing", "plan"
+#: Items of a set that take as long to intersect as one meeting takes to count.
+SET_STEPS = 8
 #: Order in lists: the furthest status first.
 STATUSES = [FILED, CONFIRMED, VERIFYING, PENDING, EXCLUDED]
 
@@ -37,55 +45,80 @@ def clue_id(*columns: str) -> Column:
 def overlaps(sets: DataFrame, key: str, item: str, least: float) -> DataFrame:
     """(a, b, common, score), a < b: pairs of keys whose item sets have a Jaccard index of least or more.
 
-    Items are an inverted index; only keys that share one meet. Of a key's
-    items, in the order rarest first, one of the first n - ceil(least n) + 1
-    must be shared, so frequent items hardly ever are what keys meet by.
+    Items are an inverted index; only keys that share one meet. Two exact ways
+    are held against each other by the number of meetings they make, which the
+    items' frequencies tell beforehand. One counts the meetings of each pair
+    over all items. The other lets keys meet by their n - ceil(least n) + 1
+    rarest items alone, of which a pair has to share one, and then intersects
+    the two sets: it is the way where some items are in very many sets.
     """
     rows = sets.select(F.col(key).alias("k"), F.col(item).alias("x")).where("k is not null and x is not null").distinct()
     sizes = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    keys = stored(sizes.withColumn("id", F.monotonically_increasing_id()), "keys")
     seen = rows.groupBy("x").agg(F.count(F.lit(1)).alias("df"))
-    rows = stored(rows.join(seen, "x").join(sizes, "k"), "items")
-    place = F.row_number().over(W.partitionBy("k").orderBy("df", "x"))
-    first = rows.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1)
-    a, b = (first.select("x", F.col("k").alias(s), F.col("n").alias(f"n{s}")) for s in "ab")
-    met = a.join(b, "x").where("a < b").where(F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb") - 1e-9).select("a", "b", "na", "nb").distinct()
-    own, other = rows.select(F.col("k").alias("a"), "x"), rows.select(F.col("k").alias("b"), "x")
-    common = met.join(own, "a").join(other, ["b", "x"]).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("common"))
-    return common.withColumn("score", F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).where(F.col("score") >= least).select("a", "b", "common", "score")
-
-
-def duplicate_links(clues: DataFrame, threshold: float = 0.5) -> DataFrame:
+    place = F.row_number().over(W.partitionBy("id").orderBy("df", "x"))
+    rare = place <= F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1
+    rows = stored(rows.join(seen, "x").join(keys, "k").select("id", "n", "df", F.xxhash64("x").alias("h"), "x").withColumn("rare", rare), "items")
+    pairs = lambda of: of.groupBy("x").agg(F.count(F.lit(1)).cast("double").alias("c")).agg(F.coalesce(F.sum(F.col("c") * F.col("c")), F.lit(0.0))).first()[0]
+    met_all, met_rare = pairs(rows), pairs(rows.where("rare"))
+    mean = (rows.count() or 1) / (keys.count() or 1)
+
+    def met(of: DataFrame) -> DataFrame:
+        a, b = (of.select("x", F.col("id").alias(s), F.col("n").alias(f"n{s}")) for s in "ab")
+        return a.join(b, "x").where("a < b").where(F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb") - 1e-9)
+
+    if met_all <= met_rare * (1 + mean / SET_STEPS):
+        common = met(rows).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("common"))
+    else:
+        whole = rows.groupBy("id").agg(F.collect_list("x").alias("xs"))  # a set is a key's own items
+        found = met(rows.where("rare")).select("a", "b", "na", "nb").distinct()
+        found = found.join(whole.select(F.col("id").alias("a"), F.col("xs").alias("xa")), "a").join(whole.select(F.col("id").alias("b"), F.col("xs").alias("xb")), "b")
+        common = found.select("a", "b", "na", "nb", F.size(F.array_intersect("xa", "xb")).cast("long").alias("common")).where("common > 0")
+    scored = common.withColumn("score", F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).where(F.col("score") >= least)
+    named = scored.join(keys.select(F.col("id").alias("a"), F.col("k").alias("ka")), "a").join(keys.select(F.col("id").alias("b"), F.col("k").alias("kb")), "b")
+    return named.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), "common", "score")
+
+
+def duplicate_links(clues: DataFrame, evidence: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(u, v) between clues that overlap in evidence or share both a hypothesis and a channel.
 
     The second kind goes through a hub vertex for each hypothesis and channel: links grow with the clues, not their pairs.
     """
-    rows = clues.select(F.concat(F.lit("c:"), "clue_id").alias("id"), F.explode("source_rows").alias("x"))
+    rows = evidence.select(F.concat(F.lit("c:"), "clue_id").alias("id"), "x")
     near = overlaps(rows, "id", "x", threshold).select(F.col("a").alias("u"), F.col("b").alias("v"))
     hubs = clues.select(F.concat(F.lit("c:"), "clue_id").alias("u"), F.explode("assumption_chain").alias("h"), "channels").select("u", "h", F.explode("channels").alias("j"))
     return near.union(hubs.select("u", F.concat_ws(":", F.lit("h"), "h", "j").alias("v")).distinct())
 
 
-def merged_clues(clues: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Clues with duplicates merged: the first member's id, skill and policy, titles joined, lists united, the furthest status."""
-    found = components(duplicate_links(clues, threshold)).where(F.col("vertex").startswith("c:"))
+def merged_clues(clues: DataFrame, evidence: DataFrame, threshold: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """Clues with duplicates merged, and the evidence of what they were merged to.
+
+    A merged clue has the first member's id, skill and policy, titles joined,
+    lists united, the furthest status; its evidence is that of its members,
+    each row once.
+    """
+    found = stored(components(duplicate_links(clues, evidence, threshold)).where(F.col("vertex").startswith("c:")), "merged")
     label = found.select(F.expr("substring(vertex, 3)").alias("clue_id"), "component")
     rows = clues.join(label, "clue_id", "left").withColumn("component", F.coalesce("component", "clue_id"))
     union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
     first = lambda c: F.min_by(c, "ord").alias(c)
     far = F.array_position(F.array(*[F.lit(s) for s in STATUSES]), F.col("status"))
-    return rows.groupBy("component").agg(
+    named = rows.groupBy("component").agg(F.min_by("clue_id", "ord").alias("to")).select("component", "to")
+    cited = evidence.join(rows.select("clue_id", "component"), "clue_id").join(named, "component").select(F.col("to").alias("clue_id"), "x").distinct()
+    counts = cited.groupBy("clue_id").agg(F.count(F.lit(1)).alias("n_rows"))
+    out = rows.groupBy("component").agg(
         first("clue_id"),
         F.min("ord").alias("ord"),
         first("skill_id"),
         F.array_join(F.array_sort(F.collect_set(F.when(F.col("title") != "", F.col("title")))), " | ").alias("title"),
         union("assumption_chain"),
-        union("source_rows"),
         union("channels"),
         F.max("needs_human_review").alias("needs_human_review"),
         first("policy"),
         F.min_by("status", far).alias("status"),
         F.array_sort(F.collect_list("clue_id")).alias("merged_from"),
-    ).drop("component")
+    )
+    return out.drop("component").join(counts, "clue_id", "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0).cast("long"))), cited
 
 
 def _weight(channel: Column) -> Column:
@@ -112,8 +145,8 @@ def prioritised(clues: DataFrame) -> DataFrame:
     """Clues with priority_score and priority_rank; ranks follow the unrounded score, then arrival."""
     conf = F.coalesce(F.array_max(F.transform("assumption_chain", _confidence)), F.lit(OTHER_CONFIDENCE).cast("double"))
     weight = F.aggregate(F.transform("channels", _weight), F.lit(0), lambda a, x: a + x)
-    raw = clues.withColumn("__score", score(conf, weight, F.size("source_rows")))
-    return raw.withColumn("priority_rank", F.row_number().over(W.orderBy(F.desc("__score"), "ord"))).withColumn("priority_score", F.round("__score", 3)).drop("__score")
+    raw = clues.withColumn("__score", score(conf, weight, F.col("n_rows")))
+    return ranked(raw, [F.desc("__score"), F.asc("ord"), F.asc("clue_id")], "priority_rank").withColumn("priority_score", F.round("__score", 3)).drop("__score")
 
 
 def level(channels: Column) -> Column:
@@ -132,9 +165,9 @@ def ids_by(clues: DataFrame, column: str) -> DataFrame:
     return clues.select(key.alias(column), "clue_id").groupBy(column).agg(F.array_sort(F.collect_set("clue_id")).alias("clue_ids"))
 
 
-def evidence_conflicts(hypotheses: DataFrame) -> DataFrame:
-    """(a, b, common): hypotheses that cite the same evidence rows. hypotheses has id and source_rows."""
-    rows = hypotheses.select("id", F.explode("source_rows").alias("x")).distinct()
+def evidence_conflicts(evidence: DataFrame) -> DataFrame:
+    """(a, b, common): hypotheses that cite the same evidence rows. evidence has id and x."""
+    rows = evidence.select("id", "x").distinct()
     a, b = rows.select(F.col("id").alias("a"), "x"), rows.select(F.col("id").alias("b"), "x")
     return a.join(b, "x").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"))
 
@@ -150,23 +183,58 @@ def listed(clues: DataFrame, text: str = "", status: str | None = None, rows: in
     return out.orderBy(F.array_position(F.array(*[F.lit(s) for s in STATUSES]), F.col("status")), "ord").limit(rows)
 
 
-def finding_clues(findings: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Clues of findings. patterns (ord, keyword, hypothesis, channels): the first pattern with a keyword in candidate or basis supplies chain and channel."""
-    text = F.concat(F.col("candidate"), F.col("basis"))
-    hit = findings.join(F.broadcast(patterns.withColumnRenamed("ord", "p")), text.contains(F.col("keyword")), "left")  # patterns are a list of a few rules
-    rest = ["candidate", "basis", "level", "source_rows"]
-    best = hit.groupBy(*rest).agg(F.min_by(F.struct("hypothesis", "channels"), "p").alias("k"))
-    fallback = F.when(text.contains("过桥"), F.array(F.lit("反间"))).otherwise(F.array(F.lit("生间")))
-    ids = best.withColumn("clue_id", clue_id("candidate", "basis"))
-    return ids.select(
-        "clue_id",
-        F.row_number().over(W.orderBy("candidate", "basis")).cast("long").alias("ord"),
-        F.lit("xu_shi").alias("skill_id"),
-        F.col("candidate").alias("title"),
-        F.when(F.col("k.hypothesis").isNull(), F.array().cast("array<string>")).otherwise(F.array("k.hypothesis")).alias("assumption_chain"),
-        "source_rows",
-        F.coalesce(F.col("k.channels"), fallback).alias("channels"),
+def scoped(clues: DataFrame, scope: str = "all") -> DataFrame:
+    """Clues of the scans whose title has the scope's keyword; all of them for 'all'."""
+    own = clues.where(F.col("skill_id") == SCAN)
+    return own if scope == "all" else own.where(F.col("title").contains(SCOPES[scope]))
+
+
+def inferred(clues: DataFrame, needs: DataFrame, hypotheses: DataFrame) -> DataFrame:
+    """Clues whose empty assumption_chain is filled with the hypotheses that draw on a source their skill needs.
+
+    needs has skill_id and source, hypotheses has id and data_sources. It is an
+    equi-join on sources; a clue that has a chain keeps it.
+    """
+    drawn = hypotheses.select("id", F.explode("data_sources").alias("source"))
+    chains = needs.join(drawn, "source").groupBy("skill_id").agg(F.array_sort(F.collect_set("id")).alias("__chain"))
+    chain = F.when(F.size("assumption_chain") > 0, F.col("assumption_chain")).otherwise(F.coalesce("__chain", F.array().cast("array<string>")))
+    return clues.join(chains, "skill_id", "left").withColumn("assumption_chain", chain).select(*clues.columns)
+
+
+def _clue(df: DataFrame, skill: str, title: Column, chain: Column, channels: Column, rows: Column, order: list[str]) -> DataFrame:
+    """Clue rows of a few findings or channels; their number does not grow with the data, so that one window numbers them."""
+    return df.select(
+        clue_id(*order).alias("clue_id"),
+        F.row_number().over(W.orderBy(*order)).cast("long").alias("ord"),
+        F.lit(skill).alias("skill_id"),
+        title.alias("title"),
+        chain.alias("assumption_chain"),
+        rows.cast("long").alias("n_rows"),
+        channels.alias("channels"),
         F.lit(True).alias("needs_human_review"),
         F.lit("只标反常，不给定性").alias("policy"),
         F.lit(PENDING).alias("status"),
     )
+
+
+def finding_clues(findings: DataFrame, evidence: DataFrame, patterns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Clues of findings and their evidence. patterns (ord, keyword, hypothesis, channels): the first pattern with a keyword in candidate or basis supplies chain and channel."""
+    text = F.concat(F.col("candidate"), F.col("basis"))
+    hit = findings.join(F.broadcast(patterns.withColumnRenamed("ord", "p")), text.contains(F.col("keyword")), "left")  # patterns are a list of a few rules
+    best = hit.groupBy("candidate", "basis", "n_rows").agg(F.min_by(F.struct("hypothesis", "channels"), "p").alias("k"))
+    fallback = F.when(text.contains("过桥"), F.array(F.lit("反间"))).otherwise(F.array(F.lit("生间")))
+    chain = F.when(F.col("k.hypothesis").isNull(), F.array().cast("array<string>")).otherwise(F.array("k.hypothesis"))
+    clues = _clue(best, SCAN, F.col("candidate"), chain, F.coalesce(F.col("k.channels"), fallback), F.col("n_rows"), ["candidate", "basis"])
+    return clues, evidence.select(clue_id("candidate", "basis").alias("clue_id"), "x")
+
+
+def channel_hits(crossing: DataFrame) -> DataFrame:
+    """Clues of channels that were hit. crossing has channel and hit; such clues cite no rows."""
+    hit = crossing.where("hit").select("channel")
+    return _clue(hit, CROSSING, F.concat("channel", F.lit("命中")), F.array().cast("array<string>"), F.array("channel"), F.lit(0), ["channel"])
+
+
+def plan_clue(tasks: DataFrame, channels: list[str]) -> DataFrame:
+    """One clue for a plan of tasks, if it has any. tasks has side and task."""
+    plan = tasks.agg(F.count(F.lit(1)).alias("n")).where("n > 0").select(F.lit("奇正分工方案").alias("title"), "n")
+    return _clue(plan, PLAN, F.col("title"), F.array().cast("array<string>"), F.array(*[F.lit(c) for c in channels]), F.lit(0), ["title"])

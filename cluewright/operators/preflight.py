@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.predicates import whole_hit
+from ..plans.ranking import least_hashes
 
 CLEAR, DUBIOUS = 0.05, 0.01
 VERDICTS = ["方向明确", "方向存疑", "方向否定"]
@@ -15,7 +16,7 @@ def sample(df: DataFrame, key: list[str], ratio: float = 0.01, least: int = 200)
     """Exactly max(floor(n ratio), min(least, n)) rows, the same in each run: those of the least hashes of key. All rows if that is all."""
     n = df.count()
     target = max(int(n * ratio), min(least, n))
-    return df if target >= n else df.orderBy(F.md5(F.concat_ws("|", *key)), *key).limit(target)
+    return df if target >= n else least_hashes(df, key, target)
 
 
 def bucket_sample(df: DataFrame, key: Column, percent: int) -> DataFrame:

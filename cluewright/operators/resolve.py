@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..plans.components import components
+from ..plans.ranking import ranked
 from ..plans.storage import stored
+from .disposal import accepted_names, decided, rejected_names, review_queue
 
 ORG_KEYS, PERSON_KEYS = ["credit_code", "legal_rep", "address", "account"], ["phone"]
 LEAST_ORG_CORE, LEAST_PERSON_CORE = 4, 2
@@ -91,15 +93,16 @@ def clusters(records: DataFrame, keys: list[str], kind: str = "org", aliases: Da
     return out.select(N.entity_id(kind, F.col("canonical")).alias("entity_id"), "canonical", "variants", *[f"{k}s" for k in keys], "source_rows", "confidence", (F.col("confidence") < 1.0).alias("needs_review"), "cluster")
 
 
-def prefix_pairs(cores: DataFrame, least: int) -> DataFrame:
-    """(a, b): a, at least least letters long, is a proper prefix of b. cores has core.
+def prefix_pairs(cores: DataFrame, least: int, within: list[str] | None = None) -> DataFrame:
+    """(within, a, b): a, at least least letters long, is a proper prefix of b, of those that agree in the columns within. cores has core.
 
     Each core is joined to its own prefixes: an equi-join with as many rows as
     letters, in place of comparing all with all.
     """
-    distinct = cores.select("core").distinct()
-    prefixes = distinct.where(F.char_length("core") > least).select(F.col("core").alias("b"), F.explode(F.transform(F.sequence(F.lit(least), F.char_length("core") - 1), lambda n: F.substring(F.col("core"), F.lit(1), n))).alias("core"))
-    return prefixes.join(distinct, "core").select(F.col("core").alias("a"), "b")
+    by = within or []
+    distinct = cores.select(*by, "core").distinct()
+    prefixes = distinct.where(F.char_length("core") > least).select(*by, F.col("core").alias("b"), F.explode(F.transform(F.sequence(F.lit(least), F.char_length("core") - 1), lambda n: F.substring(F.col("core"), F.lit(1), n))).alias("core"))
+    return prefixes.join(distinct, [*by, "core"]).select(*by, F.col("core").alias("a"), "b")
 
 
 def fuzzy_pairs(cores: DataFrame, threshold: float = 0.85) -> DataFrame:
@@ -139,8 +142,7 @@ def flagged(found: DataFrame, kind: str = "org", threshold: float = 0.85, unicod
     marked = pairs.select(F.col("a").alias("core")).union(pairs.select("b")).distinct().join(cores, "core").select("cluster")
     if kind == "org":
         own = found.select("cluster", F.explode("variants").alias("name")).select("cluster", form(F.col("name"), unicode).alias("core")).distinct()
-        inner = own.alias("x").join(own.alias("y"), F.col("x.cluster") == F.col("y.cluster")).where((F.char_length("x.core") >= least) & (F.col("x.core") != F.col("y.core")) & F.col("y.core").startswith(F.col("x.core")))
-        marked = marked.union(inner.select("x.cluster"))
+        marked = marked.union(prefix_pairs(own, least, ["cluster"]).select("cluster"))
     marked = marked.distinct().withColumn("mark", F.lit(True))
     return found.join(marked, "cluster", "left").withColumn("needs_review", F.col("needs_review") | F.coalesce("mark", F.lit(False))).drop("mark")
 
@@ -170,3 +172,31 @@ def report(found: DataFrame) -> DataFrame:
         F.coalesce(F.sum(strong.cast("long")), F.lit(0)).alias("strong_merges"),
         F.coalesce(F.sum(F.col("needs_review").cast("long")), F.lit(0)).alias("review"),
     )
+
+
+def by_confidence(found: DataFrame) -> DataFrame:
+    """Clusters with their place in a list, the surest first."""
+    return ranked(found, [F.desc("confidence"), F.asc("entity_id"), F.asc("cluster")], "place")
+
+
+def align(people: DataFrame, firms: DataFrame, person_aliases: DataFrame | None = None, org_aliases: DataFrame | None = None, decisions: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Persons and organisations resolved in one go, reviewed and mapped.
+
+    people and firms are records as in clusters(). What comes back: persons and
+    organisations, flagged; review, the candidates of both with decisions put
+    in (candidate_id, decision, operator, note); names, (name, canonical) of
+    sure clusters and of accepted candidates without what was rejected; report,
+    a row for each kind.
+    """
+    out, queue, known, told = {}, None, None, None
+    for name, kind, records, keys, aliases in (("persons", "person", people, PERSON_KEYS, person_aliases), ("organisations", "org", firms, ORG_KEYS, org_aliases)):
+        found = stored(flagged(clusters(records, keys, kind, aliases), kind), name)
+        out[name] = found
+        parts = review_queue(found, kind), found, report(found).withColumn("kind", F.lit(kind))
+        queue, told = (parts[0], parts[2]) if queue is None else (queue.unionByName(parts[0]), told.unionByName(parts[2]))
+        sure = mapping(found)
+        known = sure if known is None else known.unionByName(sure)
+    queue = queue.withColumn("operator", F.lit(None).cast("string")).withColumn("note", F.lit(None).cast("string")) if decisions is None else decided(queue, decisions)
+    out["review"] = stored(queue, "review")
+    names = known.unionByName(accepted_names(out["review"])).join(rejected_names(out["review"]).distinct(), "name", "left_anti")
+    return out | {"names": names.groupBy("name").agg(F.min("canonical").alias("canonical")), "report": told}

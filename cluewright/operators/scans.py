@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.predicates import contains_any, round_amount
+from ..plans.storage import stored
 
 MONEY = "decimal(18,2)"
-#: Evidence rows that a finding cites.
-EVIDENCE = 1000
 
 
-def _day(column: str) -> Column:
+def _day(column: str):
     return F.to_date(F.col(column))
 
 
@@ -124,23 +122,23 @@ def related_parties(registry: DataFrame, rep_marks: list[str], party_marks: list
     return registry.where(contains_any(F.col("legal_rep"), rep_marks) | contains_any(F.col("related_party"), party_marks)).select("subject", "legal_rep", "related_party")
 
 
-def findings(flow: DataFrame, calls: DataFrame, moves: DataFrame, registry: DataFrame, rep_marks: list[str], party_marks: list[str], modulus: int = 10000) -> DataFrame:
-    """(candidate, basis, level, source_rows): a row for each scan that found something."""
+def findings(flow: DataFrame, calls: DataFrame, moves: DataFrame, registry: DataFrame, rep_marks: list[str], party_marks: list[str], modulus: int = 10000) -> tuple[DataFrame, DataFrame]:
+    """(candidate, basis, level, n_rows), a row for each scan that found something, and (candidate, basis, x), all rows it found as JSON."""
 
     def found(rows: DataFrame, candidate: str, basis: str) -> DataFrame:
-        # Evidence is a sample for a report: the first EVIDENCE rows; the scans themselves have all.
-        told = rows.select(F.to_json(F.struct(*rows.columns)).alias("row")).orderBy("row").limit(EVIDENCE).agg(F.sort_array(F.collect_list("row")).alias("source_rows"))
-        return told.where(F.size("source_rows") > 0).select(F.lit(candidate).alias("candidate"), F.lit(basis).alias("basis"), F.lit("待核实").alias("level"), "source_rows")
+        return rows.select(F.lit(candidate).alias("candidate"), F.lit(basis).alias("basis"), F.to_json(F.struct(*rows.columns)).alias("x"))
 
     hit = frequency_spike(calls).where("hit").select(F.lit(1).alias("one"))
-    meetings = co_location_counts(moves).where("subject_a < subject_b").orderBy(F.desc("meetings"), "subject_a", "subject_b", "place").limit(EVIDENCE)
-    return (
+    evidence = stored(
         found(period_totals(flow, "quarter", by_subject=False, modulus=modulus), "整数现金存入", "与工资非整数规律不符")
         .unionByName(found(pair_totals(flow, modulus), "第三方过桥结构", "跨主体转账资金链"))
         .unionByName(found(spike_evidence(calls).join(F.broadcast(hit)).drop("one"), "通话频次突增", "头部对端高于其他对端中位数"))
-        .unionByName(found(meetings, "轨迹同框", "不同主体同地点先后出现"))
-        .unionByName(found(related_parties(registry, rep_marks, party_marks), "工商登记利益关联", "法人或关联人与对象人员重叠"))
+        .unionByName(found(co_location_counts(moves).where("subject_a < subject_b"), "轨迹同框", "不同主体同地点先后出现"))
+        .unionByName(found(related_parties(registry, rep_marks, party_marks), "工商登记利益关联", "法人或关联人与对象人员重叠")),
+        "evidence",
     )
+    told = evidence.groupBy("candidate", "basis").agg(F.count(F.lit(1)).alias("n_rows"))
+    return told.select("candidate", "basis", F.lit("待核实").alias("level"), "n_rows"), evidence
 
 
 def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -148,8 +146,3 @@ def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     rest = [c for c in rows.columns if c not in keys]
     best = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("__last"))
     return best.select(*keys, *[F.col(f"__last.{c}").alias(c) for c in rest]).select(*rows.columns)
-
-
-def ranked(rows: DataFrame, order: list, name: str = "rank") -> DataFrame:
-    """Rows of a report with their place in order, from 1."""
-    return rows.withColumn(name, F.row_number().over(W.orderBy(*order)))

@@ -7,19 +7,34 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_STORED: dict[str, list[str]] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Only where the session names none is a folder of our own set."""
+    """The folder all executors share. Where the session names none, a local session gets one of our own; on a cluster that would be a folder of one machine, and is refused."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         place = f"file://{tempfile.mkdtemp(prefix='shared-')}"
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")
 
 
+def released(spark: SparkSession) -> int:
+    """Delete what this session has stored, once results have been written elsewhere; the number of tables. Frames that read them are of no use after that."""
+    paths = _STORED.pop(spark.sparkContext.applicationId, [])
+    hadoop, jvm = spark._jsc.hadoopConfiguration(), spark._jvm
+    for path in paths:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(hadoop).delete(place, True)
+    return len(paths)
+
+
 def stored(df: DataFrame, name: str = "part") -> DataFrame:
     """Write df as a table in the shared folder and read it again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _STORED.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -13,13 +13,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import names
+from .functions import names, schema
 from .functions.predicates import either_contains, whole_hit, without_note
 from .operators import disposal, graph, hypotheses, lineage, preflight, resolve, scans
-from .plans import investigation
+from .plans import casework
 from .plans.storage import shared_dir, stored
-from .sources.ingest import coerced, read_file
-from .sources.tables import cold_scan, put_features
+from .sources.ingest import coerced, ingest, read_file
+from .sources.tables import business_tables as business_tables_of
+from .sources.tables import cold_scan, put_features, query
 from .streaming import rollup
 
 ROUND = 100
@@ -117,7 +118,8 @@ def incremental_merge(spark, sf_dir):
     """Yearly batches put in one after another, one of them twice."""
     flow = _flow(spark, sf_dir)
     known = None
-    for year in [*range(1992, 2003), 1998]:
+    years = sorted(r[0] for r in flow.select(F.year("date")).distinct().collect())  # a few
+    for year in [*years, years[len(years) // 2]]:
         batch = flow.where(F.year("date") == year)
         if known is None:
             known = scans.period_totals(flow.where("false"), "month").select(F.lit("").alias("batch"), "subject", "period", "cnt", "total")
@@ -341,9 +343,23 @@ def entity_components(spark, sf_dir):
     return own.groupBy("cluster").agg(F.min("core").alias("first_core"), F.count_distinct("core").alias("groups"), F.max("legal_reps").alias("legal_reps")).drop("cluster")
 
 
-@_query(None)
+@_query("""WITH RECURSIVE r AS (SELECT c_custkey AS k, concat('Firm ', CAST(c_custkey % 700 AS VARCHAR), CASE c_custkey % 3 WHEN 0 THEN ' (east)' WHEN 1 THEN '  ' ELSE '' END) AS name,
+  trim(lower(concat('firm ', CAST(c_custkey % 700 AS VARCHAR)))) || CASE WHEN c_custkey % 3 = 0 THEN ' ' ELSE '' END AS core, CASE WHEN c_custkey % 4 = 0 THEN concat('r', CAST(c_custkey % 90 AS VARCHAR)) END AS rep FROM customer),
+ev AS (SELECT DISTINCT core, rep FROM r WHERE rep IS NOT NULL), link AS (SELECT DISTINCT a.core AS x, b.core AS y FROM ev a JOIN ev b ON a.rep = b.rep),
+w AS (SELECT core, core AS reach FROM (SELECT DISTINCT core FROM r) UNION SELECT w.core, l.y FROM w JOIN link l ON l.x = w.reach),
+label AS (SELECT core, min(reach) AS cluster FROM w GROUP BY 1),
+freq AS (SELECT cluster, name, count(*) AS n, min(k) AS first FROM label JOIN r ON r.core = label.core GROUP BY 1, 2),
+picked AS (SELECT cluster, name AS canonical FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, length(name), first) AS rn FROM freq) WHERE rn = 1),
+g AS (SELECT cluster, count(DISTINCT r.core) AS cores, count(rep) AS reps, string_agg(DISTINCT name, '|' ORDER BY name) AS variants, count(DISTINCT name) AS names FROM label JOIN r ON r.core = label.core GROUP BY 1),
+c AS (SELECT g.cluster, canonical, variants, CASE WHEN reps > 0 OR names = 1 OR cores > 1 THEN 1.0 ELSE 0.9 END AS confidence,
+  lower(regexp_replace(trim(regexp_replace(canonical, '\\s+', ' ', 'g')), '[（(].*?[）)]', '', 'g')) AS core FROM g JOIN picked p ON p.cluster = g.cluster),
+d AS (SELECT DISTINCT core FROM c),
+m AS (SELECT a.core AS a, b.core AS b FROM d a JOIN d b ON a.core <> b.core WHERE length(a.core) >= 2 AND starts_with(b.core, a.core)
+  UNION SELECT a.core, b.core FROM d a JOIN d b ON a.core < b.core WHERE 1 - levenshtein(a.core, b.core) / greatest(length(a.core), length(b.core)) >= 0.85),
+marked AS (SELECT a AS core FROM m UNION SELECT b FROM m)
+SELECT concat('person_', substr(md5(canonical), 1, 10)) AS entity_id, canonical, variants, CAST(confidence AS DOUBLE) AS confidence, confidence < 1 OR core IN (SELECT core FROM marked) AS needs_review FROM c""")
 def entity_clusters(spark, sf_dir):
-    """Everything that resolution gives; tests hold it against a loop over all pairs."""
+    """Everything that resolution gives."""
     found = resolve.flagged(resolve.clusters(_records(spark, sf_dir), ["legal_rep"], "person"), "person")
     return found.select("entity_id", "canonical", F.array_join("variants", "|").alias("variants"), "confidence", "needs_review")
 
@@ -377,17 +393,21 @@ def jaccard_pairs(spark, sf_dir):
     return lineage.overlaps(_table(spark, sf_dir, "events"), "user_id", "props", 0.35)
 
 
+def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "events").select(F.concat(F.lit("u"), "user_id").alias("clue_id"), F.concat_ws("/", "event_type", F.to_date("ts").cast("string")).alias("x")).distinct()
+
+
 def _clues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = F.col("user_id")
-    rows = _table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_set(F.concat_ws("/", "event_type", F.to_date("ts").cast("string")))).alias("source_rows"), F.count(F.lit(1)).alias("k"))
+    rows = _evidence(spark, sf_dir).groupBy("clue_id").agg(F.count(F.lit(1)).alias("n_rows"))
+    u = F.expr("cast(substring(clue_id, 2) as long)")
     pick = lambda of, i: F.element_at(F.array(*[F.lit(x) for x in of]), (i + 1).cast("int"))
     return rows.select(
-        F.concat(F.lit("u"), u).alias("clue_id"),
-        u.cast("long").alias("ord"),
+        "clue_id",
+        u.alias("ord"),
         F.concat(F.lit("s"), u % 2).alias("skill_id"),
         F.concat(F.lit("title "), u % 7).alias("title"),
         F.array(F.concat(F.lit("H"), u % 40)).alias("assumption_chain"),
-        "source_rows",
+        "n_rows",
         F.array_distinct(F.array(pick(lineage.CHANNELS, u % 5), pick(lineage.CHANNELS, (u * 3) % 5))).alias("channels"),
         (u % 3 == 0).alias("needs_human_review"),
         F.lit("p").alias("policy"),
@@ -415,7 +435,8 @@ SELECT concat('u', g) AS clue_id, CAST(count(DISTINCT l.u) AS INTEGER) AS member
   max(l.u % 3 = 0) AS needs_human_review
 FROM label l JOIN ev e ON e.u = l.u GROUP BY l.g""")
 def dedupe_merge(spark, sf_dir):
-    return lineage.merged_clues(_clues(spark, sf_dir)).select("clue_id", F.size("merged_from").alias("members"), F.size("source_rows").alias("evidence"), "title", "needs_human_review")
+    merged, _ = lineage.merged_clues(_clues(spark, sf_dir), _evidence(spark, sf_dir))
+    return merged.select("clue_id", F.size("merged_from").alias("members"), F.col("n_rows").cast("int").alias("evidence"), "title", "needs_human_review")
 
 
 _SCORED = f"""WITH {_CLUES}, w AS (SELECT u, sum(CASE c WHEN '内间' THEN 5 WHEN '死间' THEN 4 WHEN '因间' THEN 3 WHEN '反间' THEN 2 ELSE 1 END) AS w FROM ch GROUP BY 1),
@@ -425,7 +446,7 @@ s AS (SELECT k.u, k.clue_id, CAST(CASE h WHEN 'H1' THEN 0.9 ELSE 0.7 END AS DOUB
 
 @_query(_SCORED + " SELECT clue_id, CAST(row_number() OVER (ORDER BY score DESC, u) AS INTEGER) AS priority_rank, round(score, 3) AS priority_score FROM s")
 def priority_rank(spark, sf_dir):
-    return lineage.prioritised(_clues(spark, sf_dir)).select("clue_id", "priority_rank", "priority_score")
+    return lineage.prioritised(_clues(spark, sf_dir)).select("clue_id", F.col("priority_rank").cast("int").alias("priority_rank"), "priority_score")
 
 
 @_query(f"WITH {_CLUES} SELECT status, count(DISTINCT c) AS channels, CASE WHEN count(DISTINCT c) >= 3 THEN '可立案依据候选' WHEN count(DISTINCT c) = 2 THEN '线索' ELSE '观察' END AS level FROM clue JOIN ch ON ch.u = clue.u GROUP BY 1")
@@ -451,7 +472,7 @@ def listed_clues(spark, sf_dir):
 @_query("""WITH s AS (SELECT DISTINCT event_type AS id, props AS x FROM events)
 SELECT a.id AS a, b.id AS b, count(*) AS common FROM s a JOIN s b ON a.x = b.x AND a.id < b.id GROUP BY 1, 2""")
 def evidence_conflicts(spark, sf_dir):
-    return lineage.evidence_conflicts(_table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("id")).agg(F.collect_set("props").alias("source_rows")))
+    return lineage.evidence_conflicts(_table(spark, sf_dir, "events").select(F.col("event_type").alias("id"), F.col("props").alias("x")))
 
 
 # ---- workflow ----
@@ -516,21 +537,43 @@ def enumerate_space(spark, sf_dir):
     return hypotheses.combinations(spark, {"subject": list("abcd"), "behaviour": list("vwxyz"), "time": list("klm")}).select((F.col("place") + 1).alias("number"), "subject", "behaviour", "time")
 
 
-@_query("SELECT 'C13' AS id, '购物卡' AS behaviour, CAST(NULL AS VARCHAR) AS hypothesis UNION ALL SELECT 'C25', '转账', NULL UNION ALL SELECT 'C49', '代持', NULL UNION ALL SELECT 'C37', '过桥', 'H4'")
+@_query("""WITH seg AS (SELECT c_mktsegment AS b, row_number() OVER (ORDER BY c_mktsegment) - 1 AS j, concat('H', CAST(max(c_custkey) % 3 AS VARCHAR)) AS h, count(*) AS n FROM customer GROUP BY 1),
+sup AS (SELECT b, h FROM seg WHERE n % 2 = 0), st AS (SELECT DISTINCT concat('H', CAST(n_regionkey AS VARCHAR)) AS id FROM nation WHERE n_regionkey = 1)
+SELECT concat('C', CAST(2 * j + 1 AS VARCHAR)) AS id, seg.b AS behaviour, sup.h AS hypothesis FROM seg LEFT JOIN sup ON sup.b = seg.b WHERE sup.h IS NULL OR sup.h NOT IN (SELECT id FROM st)""")
 def enumeration_backlog(spark, sf_dir):
-    standing = hypotheses.hypothesis_table(spark).where("id = 'H1'")
-    return hypotheses.backlog(hypotheses.combinations(spark), standing)
+    """Regions by segments by two times; segments of an even number of customers are supported."""
+    values = lambda t, c: sorted(r[0] for r in _table(spark, sf_dir, t).select(c).distinct().collect())  # noqa: E731  five each
+    combos = hypotheses.combinations(spark, {"subject": values("region", "r_name"), "behaviour": values("customer", "c_mktsegment"), "time": ["early", "late"]})
+    segments = _table(spark, sf_dir, "customer").groupBy(F.col("c_mktsegment").alias("behaviour")).agg((F.max("c_custkey") % 3).alias("h"), F.count(F.lit(1)).alias("n"))
+    supported = segments.where("n % 2 = 0").select("behaviour", F.concat(F.lit("H"), F.col("h").cast("string")).alias("hypothesis"))
+    standing = _table(spark, sf_dir, "nation").where("n_regionkey = 1").select(F.concat(F.lit("H"), F.col("n_regionkey").cast("string")).alias("id")).distinct()
+    return hypotheses.backlog(combos, standing, supported)
+
+
+def _nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as hypotheses, whose sources are their region, with a note, and themselves; their region's number tells dimension and channel."""
+    n, r = _table(spark, sf_dir, "nation"), _table(spark, sf_dir, "region")
+    of = lambda names: F.array(F.element_at(F.array(*[F.lit(x) for x in names]), F.col("n_regionkey") + 1))
+    return n.join(r, n.n_regionkey == r.r_regionkey).select(
+        F.col("n_name").alias("id"), F.col("n_nationkey").alias("k"), F.col("n_regionkey").alias("r"), F.array("r_name").alias("evidence_needed"),
+        F.array(F.concat("r_name", F.lit(" （未调取）")), F.col("n_name")).alias("data_sources"), of(hypotheses.DIMENSIONS).alias("dimensions"), of(lineage.CHANNELS).alias("channels"),
+    )
 
 
-@_query("SELECT '言词证据' AS missing UNION ALL SELECT '轨迹' WHERE FALSE")
+@_query("""WITH have AS (SELECT r_name AS a FROM region WHERE r_regionkey <= 2), no AS (SELECT r_name AS a FROM region WHERE r_regionkey = 3),
+s AS (SELECT n_name AS id, r_name AS x, r_name AS need FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT n_name, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey)
+SELECT id, x AS missing, EXISTS (SELECT 1 FROM no WHERE contains(need, a) OR contains(a, need)) AS restricted FROM s WHERE NOT EXISTS (SELECT 1 FROM have WHERE contains(x, a) OR contains(a, x))""")
 def missing_sources(spark, sf_dir):
-    h = hypotheses.hypothesis_table(spark).select("id", "description", F.array(F.lit("言词证据（未调取）"), F.lit("银行流水")).alias("data_sources"), "evidence_needed", "dimensions", "channels").where("id = 'H1'")
-    return hypotheses.marked(h, ["银行流水"], ["言词"]).select(F.explode("missing_sources").alias("missing"))
+    names = {r.r_regionkey: r.r_name for r in _table(spark, sf_dir, "region").collect()}  # five
+    found = hypotheses.marked(_nations(spark, sf_dir), [n for k, n in names.items() if k <= 2], [names[3]])
+    return found.where("degraded").select("id", F.explode("missing_sources").alias("missing"), "restricted")
 
 
-@_query("SELECT CAST(4 AS BIGINT) AS covered, CAST(5 AS BIGINT) AS expected, CAST(80.0 AS DOUBLE) AS percent, FALSE AS alarm, '关系' AS missing")
+@_query("""WITH d AS (SELECT unnest(['资金', '通讯', '行为', '关系', '时间']) AS name, unnest([0, 1, 2, 3, 4]) AS i), u AS (SELECT DISTINCT n_regionkey AS i FROM nation WHERE n_nationkey % 3 = 0 AND n_regionkey <> 2),
+c AS (SELECT name, u.i IS NOT NULL AS covered FROM d LEFT JOIN u ON u.i = d.i), n AS (SELECT CAST(count(*) FILTER (covered) AS BIGINT) AS covered, CAST(count(*) AS BIGINT) AS expected FROM c)
+SELECT covered, expected, CAST(round(100 * covered / expected, 1) AS DOUBLE) AS percent, covered / expected < 0.8 AS alarm, coalesce((SELECT string_agg(name, ',' ORDER BY name) FROM c WHERE NOT c.covered), '') AS missing FROM n""")
 def dimension_coverage(spark, sf_dir):
-    found = hypotheses.dimension_coverage(hypotheses.hypothesis_table(spark).where("id <> 'H2'"))
+    found = hypotheses.dimension_coverage(_nations(spark, sf_dir).where("k % 3 = 0 and r <> 2"))
     return hypotheses.summary(found).withColumn("missing", F.array_join("missing", ","))
 
 
@@ -542,10 +585,16 @@ def _registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.join(n, s.s_nationkey == n.n_nationkey).join(c, s.s_suppkey == c.c_custkey).select(F.col("s_name").alias("subject"), F.col("n_name").alias("legal_rep"), F.col("c_name").alias("related_party"))
 
 
-def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _findings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return scans.findings(_flow(spark, sf_dir), _calls(spark, sf_dir), _moves(spark, sf_dir), _registry(spark, sf_dir), ["AN", "1"], ["7"], ROUND)
 
 
+def _theory(spark: SparkSession) -> DataFrame:
+    """Hypotheses that the findings' patterns lead to."""
+    rows = [("H1", "生间"), ("H2", "因间"), ("H3", "生间"), ("H4", "反间")]
+    return spark.createDataFrame([(h, f"about {h}", [], [], [], [c]) for h, c in rows], hypotheses.COLUMNS)
+
+
 _FOUND = f"""{FLOW}, {_PAIRS},
 seen AS (SELECT concat('U', user_id) AS subject, concat(event_type, '/', props) AS place, CAST(ts AS DATE) AS d FROM events),
 n AS (SELECT 1 AS k, '整数现金存入' AS candidate, 'H1' AS h, '生间' AS channel, (SELECT count(DISTINCT date_trunc('quarter', dt)) FROM flow WHERE {IS_ROUND}) AS n
@@ -553,23 +602,24 @@ n AS (SELECT 1 AS k, '整数现金存入' AS candidate, 'H1' AS h, '生间' AS c
   UNION ALL SELECT 3, '通话频次突增', 'H3', '生间', (SELECT count(*) FROM placed WHERE rn <= 5 AND (SELECT max(c) FROM placed WHERE rn = 1) >= 2 * (SELECT median(c) FROM placed WHERE rn > 1))
   UNION ALL SELECT 4, '轨迹同框', 'H3', '生间', (SELECT count(*) FROM (SELECT DISTINCT a.subject, b.subject, a.place FROM seen a JOIN seen b ON a.place = b.place AND a.subject < b.subject AND abs(date_diff('day', a.d, b.d)) <= 1))
   UNION ALL SELECT 5, '工商登记利益关联', 'H2', '因间', (SELECT count(*) FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN customer ON c_custkey = s_suppkey WHERE n_name LIKE '%AN%' OR n_name LIKE '%1%' OR c_name LIKE '%7%')),
-found AS (SELECT k, candidate, h, channel, least(n, 1000) AS n FROM n WHERE n > 0)"""
+found AS (SELECT k, candidate, h, channel, n FROM n WHERE n > 0)"""
 
 
 @_query(f"WITH {_FOUND} SELECT candidate, '待核实' AS level, CAST(n AS INTEGER) AS evidence FROM found")
 def scan_findings(spark, sf_dir):
-    return _findings(spark, sf_dir).select("candidate", "level", F.size("source_rows").alias("evidence"))
+    return _findings(spark, sf_dir)[0].select("candidate", "level", F.col("n_rows").cast("int").alias("evidence"))
 
 
 @_query(f"WITH {_FOUND} SELECT candidate AS title, h AS hypothesis, channel, CAST(n AS INTEGER) AS evidence, '待查' AS status FROM found")
 def finding_clues(spark, sf_dir):
-    clues = lineage.finding_clues(stored(_findings(spark, sf_dir), "findings"), hypotheses.pattern_table(spark))
-    return clues.select("title", F.get("assumption_chain", 0).alias("hypothesis"), F.get("channels", 0).alias("channel"), F.size("source_rows").alias("evidence"), "status")
+    clues, cited = lineage.finding_clues(*_findings(spark, sf_dir), hypotheses.pattern_table(_theory(spark)))
+    counts = cited.groupBy("clue_id").agg(F.count(F.lit(1)).cast("int").alias("evidence"))
+    return clues.join(counts, "clue_id").select("title", F.get("assumption_chain", 0).alias("hypothesis"), F.get("channels", 0).alias("channel"), "evidence", "status")
 
 
 @_query(f"WITH {_FOUND} SELECT h AS id, CAST(sum(n) AS INTEGER) AS evidence FROM found GROUP BY h")
 def auto_hypotheses(spark, sf_dir):
-    return hypotheses.from_findings(stored(_findings(spark, sf_dir), "findings"), spark).select("id", F.size("source_rows").alias("evidence"))
+    return hypotheses.from_findings(*_findings(spark, sf_dir), _theory(spark))[0].select("id", F.col("n_rows").cast("int").alias("evidence"))
 
 
 @_query("""WITH k AS (SELECT unnest(['银行流水','中标档案','招投标档案','通话记录','轨迹出行','工商信息','公开OSINT','举报材料','银行流水(过桥)']) AS source,
@@ -580,18 +630,68 @@ SELECT channel, sources, hit, CASE WHEN (SELECT count(*) FROM r WHERE hit) >= 3
 def channel_crossing(spark, sf_dir):
     source = lambda name, df: df.limit(1).select(F.lit(name).alias("source"))  # noqa: E731  whether there is a row at all
     active = source("银行流水", _table(spark, sf_dir, "orders")).union(source("通话记录", _table(spark, sf_dir, "events"))).union(source("工商信息", _table(spark, sf_dir, "supplier")))
-    return investigation.channel_crossing(active).withColumn("sources", F.array_join("sources", "|"))
+    return casework.channel_crossing(active).withColumn("sources", F.array_join("sources", "|"))
 
 
-@_query("SELECT unnest(['银行流水','招投标档案','工商信息','通话记录','轨迹出行','公开OSINT','举报材料']) AS name, unnest([TRUE, TRUE, TRUE, TRUE, TRUE, FALSE, FALSE]) AS covered")
+@_query("""SELECT name, name IN (SELECT r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 7 = 1 UNION SELECT n_name FROM nation WHERE n_nationkey % 7 = 1) AS covered
+FROM (SELECT r_name AS name FROM region UNION SELECT n_name FROM nation)""")
 def source_coverage(spark, sf_dir):
-    sources = spark.createDataFrame([(s,) for s in ("银行流水", "招投标档案", "工商信息", "通话记录", "轨迹出行", "公开OSINT", "举报材料")], "name string")
-    return hypotheses.source_coverage(hypotheses.hypothesis_table(spark), sources)
+    sources = _table(spark, sf_dir, "region").select(F.col("r_name").alias("name")).union(_table(spark, sf_dir, "nation").select("n_name")).distinct()
+    return hypotheses.source_coverage(_nations(spark, sf_dir).where("k % 7 = 1"), sources)
 
 
-@_query("SELECT unnest(['生间','反间','因间','死间','内间']) AS name, unnest([TRUE, TRUE, TRUE, FALSE, FALSE]) AS covered")
+@_query("""SELECT d.name, d.i IN (SELECT n_regionkey FROM nation WHERE n_nationkey % 9 = 2) AS covered
+FROM (SELECT unnest(['生间', '反间', '因间', '死间', '内间']) AS name, unnest([0, 1, 2, 3, 4]) AS i) d""")
 def channel_coverage(spark, sf_dir):
-    return hypotheses.channel_coverage(hypotheses.hypothesis_table(spark))
+    return hypotheses.channel_coverage(_nations(spark, sf_dir).where("k % 9 = 2"))
+
+
+@_query(f"""WITH {_CLUES}, need AS (SELECT r_regionkey % 2 AS s, r_name AS source FROM region), h AS (SELECT n_name AS id, r_name AS source FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 2 = 0),
+chains AS (SELECT s, string_agg(DISTINCT id, ',' ORDER BY id) AS ids FROM need JOIN h ON h.source = need.source GROUP BY 1)
+SELECT clue_id, CASE WHEN u % 3 = 0 THEN h ELSE coalesce(ids, '') END AS chain FROM clue LEFT JOIN chains ON chains.s = u % 2""")
+def inferred_chains(spark, sf_dir):
+    """Two clues in three have no hypothesis of their own; what their skill needs leads to some."""
+    clues = _clues(spark, sf_dir).withColumn("assumption_chain", F.when(F.col("ord") % 3 == 0, F.col("assumption_chain")).otherwise(F.array().cast("array<string>")))
+    needs = _table(spark, sf_dir, "region").select(F.concat(F.lit("s"), (F.col("r_regionkey") % 2).cast("string")).alias("skill_id"), F.col("r_name").alias("source"))
+    theory = _nations(spark, sf_dir).where("k % 2 = 0").select("id", F.col("evidence_needed").alias("data_sources"))
+    return lineage.inferred(clues, needs, theory).select("clue_id", F.array_join("assumption_chain", ",").alias("chain"))
+
+
+@_query(f"WITH {_CLUES} SELECT clue_id FROM clue WHERE u % 2 = 0 AND u % 3 = 1")
+def scoped_clues(spark, sf_dir):
+    u = F.col("ord")
+    clues = _clues(spark, sf_dir).withColumn("skill_id", F.when(u % 2 == 0, lineage.SCAN).otherwise(lineage.PLAN)).withColumn("title", F.when(u % 3 == 0, "大额现金").when(u % 3 == 1, "通话突增").otherwise("轨迹同框"))
+    return lineage.scoped(clues, "call").select("clue_id")
+
+
+@_query("""WITH c AS (SELECT CASE o_orderpriority WHEN '1-URGENT' THEN '生间' WHEN '2-HIGH' THEN '反间' ELSE '死间' END AS channel, max(o_totalprice) > 1000 AS hit FROM orders GROUP BY 1)
+SELECT concat(channel, '命中') AS title, channel, '待查' AS status, CAST(0 AS BIGINT) AS n_rows FROM c WHERE hit UNION ALL SELECT '奇正分工方案', '生间', '待查', count(*) FROM nation HAVING count(*) > 0""")
+def channel_hits(spark, sf_dir):
+    """Clues of channels that were hit, and one of a plan with a task for each nation."""
+    p = F.col("o_orderpriority")
+    crossing = _table(spark, sf_dir, "orders").groupBy(F.when(p == "1-URGENT", "生间").when(p == "2-HIGH", "反间").otherwise("死间").alias("channel")).agg((F.max("o_totalprice") > 1000).alias("hit"))
+    tasks = _table(spark, sf_dir, "nation").select(F.lit("正兵").alias("side"), F.col("n_name").alias("task"))
+    clues = lineage.channel_hits(crossing).withColumn("n_rows", F.lit(0).cast("long")).unionByName(lineage.plan_clue(tasks, ["生间"]).join(tasks.agg(F.count(F.lit(1)).alias("tasks")), how="left").withColumn("n_rows", F.col("tasks")).drop("tasks"))
+    return clues.select("title", F.get("channels", 0).alias("channel"), "status", "n_rows")
+
+
+@_query("""WITH s AS (SELECT unnest(['庙算基线', '双向盘点', '虚实扫描', '奇正分工', '用间交叉', '全胜校验']) AS section, unnest([0, 1, 2, 3, 4, 5]) AS i),
+r AS (SELECT o_custkey AS report_id, o_orderkey % 6 AS i, o_orderkey AS k FROM orders), ids AS (SELECT DISTINCT report_id FROM r)
+SELECT ids.report_id, concat('缺少段落：', s.section) AS error FROM ids CROSS JOIN s WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.report_id = ids.report_id AND r.i = s.i)
+UNION ALL SELECT report_id, concat('红线：', concat('溯源', CAST(k AS VARCHAR)), ' 溯源为空') FROM r WHERE i = 5 AND k % 2 = 1""")
+def report_errors(spark, sf_dir):
+    k = F.col("o_orderkey")
+    section = F.element_at(F.array(*[F.lit(x) for x in hypotheses.SECTIONS]), (k % 6 + 1).cast("int"))
+    report = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("report_id"), section.alias("section"), F.concat(F.lit("溯源"), k.cast("string")).alias("field"), F.when(k % 2 == 1, "").otherwise("x").alias("value"))
+    return hypotheses.missing_sections(report)
+
+
+@_query("""SELECT '红线：定性类假设不得标记为可推演，应交由正兵' AS warning FROM nation WHERE n_nationkey % 3 = 0 AND n_nationkey % 2 = 0
+UNION ALL SELECT '红线：知己栏为空' WHERE (SELECT count(*) FROM region WHERE r_regionkey > 90) = 0""")
+def red_lines(spark, sf_dir):
+    k = F.col("n_nationkey")
+    theory = _table(spark, sf_dir, "nation").select(F.when(k % 3 == 0, "收受财物").otherwise("other").alias("description"), F.when(k % 2 == 0, hypotheses.DEDUCIBLE).otherwise("受限").alias("status"))
+    return hypotheses.red_lines(theory, _table(spark, sf_dir, "region").where("r_regionkey > 90"))
 
 
 @_query(f"WITH {_CLUES}, cn AS (SELECT u, count(*) AS many FROM ch GROUP BY 1) SELECT clue_id, CASE WHEN status = '已立案' THEN '已立案，转入侦查' WHEN status = '已排除' THEN '已排除，留档' WHEN status = '已固证' THEN '可报立案审批' WHEN many >= 2 THEN '多源印证，优先核查' ELSE '补充其他来源后核查' END AS suggestion FROM clue JOIN cn ON cn.u = clue.u")
@@ -634,6 +734,59 @@ def status_upsert(spark, sf_dir):
     return disposal.snapshot(once, half(1)).select("clue_id", "status", "updated_at")
 
 
+def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as clusters of two spellings; every third is sure."""
+    k = F.col("c_custkey")
+    return _table(spark, sf_dir, "customer").select(
+        F.concat(F.lit("E"), k.cast("string")).alias("entity_id"), F.col("c_name").alias("canonical"), F.array("c_name", F.concat(F.lit("x"), k.cast("string"))).alias("variants"),
+        (k % 3 / 2).alias("confidence"), k.alias("cluster"), (k % 3 < 2).alias("needs_review"),
+    )
+
+
+@_query("SELECT name, canonical FROM (SELECT c_custkey AS k, c_name AS name, c_name AS canonical FROM customer UNION ALL SELECT c_custkey, concat('x', c_custkey), c_name FROM customer) WHERE k % 3 = 2 AND name NOT IN (SELECT concat('x', c_custkey) FROM customer WHERE c_custkey % 5 = 0)")
+def name_mapping(spark, sf_dir):
+    """Names of sure clusters, without what reviewers rejected."""
+    rejected = _table(spark, sf_dir, "customer").where("c_custkey % 5 = 0").select(F.concat(F.lit("x"), F.col("c_custkey").cast("string")).alias("name"))
+    return resolve.mapping(_found(spark, sf_dir), rejected)
+
+
+@_query("SELECT concat('E', c_custkey) AS entity_id, CAST(row_number() OVER (ORDER BY c_custkey % 3 DESC, concat('E', c_custkey), c_custkey) AS BIGINT) AS place FROM customer")
+def clusters_by_confidence(spark, sf_dir):
+    return resolve.by_confidence(_found(spark, sf_dir)).select("entity_id", "place")
+
+
+@_query("""WITH q AS (SELECT c_custkey AS k, CASE c_custkey % 4 WHEN 0 THEN 'ACCEPTED' WHEN 1 THEN 'REJECTED' WHEN 2 THEN 'DEFERRED' ELSE 'PENDING' END AS d FROM customer WHERE c_custkey % 3 < 2)
+SELECT count(*) AS total, count(*) FILTER (d = 'PENDING') AS pending, count(*) FILTER (d = 'ACCEPTED') AS accepted, count(*) FILTER (d = 'REJECTED') AS rejected, count(*) FILTER (d = 'DEFERRED') AS deferred FROM q""")
+def review_summary(spark, sf_dir):
+    """Candidates for review by what was decided; a quarter has no decision."""
+    k = F.expr("cast(substring(canonical, instr(canonical, '#') + 1) as long)")
+    queue = disposal.review_queue(_found(spark, sf_dir).withColumn("canonical", F.concat(F.lit("c#"), F.col("cluster").cast("string"))), "org")
+    said = queue.where(k % 4 < 3).select("candidate_id", F.element_at(F.array(F.lit("ACCEPTED"), F.lit("REJECTED"), F.lit("DEFERRED")), (k % 4 + 1).cast("int")).alias("decision"), F.lit("Li").alias("operator"), F.lit("why").alias("note"))
+    return disposal.review_summary(disposal.decided(queue, said))
+
+
+@_query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN concat('宏业', CAST(c_custkey AS VARCHAR)) ELSE concat('abc', CAST(c_custkey AS VARCHAR)) END AS core FROM customer")
+def cjk_normalise(spark, sf_dir):
+    """Names in full-width letters and digits, with spaces, notes and suffixes, one half of them in Chinese."""
+    k = F.col("c_custkey")
+    wide = F.translate(k.cast("string"), "0123456789", "０１２３４５６７８９")
+    raw = F.when(k % 2 == 0, F.concat(F.lit(" 宏 业"), wide, F.lit("　有限公司（集团）"))).otherwise(F.concat(F.lit("ＡＢＣ"), wide, F.lit("（note）")))
+    return _table(spark, sf_dir, "customer").select("c_custkey", names.org_core(raw).alias("core"))
+
+
+@_query("""SELECT concat('G', c_custkey % 50) AS first_given, count(DISTINCT c_name) AS names FROM customer WHERE c_custkey % 2 = 0 GROUP BY c_custkey % 50""")
+def alias_clusters(spark, sf_dir):
+    """Even customers are known by an alias table to be fifty persons; others are left out."""
+    k = F.col("c_custkey")
+    even = _table(spark, sf_dir, "customer").where(k % 2 == 0)
+    given = F.concat(F.lit("G"), (k % 50).cast("string"))
+    aliases = even.select(F.col("c_name").alias("variant"), given.alias("canonical"))
+    records = even.select(F.col("c_name").alias("name"), F.lit(None).cast("string").alias("phone"), k.cast("string").alias("source_row_id"), k.alias("ord"))
+    found = resolve.clusters(records, ["phone"], "person", aliases, unicode=False)
+    own = found.select("cluster", F.explode("variants").alias("c_name")).join(even.select("c_name", given.alias("given")), "c_name")
+    return own.groupBy("cluster").agg(F.min("given").alias("first_given"), F.count_distinct("c_name").alias("names")).drop("cluster")
+
+
 # ---- files and streams ----
 
 
@@ -670,3 +823,44 @@ def stream_rollup(spark, sf_dir):
     to = _place(spark, "rollup")
     rollup.start_rollup(rollup.flow_stream(spark, arrived, flow.schema, files_per_batch=2), to, _place(spark, "offsets")).awaitTermination()
     return _money(rollup.rollup(spark, to))
+
+
+@_query("""SELECT 'nation.csv' AS file, 'csv' AS format, 'unknown' AS source_type, count(*) AS rows, '' AS missing, 'ok' AS status FROM nation
+UNION ALL SELECT '流水.parquet', 'parquet', 'bank_flow', count(*), 'amount', 'ok' FROM region
+UNION ALL SELECT '通话.json', 'json', 'call_record', count(*), 'counterparty', 'ok' FROM nation WHERE n_nationkey % 2 = 0
+UNION ALL SELECT 'broken.parquet', 'parquet', 'unknown', 0, '', 'failed'""")
+def ingest_files(spark, sf_dir):
+    """Files of three formats and a broken one, told apart by their names, with what they lack."""
+    n, r = _table(spark, sf_dir, "nation"), _table(spark, sf_dir, "region")
+    to = _place(spark, "ingest")
+    n.select(F.col("n_name").alias("主体"), "n_regionkey").coalesce(1).write.option("header", True).csv(f"{to}/nation.csv")
+    r.select(F.col("r_name").alias("付款方"), F.lit("2020-01-01").alias("交易日期")).coalesce(1).write.parquet(f"{to}/流水.parquet")
+    n.where("n_nationkey % 2 = 0").select(F.col("n_name").alias("姓名"), F.col("n_nationkey").alias("k")).agg(F.to_json(F.collect_list(F.struct("姓名", "k"))).alias("value")).write.text(f"{to}/通话.json")  # 13 nations
+    r.select(F.lit("not parquet").alias("value")).write.text(f"{to}/broken.parquet")
+    log = ingest(spark, [f"{to}/{x}" for x in ("nation.csv", "流水.parquet", "通话.json", "broken.parquet")], f"{to}/raw")
+    return log.select("file", "format", "source_type", "rows", F.array_join("missing", ",").alias("missing"), "status")
+
+
+@_query("SELECT n_name AS subject, CAST(NULL AS VARCHAR) AS legal_rep, CAST(n_regionkey AS VARCHAR) AS status, CAST(NULL AS VARCHAR) AS related_party FROM nation")
+def schema_align(spark, sf_dir):
+    """A loose table in the contract's columns and types."""
+    return schema.align(_table(spark, sf_dir, "nation").select(F.col("n_name").alias("subject"), F.col("n_regionkey").alias("status")), schema.REGISTRY)
+
+
+@_query("SELECT r_regionkey, r_name, n_name FROM region JOIN nation ON n_regionkey = r_regionkey WHERE r_regionkey > 1")
+def business_tables(spark, sf_dir):
+    """Tables of the catalogue, and SQL over them with a bound parameter."""
+    place = _place(spark, "tables")
+    database = f"cw_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {database} LOCATION '{place}'")
+    made = business_tables_of(spark, sf_dir, ["region", "nation", "no_such_table"], place, database)
+    region, nation = (f"{database}.{t}" for t in made)
+    return query(spark, f"SELECT r_regionkey, r_name, n_name FROM {region} JOIN {nation} ON n_regionkey = r_regionkey WHERE r_regionkey > :least", least=1)
+
+
+@_query("""SELECT n_name AS canonical_rep, count(*) AS rows FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN customer ON c_custkey = s_suppkey GROUP BY 1""")
+def solved_registry(spark, sf_dir):
+    """The whole job over the driver's tables; of what it gives, the register with canonical names: nations are spelt alike, so that each is its own."""
+    tables = {"flow": _flow(spark, sf_dir), "calls": _calls(spark, sf_dir), "moves": _moves(spark, sf_dir), "registry": _registry(spark, sf_dir), "tenders": _tenders(spark, sf_dir)}
+    done = casework.solve(tables, _theory(spark), ["AN", "1"], ["7"], ROUND)
+    return done["registry"].groupBy(F.col("canonical_legal_rep").alias("canonical_rep")).agg(F.count(F.lit(1)).alias("rows"))

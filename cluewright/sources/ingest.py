@@ -20,6 +20,8 @@ from ..functions.schema import TYPE_HINTS, missing, renamed
 LOG = "file string, format string, source_type string, rows long, columns array<string>, missing array<string>, status string, error string"
 DATES = ["date"]
 MARKS = "[,¥元]"
+#: Size of a SQLite or Excel file that is read on the driver at most.
+DRIVER_BYTES = 64 << 20
 
 
 def separator(sample: str) -> str:
@@ -77,8 +79,14 @@ def read_json(spark: SparkSession, path: str, record_path: str | None = None) ->
     return flattened(df)
 
 
+def _small(path: str) -> None:
+    if os.path.getsize(path) > DRIVER_BYTES:
+        raise ValueError(f"{path} has over {DRIVER_BYTES} bytes, too many for a reader that runs on the driver")
+
+
 def read_sqlite(spark: SparkSession, path: str, table: str | None = None, query: str | None = None) -> DataFrame:
-    """A table or query of a local SQLite file, read on the driver: such files are exchange formats of a desk's size. Beyond that use Spark's JDBC reader."""
+    """A table or query of a local SQLite file, read on the driver, up to DRIVER_BYTES: such files are exchange formats of a desk's size. Beyond that use Spark's JDBC reader."""
+    _small(path)
     with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
         if query is None:
             table = table or db.execute("select name from sqlite_master where type = 'table' order by rowid").fetchone()[0]
@@ -90,13 +98,14 @@ def read_sqlite(spark: SparkSession, path: str, table: str | None = None, query:
 
 
 def read_excel(spark: SparkSession, path: str) -> DataFrame:
-    """All sheets, with _source_sheet. Needs openpyxl."""
+    """All sheets, with _source_sheet. Needs openpyxl. Read on the driver, up to DRIVER_BYTES."""
     try:
         import openpyxl  # noqa: F401
     except ImportError as e:
         raise ValueError("reading .xlsx files needs openpyxl") from e
     import pandas as pd
 
+    _small(path)
     out = None
     for sheet, pdf in pd.read_excel(path, sheet_name=None, dtype=str).items():
         schema = T.StructType([T.StructField(str(c), T.StringType()) for c in pdf.columns])
@@ -153,8 +162,8 @@ def ingest(spark: SparkSession, paths: list[str], to: str, hints: dict[str, str]
         try:
             df = read_file(spark, path)
             texts = df.select(*[F.col(f"`{c}`").cast("string").alias(c.replace(".", "_")) for c in df.columns if c != "_source_file"])
-            texts.write.mode("overwrite").parquet(f"{to}/raw_{kind}/_source_file={name}")
-            log.append((name, suffix[1:], kind, df.count(), df.columns, missing(df, kind), "ok", None))
+            texts.write.mode("overwrite").parquet(place := f"{to}/raw_{kind}/_source_file={name}")
+            log.append((name, suffix[1:], kind, spark.read.parquet(place).count(), df.columns, missing(df, kind), "ok", None))
         except Exception as e:  # one bad file must not stop the others; the log tells of it
             log.append((name, suffix[1:], kind, 0, [], [], "failed", str(e)[:500]))
     return spark.createDataFrame(log, LOG)

@@ -33,6 +33,17 @@ def register(spark: SparkSession, folder: str, names: list[str]) -> list[str]:
     return there
 
 
+def business_tables(spark: SparkSession, folder: str, names: list[str], to: str, database: str = "default") -> list[str]:
+    """Catalogue tables with copies of the source tables, kept under `to`; the names of those that are there. A rerun replaces them."""
+    there = []
+    for name in register(spark, folder, names):
+        spark.sql(f"DROP TABLE IF EXISTS `{database}`.`{name}`")
+        spark.read.parquet(f"{folder}/{name}.parquet").write.mode("overwrite").option("path", f"{to}/{name}").saveAsTable(f"`{database}`.`{name}`")
+        spark.catalog.dropTempView(name)
+        there.append(name)
+    return there
+
+
 def put_features(known: DataFrame, new: DataFrame) -> DataFrame:
     """Features (subject, feature, value, version): the highest version of each stands."""
     return scans.latest(known.unionByName(new), ["subject", "feature"], ["version"])
