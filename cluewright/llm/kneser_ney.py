@@ -88,10 +88,10 @@ def _cut(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[int, p
         return int.from_bytes(told.digest(), "little", signed=True), table
 
     for batch in batches:
-        for at in range(0, batch.num_rows, 1024):
-            part = batch.slice(at, 1024)
-            held.append(part)
-            size += part.get_total_buffer_size() if batch.num_rows <= 1024 else part.nbytes
+        at = 0
+        for first, last, data, _ in K.chunks(batch.column(batch.schema.get_field_index("t")), CHUNK):
+            held.append(batch.slice(at, last - first))
+            at, size = last, size + len(data)
             if size >= limit:
                 yield closed()
                 held, size = [], 0
@@ -136,20 +136,16 @@ def _scored(order: int):
                     size = pa.compute.binary_length(text).cast(pa.int64())
                     out.append(ids.append_column("total", pa.nulls(len(part), pa.float64())).append_column("n_bytes", size))
                     continue
-                g, lp = own.column("g").to_numpy().astype(np.uint32), own.column("lp").to_numpy()
-                context, slot = np.unique(g >> np.uint32(8), return_inverse=True)
-                # Context -> its row of next-byte values; what was not asked for has no row.
-                where = np.full(1 << (8 * (order - 1)), -1, np.int32)
-                where[context] = np.arange(len(context), dtype=np.int32)
-                value = np.full((len(context), 256), np.nan, np.float32)
-                value[slot, g & np.uint32(255)] = lp
+                g = own.column("g").to_numpy().astype(np.uint32)
+                rank = np.argsort(g)
+                g, lp = g[rank], own.column("lp").to_numpy()[rank].astype(np.float64)
                 sums, sizes = [], []
                 for _, _, data, offs in K.chunks(text, CHUNK):
-                    grams, _ = _grams(data, offs, order)
-                    at = where[grams >> np.uint32(8)]
-                    x = np.where(at < 0, np.nan, value[at, data]).astype(np.float64)
-                    total = np.r_[0, np.cumsum(x)]
-                    if np.isnan(total[-1]):
+                    # Each distinct n-gram is looked up once.
+                    grams, slot = np.unique(_grams(data, offs, order)[0], return_inverse=True)
+                    at = np.minimum(np.searchsorted(g, grams), len(g) - 1)
+                    total = np.r_[0, np.cumsum(lp[at][slot])]
+                    if (g[at] != grams).any():
                         raise RuntimeError("a batch of documents differs between two reads of its source, so its n-grams were not asked for; the source has to be a table or another repeatable plan")
                     sums.append(total[offs[1:]] - total[offs[:-1]])
                     sizes.append(np.diff(offs))

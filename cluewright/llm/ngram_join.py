@@ -42,6 +42,8 @@ WORDS, PERCENT = 3, 90
 MOST_BITS, LEAST_BITS, SPARE = 27, 18, 4
 #: Sets and n-grams in a block of rows at most.
 BLOCK, BLOCK_GRAMS = 1024, 1 << 19
+#: Signatures, or names of sets, that are broadcast up to this many bytes and joined by a shuffle beyond.
+BROADCAST_BYTES = 64 << 20
 #: Sets of a list at most for its pairs to meet one by one.
 FEW = 32
 #: Columns that more rows than this share are multiplied as dense slices of so many columns.
@@ -274,8 +276,8 @@ def _verified(percent: int):
 
 
 def signature(h: np.ndarray) -> np.ndarray:
-    """For as many bits as n-grams at least, a power of two: the parity of the n-grams whose hash ends in the bit's number. Packed, 8 bits a byte."""
-    bits = max(64, 1 << int(len(h) - 1).bit_length()) if len(h) else 64
+    """For half as many bits as n-grams at least, a power of two: the parity of the n-grams whose hash ends in the bit's number. Packed, 8 bits a byte."""
+    bits = max(64, 1 << max(0, len(h).bit_length() - 1))
     return np.packbits((np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little")
 
 
@@ -309,9 +311,11 @@ def _alike(pairs: DataFrame, told: DataFrame, percent: int) -> DataFrame:
 
     names = pairs.columns
     sized = F.lit(100) * F.least("n", "pivot_n") >= F.lit(percent) * F.greatest("n", "pivot_n")
+    size = told.agg(F.sum(F.octet_length("told") + 64)).first()[0] or 0
+    told = F.broadcast(told) if size <= BROADCAST_BYTES else told
     other = told.select(F.col("s").alias("pivot"), F.col("told").alias("pivot_told"))
     met = pairs.where(sized).join(told, "s").join(other, "pivot").select(*names, "told", "pivot_told")
-    return stored(met.mapInArrow(run, pairs.schema), "alike")
+    return stored(met.mapInArrow(run, pairs.schema).distinct(), "alike")
 
 
 def _tried(pairs: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
@@ -331,8 +335,8 @@ def _apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
 def _large(pairs: DataFrame, lists: DataFrame, told: DataFrame, fetch: Callable[[DataFrame], DataFrame], percent: int, block: int, block_grams: int) -> DataFrame:
     """(u, v): links of the sets of clusters that are larger than a block.
 
-    pairs: sets and least members of their lists; lists: (k, s, n); told:
-    signatures by s. fetch(sets with s) gives (s, grams): the few that stand
+    pairs: sets and least members of their lists; lists: (k, s, n) of all
+    sets; told: signatures by s. fetch(sets with s) gives (s, grams): the few that stand
     when sizes and signatures have had their say.
     """
     sides = lambda df: df.select("s").union(df.select("pivot")).distinct()
@@ -345,13 +349,14 @@ def _large(pairs: DataFrame, lists: DataFrame, told: DataFrame, fetch: Callable[
     known = once.unionByName(_tried(_apart(pairs.join(best, ["s", "pivot"], "left_anti"), once), grams, percent))
     parts = stored(components(known, "s", "pivot"), "parts")
     # Lists that still span several components.
-    own = lists.join(parts.withColumnRenamed("vertex", "s"), "s", "left").select("k", "s", "n", F.coalesce("component", "s").alias("c"))
+    label = stored(told.select("s").join(parts.withColumnRenamed("vertex", "s"), "s", "left").select("s", F.coalesce("component", "s").alias("c")), "label")
+    own = stored(lists.join(F.broadcast(label) if label.count() <= BROADCAST_BYTES // 128 else label, "s").select("k", "s", "n", "c"), "own")
     wide = own.groupBy("k").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.count(F.lit(1)).alias("sets")).where("a <> b").select("k", "sets")
     rest = stored(own.join(wide, "k"), "open")
     # In a list of a few sets all pairs may meet, in longer ones blocks do.
     few = rest.where(F.col("sets") <= FEW)
     other = few.select("k", F.col("s").alias("pivot"), F.col("n").alias("pivot_n"), F.col("c").alias("pivot_c"))
-    met = few.join(other, "k").where("s < pivot and c <> pivot_c").select("s", "n", "pivot", "pivot_n").distinct()
+    met = few.join(other, "k").where("s < pivot and c <> pivot_c").select("s", "n", "pivot", "pivot_n")
     met = _alike(met, told, percent)
     members = stored(_members(rest.where(F.col("sets") > FEW).drop("sets"), percent), "members")
     grams = fetch(sides(met).union(members.select("s")).distinct())
@@ -442,7 +447,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
         rids = placed.where("not fits").select("rid")
         told = texts.mapInArrow(_signatures(words, flagged(rids, "rid", rids.count())), "s binary, told binary")
         told = stored(told.join(wide, "s").dropDuplicates(["s"]), "signatures")
-        links = links.unionByName(_large(pairs.join(wide, "s", "left_semi"), postings.join(wide, "s", "left_semi"), told, fetch, percent, block, block_grams))
+        links = links.unionByName(_large(pairs.join(wide, "s", "left_semi"), postings, told, fetch, percent, block, block_grams))
     final = components(links)
     labelled = sets.select("doc_id", "s", "n").join(final.withColumnRenamed("vertex", "s"), "s", "left").withColumn("c", F.when(F.col("n") > 0, F.coalesce("component", "s")))
     labelled = labelled.select("doc_id", "n", "c")

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import bisect
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -25,6 +26,9 @@ from pyspark.sql import functions as F
 from .common import load, stored, text_of
 
 ROOM, END_ID = 2048, 0
+#: A run of white space over this many letters is beyond the fast encoder's stack.
+LONG_RUN = 10_000
+_LONG = re.compile(r"\s{%d}" % LONG_RUN)
 #: Pieces that one ranking window holds, about.
 WINDOW_ROWS = 20_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -38,7 +42,15 @@ def vocabulary() -> str:
 
 @lru_cache(maxsize=2)
 def encoder(path: str):
-    """The byte-level BPE of a tokenizers file, run by tiktoken, which gives the same ids several times as fast. Strings of added tokens in a text are those tokens, as they are there."""
+    """The tokenizer of a tokenizers file. Strings of added tokens in a text are those tokens."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+@lru_cache(maxsize=2)
+def fast_encoder(path: str):
+    """The same ids from tiktoken, several times as fast; it cannot take long runs of white space."""
     import public_tokenizers
     import tiktoken
 
@@ -52,13 +64,19 @@ def encoder(path: str):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
+def token_ids(path: str, text: str) -> np.ndarray:
+    """Ids of a whole text. A text with a run of white space over LONG_RUN is one for the tokenizers library itself."""
+    if len(text) > LONG_RUN and _LONG.search(text):
+        return np.array(encoder(path).encode(text, add_special_tokens=False).ids, "<u4")
+    return fast_encoder(path).encode_to_numpy(text, allowed_special="all").astype("<u4")
+
+
 def _cut(path: str, room: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode_to_numpy
         for batch in batches:
             out: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.append(encode(text.as_py(), allowed_special="all"), END_ID).astype("<u4")
+                ids = np.append(token_ids(path, text.as_py()), END_ID).astype("<u4")
                 first = len(ids) % room or room
                 cuts = [0, *range(first, len(ids) + 1, room)]
                 out += [(doc_id, k, a, b - a, zlib.crc32(ids[a:b].tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]

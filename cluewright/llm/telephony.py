@@ -24,8 +24,9 @@ RATE, UNIT, PAD = 8000, 576, 255
 CODECS = ("mulaw", "alaw", "ima_adpcm")
 _TAGS = {"alaw": 6, "mulaw": 7, "ima_adpcm": 0x11}
 _NAMES = {v: k for k, v in _TAGS.items()}
-#: Text bytes that are worked on at once.
+#: Text bytes that are worked on at once, and samples of one call.
 CHUNK = 1 << 20
+BLOCK = 1 << 18
 
 
 def _mulaw_table() -> np.ndarray:
@@ -75,12 +76,19 @@ def adpcm(blocks: np.ndarray) -> np.ndarray:
 
 
 def resampled(pcm: np.ndarray) -> np.ndarray:
-    """Twice the samples: those given, and between them what the half-band filter makes; ends are padded with zeros."""
-    x = np.r_[np.zeros(_HALF - 1), pcm.astype(np.float64), np.zeros(_HALF)]
-    out = np.empty(2 * len(pcm), np.int16)
+    """Twice the samples: those given, and between them what the half-band filter makes; ends are padded with zeros.
+
+    It goes through the samples a block at a time, each with the filter's reach on both sides.
+    """
+    n = len(pcm)
+    out = np.empty(2 * n, np.int16)
     out[0::2] = pcm
-    # Products and sums stay far below 2**53, so this is exact.
-    out[1::2] = np.clip(np.floor((np.convolve(x, FILTER, "valid") + 16384) / 32768), -32768, 32767)
+    for at in range(0, n, BLOCK):
+        end = min(n, at + BLOCK)
+        lo, hi = max(0, at - (_HALF - 1)), min(n, end + _HALF)
+        x = np.r_[np.zeros(max(0, _HALF - 1 - at)), pcm[lo:hi].astype(np.float64), np.zeros(max(0, end + _HALF - n))]
+        # Products and sums stay far below 2**53, so this is exact.
+        out[2 * at + 1 : 2 * end : 2] = np.clip(np.floor((np.convolve(x, FILTER, "valid") + 16384) / 32768), -32768, 32767)
     return out
 
 
@@ -116,52 +124,63 @@ def unwave(media: bytes) -> tuple[str, bytes]:
 
 
 def decoded(payloads: list[tuple[str, bytes]]) -> list[np.ndarray]:
-    """PCM at 8 kHz of (codec, payload) pairs; the ADPCM blocks of all of them decode together."""
+    """PCM at 8 kHz of (codec, payload) pairs; the ADPCM blocks of all of them decode together, so many at a time as have BLOCK samples or so."""
     own = [np.frombuffer(p, np.uint8) for c, p in payloads if c == "ima_adpcm"]
-    blocks = adpcm(np.concatenate(own).reshape(-1, UNIT)) if own else None
+    blocks = np.concatenate(own).reshape(-1, UNIT) if own else np.zeros((0, UNIT), np.uint8)
+    pcm = np.empty((len(blocks), (UNIT - 4) * 2 + 1), np.int16)
+    step = max(1, BLOCK // pcm.shape[1])
+    for k in range(0, len(blocks), step):
+        pcm[k : k + step] = adpcm(blocks[k : k + step])
     out, at = [], 0
     for codec, payload in payloads:
         if codec == "ima_adpcm":
             n = len(payload) // UNIT
-            out.append(blocks[at : at + n].reshape(-1))
+            out.append(pcm[at : at + n].reshape(-1))
             at += n
         else:
             out.append((MULAW if codec == "mulaw" else ALAW)[np.frombuffer(payload, np.uint8)])
     return out
 
 
-def features(codec: str, pcm: np.ndarray, wide: np.ndarray) -> str:
-    x = pcm.astype(np.int64)
-    crossings = int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
-    return f"codec={codec};samples={len(x)};peak={int(np.abs(x).max())};mean={int(x.sum() // len(x))};power={int((x * x).sum() // len(x))};crossings={crossings};pcm16k_samples={len(wide)};pcm16k_crc32={zlib.crc32(wide.astype('<i2').tobytes())}"
-
-
-def _rows(with_pcm: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index("__t")
-            rest = [c for c in batch.schema.names if c != "__t"]
-            for first, last, data, offs in K.chunks(batch.column(at), CHUNK):
-                media = []
-                for a, b in zip(offs, offs[1:]):
-                    payload = data[a:b].tobytes()
-                    payload += bytes([PAD]) * (max(UNIT, -(-len(payload) // UNIT) * UNIT) - len(payload))
-                    media.append(wave(payload, CODECS[zlib.crc32(payload) % len(CODECS)]))
-                back = [unwave(m) for m in media]
-                pcm = decoded(back)
-                wide = [resampled(x) for x in pcm]
-                feature = [features(c, x, w) for (c, _), x, w in zip(back, pcm, wide)]
-                part = batch.slice(first, last - first)
-                made = {"codec": pa.array([c for c, _ in back]), "payload": pa.array([p for _, p in back], pa.binary()), "media": pa.array(media, pa.binary()), "feature": pa.array(feature)}
-                if with_pcm:
-                    made["pcm16k"] = pa.array([w.astype("<i2").tobytes() for w in wide], pa.binary())
-                yield pa.RecordBatch.from_arrays([*[part.column(batch.schema.get_field_index(c)) for c in rest], *made.values()], [*rest, *made])
-
-    return run
-
-
-def media_columns(docs: DataFrame, pcm: bool = True) -> DataFrame:
-    """docs with text replaced by codec, payload, media (a WAVE file), feature and (pcm) pcm16k.
+def features(codec: str, pcm: np.ndarray, wide: bytes) -> str:
+    """What a call sounds like, from exact sums over blocks of its samples, and the resampled PCM's size and checksum."""
+    total = power = crossings = peak = 0
+    for at in range(0, len(pcm), BLOCK):
+        x = pcm[at : at + BLOCK + 1].astype(np.int64)  # one sample more, for the crossing to the next block
+        crossings += int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
+        x = x[:BLOCK]
+        total, power, peak = total + int(x.sum()), power + int((x * x).sum()), max(peak, int(np.abs(x).max()))
+    n = len(pcm)
+    return f"codec={codec};samples={n};peak={peak};mean={total // n};power={power // n};crossings={crossings};pcm16k_samples={len(wide) // 2};pcm16k_crc32={zlib.crc32(wide)}"
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at = batch.schema.get_field_index("__t")
+        rest = [c for c in batch.schema.names if c != "__t"]
+        for first, last, data, offs in K.chunks(batch.column(at), CHUNK):
+            media = []
+            for a, b in zip(offs, offs[1:]):
+                payload = data[a:b].tobytes()
+                payload += bytes([PAD]) * (max(UNIT, -(-len(payload) // UNIT) * UNIT) - len(payload))
+                media.append(wave(payload, CODECS[zlib.crc32(payload) % len(CODECS)]))
+            back = [unwave(m) for m in media]
+            pcm = decoded(back)
+            wide = [resampled(x).astype("<i2", copy=False).tobytes() for x in pcm]
+            feature = [features(c, x, w) for (c, _), x, w in zip(back, pcm, wide)]
+            part = batch.slice(first, last - first)
+            made = {
+                "codec": pa.array([c for c, _ in back]),
+                "payload": pa.array([p for _, p in back], pa.binary()),
+                "media": pa.array(media, pa.binary()),
+                "feature": pa.array(feature),
+                "pcm16k": pa.array(wide, pa.binary()),
+            }
+            yield pa.RecordBatch.from_arrays([*[part.column(batch.schema.get_field_index(c)) for c in rest], *made.values()], [*rest, *made])
+
+
+def media_columns(docs: DataFrame) -> DataFrame:
+    """docs with text replaced by codec, payload, media (a WAVE file), feature and pcm16k, the call resampled to 16 kHz, as 16-bit samples.
 
     The text's bytes, filled up with 255 to a positive multiple of 576, stand
     for a call's codec bytes; a checksum of them picks the codec, so equal
@@ -169,18 +188,19 @@ def media_columns(docs: DataFrame, pcm: bool = True) -> DataFrame:
     and empty texts are one unit of filling. Other columns pass through,
     unless they have the name of a column made here. Rows are independent, so
     repeated rows, null ids and empty tables need no rule. A text of any
-    length is one file.
+    length, up to the 2 GB of a column's value, is one file; its samples are
+    worked on in blocks.
     """
-    made = ["codec", "payload", "media", "feature", *(["pcm16k"] if pcm else [])]
+    made = ["codec", "payload", "media", "feature", "pcm16k"]
     docs = without(docs, [*made, "__t"])
     rest = [f for f in docs.schema.fields if f.name != "text"]
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in rest], *[f"{c} {'string' if c in ('codec', 'feature') else 'binary'}" for c in made]])
-    return docs.select(*[F.col(f"`{f.name}`") for f in rest], text_of().alias("__t")).mapInArrow(_rows(pcm), schema)
+    return docs.select(*[F.col(f"`{f.name}`") for f in rest], text_of().alias("__t")).mapInArrow(_rows, schema)
 
 
 def op4_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text", F.octet_length(text_of()).cast("long").alias("n_bytes"))
-    return media_columns(docs, pcm=False).select(
+    return media_columns(docs).select(
         "doc_id",
         "n_bytes",
         F.octet_length("payload").cast("long").alias("payload_bytes"),
@@ -189,4 +209,6 @@ def op4_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
         "feature",
+        F.octet_length("pcm16k").cast("long").alias("pcm16k_bytes"),
+        F.sha2("pcm16k", 256).alias("pcm16k_sha256"),
     )

@@ -70,6 +70,19 @@ def test_resampling_keeps_samples_and_constants():
     assert np.abs(T.resampled(tone)[200:-200] - want[200:-200]).max() < 80
 
 
+def test_blocks_of_samples(monkeypatch):
+    """Whatever the size of a block: the same samples and features."""
+    rng = np.random.default_rng(6)
+    pcm = rng.integers(-32768, 32768, 1000).astype(np.int16)
+    payloads = [(c, rng.integers(0, 256, 576 * 4, dtype=np.uint8).tobytes()) for c in ("ima_adpcm", "alaw", "ima_adpcm")]
+    wide = T.resampled(pcm)
+    want = wide.tolist(), T.features("x", pcm, wide.tobytes()), [x.tolist() for x in T.decoded(payloads)]
+    for block in (1, 7, 8, 333, 999, 1000):
+        monkeypatch.setattr(T, "BLOCK", block)
+        wide = T.resampled(pcm)
+        assert (wide.tolist(), T.features("x", pcm, wide.tobytes()), [x.tolist() for x in T.decoded(payloads)]) == want
+
+
 def test_wave_round_trip():
     for codec in T.CODECS:
         for n in (1, 2, 5):
@@ -89,7 +102,9 @@ def test_query(spark, sf, documents):
         if len(p) < 3000:
             table = {"mulaw": mulaw, "alaw": alaw}
             pcm = np.array([table[codec](b) for b in p] if codec in table else [x for i in range(0, len(p), 576) for x in adpcm(p[i : i + 576])], np.int16)
-            assert r.feature == T.features(codec, pcm, T.resampled(pcm))
+            wide = T.resampled(pcm).astype("<i2").tobytes()
+            assert r.feature == T.features(codec, pcm, wide)
+            assert (r.pcm16k_bytes, r.pcm16k_sha256) == (len(wide), hashlib.sha256(wide).hexdigest())
 
 
 def test_odd_rows(odd, none):
