@@ -318,6 +318,11 @@ def _alike(pairs: DataFrame, told: DataFrame, percent: int) -> DataFrame:
     return stored(met.mapInArrow(run, pairs.schema).distinct(), "alike")
 
 
+def _sent(names: DataFrame, many: int) -> DataFrame:
+    """Names of sets, of which there are `many`: broadcast where they are known to fit, 128 bytes each, so that n-grams do not move to be discarded."""
+    return F.broadcast(names) if many <= BROADCAST_BYTES // 128 else names
+
+
 def _tried(pairs: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
     """(s, pivot) of the pairs that link."""
     right = grams.select(F.col("s").alias("pivot"), F.col("grams").alias("pivot_grams"))
@@ -350,7 +355,7 @@ def _large(pairs: DataFrame, lists: DataFrame, told: DataFrame, fetch: Callable[
     parts = stored(components(known, "s", "pivot"), "parts")
     # Lists that still span several components.
     label = stored(told.select("s").join(parts.withColumnRenamed("vertex", "s"), "s", "left").select("s", F.coalesce("component", "s").alias("c")), "label")
-    own = stored(lists.join(F.broadcast(label) if label.count() <= BROADCAST_BYTES // 128 else label, "s").select("k", "s", "n", "c"), "own")
+    own = stored(lists.join(_sent(label, label.count()), "s").select("k", "s", "n", "c"), "own")
     wide = own.groupBy("k").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.count(F.lit(1)).alias("sets")).where("a <> b").select("k", "sets")
     rest = stored(own.join(wide, "k"), "open")
     # In a list of a few sets all pairs may meet, in longer ones blocks do.
@@ -434,15 +439,16 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     packs = max(1, -(-2 * (totals["sets"] or 0) // block), -(-2 * (totals["n"] or 0) // block_grams))
     placed = stored(clusters.join(sizes.select("cluster", small.alias("fits")), "cluster").withColumn("pack", F.pmod(F.xxhash64("cluster"), F.lit(packs))), "placed")
     wanted = texts.mapInArrow(_grams(words, flagged(clusters, "rid", clusters.count())), "s binary, grams binary")
-    packed = wanted.join(placed.where("fits").select("s", "cluster", "pack"), "s").select("pack", "cluster", "s", "grams")
+    packed = wanted.join(_sent(placed.where("fits").select("s", "cluster", "pack"), totals["sets"] or 0), "s").select("pack", "cluster", "s", "grams")
     links = packed.groupBy("pack").applyInArrow(_product(percent, "cluster"), "u binary, v binary")
     if totals["large"]:
         wide = placed.where("not fits").select("s")
 
         def fetch(some: DataFrame) -> DataFrame:
             some = stored(some.join(reps, "s").select("s", "rid"), "some")
-            rows = texts.mapInArrow(_grams(words, flagged(some, "rid", some.count())), "s binary, grams binary")
-            return stored(rows.join(some.select("s"), "s").dropDuplicates(["s"]), "grams")
+            many = some.count()
+            rows = texts.mapInArrow(_grams(words, flagged(some, "rid", many)), "s binary, grams binary")
+            return stored(rows.join(_sent(some.select("s"), many), "s").dropDuplicates(["s"]), "grams")
 
         rids = placed.where("not fits").select("rid")
         told = texts.mapInArrow(_signatures(words, flagged(rids, "rid", rids.count())), "s binary, told binary")
