@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import stored
+from .storage import scratch, stored
 
 MOST_ROUNDS = 60
 #: Edges that one task contracts.
@@ -75,19 +75,21 @@ def components(edges: DataFrame, u: str = "u", v: str = "v", task_edges: int = T
     one link. A vertex that has loops alone is its own component. An empty
     table gives an empty result.
     """
-    links = stored(edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u is not null and v is not null"), "edges")
-    tasks = -(-links.count() // task_edges)
-    if tasks <= 1:
-        return stored(links.coalesce(1).mapInArrow(_stars, links.schema).toDF("vertex", "component"), "components")
-    links = stored(links.repartition(tasks).mapInArrow(_stars, links.schema), "stars")
-    now, before = links.where("u <> v"), None
-    for _ in range(MOST_ROUNDS):
-        now = stored(_small_star(_large_star(now)), "stars")
-        mark = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.shiftright(F.xxhash64("v", "u"), 20))).first()
-        if mark == before:
-            break
-        before = mark
-    else:
-        raise RuntimeError("components did not settle")
-    roots = links.select("u").distinct()
-    return roots.join(now, "u", "left").select(F.col("u").alias("vertex"), F.coalesce("v", "u").alias("component"))
+    with scratch(edges.sparkSession):
+        links = stored(edges.select(F.col(u).alias("u"), F.col(v).alias("v")).where("u is not null and v is not null"), "edges")
+        tasks = -(-links.count() // task_edges)
+        if tasks <= 1:
+            return stored(links.coalesce(1).mapInArrow(_stars, links.schema).toDF("vertex", "component"), "components", result=True)
+        links = stored(links.repartition(tasks).mapInArrow(_stars, links.schema), "stars")
+        now, before = links.where("u <> v"), None
+        for _ in range(MOST_ROUNDS):
+            now = stored(_small_star(_large_star(now)), "stars")
+            mark = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.shiftright(F.xxhash64("v", "u"), 20))).first()
+            if mark == before:
+                break
+            before = mark
+        else:
+            raise RuntimeError("components did not settle")
+        roots = links.select("u").distinct()
+        out = roots.join(now, "u", "left").select(F.col("u").alias("vertex"), F.coalesce("v", "u").alias("component"))
+        return stored(out, "components", result=True)

@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _STORED: dict[str, list[str]] = {}
+_OPEN = threading.local()
+#: Spark's setting to delete the shuffle files of an execution when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -21,20 +27,51 @@ def shared_dir(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
-def released(spark: SparkSession) -> int:
-    """Delete what this session has stored, once results have been written elsewhere; the number of tables. Frames that read them are of no use after that."""
-    paths = _STORED.pop(spark.sparkContext.applicationId, [])
+def _delete(spark: SparkSession, paths: list[str]) -> None:
     hadoop, jvm = spark._jsc.hadoopConfiguration(), spark._jvm
     for path in paths:
         place = jvm.org.apache.hadoop.fs.Path(path)
         place.getFileSystem(hadoop).delete(place, True)
+
+
+def released(spark: SparkSession) -> int:
+    """Delete what this session has stored, once results have been written elsewhere; the number of tables. Frames that read them are of no use after that."""
+    paths = _STORED.pop(spark.sparkContext.applicationId, [])
+    _delete(spark, paths)
     return len(paths)
 
 
-def stored(df: DataFrame, name: str = "part") -> DataFrame:
-    """Write df as a table in the shared folder and read it again."""
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What this thread stores in the block is deleted at its end. Results are not: they belong to the block around it, or stay until released()."""
+    blocks = _OPEN.__dict__.setdefault("blocks", [])
+    blocks.append([])
+    try:
+        yield
+    finally:
+        paths = blocks.pop()
+        held = _STORED.get(spark.sparkContext.applicationId, [])
+        held[:] = sorted(set(held) - set(paths))
+        _delete(spark, paths)
+
+
+def stored(df: DataFrame, name: str = "part", result: bool = False) -> DataFrame:
+    """Write df as a table in the shared folder and read it again.
+
+    The table takes the place of the shuffle files it was made from, so these
+    go at once and not when the driver next collects garbage. A result outlives
+    the scratch block it is written in.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     _STORED.setdefault(spark.sparkContext.applicationId, []).append(path)
-    df.write.parquet(path)
+    blocks = _OPEN.__dict__.get("blocks", [])[: -1 if result else None]
+    if blocks:
+        blocks[-1].append(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
