@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.storage import shared_dir, stored  # noqa: F401
+from ..plans.storage import scratch, shared_dir, stored  # noqa: F401
 
 #: ASCII white space as the operators' contracts name it.
 BLANKS = " \t\n\x0b\x0c\r"

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ascii_lower, digest, load, stored, text_of, without
+from .common import BLANKS, ascii_lower, digest, load, scratch, stored, text_of, without
 
 MIN_DOCUMENTS, MIN_LENGTH = 10, 1
 #: Keys of common lines, of 16 bytes each, that are broadcast at most.
@@ -65,12 +65,13 @@ def line_dedup(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min_length:
     texts = docs.select(text_of().alias("t"))
     keys = F.transform(F.split("t", "\n"), line_key)
     hashed = F.transform(keys, lambda k: F.when(F.char_length(k) >= min_length, digest(k)))
-    if copies_once:
-        common = _common_by_copies(texts, keys, min_documents, min_length)
-    else:
-        found = texts.select(F.explode(F.array_distinct(hashed)).alias("h")).where(F.col("h").isNotNull())
-        common = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_documents).select("h")
-    common = stored(common, "common-lines")
+    with scratch(docs.sparkSession):
+        if copies_once:
+            common = _common_by_copies(texts, keys, min_documents, min_length)
+        else:
+            found = texts.select(F.explode(F.array_distinct(hashed)).alias("h")).where(F.col("h").isNotNull())
+            common = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_documents).select("h")
+        common = stored(common, "common-lines", result=True)
     # Positions depend on the text alone: one copy of equal texts looks them up.
     lines = texts.select(digest(F.col("t")).alias("__text"), F.posexplode(hashed).alias("i", "h")).where(F.col("h").isNotNull())
     drops = _matched(lines, common).select("__text", "i").distinct().groupBy("__text").agg(F.collect_list("i").alias("__drop"))

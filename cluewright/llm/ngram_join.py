@@ -18,7 +18,8 @@ comes from: texts that represent a set are shingled where they are needed.
    still span several components, short ones let their pairs meet in the same
    way. Long ones are cut where neighbouring sizes rule each other out and
    multiplied block by block; blocks whose sizes rule each other out, or that
-   lie in one component, do not meet.
+   lie in one component, do not meet. Parities go to all pairs of blocks, the
+   n-grams only where a pair of rows is left that they do not rule out.
 4. Links of all kinds make the components. A block gives back a spanning
    forest of its links.
 """
@@ -26,16 +27,18 @@ comes from: texts that represent a set are shingled where they are needed.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..plans.components import components, least_reached
 from . import kernel as K
-from .common import bitmap, digest, in_bitmap, load, stored, text_of
+from .common import bitmap, digest, in_bitmap, load, scratch, stored, text_of
 
 WORDS, PERCENT = 3, 90
 #: Sizes of the bitmaps that keep rows from a shuffle, as powers of two: at most the first, and at least 2**SPARE flags for a key up to there.
@@ -299,6 +302,45 @@ def _signatures(n: int, rows: np.ndarray):
     return run
 
 
+def _at_hand(told: DataFrame) -> DataFrame:
+    """Signatures, broadcast if they are known to fit."""
+    size = told.agg(F.sum(F.octet_length("told") + 64)).first()[0] or 0
+    return F.broadcast(told) if size <= BROADCAST_BYTES else told
+
+
+def may_link(n: np.ndarray, part: np.ndarray, told: pa.Array, percent: int) -> np.ndarray:
+    """For each set whether sizes and signatures let it link with one of another part."""
+    length = pc.binary_length(told).to_numpy()
+    at = {k: np.flatnonzero(length == k) for k in np.unique(length)}
+    bits = {k: np.frombuffer(b"".join(told.take(pa.array(rows)).to_pylist()), np.uint8).reshape(len(rows), k) for k, rows in at.items()}
+    out = np.zeros(len(n), bool)
+    for k, long in combinations_with_replacement(sorted(at), 2):
+        x, y = bits[k], bits[long]
+        while y.shape[1] > k:
+            y = y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2 :]
+        x, y, b = x.view(np.uint64), np.ascontiguousarray(y).view(np.uint64), at[long]
+        step = max(1, (1 << 20) // y.size)
+        for lo in range(0, len(x), step):
+            a = at[k][lo : lo + step]
+            apart = np.bitwise_count(x[lo : lo + step, None] ^ y[None]).sum(2, dtype=np.int64)
+            m, o = n[a][:, None], n[b][None]
+            ok = (apart <= (m + o) * (100 - percent) // (100 + percent)) & (100 * np.minimum(m, o) >= percent * np.maximum(m, o)) & (part[a][:, None] != part[b][None])
+            out[a] |= ok.any(1)
+            out[b] |= ok.any(0)
+    return out
+
+
+def _promising(percent: int):
+    """(pair, s) of the sets of a pair of blocks that may link with one of another component there."""
+
+    def run(table: pa.Table) -> pa.Table:
+        part = table.column("c").combine_chunks().dictionary_encode().indices.to_numpy()
+        keep = may_link(table.column("n").to_numpy(), part, table.column("told").combine_chunks(), percent)
+        return table.select(["pair", "s"]).filter(pa.array(keep))
+
+    return run
+
+
 def _alike(pairs: DataFrame, told: DataFrame, percent: int) -> DataFrame:
     """pairs (s, n, pivot, pivot_n) without those that sizes or signatures rule out."""
 
@@ -311,8 +353,7 @@ def _alike(pairs: DataFrame, told: DataFrame, percent: int) -> DataFrame:
 
     names = pairs.columns
     sized = F.lit(100) * F.least("n", "pivot_n") >= F.lit(percent) * F.greatest("n", "pivot_n")
-    size = told.agg(F.sum(F.octet_length("told") + 64)).first()[0] or 0
-    told = F.broadcast(told) if size <= BROADCAST_BYTES else told
+    told = _at_hand(told)
     other = told.select(F.col("s").alias("pivot"), F.col("told").alias("pivot_told"))
     met = pairs.where(sized).join(told, "s").join(other, "pivot").select(*names, "told", "pivot_told")
     return stored(met.mapInArrow(run, pairs.schema).distinct(), "alike")
@@ -346,27 +387,32 @@ def _large(pairs: DataFrame, lists: DataFrame, told: DataFrame, fetch: Callable[
     """
     sides = lambda df: df.select("s").union(df.select("pivot")).distinct()
     ends = lambda df: df.select(F.col("s").alias("u"), F.col("pivot").alias("v"))
-    # One pivot of a set, which most of its lists name, before the others.
-    pairs = _alike(pairs, told, percent)
-    grams = fetch(sides(pairs))
-    best = pairs.groupBy("s").agg(F.max_by("pivot", F.struct("lists", "pivot")).alias("pivot"))
-    once = _tried(best, grams, percent)
-    known = once.unionByName(_tried(_apart(pairs.join(best, ["s", "pivot"], "left_anti"), once), grams, percent))
-    parts = stored(components(known, "s", "pivot"), "parts")
-    # Lists that still span several components.
-    label = stored(told.select("s").join(parts.withColumnRenamed("vertex", "s"), "s", "left").select("s", F.coalesce("component", "s").alias("c")), "label")
-    own = stored(lists.join(_sent(label, label.count()), "s").select("k", "s", "n", "c"), "own")
-    wide = own.groupBy("k").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.count(F.lit(1)).alias("sets")).where("a <> b").select("k", "sets")
-    rest = stored(own.join(wide, "k"), "open")
+    with scratch(pairs.sparkSession):
+        # One pivot of a set, which most of its lists name, before the others.
+        pairs = _alike(pairs, told, percent)
+        grams = fetch(sides(pairs))
+        best = pairs.groupBy("s").agg(F.max_by("pivot", F.struct("lists", "pivot")).alias("pivot"))
+        once = _tried(best, grams, percent)
+        known = once.unionByName(_tried(_apart(pairs.join(best, ["s", "pivot"], "left_anti"), once), grams, percent))
+        known = stored(known, "known", result=True)
+        # Lists that still span several components.
+        parts = components(known, "s", "pivot").withColumnRenamed("vertex", "s")
+        label = stored(told.select("s").join(parts, "s", "left").select("s", F.coalesce("component", "s").alias("c")), "label")
+        own = stored(lists.join(_sent(label, label.count()), "s").select("k", "s", "n", "c"), "own")
+        wide = own.groupBy("k").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.count(F.lit(1)).alias("sets")).where("a <> b").select("k", "sets")
+        rest = stored(own.join(wide, "k"), "open", result=True)
     # In a list of a few sets all pairs may meet, in longer ones blocks do.
     few = rest.where(F.col("sets") <= FEW)
     other = few.select("k", F.col("s").alias("pivot"), F.col("n").alias("pivot_n"), F.col("c").alias("pivot_c"))
     met = few.join(other, "k").where("s < pivot and c <> pivot_c").select("s", "n", "pivot", "pivot_n")
     met = _alike(met, told, percent)
     members = stored(_members(rest.where(F.col("sets") > FEW).drop("sets"), percent), "members")
-    grams = fetch(sides(met).union(members.select("s")).distinct())
+    # Signatures are a small part of the n-grams, so they are what goes to all pairs of blocks.
+    rows = _blocks(members, percent, block, block_grams).join(_at_hand(told), "s").groupBy("pair").applyInArrow(_promising(percent), "pair long, s binary")
+    rows = stored(rows, "promising")
+    grams = fetch(sides(met).union(rows.select("s")).distinct())
     more = _tried(met, grams, percent)
-    blocks = _blocks(members, percent, block, block_grams).join(grams, "s").groupBy("pair").applyInArrow(_product(percent, "pair"), "u binary, v binary")
+    blocks = rows.join(grams, "s").groupBy("pair").applyInArrow(_product(percent, "pair"), "u binary, v binary")
     return ends(known).unionByName(ends(more)).unionByName(blocks)
 
 
@@ -385,7 +431,7 @@ def _members(lists: DataFrame, percent: int) -> DataFrame:
 
 
 def _blocks(members: DataFrame, percent: int, block: int, grams: int) -> DataFrame:
-    """Rows of members (cluster, s, c, n), once for each pair of blocks they are in, with that pair's id."""
+    """(pair, s, n, c): members (cluster, s, c, n), once for each pair of blocks they are in."""
     # Sets of one band or of neighbouring bands can link; others cannot.
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)) + F.lit(1e-9)).cast("long") if percent < 100 else F.col("n")
     heavy = members.groupBy("cluster", "c").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= block).select("cluster", "c", F.col("c").alias("own"))
@@ -399,33 +445,22 @@ def _blocks(members: DataFrame, percent: int, block: int, grams: int) -> DataFra
     pairs = blocks.join(other, "cluster").where("(band2 = band and block2 >= block or band2 = band + 1) and not coalesce(own = own2, false)")
     pairs = pairs.withColumn("pair", F.xxhash64("block", "block2", F.lit("pair")))
     sides = pairs.select("pair", "block").union(pairs.select("pair", F.col("block2").alias("block"))).distinct()
-    return large.join(sides, "block").select("pair", "s")
-
+    return large.join(sides, "block").select("pair", "s", "n", "c")
 
-def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK, block_grams: int = BLOCK_GRAMS, most_bits: int = MOST_BITS, rows_by: list[str] | None = None) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id, the least doc_id that links of percent Jaccard or more reach.
 
-    A set is the distinct runs of `words` words, A-Z lower-cased; a text with
-    fewer words has its whole sequence. Null and empty texts have no shingle,
-    link with nothing and are their own component. Repeated rows and ids are
-    members like others. A null doc_id never names a component unless all ids
-    in it are null. Only doc_id and text are read, so other columns cannot
-    clash. An empty table gives an empty result. A text of any length is taken
-    whole; its words are hashed a piece at a time. docs has to give the same
-    rows each time it is read. Columns rows_by, doc_id if there are none, tell
-    rows of one text apart; that only saves work.
-    """
+def _classes(docs: DataFrame, words: int, percent: int, block: int, block_grams: int, most_bits: int, rows_by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, rid, s, n) of each row, and the component of each set that may link; both are tables."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    told = rows_by or ["doc_id"]
-    texts = docs.select("doc_id", F.xxhash64(*[F.col(f"`{c}`") for c in told], text_of()).alias("rid"), text_of().alias("t"))
-    sets = stored(texts.mapInArrow(_named(words), f"doc_id {kind}, rid long, s binary, n long"), "sets")
+    texts = docs.select("doc_id", F.xxhash64(*[F.col(f"`{c}`") for c in rows_by], text_of()).alias("rid"), text_of().alias("t"))
+    sets = stored(texts.mapInArrow(_named(words), f"doc_id {kind}, rid long, s binary, n long"), "sets", result=True)
     texts = texts.select("rid", "t")
     flagged = lambda of, key, n: bitmap(of, key, min(most_bits, max(LEAST_BITS, int(n).bit_length() + SPARE)))
     reps = stored(sets.where("n > 0").groupBy("s").agg(F.min("rid").alias("rid"), F.first("n").alias("n")), "reps")
     first = flagged(reps, "rid", reps.count())
     seen = texts.mapInArrow(_keys(words, percent, first, None), "k long").groupBy("k").agg(F.count(F.lit(1)).alias("c"))
-    shared = stored(seen.where("c > 1").select("k"), "shared")
-    flags = flagged(shared, "k", shared.count())
+    with scratch(docs.sparkSession):
+        shared = stored(seen.where("c > 1").select("k"), "shared")
+        flags = flagged(shared, "k", shared.count())
     postings = stored(texts.mapInArrow(_keys(words, percent, first, flags), "k long, s binary, n long").distinct(), "postings")
     pivots = postings.groupBy("k").agg(F.min_by("n", "s").alias("pivot_n"), F.min("s").alias("pivot"), F.max("s").alias("last")).where("pivot <> last").drop("last")
     pairs = postings.join(pivots, "k").where("s <> pivot").groupBy("s", "pivot").agg(F.count(F.lit(1)).alias("lists"), F.first("n").alias("n"), F.first("pivot_n").alias("pivot_n"))
@@ -440,7 +475,7 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
     placed = stored(clusters.join(sizes.select("cluster", small.alias("fits")), "cluster").withColumn("pack", F.pmod(F.xxhash64("cluster"), F.lit(packs))), "placed")
     wanted = texts.mapInArrow(_grams(words, flagged(clusters, "rid", clusters.count())), "s binary, grams binary")
     packed = wanted.join(_sent(placed.where("fits").select("s", "cluster", "pack"), totals["sets"] or 0), "s").select("pack", "cluster", "s", "grams")
-    links = packed.groupBy("pack").applyInArrow(_product(percent, "cluster"), "u binary, v binary")
+    links = stored(packed.groupBy("pack").applyInArrow(_product(percent, "cluster"), "u binary, v binary"), "pack-links")
     if totals["large"]:
         wide = placed.where("not fits").select("s")
 
@@ -454,7 +489,24 @@ def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCE
         told = texts.mapInArrow(_signatures(words, flagged(rids, "rid", rids.count())), "s binary, told binary")
         told = stored(told.join(wide, "s").dropDuplicates(["s"]), "signatures")
         links = links.unionByName(_large(pairs.join(wide, "s", "left_semi"), postings, told, fetch, percent, block, block_grams))
-    final = components(links)
+    return sets, stored(components(links), "final", result=True)
+
+
+def jaccard_components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, block: int = BLOCK, block_grams: int = BLOCK_GRAMS, most_bits: int = MOST_BITS, rows_by: list[str] | None = None) -> DataFrame:
+    """Per row of docs: doc_id, n_shingles, component_id, the least doc_id that links of percent Jaccard or more reach.
+
+    A set is the distinct runs of `words` words, A-Z lower-cased; a text with
+    fewer words has its whole sequence. Null and empty texts have no shingle,
+    link with nothing and are their own component. Repeated rows and ids are
+    members like others. A null doc_id never names a component unless all ids
+    in it are null. Only doc_id and text are read, so other columns cannot
+    clash. An empty table gives an empty result. A text of any length is taken
+    whole; its words are hashed a piece at a time. docs has to give the same
+    rows each time it is read. Columns rows_by, doc_id if there are none, tell
+    rows of one text apart; that only saves work.
+    """
+    with scratch(docs.sparkSession):
+        sets, final = _classes(docs, words, percent, block, block_grams, most_bits, rows_by or ["doc_id"])
     labelled = sets.select("doc_id", "s", "n").join(final.withColumnRenamed("vertex", "s"), "s", "left").withColumn("c", F.when(F.col("n") > 0, F.coalesce("component", "s")))
     labelled = labelled.select("doc_id", "n", "c")
     least = labelled.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("least"))
@@ -474,10 +526,12 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     decide; of rows equal in all columns one stays. Texts without shingles link
     with nothing, so their rows all stay.
     """
-    groups = stored(text_groups(docs, **options), "text-groups")
     rest = digest(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "text"]), {"ignoreNullFields": "false"}))
     keyed = docs.withColumn("__text", digest(text_of())).withColumn("__rest", rest)
-    rows = stored(keyed.select("__text", "__rest", F.col("doc_id").alias("__id")).join(groups.withColumnRenamed("text_key", "__text"), "__text", "left"), "text-rows")
+    with scratch(docs.sparkSession):
+        groups = stored(text_groups(docs, **options), "text-groups")
+        rows = keyed.select("__text", "__rest", F.col("doc_id").alias("__id")).join(groups.withColumnRenamed("text_key", "__text"), "__text", "left")
+        rows = stored(rows, "text-rows", result=True)
     first = rows.where("group_key is not null").groupBy("group_key").agg(F.min(F.struct(F.col("__id").isNull(), F.col("__id"), F.col("__text"), F.col("__rest"))).alias("x"))
     alone = rows.where("group_key is null").select("__text", "__rest", F.lit(True).alias("__all")).distinct()
     stay = first.select("x.__text", "x.__rest", F.lit(False).alias("__all")).unionByName(alone)

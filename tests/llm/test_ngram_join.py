@@ -90,6 +90,26 @@ def test_signatures_bound_the_difference():
             assert bound <= apart and bound >= min(apart, n / 4) * 0.25
 
 
+def test_sets_that_signatures_let_link():
+    """The blocked comparison of signatures against one pair at a time."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    for percent in (50, 80, 90, 100):
+        for _ in range(20):
+            base = np.unique(rng.integers(0, 1 << 63, rng.integers(1, 400), dtype=np.uint64))
+            sets = [np.unique(np.r_[base[rng.random(len(base)) > rng.choice([0, 0.05, 0.3])], rng.integers(0, 1 << 63, rng.integers(1, 6), dtype=np.uint64)]) for _ in range(rng.integers(1, 30))]
+            n, part, told = np.array([len(x) for x in sets]), rng.integers(0, 4, len(sets)), [J.signature(x) for x in sets]
+
+            def may(i, j):
+                near = J.least_difference(told[i], told[j]) <= (n[i] + n[j]) * (100 - percent) // (100 + percent)
+                return part[i] != part[j] and 100 * min(n[i], n[j]) >= percent * max(n[i], n[j]) and near
+
+            want = [any(may(i, j) for j in range(len(sets))) for i in range(len(sets))]
+            assert J.may_link(n, part, pa.array([x.tobytes() for x in told], pa.binary()), percent).tolist() == want
+
+
 def test_linked_sets_share_a_key():
     """Whatever the sizes: sets that link have a key in common, also where blocks are empty."""
     import numpy as np
