@@ -1,8 +1,11 @@
 from __future__ import annotations
 
+import math
 import zlib
 from collections import defaultdict
+from itertools import groupby
 
+import pytest
 from pyspark.sql import functions as F
 
 from cluewright.llm import sharding as S
@@ -45,6 +48,49 @@ def test_equal_texts_stay_together_unless_they_overfill(spark):
     assert sum(len(x) > 1 for x in facts(out)[3].values()) <= 4
 
 
+def brute_force(rows, shards):
+    """(shard, slot) of each doc_id from one sorted list, where no text overfills a range."""
+    rows, total = sorted(rows), sum(r[2] for r in rows)
+    at, out, filled = 0, {}, defaultdict(int)
+    for _, group in groupby(rows, key=lambda r: r[0]):
+        group = list(group)
+        size = sum(r[2] for r in group)
+        shard = min(shards - 1, math.floor((at + size / 2) * shards / total))
+        for r in group:
+            out[r[3]] = (shard, filled[shard])
+            filled[shard] += 1
+        at += size
+    return out
+
+
+@pytest.mark.parametrize("rows_per_range", [40, S.ROWS_PER_RANGE])
+def test_against_one_sorted_list(spark, rows_per_range):
+    docs = spark.createDataFrame([(i, f"text {i // 2} " * (i // 2 % 23 + 1)) for i in range(1500)], "doc_id long, text string")
+    keys = docs.select(F.xxhash64("text", F.lit("text")), F.xxhash64("doc_id", F.lit("id")), (F.octet_length("text") + 1).cast("long"), "doc_id")
+    expected = brute_force([tuple(r) for r in keys.collect()], 5)
+    assert {r.doc_id: (r.shard, r.slot) for r in S.shard_plan(docs, 5, rows_per_range).collect()} == expected
+
+
+def test_a_hot_text_is_cut_into_many_ranges(spark):
+    docs = spark.createDataFrame([(i, "the same text " if i % 3 else f"other {i} ") for i in range(3000)], "doc_id long, text string")
+    keys = docs.select(F.xxhash64("text", F.lit("text")).alias("h1"), F.xxhash64("doc_id", F.lit("id")).alias("h2"), F.lit(1).alias("size"))
+    hot = keys.groupBy("h1").count().orderBy(F.desc("count")).first()["h1"]
+    sample = [tuple(r) for r in keys.where("h2 % 3 = 0").collect()]
+    cuts = sorted(S._splitters(sample, 64, 3000.0))
+    fullest = lambda f: f.where(F.col("h1") == hot).groupBy("r", "q").count().agg(F.max("count")).first()[0]
+    ranged = S._ranged(keys, cuts, 7)
+    assert ranged.count() == 3000
+    assert fullest(ranged) < 40 < fullest(S._ranged(keys, cuts, 0))
+    assert ranged.groupBy("r").agg(F.countDistinct(F.col("h1") == hot).alias("n")).where("n > 1").count() == 0
+    seen = [tuple(r) for r in ranged.orderBy("h1", "h2").select("r", "q").collect()]
+    assert seen == sorted(seen)
+    out = S.shard_plan(docs, 4, 50).collect()
+    size, count, slots, _ = facts(out)
+    assert sorted(r.doc_id for r in out) == list(range(3000))
+    assert all(abs(x - sum(size.values()) / 4) < 0.05 * sum(size.values()) / 4 for x in size.values())
+    assert all(sorted(s) == list(range(count[k])) for k, s in slots.items())
+
+
 def test_odd_rows(odd, none):
     out = S.shard_plan(odd.withColumn("Shard", F.lit("mine")), 4).collect()
     assert len(out) == odd.count()
