@@ -14,6 +14,8 @@ the records themselves are written.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,6 +34,11 @@ LOOKUP_BITS = 12
 _LEAST = -(1 << 63)
 
 
+def _table(spark: SparkSession, rows: list, schema: str) -> DataFrame:
+    """A small table of the driver's rows, as a literal that the JVM reads: no Python worker takes part."""
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
+
+
 def _drawn(rows: DataFrame, want: int) -> list[tuple]:
     """Keys drawn with chance min(1, want * size / total), by a hash of the row: the same in each run. About want rows."""
     total = rows.agg(F.sum("size")).first()[0] or 0
@@ -72,16 +79,17 @@ def _ranged(rows: DataFrame, cuts: list[tuple[int, int]], steps: int) -> DataFra
     for a, b in cuts:
         within.setdefault(a >> shift, []).append((a, b))
     for stretch in range(-(1 << LOOKUP_BITS - 1), 1 << LOOKUP_BITS - 1):
-        table.append((stretch, base, within.get(stretch, [])))
-        base += len(table[-1][2])
-    lookup = rows.sparkSession.createDataFrame(table, "__stretch long, __base int, __cuts array<struct<a:long,b:long>>")
+        here = within.get(stretch, [])
+        table.append({"__stretch": stretch, "__base": base, "__cuts": [{"a": a, "b": b} for a, b in here]})
+        base += len(here)
+    lookup = _table(rows.sparkSession, table, "__stretch: long, __base: int, __cuts: array<struct<a: long, b: long>>")
     key = F.struct(F.col("h1").alias("a"), F.col("h2").alias("b"))
     out = rows.withColumn("__stretch", F.shiftright("h1", shift)).join(F.broadcast(lookup), "__stretch")
     out = out.withColumn("r", F.col("__base") + F.size(F.filter("__cuts", lambda c: c <= key))).drop("__stretch", "__base", "__cuts")
     if not steps:
         return out.withColumn("q", F.lit(0).cast("long"))
-    inner = [(i + 1,) for i, (a, b) in enumerate(cuts) if cuts[i + 1 : i + 2] and cuts[i + 1][0] == a or b != _LEAST]
-    marks = rows.sparkSession.createDataFrame(inner, "r int").withColumn("__inner", F.lit(True))
+    inner = [{"r": i + 1} for i, (a, b) in enumerate(cuts) if cuts[i + 1 : i + 2] and cuts[i + 1][0] == a or b != _LEAST]
+    marks = _table(rows.sparkSession, inner, "r: int").withColumn("__inner", F.lit(True))
     q = F.when(F.col("__inner"), F.shiftright("h2", 64 - steps)).otherwise(F.shiftright("h1", 64 - steps))
     return out.join(F.broadcast(marks), "r", "left").withColumn("q", q).drop("__inner")
 
@@ -125,9 +133,9 @@ def shard_plan(docs: DataFrame, shards: int = SHARDS, rows_per_range: int = ROWS
     ranged = _ranged(rows, cuts, steps)
     at, starts = 0, []
     for x in sorted(ranged.groupBy("r", "q").agg(F.sum("size").alias("b")).collect()):
-        starts.append((x["r"], x["q"], at))
+        starts.append({"r": x["r"], "q": x["q"], "begin": at})
         at += x["b"]
-    begin = docs.sparkSession.createDataFrame(starts, "r int, q long, begin long")
+    begin = _table(docs.sparkSession, starts, "r: int, q: long, begin: long")
     order = W.partitionBy("r", "q").orderBy("h1", "h2", "size", "text_crc32")
     before = F.coalesce(F.sum("size").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     placed = ranged.join(F.broadcast(begin), ["r", "q"]).withColumn("at", F.col("begin") + before).withColumn("place", F.row_number().over(order))
@@ -137,9 +145,9 @@ def shard_plan(docs: DataFrame, shards: int = SHARDS, rows_per_range: int = ROWS
     placed = stored(placed.select("doc_id", "size", "text_crc32", "r", "q", "place", shard.alias("shard")), "placed")
     filled, offsets = {}, []
     for r, q, s, n, first in sorted(tuple(x) for x in placed.groupBy("r", "q", "shard").agg(F.count(F.lit(1)), F.min("place")).collect()):
-        offsets.append((r, q, s, filled.get(s, 0) - first))
+        offsets.append({"r": r, "q": q, "shard": s, "o": filled.get(s, 0) - first})
         filled[s] = filled.get(s, 0) + n
-    table = docs.sparkSession.createDataFrame(offsets, "r int, q long, shard int, o long")
+    table = _table(docs.sparkSession, offsets, "r: int, q: long, shard: int, o: long")
     return placed.join(F.broadcast(table), ["r", "q", "shard"]).select("doc_id", "size", "text_crc32", "shard", (F.col("place") + F.col("o")).alias("slot"))
 
 
