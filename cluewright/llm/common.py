@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +39,12 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def replaced(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
+    """batch with other values in a column whose field, nullability included, stays: all batches of a task need one schema."""
+    at = batch.schema.get_field_index(name)
+    return batch.set_column(at, batch.schema.field(at), values)
+
+
 def bitmap(keys: DataFrame, column: str, bits: int) -> np.ndarray:
     """A set of 64-bit hashes as 2**bits flags, packed in uint8: a bounded and one-sided filter.
 

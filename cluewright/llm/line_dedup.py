@@ -28,27 +28,6 @@ def _matched(lines: DataFrame, keys: DataFrame) -> DataFrame:
     return lines.join(F.broadcast(keys) if few else keys, "h", "left_semi")
 
 
-def _common_by_copies(docs: DataFrame, keys: Column, min_documents: int, min_length: int) -> DataFrame:
-    """(h,) of keys in min_documents documents, where texts that are mostly made of lines of other texts count as one.
-
-    Lines of at least min_documents distinct texts may be common. A text with
-    half of its bytes or more in such lines is a copy or near copy, told by the
-    least of them; any other text counts by itself. So copies of one text, or
-    near copies of it, hardly add to the documents of their lines, however
-    many there are.
-    """
-    told = F.transform(keys, lambda k: F.when(F.char_length(k) >= min_length, F.struct(digest(k).alias("h"), F.octet_length(k).cast("long").alias("w"))))
-    lines = docs.select(digest(F.col("t")).alias("__text"), F.explode(F.array_distinct(told)).alias("x")).where("x is not null").select("__text", "x.h", "x.w")
-    lines = stored(lines.distinct(), "lines")
-    often = stored(lines.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_documents).select("h"), "often")
-    hits = stored(_matched(lines, often), "often-lines")
-    whole = lines.groupBy("__text").agg(F.sum("w").alias("all"))
-    shared = hits.groupBy("__text").agg(F.sum("w").alias("w"), F.min("h").alias("least"))
-    group = shared.join(whole, "__text").select("__text", F.when(2 * F.col("w") >= F.col("all"), F.col("least")).otherwise(F.col("__text")).alias("g"))
-    found = hits.join(group, "__text").select("h", "g").distinct()
-    return found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_documents).select("h")
-
-
 def line_dedup(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min_length: int = MIN_LENGTH, copies_once: bool = False) -> DataFrame:
     """docs with their lines of common keys dropped, and n_lines, n_dropped.
 
@@ -56,8 +35,8 @@ def line_dedup(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min_length:
     Keys of at least min_length code points that stand in at least
     min_documents rows lose all their lines. Each row counts as one document,
     so repeated rows and ids count each time; with copies_once, equal texts
-    count once, and so do texts that share most of their lines. A null or empty
-    text is one empty line and comes back empty. Columns named n_lines or
+    are one document, so that copies alone never empty each other. A null or
+    empty text is one empty line and comes back empty. Columns named n_lines or
     n_dropped are replaced, others kept. An empty table gives an empty result.
     Texts of any length are taken whole.
     """
@@ -66,11 +45,10 @@ def line_dedup(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min_length:
     keys = F.transform(F.split("t", "\n"), line_key)
     hashed = F.transform(keys, lambda k: F.when(F.char_length(k) >= min_length, digest(k)))
     with scratch(docs.sparkSession):
-        if copies_once:
-            common = _common_by_copies(texts, keys, min_documents, min_length)
-        else:
-            found = texts.select(F.explode(F.array_distinct(hashed)).alias("h")).where(F.col("h").isNotNull())
-            common = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_documents).select("h")
+        own = texts.select(digest(F.col("t")).alias("__text"), F.array_distinct(hashed).alias("hs"))
+        own = own.dropDuplicates(["__text"]) if copies_once else own  # hashes move, not texts, and copies are one row before they do
+        found = own.select(F.explode("hs").alias("h")).where(F.col("h").isNotNull())
+        common = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_documents).select("h")
         common = stored(common, "common-lines", result=True)
     # Positions depend on the text alone: one copy of equal texts looks them up.
     lines = texts.select(digest(F.col("t")).alias("__text"), F.posexplode(hashed).alias("i", "h")).where(F.col("h").isNotNull())

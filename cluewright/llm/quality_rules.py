@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel as K
-from .common import digest, load, stored, text_of, without
+from .common import digest, load, replaced, stored, text_of, without
 
 #: A line is common on a host if over LINE_DOCUMENTS of its documents have it, however many documents there are. On a small host
 #: over LINE_SHARE of them is enough, but not fewer than over LEAST_DOCUMENTS.
@@ -140,7 +140,7 @@ def _without_common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 body, ends = _cleaned(data, offs, [own[i].values.to_numpy() if ok else None for i, ok in enumerate(valid)])
                 kind = pa.large_string() if len(body) >> 31 else pa.string()
                 made = pa.Array.from_buffers(kind, len(own), [None, pa.py_buffer(ends.astype(np.int64 if kind == pa.large_string() else np.int32)), pa.py_buffer(np.ascontiguousarray(body))]).cast(texts.type)
-                part = part.set_column(rest.index("text"), "text", made)
+                part = replaced(part, "text", made)
             yield part
 
 

@@ -23,17 +23,12 @@ def by_hand(texts, documents):
 
 
 def by_copies(texts, documents):
-    """As by_hand, where equal texts count once, and texts of which lines of many texts make up half or more count by the least of these."""
-    print_ = lambda k: hashlib.md5(k.encode()).digest()
-    own = {t: {k for x in t.split("\n") if (k := x.strip(BLANK).translate(LOW))} for t in {t or "" for t in texts}}
-    often = {k for k, n in Counter(k for ks in own.values() for k in ks).items() if n >= documents}
-    size = lambda ks: sum(len(k.encode()) for k in ks)
-    found = {(k, min(map(print_, ks & often)) if 2 * size(ks & often) >= size(ks) else t) for t, ks in own.items() for k in ks & often}
-    common = {k for k, n in Counter(k for k, _ in found).items() if n >= documents}
+    """As by_hand, where equal texts count once."""
+    found = Counter(k for t in {t or "" for t in texts} for k in {x.strip(BLANK).translate(LOW) for x in t.split("\n")} if k)
     out = []
     for t in texts:
         lines = (t or "").split("\n")
-        kept = [x for x in lines if x.strip(BLANK).translate(LOW) not in common]
+        kept = [x for x in lines if found[x.strip(BLANK).translate(LOW)] < documents]
         out.append((len(lines), len(lines) - len(kept), "\n".join(kept)))
     return out
 
@@ -72,3 +67,12 @@ def test_threshold_counts_documents_not_lines(spark):
     got = {r.doc_id: r.text for r in L.line_dedup(docs, min_documents=2).collect()}
     assert got == {1: "", 2: "", 3: ""}
     assert {r.doc_id: r.text for r in L.line_dedup(docs, min_documents=3).collect()}[1] == "x\nx\nx"
+
+
+def test_boilerplate_goes_and_copies_stay(spark):
+    """60 pages of which navigation is most of the bytes lose all of it; 15 copies of a page of its own lines keep theirs."""
+    menu = ["home products contact imprint and a long list of links " * 3, "search the whole site for anything you like " * 3, "all rights reserved by the owner of this page " * 3]
+    texts = ["\n".join([menu[0], f"own sentence number {i}", *menu[1:]]) for i in range(60)] + ["one line\nand another\nof a copied page"] * 15
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.text for r in L.line_dedup(docs, copies_once=True).collect()}
+    assert got == {i: f"own sentence number {i}" if i < 60 else t for i, t in enumerate(texts)}

@@ -32,6 +32,11 @@ def test_long_texts_pass_through(spark, long_docs, tmp_path):
     every = list(range(7))
     rules = {r.doc_id: r for r in quality_rules.quality_rules(docs, texts=False).collect()}
     assert sorted(rules) == every and rules[0].n_words == 1 and rules[1].n_words == 0 and rules[2].word_chars == 4 * MB and rules[3].n_words == MB + 1
+    cleaned = {r.doc_id: r.text for r in quality_rules.quality_rules(docs).collect()}
+    assert cleaned == {r.doc_id: r.text or "" for r in docs.select("doc_id", "text").collect()}
+    once = {r.doc_id: r.n_dropped for r in line_dedup.line_dedup(docs, copies_once=True, min_documents=2).collect()}
+    assert once == dict.fromkeys(every, 0)
+    assert ids(ngram_join.one_of_each(docs)) == [0, 1, 2, 3, 5, 6]
     groups = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(docs).collect()}
     assert groups[4] == groups[3] and groups[3][1] == 3 and groups[2] == (1, 2) and groups[1] == (0, 1)
     calls = {r.doc_id: r for r in telephony.media_columns(docs).select("doc_id", "feature", "payload").collect()}

@@ -97,3 +97,12 @@ def test_limit_does_not_grow_with_the_host(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     hit = {r.doc_id for r in Q.quality_rules(docs, texts=False).where("n_common_words > 0").select("doc_id").collect()}
     assert hit == {*range(0, 2500, 100), *range(5000, 5012)}
+
+
+def test_chunks_with_and_without_common_lines(spark):
+    """One task whose first run of texts has common lines and whose others have none gives batches of one schema."""
+    own = lambda i, n: " ".join(f"w{i}x{k}" for k in range(n))
+    rows = [(i, "shared line of all short texts\n" + own(i, 80), "a") for i in range(30)] + [(30 + i, own(30 + i, 120_000), "a") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1)
+    got = {r.doc_id: r.text for r in Q.quality_rules(docs).collect()}
+    assert got == {i: t.removeprefix("shared line of all short texts\n") for i, t, _ in rows}
