@@ -16,6 +16,7 @@ _MODULES = {
     "op8_ngram_join": "ngram_join",
     "op9_mixing": "mixing",
     "op10_licences": "licences",
+    "op11_filter_audit": "filter_audit",
     "op12_whitening": "whitening",
     "op13_sentencepiece": "sentencepieces",
 }

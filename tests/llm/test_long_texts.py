@@ -7,7 +7,7 @@ import random
 
 import pytest
 
-from cluewright.llm import kneser_ney, licences, line_dedup, mixing, ngram_join, packing, quality_rules, sentencepieces, sharding, suffix_dedup, telephony
+from cluewright.llm import filter_audit, kneser_ney, licences, line_dedup, mixing, ngram_join, packing, quality_rules, sentencepieces, sharding, suffix_dedup, telephony
 
 MB = 1_000_000
 
@@ -50,6 +50,8 @@ def test_long_texts_pass_through(spark, long_docs, tmp_path):
     assert ids(sharding.shard_plan(docs, 2)) == every and set(ids(mixing.mix(docs))) <= set(every)
     parts = {r.doc_id: r for r in sentencepieces.encode(docs, decode=True).selectExpr("doc_id", "size(ids) n", "decoded").collect()}
     assert sorted(parts) == every and all(parts[r.doc_id].decoded == (r.text or "") for r in docs.collect()) and parts[1].n == MB + 1
+    failed = {r.doc_id: r["mask"] for r in filter_audit.failed_filters(docs).collect()}
+    assert failed == {0: 1, 1: 1, 2: 5, 3: 2, 4: 2 + filter_audit.COPY, 5: 1, 6: 1}
     assert ids(licences.license_scan(docs)) == every
     scored = kneser_ney.quality_classifier(docs, docs.where("doc_id in (3, 5)").select("doc_id"))
     assert ids(scored) == every
