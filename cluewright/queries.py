@@ -488,13 +488,52 @@ _LOG = """log AS (SELECT concat('u', user_id) AS clue_id, ts AS stamp, event_id
   CASE (event_id * 7 + event_id // 11) % 5 WHEN 0 THEN '已立案' WHEN 1 THEN '已固证' WHEN 2 THEN '查证中' WHEN 3 THEN '待查' ELSE '已排除' END AS status FROM events)"""
 
 
-@_query(f"""WITH {_LOG}, b AS (SELECT *, coalesce(lag(status) OVER (PARTITION BY clue_id ORDER BY stamp, seq), '待查') AS before FROM log)
-SELECT clue_id, seq, before, status, (before = '待查' AND status IN ('查证中', '已排除', '已固证')) OR (before = '查证中' AND status IN ('待查', '已排除', '已固证'))
-  OR (before = '已排除' AND status = '待查') OR (before = '已固证' AND status IN ('已排除', '已立案')) AS valid FROM b""")
+_STEP = """({0} = '待查' AND {1} IN ('查证中', '已排除', '已固证')) OR ({0} = '查证中' AND {1} IN ('待查', '已排除', '已固证'))
+  OR ({0} = '已排除' AND {1} = '待查') OR ({0} = '已固证' AND {1} IN ('已排除', '已立案'))"""
+
+
+@_query(f"""WITH RECURSIVE {_LOG}, n AS (SELECT *, row_number() OVER (PARTITION BY clue_id ORDER BY stamp, seq) AS rn FROM log),
+run AS (SELECT clue_id, rn, seq, '待查' AS before, status FROM n WHERE rn = 1
+  UNION ALL SELECT n.clue_id, n.rn, n.seq, CASE WHEN {_STEP.format("run.before", "run.status")} THEN run.status ELSE run.before END, n.status
+  FROM run JOIN n ON n.clue_id = run.clue_id AND n.rn = run.rn + 1)
+SELECT clue_id, seq, before, status, {_STEP.format("before", "status")} AS valid FROM run""")
 def state_transitions(spark, sf_dir):
     return disposal.replay(_log(spark, sf_dir)).select("clue_id", "seq", "before", "status", "valid")
 
 
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("seq")
+    return _log(spark, sf_dir).withColumns({"operator": F.when(i % 7 == 0, "Bot").otherwise(F.concat(F.lit("Li "), i % 5)), "note": F.when(i % 3 == 0, F.concat(F.lit("why "), i)).otherwise("")})
+
+
+_PLAYED = f"""{_CLUES}, {_LOG}, n AS (SELECT log.*, seq % 7 <> 0 AS person, seq % 3 = 0 AS noted, row_number() OVER (PARTITION BY log.clue_id ORDER BY stamp, seq) AS rn FROM log JOIN clue ON clue.clue_id = log.clue_id AND clue.u % 3 <> 0),
+run AS (SELECT k.clue_id, 0 AS rn, CAST(NULL AS BIGINT) AS seq, k.status AS now, k.status AS asked, FALSE AS ok, 0 AS steps, CAST(NULL AS BIGINT) AS last FROM clue k WHERE u % 3 <> 0
+  UNION ALL SELECT clue_id, rn, seq, CASE WHEN ok THEN asked ELSE now END, asked, ok, steps + CAST(ok AS INT), CASE WHEN ok THEN seq ELSE last END FROM (
+    SELECT n.clue_id, n.rn, n.seq, run.now, n.status AS asked, run.steps, run.last,
+      n.person AND ({_STEP.format("run.now", "n.status")}) AND (n.noted OR n.status NOT IN ('已排除', '已立案')) AS ok
+    FROM run JOIN n ON n.clue_id = run.clue_id AND n.rn = run.rn + 1))"""
+
+
+@_query(f"""WITH RECURSIVE {_PLAYED}
+SELECT clue_id, now AS status, steps AS steps, CASE WHEN last IS NOT NULL THEN concat('Li ', last % 5) END AS last_operator, CASE WHEN last % 3 = 0 THEN concat('why ', last) WHEN last IS NOT NULL THEN '' END AS last_note
+FROM (SELECT *, row_number() OVER (PARTITION BY clue_id ORDER BY rn DESC) AS k FROM run) WHERE k = 1""")
+def disposal_board(spark, sf_dir):
+    """Clues after all requests of a log, with who made the last step that counted, and how many did."""
+    clues = _clues(spark, sf_dir).where("ord % 3 <> 0")
+    now, steps = disposal.board(clues, _requests(spark, sf_dir))
+    counts = steps.groupBy("clue_id").agg(F.count(F.lit(1)).cast("int").alias("steps"))
+    return now.join(counts, "clue_id", "left").select("clue_id", "status", F.coalesce("steps", F.lit(0)).alias("steps"), "last_operator", "last_note")
+
+
+@_query(f"""WITH RECURSIVE {_PLAYED}
+SELECT CASE WHEN run.ok THEN 'valid' WHEN run.seq % 7 = 0 THEN 'no named operator' WHEN NOT ({_STEP.format("p.now", "run.asked")}) THEN 'step not permitted' ELSE 'note missing' END AS reason, count(*) AS n
+FROM run JOIN run p ON p.clue_id = run.clue_id AND p.rn = run.rn - 1 GROUP BY 1 UNION ALL SELECT 'unknown clue', count(*) FROM log WHERE CAST(substring(clue_id, 2) AS BIGINT) % 3 = 0""")
+def refusals(spark, sf_dir):
+    """Why requests of a log are refused, each in the state that those before it have left."""
+    checked = disposal.replay(_requests(spark, sf_dir), _clues(spark, sf_dir).where("ord % 3 <> 0"))
+    return checked.groupBy(F.coalesce("reason", F.lit("valid")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @_query(f"WITH {_LOG}, r AS (SELECT *, row_number() OVER (PARTITION BY clue_id ORDER BY stamp DESC, seq DESC) AS rn FROM log) SELECT clue_id, status FROM r WHERE rn = 1")
 def status_snapshot(spark, sf_dir):
     return scans.latest(_log(spark, sf_dir), ["clue_id"], ["at", "seq"]).select("clue_id", "status")
