@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..plans.components import components
+from ..plans.overlap import overlaps
 from ..plans.ranking import ranked
 from ..plans.storage import stored
 
@@ -26,8 +27,6 @@ FILED, CONFIRMED, VERIFYING, PENDING, EXCLUDED = "已立案", "已固证", "查
 SCOPES = {"flow": "现金", "call": "通话", "trajectory": "轨迹"}
 #: Where clues come from: scans, crossed channels, a plan of tasks.
 SCAN, CROSSING, PLAN = "scan", "crossing", "plan"
-#: Items of a set that take as long to intersect as one meeting takes to count.
-SET_STEPS = 8
 #: Order in lists: the furthest status first.
 STATUSES = [FILED, CONFIRMED, VERIFYING, PENDING, EXCLUDED]
 
@@ -42,43 +41,6 @@ def clue_id(*columns: str) -> Column:
     return F.substring(evidence_key(*columns), 1, 8)
 
 
-def overlaps(sets: DataFrame, key: str, item: str, least: float) -> DataFrame:
-    """(a, b, common, score), a < b: pairs of keys whose item sets have a Jaccard index of least or more.
-
-    Items are an inverted index; only keys that share one meet. Two exact ways
-    are held against each other by the number of meetings they make, which the
-    items' frequencies tell beforehand. One counts the meetings of each pair
-    over all items. The other lets keys meet by their n - ceil(least n) + 1
-    rarest items alone, of which a pair has to share one, and then intersects
-    the two sets: it is the way where some items are in very many sets.
-    """
-    rows = sets.select(F.col(key).alias("k"), F.col(item).alias("x")).where("k is not null and x is not null").distinct()
-    sizes = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-    keys = stored(sizes.withColumn("id", F.monotonically_increasing_id()), "keys")
-    seen = rows.groupBy("x").agg(F.count(F.lit(1)).alias("df"))
-    place = F.row_number().over(W.partitionBy("id").orderBy("df", "x"))
-    rare = place <= F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1
-    rows = stored(rows.join(seen, "x").join(keys, "k").select("id", "n", "df", F.xxhash64("x").alias("h"), "x").withColumn("rare", rare), "items")
-    pairs = lambda of: of.groupBy("x").agg(F.count(F.lit(1)).cast("double").alias("c")).agg(F.coalesce(F.sum(F.col("c") * F.col("c")), F.lit(0.0))).first()[0]
-    met_all, met_rare = pairs(rows), pairs(rows.where("rare"))
-    mean = (rows.count() or 1) / (keys.count() or 1)
-
-    def met(of: DataFrame) -> DataFrame:
-        a, b = (of.select("x", F.col("id").alias(s), F.col("n").alias(f"n{s}")) for s in "ab")
-        return a.join(b, "x").where("a < b").where(F.least("na", "nb") >= F.lit(least) * F.greatest("na", "nb") - 1e-9)
-
-    if met_all <= met_rare * (1 + mean / SET_STEPS):
-        common = met(rows).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("common"))
-    else:
-        whole = rows.groupBy("id").agg(F.collect_list("x").alias("xs"))  # a set is a key's own items
-        found = met(rows.where("rare")).select("a", "b", "na", "nb").distinct()
-        found = found.join(whole.select(F.col("id").alias("a"), F.col("xs").alias("xa")), "a").join(whole.select(F.col("id").alias("b"), F.col("xs").alias("xb")), "b")
-        common = found.select("a", "b", "na", "nb", F.size(F.array_intersect("xa", "xb")).cast("long").alias("common")).where("common > 0")
-    scored = common.withColumn("score", F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).where(F.col("score") >= least)
-    named = scored.join(keys.select(F.col("id").alias("a"), F.col("k").alias("ka")), "a").join(keys.select(F.col("id").alias("b"), F.col("k").alias("kb")), "b")
-    return named.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"), "common", "score")
-
-
 def duplicate_links(clues: DataFrame, evidence: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(u, v) between clues that overlap in evidence or share both a hypothesis and a channel.
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cluewright.operators import disposal, graph, hypotheses, lineage, preflight, scans
-from cluewright.plans import casework, ranking
+from cluewright.plans import casework, overlap, ranking
 
 from .demo import SPACE, SUPPORTED, tables, theory
 
@@ -130,11 +130,16 @@ def test_merging_clues(spark):
     assert sorted(tuple(r) for r in evidence.collect()) == [("c0", "r1"), ("c0", "r2"), ("c0", "r3"), ("c0", "r9"), ("c3", "r8")]
 
 
+@pytest.mark.parametrize("way", ["bitmaps", "meetings", "rarest"])
 @pytest.mark.parametrize("items", [6, 60, 4000])
-def test_overlaps_both_ways(spark, items):
-    """Few items, which are in most sets, and many, which are in few."""
+def test_overlaps_all_ways(spark, monkeypatch, items, way):
+    """Few items, which are in most sets, and many, which are in few, by each of the plans; blocks of a few sets."""
     import random
 
+    monkeypatch.setattr(overlap, "BLOCK", 7)
+    monkeypatch.setattr(overlap, "BITMAP_ITEMS", 1 << 16 if way == "bitmaps" else 0)
+    monkeypatch.setattr(overlap, "WORDS_A_MEETING", 1 << 40)
+    monkeypatch.setattr(overlap, "SET_STEPS", 1e-9 if way == "meetings" else 1e18)
     rng = random.Random(items)
     sets = {f"k{i:03d}": {rng.randrange(items) for _ in range(rng.randint(1, 12))} for i in range(120)}
     sets |= {f"z{i}": set(sorted(sets[f"k{i:03d}"])[1:]) | {items + i} for i in range(40)}
