@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.predicates import round_amount
+from ..plans.ranking import ranked
 from ..plans.storage import stored
 
+#: Edges on a side of a cell of a heavy node's grid, about, and heavy nodes that are broadcast at most.
+CELL, BROADCAST_NODES = 4096, 500_000
+PATH = ["source", "bridge", "dest", "amount_in", "amount_out"]
+
 
 def nodes(flow: DataFrame) -> DataFrame:
     """Distinct names of both ends."""
@@ -21,19 +29,45 @@ def edges(flow: DataFrame, modulus: int | None = None) -> DataFrame:
     return rows.select(F.col("subject").alias("from_id"), F.col("counterparty").alias("to_id"), "amount", F.to_date("date").alias("date"))
 
 
+def _legs(flow: DataFrame, modulus: int | None, loops: bool) -> tuple[DataFrame, DataFrame]:
+    e = edges(flow, modulus).where("from_id is not null and to_id is not null")
+    if not loops:  # before any join: these rows would only be shuffled to be dropped
+        e = e.where("from_id <> to_id")
+    a = e.select(F.col("from_id").alias("source"), F.col("to_id").alias("bridge"), F.col("amount").alias("amount_in"), F.col("date").alias("date_in"))
+    return a, e.select(F.col("from_id").alias("bridge"), F.col("to_id").alias("dest"), F.col("amount").alias("amount_out"), F.col("date").alias("date_out"))
+
+
+def _gridded(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both legs with the keys they meet by: the bridge, and for a heavy one a cell of its grid.
+
+    A node's edges are counted. Where there are over CELL on a side, they are
+    dealt by hash into parts of about CELL; an edge in goes to every part of
+    the edges out and the other way round, so that each pair meets in one cell.
+    """
+    into = a.groupBy("bridge").agg(F.count(F.lit(1)).alias("i"))
+    out = b.groupBy("bridge").agg(F.count(F.lit(1)).alias("o"))
+    parts = lambda c: F.ceil(F.col(c) / CELL).cast("int")
+    heavy = stored(into.join(out, "bridge").where(F.greatest("i", "o") > CELL).select("bridge", parts("i").alias("ins"), parts("o").alias("outs")), "heavy")
+    heavy = F.broadcast(heavy) if heavy.count() <= BROADCAST_NODES else heavy
+
+    def dealt(df: DataFrame, own: str, other: str, mine: str, theirs: str) -> DataFrame:
+        part = F.pmod(F.xxhash64(*[c for c in df.columns if c != "bridge"]), F.coalesce(own, F.lit(1))).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1))
+        return df.join(heavy, "bridge", "left").select(*df.columns, part.alias(mine), every.alias(theirs))
+
+    return dealt(a, "ins", "outs", "cell_in", "cell_out"), dealt(b, "outs", "ins", "cell_out", "cell_in"), ["bridge", "cell_in", "cell_out"]
+
+
 def bridges(flow: DataFrame, modulus: int | None = None, within_days: int | None = None, least_ratio: float | None = None, loops: bool = False) -> DataFrame:
     """(source, bridge, dest, amount_in, amount_out): two transfers that meet in the middle, each pair of parallel edges counted.
 
     All three ends differ; with loops only the outer two do. within_days asks
     for the second leg on or up to so many days after the first, least_ratio
-    for so much of the first amount in the second.
+    for so much of the first amount in the second. A node of very many edges
+    is a grid of join keys, so that no task makes all its paths.
     """
-    e = edges(flow, modulus)
-    a = e.select(F.col("from_id").alias("source"), F.col("to_id").alias("bridge"), F.col("amount").alias("amount_in"), F.col("date").alias("date_in"))
-    b = e.select(F.col("from_id").alias("bridge"), F.col("to_id").alias("dest"), F.col("amount").alias("amount_out"), F.col("date").alias("date_out"))
-    if not loops:  # before the join: these rows would only be shuffled to be dropped
-        a, b = a.where("source <> bridge"), b.where("bridge <> dest")
-    paths = a.join(b, "bridge").where("source <> dest")
+    a, b, keys = _gridded(*_legs(flow, modulus, loops))
+    paths = a.join(b, keys).where("source <> dest")
     if within_days is not None:
         paths = paths.where(F.datediff("date_out", "date_in").between(0, within_days))
     if least_ratio is not None:
@@ -41,6 +75,30 @@ def bridges(flow: DataFrame, modulus: int | None = None, within_days: int | None
     return paths.select("source", "bridge", "dest", "amount_in", "amount_out")
 
 
+def least_paths(flow: DataFrame, rows: int, modulus: int | None = None, loops: bool = False) -> DataFrame:
+    """The first `rows` of bridges() in order of source, bridge, dest, amount_in and amount_out, without listing the others.
+
+    How many paths begin with a pair (source, bridge) is a product of counts:
+    its edges in, times the bridge's edges out but for those that return. The
+    first pairs that have enough of them are taken, `rows` at most. Of a
+    pair's edges in only the `rows` least can be in the result, and so of its
+    edges out; all taken pairs but the last have under `rows` paths together.
+    """
+    a, b = _legs(flow, modulus, loops)
+    n = F.count(F.lit(1))
+    back = b.groupBy("bridge", F.col("dest").alias("source")).agg(n.alias("r"))
+    pairs = a.groupBy("source", "bridge").agg(n.alias("i")).join(b.groupBy("bridge").agg(n.alias("o")), "bridge").join(back, ["bridge", "source"], "left")
+    counted = pairs.withColumn("paths", F.col("i") * (F.col("o") - F.coalesce("r", F.lit(0)))).where("paths > 0")
+    first = stored(counted.orderBy("source", "bridge").limit(rows).select("source", "bridge", "paths"), "pairs")
+    before = F.coalesce(F.sum("paths").over(W.orderBy("source", "bridge").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # over `rows` pairs
+    taken = F.broadcast(stored(first.select("source", "bridge", before.alias("before")).where(F.col("before") < rows).select("source", "bridge"), "pairs"))
+    rank = lambda *order: F.row_number().over(W.partitionBy("source", "bridge").orderBy(*order))
+    ins = a.join(taken, ["source", "bridge"]).select("source", "bridge", "amount_in").withColumn("__k", rank("amount_in")).where(F.col("__k") <= rows)
+    outs = b.join(taken, "bridge").where("dest <> source").select("source", "bridge", "dest", "amount_out").withColumn("__k", rank("dest", "amount_out")).where(F.col("__k") <= rows)
+    paths = ins.drop("__k").join(outs.drop("__k"), ["source", "bridge"])
+    return paths.select(*PATH).orderBy(*PATH).limit(rows)
+
+
 def bridge_nodes(flow: DataFrame, modulus: int | None = None) -> DataFrame:
     """(bridge, paths) without listing paths: in- and outflows of a node are counted by neighbour, and returns taken off."""
     e = edges(flow, modulus).where("from_id <> to_id")
@@ -62,6 +120,34 @@ def neighbours(flow: DataFrame, start: str, hops: int) -> DataFrame:
     return seen.distinct()
 
 
+def reach(flow: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
+    """(start, hop, name): what walks of up to `hops` edges from each start reach, with the fewest hops it takes. starts has name.
+
+    Starts are numbered and 64 of them are the bits of one long, so that an
+    edge passes all their fronts on at once: each hop is one join with the
+    edges and one bit_or by node, whatever the number of starts in a block. A
+    start is reached by a cycle only. Starts that have no edges reach nothing.
+    """
+    e = stored(flow.select("subject", "counterparty").where("subject is not null and counterparty is not null").distinct(), "edges")
+    at = F.col("rank") - 1
+    numbered = ranked(starts.where("name is not null").select("name").distinct(), [F.asc("name")])
+    known = stored(numbered.select(F.col("name").alias("start"), F.expr("(rank - 1) div 64").alias("block"), (at % 64).cast("int").alias("bit")), "starts")
+    shifted = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))
+    front = known.groupBy("block", F.col("start").alias("name")).agg(F.bit_or(shifted).alias("bits"))
+    seen, found = None, []
+    for hop in range(1, hops + 1):
+        met = e.join(front, e.subject == front.name).groupBy("block", F.col("counterparty").alias("name")).agg(F.bit_or("bits").alias("bits"))
+        if seen is not None:
+            fresh = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("old", F.lit(0).cast("long"))))
+            met = met.join(seen.withColumnRenamed("bits", "old"), ["block", "name"], "left").select("block", "name", fresh.alias("bits")).where("bits <> 0")
+        front = stored(met, "front")
+        found.append(front.withColumn("hop", F.lit(hop)))
+        seen = front if seen is None else stored(seen.union(front).groupBy("block", "name").agg(F.bit_or("bits").alias("bits")), "seen")
+    every = reduce(DataFrame.union, found)
+    bits = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("shiftright", F.col("bits"), i).bitwiseAND(1) == 1)
+    return every.select("block", "hop", "name", F.explode(bits).alias("bit")).join(known, ["block", "bit"]).select("start", "hop", "name")
+
+
 def compare_paths(left: DataFrame, right: DataFrame) -> DataFrame:
     """(source, bridge, dest, side, amounts of both): side is matched, only_left or only_right. Amounts do not decide; of repeated keys the largest amounts stand."""
     key = ["source", "bridge", "dest"]

@@ -231,7 +231,45 @@ SELECT a.subject AS source, a.counterparty AS bridge, b.counterparty AS dest, a.
 FROM e a JOIN e b ON a.counterparty = b.subject WHERE a.subject <> b.counterparty
 ORDER BY source, bridge, dest, amount_in, amount_out LIMIT 1000""")
 def bridge_export(spark, sf_dir):
-    return graph.bridges(_flow(spark, sf_dir), ROUND, loops=True).orderBy("source", "bridge", "dest", "amount_in", "amount_out").limit(1000)
+    return graph.least_paths(_flow(spark, sf_dir), 1000, ROUND, loops=True)
+
+
+def _hub_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders through one node: those of even keys into it, the others out of it."""
+    even = F.col("o_orderkey") % 2 == 0
+    name, hub = F.concat(F.lit("C"), "o_custkey"), F.lit("HUB")
+    return _table(spark, sf_dir, "orders").select(F.when(even, name).otherwise(hub).alias("subject"), F.when(even, hub).otherwise(name).alias("counterparty"), F.col("o_totalprice").alias("amount"), F.col("o_orderdate").alias("date"))
+
+
+_HUB = """flow AS (SELECT CASE WHEN o_orderkey % 2 = 0 THEN concat('C', o_custkey) ELSE 'HUB' END AS subject, CASE WHEN o_orderkey % 2 = 0 THEN 'HUB' ELSE concat('C', o_custkey) END AS counterparty,
+  o_totalprice AS amount, CAST(o_orderdate AS DATE) AS dt FROM orders)"""
+
+
+@_query(f"""WITH {_HUB} SELECT a.subject AS source, a.counterparty AS bridge, b.counterparty AS dest, a.amount AS amount_in, b.amount AS amount_out
+FROM flow a JOIN flow b ON a.counterparty = b.subject WHERE a.subject <> b.counterparty ORDER BY source, bridge, dest, amount_in, amount_out LIMIT 1000""")
+def hub_export(spark, sf_dir):
+    """The first 1000 of the paths through a node that half of all transfers enter and half leave."""
+    return graph.least_paths(_hub_flow(spark, sf_dir), 1000, loops=True)
+
+
+@_query(f"""WITH {_HUB} SELECT count(*) AS paths, CAST(sum(CAST(b.amount AS DECIMAL(18,2))) AS DOUBLE) AS total
+FROM flow a JOIN flow b ON a.counterparty = b.subject WHERE a.subject <> b.counterparty AND date_diff('day', a.dt, b.dt) BETWEEN 0 AND 30 AND b.amount >= 0.5 * a.amount""")
+def hub_bridges(spark, sf_dir):
+    """All timed paths through such a node, which is a grid of join keys."""
+    paths = graph.bridges(_hub_flow(spark, sf_dir), within_days=30, least_ratio=0.5)
+    return paths.agg(F.count(F.lit(1)).alias("paths"), F.sum(F.col("amount_out").cast("decimal(18,2)")).cast("double").alias("total"))
+
+
+@_query(f"""WITH RECURSIVE {FLOW}, e AS (SELECT DISTINCT subject, counterparty FROM flow),
+r AS (SELECT * FROM flow WHERE {IS_ROUND}), starts AS (SELECT subject AS name FROM r INTERSECT SELECT counterparty FROM r),
+w AS (SELECT s.name AS start, e.counterparty AS name, 1 AS hop FROM starts s JOIN e ON e.subject = s.name UNION SELECT w.start, e.counterparty, w.hop + 1 FROM w JOIN e ON e.subject = w.name WHERE w.hop < 3)
+SELECT start, CAST(min(hop) AS INTEGER) AS hop, name FROM w GROUP BY start, name""")
+def reach_of_bridges(spark, sf_dir):
+    """What all nodes with round amounts in and out reach in up to three hops."""
+    flow = _flow(spark, sf_dir)
+    legs = graph.edges(flow, ROUND)
+    starts = legs.select(F.col("from_id").alias("name")).intersect(legs.select(F.col("to_id").alias("name")))
+    return graph.reach(flow, starts, 3)
 
 
 @_query(f"""WITH {FLOW}

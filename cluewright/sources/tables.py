@@ -58,8 +58,7 @@ def write_edges(flow: DataFrame, path: str, modulus: int = 10000) -> None:
 
 
 def write_bridges(flow: DataFrame, path: str, rows: int = 1000, modulus: int = 10000) -> None:
-    found = graph.bridges(flow, modulus, loops=True)
-    found.orderBy("source", "bridge", "dest", "amount_in", "amount_out").limit(rows).write.mode("overwrite").option("header", True).csv(path)
+    graph.least_paths(flow, rows, modulus, loops=True).write.mode("overwrite").option("header", True).csv(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:
