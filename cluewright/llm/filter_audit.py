@@ -29,6 +29,8 @@ MASKS = 1 << len(FILTERS)
 LEAST_WORDS, LEAST_DISTINCT, MOST_UPPER, SYMBOLS = 200, 50, 3, b"#$%&*|"
 #: Bytes of texts that a task remembers to settle copies by itself. What is over goes on, and copies meet where they are routed.
 HELD = 32 << 20
+#: Bytes of texts that are routed to one task at most, about.
+TASK_BYTES = 256 << 20
 FLAGS = "doc_id long, part string, mask int, n long"
 OUT = "part string, filter_order string, step int, kept long, removed long, redundant long, unique_fails long, good_lost long, toxic_lost long, shapley long"
 
@@ -158,7 +160,8 @@ def failed_filters(docs: DataFrame, part: str = "lang", fingerprint: Column | No
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"), text_of().alias("text"))
     rows = rows.withColumn("fingerprint", F.xxhash64("text") if fingerprint is None else fingerprint)
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // TASK_BYTES)
     flags = rows.rdd.mapPartitions(_routed(held)).repartitionAndSortWithinPartitions(tasks, lambda k: k % tasks).mapPartitions(_chained)
     return spark.createDataFrame(flags, FLAGS, verifySchema=False)
 
@@ -212,7 +215,7 @@ def audit(flags: DataFrame, labels: DataFrame) -> DataFrame:
     """
     said = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("quality") == 1).cast("long")).alias("good"), F.max((F.col("toxic") == 1).cast("long")).alias("toxic"))
     zero = F.lit(0).cast("long")
-    known = flags.where("doc_id is not null").join(said, "doc_id", "left")
+    known = flags.where("doc_id is not null").join(stored(said, "labels"), "doc_id", "left")
     rows = known.unionByName(flags.where("doc_id is null").withColumns({"good": zero, "toxic": zero})).select("part", "mask", "n", F.coalesce("good", zero).alias("good"), F.coalesce("toxic", zero).alias("toxic"))
     vectors = rows.mapInArrow(_counted, "part string, vector binary").rdd.map(lambda r: (r.part, np.frombuffer(bytes(r.vector), np.int64).reshape(3, MASKS)))
     add = lambda a, b: a + b
