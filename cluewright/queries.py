@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from .operators import disposal, graph, hypotheses, lineage, preflight, resolve,
 from .plans import casework
 from .plans.storage import shared_dir, stored
 from .sources.ingest import coerced, ingest, read_file
+from .sources.snapshots import Snapshots
 from .sources.tables import business_tables as business_tables_of
 from .sources.tables import cold_scan, put_features, query
 from .streaming import rollup
@@ -577,6 +579,27 @@ def status_snapshot(spark, sf_dir):
     return scans.latest(_log(spark, sf_dir), ["clue_id"], ["at", "seq"]).select("clue_id", "status")
 
 
+@_query(f"""WITH {_LOG}, r AS (SELECT v AS version, log.*, row_number() OVER (PARTITION BY v, clue_id ORDER BY stamp DESC, seq DESC) AS rn FROM log JOIN (SELECT unnest([1, 2]) AS v) ON v = 2 OR seq % 2 = 0)
+SELECT CAST(version AS INTEGER) AS version, clue_id, status, seq FROM r WHERE rn = 1""")
+def durable_status(spark, sf_dir):
+    """Statuses upserted in two batches, entries of even and of odd numbers, the second one twice; both versions as they are read back."""
+    log = _log(spark, sf_dir)
+    table = Snapshots(spark, f"{shared_dir(spark)}/statuses-{uuid.uuid4().hex}")
+    for odd in (0, 1, 1):
+        table.upsert(log.where(F.col("seq") % 2 == odd), ["clue_id"], ["at", "seq"], batch=f"batch {odd}")
+    return reduce(DataFrame.union, [table.read(v).select(F.lit(v).alias("version"), "clue_id", "status", "seq") for v in table.versions()])
+
+
+@_query("""SELECT concat('C', CAST(o_custkey AS VARCHAR)) AS subject, o_orderpriority AS feature, CAST(max(o_orderkey) AS VARCHAR) AS value, max(o_orderkey) AS version FROM orders WHERE o_custkey % 10 = 1 GROUP BY 1, 2""")
+def durable_features(spark, sf_dir):
+    """Features put in three batches of orders, and those of some subjects read back."""
+    rows = _table(spark, sf_dir, "orders").select(F.concat(F.lit("C"), "o_custkey").alias("subject"), F.col("o_orderpriority").alias("feature"), F.col("o_orderkey").cast("string").alias("value"), F.col("o_orderkey").alias("version"))
+    table = Snapshots(spark, f"{shared_dir(spark)}/features-{uuid.uuid4().hex}")
+    for third in (2, 0, 1):
+        table.upsert(rows.where(F.col("version") % 3 == third), ["subject", "feature"], ["version"])
+    return table.read().where(F.expr("cast(substring(subject, 2) as long) % 10 = 1"))
+
+
 @_query(f"WITH {_LOG}, r AS (SELECT *, row_number() OVER (PARTITION BY clue_id ORDER BY stamp DESC, seq DESC) AS rn FROM log), {_CLUES} SELECT k.clue_id, coalesce(r.status, k.status) AS status, coalesce(r.status <> k.status, FALSE) AS changed FROM clue k LEFT JOIN r ON r.clue_id = k.clue_id AND rn = 1")
 def status_restore(spark, sf_dir):
     saved = scans.latest(_log(spark, sf_dir), ["clue_id"], ["at", "seq"])
