@@ -8,7 +8,6 @@ name kept with each row.
 from __future__ import annotations
 
 import os
-import sqlite3
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,12 +15,11 @@ from pyspark.sql import types as T
 
 from ..functions.predicates import filled
 from ..functions.schema import TYPE_HINTS, missing, renamed
+from .partitioned import read_excel, read_sqlite
 
 LOG = "file string, format string, source_type string, rows long, columns array<string>, missing array<string>, status string, error string"
 DATES = ["date"]
 MARKS = "[,¥元]"
-#: Size of a SQLite or Excel file that is read on the driver at most.
-DRIVER_BYTES = 64 << 20
 
 
 def separator(sample: str) -> str:
@@ -79,41 +77,6 @@ def read_json(spark: SparkSession, path: str, record_path: str | None = None) ->
     return flattened(df)
 
 
-def _small(path: str) -> None:
-    if os.path.getsize(path) > DRIVER_BYTES:
-        raise ValueError(f"{path} has over {DRIVER_BYTES} bytes, too many for a reader that runs on the driver")
-
-
-def read_sqlite(spark: SparkSession, path: str, table: str | None = None, query: str | None = None) -> DataFrame:
-    """A table or query of a local SQLite file, read on the driver, up to DRIVER_BYTES: such files are exchange formats of a desk's size. Beyond that use Spark's JDBC reader."""
-    _small(path)
-    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
-        if query is None:
-            table = table or db.execute("select name from sqlite_master where type = 'table' order by rowid").fetchone()[0]
-            query = 'select * from "{}"'.format(table.replace('"', '""'))
-        cursor = db.execute(query)
-        names, rows = [d[0] for d in cursor.description], cursor.fetchall()
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    return spark.createDataFrame([tuple(None if v is None else str(v) for v in r) for r in rows], schema)
-
-
-def read_excel(spark: SparkSession, path: str) -> DataFrame:
-    """All sheets, with _source_sheet. Needs openpyxl. Read on the driver, up to DRIVER_BYTES."""
-    try:
-        import openpyxl  # noqa: F401
-    except ImportError as e:
-        raise ValueError("reading .xlsx files needs openpyxl") from e
-    import pandas as pd
-
-    _small(path)
-    out = None
-    for sheet, pdf in pd.read_excel(path, sheet_name=None, dtype=str).items():
-        schema = T.StructType([T.StructField(str(c), T.StringType()) for c in pdf.columns])
-        part = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), schema).withColumn("_source_sheet", F.lit(sheet))
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    return out
-
-
 READERS = {".csv": read_csv, ".tsv": read_csv, ".txt": read_csv, ".xlsx": read_excel, ".json": read_json, ".sqlite": read_sqlite, ".db": read_sqlite, ".parquet": lambda spark, path: spark.read.parquet(path)}
 
 
