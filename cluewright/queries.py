@@ -7,6 +7,7 @@ at a multiple of 100, as the data have few multiples of 10,000.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 from functools import reduce
@@ -20,10 +21,11 @@ from .operators import disposal, graph, hypotheses, lineage, preflight, resolve,
 from .plans import casework
 from .plans.storage import shared_dir, stored
 from .sources.ingest import coerced, ingest, read_file
+from .sources.partitioned import write_sqlite
 from .sources.snapshots import Snapshots
 from .sources.tables import business_tables as business_tables_of
 from .sources.tables import cold_scan, put_features, query
-from .streaming import rollup
+from .streaming import rollup, status
 
 ROUND = 100
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -915,6 +917,56 @@ def json_ingest(spark, sf_dir):
     return back.select("subject", *[F.col(f"`{c}`").cast("int").alias(c) for c in ("detail.region", "tags[0]", "tags[1]")])
 
 
+@_query("SELECT c_name AS subject, c_mktsegment AS counterparty, CAST(row_number() OVER (ORDER BY c_custkey) AS BIGINT) AS source_row FROM customer")
+def sqlite_ingest(spark, sf_dir):
+    """Customers as a table of a SQLite file, read by ranges of its row ids."""
+    rows = _table(spark, sf_dir, "customer").orderBy("c_custkey").select(F.col("c_name").alias("姓名"), F.col("c_mktsegment").alias("收款方"))
+    path = f"{tempfile.mkdtemp(prefix='sqlite-')}/{uuid.uuid4().hex}.sqlite"  # the driver's; Spark hands it to executors
+    write_sqlite(rows, path, "customers")
+    return read_file(spark, path).select("subject", "counterparty", F.col("_source_row").alias("source_row"))
+
+
+@_query("""SELECT o_orderpriority AS subject, o_orderkey AS "note.key", concat('{"}', CAST(o_custkey AS VARCHAR), '\\"') AS "note.text", CAST(row_number() OVER (ORDER BY o_orderkey) AS BIGINT) AS source_row FROM orders""")
+def json_split_ingest(spark, sf_dir):
+    """Orders as one array in one file, its records found by as many tasks as the file has splits."""
+    note = F.struct(F.col("o_orderkey").alias("key"), F.concat(F.lit('{"}'), F.col("o_custkey").cast("string"), F.lit('\\"')).alias("text"))
+    records = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("double").alias("k"), F.concat(F.to_json(F.struct(F.col("o_orderpriority").alias("name"), note.alias("note"))), F.lit(",")).alias("value"))
+    one = lambda at, text: spark.range(1).select(F.lit(at).alias("k"), F.lit(text).alias("value"))
+    lines = one(float("-inf"), "[").union(records).union(one(float("inf"), '"end"]')).repartition(1).sortWithinPartitions("k")  # one file has one writer
+    lines.select("value").write.text(to := _place(spark, "orders.json"))
+    back = read_file(spark, to, split_bytes=0)
+    return back.select("subject", "`note.key`", "`note.text`", F.col("_source_row").alias("source_row"))
+
+
+@_query("SELECT n_name AS canonical, s_name AS cited FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def source_rows(spark, sf_dir):
+    """Suppliers' nations as names in a file, resolved; each cluster's source rows lead back to the rows of the file."""
+    s, n = _table(spark, sf_dir, "supplier"), _table(spark, sf_dir, "nation")
+    s.join(n, s.s_nationkey == n.n_nationkey).select(F.col("n_name").alias("主体"), F.col("s_name").alias("note")).write.option("header", True).csv(to := _place(spark, "firms.csv"))
+    rows = read_file(spark, to)
+    found = resolve.clusters(rows.select(F.col("subject").alias("name"), "source_row_id", F.col("_source_row").alias("ord")), resolve.ORG_KEYS)
+    cited = found.select("canonical", F.explode("source_rows").alias("source_row_id"))
+    return cited.join(rows, "source_row_id").select("canonical", F.col("note").alias("cited"))
+
+
+@_query(f"""WITH RECURSIVE {_LOG}, n AS (SELECT *, row_number() OVER (PARTITION BY clue_id ORDER BY stamp, seq) AS rn FROM log),
+run AS (SELECT clue_id, rn, seq, '待查' AS before, status FROM n WHERE rn = 1
+  UNION ALL SELECT n.clue_id, n.rn, n.seq, CASE WHEN {_STEP.format("run.before", "run.status")} THEN run.status ELSE run.before END, n.status
+  FROM run JOIN n ON n.clue_id = run.clue_id AND n.rn = run.rn + 1)
+SELECT clue_id, seq, before, status, {_STEP.format("before", "status")} AS valid FROM run""")
+def live_steps(spark, sf_dir):
+    """Requests that arrive in files, the first of them twice, played by a stream; a last one, far ahead in time, lets all others pass."""
+    log = _log(spark, sf_dir).select(F.concat(F.lit("r"), "seq").alias("request_id"), "clue_id", F.col("at").cast("timestamp").alias("at"), "seq", "status")
+    half = log.agg(F.expr("percentile_approx(unix_micros(at), 0.5)")).first()[0]
+    early = F.expr(f"unix_micros(at) <= {half or 0}")
+    last = log.agg(F.max("at").alias("at")).select(F.lit("end").alias("request_id"), F.lit("end").alias("clue_id"), F.expr("at + interval 1000 days").alias("at"), F.lit(0).cast("long").alias("seq"), F.lit(lineage.VERIFYING).alias("status"))
+    arrived, to = _place(spark, "requests"), _place(spark, "steps")
+    for part in (log.where(early), log.where(early), log.where(~early), last):
+        part.coalesce(1).write.mode("append").parquet(arrived)
+    status.start(status.request_stream(spark, arrived, 1), to, _place(spark, "offsets")).awaitTermination()
+    return spark.read.schema(status.STEPS).parquet(to).select("clue_id", "seq", "before", "status", "valid")
+
+
 @_query(f"WITH {FLOW} SELECT subject, CAST(date_trunc('month', dt) AS DATE) AS period, CAST(count(*) AS BIGINT) AS cnt, {MONEY} AS total FROM flow GROUP BY 1, 2")
 def stream_rollup(spark, sf_dir):
     """The flow as files that arrive, rolled up batch by batch."""

@@ -15,11 +15,14 @@ from pyspark.sql import types as T
 
 from ..functions.predicates import filled
 from ..functions.schema import TYPE_HINTS, missing, renamed
-from .partitioned import read_excel, read_sqlite
+from .partitioned import ROW, read_excel, read_sqlite
+from .records import read_split_json, with_source_rows
 
 LOG = "file string, format string, source_type string, rows long, columns array<string>, missing array<string>, status string, error string"
 DATES = ["date"]
 MARKS = "[,¥元]"
+#: A JSON document of more bytes is read by many tasks.
+SPLIT_BYTES = 64 << 20
 
 
 def separator(sample: str) -> str:
@@ -55,8 +58,26 @@ def flattened(df: DataFrame) -> DataFrame:
         df = df.select(*columns)
 
 
-def read_json(spark: SparkSession, path: str, record_path: str | None = None) -> DataFrame:
-    """Rows of a JSON document. record_path names the array of records; without it a root of nested objects is searched for its one array of objects."""
+def _bytes(spark: SparkSession, path: str) -> int:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(place).getLength()
+
+
+def _first_letter(spark: SparkSession, path: str) -> str:
+    """What a document begins with, read off its text up to the first brace that closes."""
+    head = spark.read.option("lineSep", "}").text(path).limit(1).select(F.substring(F.ltrim(F.regexp_replace("value", "^[\ufeff\\s]+", "")), 1, 1).alias("c")).first()
+    return head["c"] if head else ""
+
+
+def read_json(spark: SparkSession, path: str, record_path: str | None = None, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """Rows of a JSON document, with _source_row. record_path names the array of records; without it a root of nested objects is searched for its one array of objects.
+
+    A document of over split_bytes that is an array, or whose array is named
+    in its root object, is read by many tasks; others are read whole by one.
+    """
+    if _bytes(spark, path) > split_bytes and "." not in (record_path or ""):
+        if record_path is not None or _first_letter(spark, path) == "[":
+            return flattened(read_split_json(spark, path, record_path))
     df = spark.read.option("multiLine", True).json(path)
     at = record_path
 
@@ -73,12 +94,16 @@ def read_json(spark: SparkSession, path: str, record_path: str | None = None) ->
         found = arrays(df.schema, "")
         at = found[0] if len(found) == 1 else None
     if at:
-        df = df.select(F.explode(at).alias("r")).select("r.*")
-    return flattened(df)
+        df = df.select(F.col("_metadata.file_name").alias("_source_part"), F.posexplode(at).alias("i", "r")).select("r.*", "_source_part", (F.col("i") + 1).cast("long").alias(ROW))
+        return flattened(df)
+    return flattened(with_source_rows(df))
 
 
 READERS = {".csv": read_csv, ".tsv": read_csv, ".txt": read_csv, ".xlsx": read_excel, ".json": read_json, ".sqlite": read_sqlite, ".db": read_sqlite, ".parquet": lambda spark, path: spark.read.parquet(path)}
 
+#: Files whose reader does not number rows.
+WITHOUT_ROWS = {".csv", ".tsv", ".txt", ".parquet"}
+
 
 def coerced(df: DataFrame) -> DataFrame:
     """String columns with money marks become numbers if all their values do; dates are parsed, bad ones null. One pass decides for all columns."""
@@ -103,14 +128,26 @@ def source_type(name: str, hints: dict[str, str] | None = None) -> str:
 
 
 def read_file(spark: SparkSession, path: str, aliases: dict[str, str] | None = None, **options) -> DataFrame:
-    """One file in the contract's names and types, with _source_file."""
+    """One file in the contract's names and types, with _source_file, _source_row and source_row_id.
+
+    _source_row is the row's number in its file, part file or sheet, or its
+    row id in a SQLite table; source_row_id is the file's name and these, so
+    that an id leads back to one row and is the same on every run. Rows of a
+    query have no number and no id. Rows without a subject are dropped last.
+    """
     suffix = os.path.splitext(path)[1].lower()
     if suffix not in READERS:
         raise ValueError(f"no reader for {suffix or path}")
-    df = coerced(renamed(READERS[suffix](spark, path, **options), aliases))
+    df = READERS[suffix](spark, path, **options)
+    name = os.path.basename(path.rstrip("/"))
+    if suffix in WITHOUT_ROWS:
+        df = with_source_rows(df)
+    at = [F.lit(name), *[F.when(F.col(c) != name, F.col(c)) for c in ("_source_part", "_source_sheet") if c in df.columns]]
+    row_id = F.concat_ws(":", *at, F.col(ROW).cast("string")) if ROW in df.columns else F.lit(None).cast("string")
+    df = coerced(renamed(df.withColumn("source_row_id", row_id).drop("_source_part"), aliases))
     if "subject" in df.columns:
         df = df.where(filled(F.col("subject").cast("string")))
-    return df.withColumn("_source_file", F.lit(os.path.basename(path)))
+    return df.withColumn("_source_file", F.lit(name))
 
 
 def ingest(spark: SparkSession, paths: list[str], to: str, hints: dict[str, str] | None = None) -> DataFrame:
