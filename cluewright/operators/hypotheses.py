@@ -5,10 +5,12 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.predicates import either_contains, without_note
-from .lineage import CHANNELS
+from ..plans.storage import stored
+from .lineage import CHANNELS, evidence_conflicts
 
 MOST, DIMENSION_ALARM = 5, 0.8
 # Sections of a report, the one that closes it, and what must not be deduced by a machine.
@@ -39,6 +41,44 @@ def from_findings(findings: DataFrame, evidence: DataFrame, hypotheses: DataFram
     return hypotheses.join(counts, "id"), cited
 
 
+def admitted(standing: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(standing hypotheses with those found that are new, the log of what became of each found one).
+
+    A description that stands is not added again, so that a rerun adds nothing.
+    A new one whose id is taken gets the next free one after the MOST-th;
+    beyond MOST in all, new ones are skipped and logged, in order of their ids.
+    Both tables are of a few rows.
+    """
+    new = found.join(standing.select("description"), "description", "left_anti")
+    taken = standing.select(F.col("id")).union(new.select("id"))
+    counts = standing.agg(F.count(F.lit(1)).alias("stood"))
+    placed = new.join(standing.select(F.col("id"), F.lit(True).alias("clash")), "id", "left").withColumn("place", F.row_number().over(W.orderBy("id")))
+    placed = placed.join(F.broadcast(counts)).withColumn("added", F.col("place") + F.col("stood") <= MOST)  # counts is one row
+    clash = F.when(F.col("clash") & F.col("added"), F.sum(F.when(F.col("clash") & F.col("added"), 1)).over(W.orderBy("place")))
+    numbers = found.sparkSession.range(MOST + 1, 3 * MOST + 2).select(F.concat(F.lit("H"), "id").alias("free"), F.col("id").alias("number"))
+    free = numbers.join(taken.select(F.col("id").alias("free")), "free", "left_anti").withColumn("k", F.row_number().over(W.orderBy("number")))
+    named = placed.withColumn("k", clash).join(free.select("k", "free"), "k", "left").withColumn("own", F.coalesce("free", "id"))
+    named = stored(named, "admitted")
+    rows = named.where("added").select(*[F.col("own").alias("id") if c == "id" else F.col(c) for c in found.columns])
+    action = F.when(~F.col("added"), "skipped").when(F.col("own") != F.col("id"), "added under another id").otherwise("added")
+    return standing.unionByName(rows, True), named.select("id", F.col("own").alias("given_id"), "description", action.alias("action"))
+
+
+def coverage_report(hypotheses: DataFrame, evidence: DataFrame, sources: DataFrame, left: DataFrame | None = None) -> DataFrame:
+    """(section, document): coverage of sources, dimensions and channels, conflicts of evidence, and the backlog, each as one JSON document.
+
+    evidence has id and x, sources name, left id, behaviour and hypothesis.
+    Conflicts are pairs of a few hypotheses, the backlog a row for each
+    behaviour, so that documents stay small.
+    """
+    told = [(name, summary(found)) for name, found in (("sources", source_coverage(hypotheses, sources)), ("dimensions", dimension_coverage(hypotheses)), ("channels", channel_coverage(hypotheses)))]
+    parts = [df.select(F.lit(name).alias("section"), F.to_json(F.struct(*df.columns)).alias("document")) for name, df in told]
+    met = evidence_conflicts(evidence.join(F.broadcast(hypotheses.select("id")), "id", "left_semi"))
+    lists = [("conflicts", met.select("a", "b", "common"))] + ([] if left is None else [("backlog", left.select("id", "behaviour", "hypothesis"))])
+    parts += [df.agg(F.to_json(F.array_sort(F.collect_list(F.struct(*df.columns)))).alias("document")).select(F.lit(name).alias("section"), "document") for name, df in lists]
+    return reduce(DataFrame.union, parts)
+
+
 def marked(hypotheses: DataFrame, available: list[str], unavailable: list[str]) -> DataFrame:
     """restricted where needed evidence touches an unavailable source; degraded with the sources that are missing. Nothing is deleted."""
     near = lambda x, names: reduce(lambda a, b: a | b, [either_contains(x, F.lit(n)) for n in names], F.lit(False))

@@ -52,8 +52,8 @@ def prepared(records: DataFrame, keys: list[str], core: str, aliases: DataFrame
 
 
 def _canonical(freq: DataFrame, by: str) -> DataFrame:
-    """Per cluster the name that has CJK letters, is most frequent, shortest, first."""
-    order = F.struct(F.col("name").rlike(N.CJK).alias("a"), F.col("n").alias("b"), (-F.char_length("name")).alias("c"), (-F.col("first")).alias("d"))
+    """Per cluster the name that has CJK letters, is most frequent, shortest, first; what is still equal is decided by the name."""
+    order = F.struct(F.col("name").rlike(N.CJK).alias("a"), F.col("n").alias("b"), (-F.char_length("name")).alias("c"), (-F.col("first")).alias("d"), F.col("name").alias("e"))
     return freq.groupBy(by).agg(F.max_by("name", order).alias("canonical"))
 
 

@@ -123,7 +123,7 @@ def related_parties(registry: DataFrame, rep_marks: list[str], party_marks: list
 
 
 def findings(flow: DataFrame, calls: DataFrame, moves: DataFrame, registry: DataFrame, rep_marks: list[str], party_marks: list[str], modulus: int = 10000) -> tuple[DataFrame, DataFrame]:
-    """(candidate, basis, level, n_rows), a row for each scan that found something, and (candidate, basis, x), all rows it found as JSON."""
+    """(candidate, basis, level, n_rows), a row for each scan that found something, and (candidate, basis, x), the rows it found as JSON: all of them, but of a spike in calls the most frequent pairs."""
 
     def found(rows: DataFrame, candidate: str, basis: str) -> DataFrame:
         return rows.select(F.lit(candidate).alias("candidate"), F.lit(basis).alias("basis"), F.to_json(F.struct(*rows.columns)).alias("x"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import disposal, graph, hypotheses, lineage, preflight, resolve, scans
+from ..sources.tables import write_json
 from .storage import stored
 
 # Which channel a source of evidence belongs to.
@@ -14,6 +15,13 @@ SOURCE_CHANNEL = {
     "工商信息": "死间", "公开OSINT": "死间", "举报材料": "内间", "银行流水(过桥)": "反间",
 }
 
+# The source that a finding speaks for, the sources that the scans need, the channels that a plan of tasks draws on.
+FINDING_SOURCE = {"整数现金存入": "银行流水", "第三方过桥结构": "银行流水(过桥)", "通话频次突增": "通话记录", "轨迹同框": "轨迹出行", "工商登记利益关联": "工商信息"}
+COLLISION_SOURCE, NEEDS = "招投标档案", {lineage.SCAN: ["银行流水", "中标档案"]}
+PLAN_CHANNELS, BY_PERSON = ["生间", "反间", "因间"], "正兵"
+#: Where in order of arrival clues of the plan and of the channels come.
+PLAN_ORDER, HIT_ORDER = 1 << 20, 1 << 21
+
 
 def channel_crossing(active: DataFrame) -> DataFrame:
     """(channel, sources, hit, level): channels of the sources that have evidence, and what all hits together amount to. active has source."""
@@ -26,18 +34,24 @@ def channel_crossing(active: DataFrame) -> DataFrame:
 
 
 def solve(
-    tables: dict[str, DataFrame], hypotheses_: DataFrame, rep_marks: list[str], party_marks: list[str], modulus: int = 10000, saved: DataFrame | None = None, decisions: DataFrame | None = None
+    tables: dict[str, DataFrame], hypotheses_: DataFrame, rep_marks: list[str], party_marks: list[str], modulus: int = 10000, saved: DataFrame | None = None, decisions: DataFrame | None = None,
+    tasks: DataFrame | None = None, needs: dict[str, list[str]] | None = None, standing: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """The job over tables flow, calls, moves, registry, tenders.
 
     Names are resolved first: persons from the parties of flows, calls and
     movements, organisations from the register. Then the scans run once;
     findings and their evidence are written and read by all that follows.
+    Clues are those of the scans, merged; one of a plan of tasks, by default a
+    task for each collision of a tender with a deposit; and one for each
+    channel that has evidence. A clue without a hypothesis gets those that
+    draw on a source its skill needs.
     saved has clue_id and status from an earlier run, decisions what reviewers
-    said about uncertain names. What comes back: persons, organisations,
-    review, names, report, flow and registry with canonical names; findings,
-    evidence, hypotheses, clues, clue_evidence, crossing, paths, collisions,
-    preflight, statuses.
+    said about uncertain names, tasks side and task, standing the hypotheses
+    of an earlier run. What comes back: persons, organisations, review, names,
+    report, flow and registry with canonical names; findings, evidence,
+    hypotheses, hypothesis_log, clues, clue_evidence, channels, crossing,
+    coverage, paths, collisions, preflight, statuses.
     """
     flow, registry = tables["flow"], tables["registry"]
     party = resolve.harvest([("flow", flow, "subject"), ("flow", flow, "counterparty"), ("calls", tables["calls"], "subject"), ("calls", tables["calls"], "callee"), ("moves", tables["moves"], "subject")])
@@ -48,21 +62,36 @@ def solve(
     found, evidence = scans.findings(flow, tables["calls"], tables["moves"], registry, rep_marks, party_marks, modulus)
     found = stored(found, "findings")
     clues, cited = lineage.merged_clues(*lineage.finding_clues(found, evidence, hypotheses.pattern_table(hypotheses_)))
-    clues = lineage.prioritised(clues)
+    collisions = stored(scans.time_window_collisions(tables["tenders"], flow, modulus=modulus), "collisions")
+    if tasks is None:
+        tasks = collisions.select(F.lit(BY_PERSON).alias("side"), F.col("project").alias("task")).distinct()
+    spark = flow.sparkSession
+    speaks = spark.createDataFrame(list(FINDING_SOURCE.items()), "candidate string, source string")
+    active = found.join(F.broadcast(speaks), "candidate").select("source").union(collisions.limit(1).select(F.lit(COLLISION_SOURCE)))
+    channels = stored(channel_crossing(active), "channels")
+    later = lambda df, by: df.withColumn("ord", F.col("ord") + by)
+    clues = clues.unionByName(later(lineage.plan_clue(tasks, PLAN_CHANNELS), PLAN_ORDER), True).unionByName(later(lineage.channel_hits(channels), HIT_ORDER), True)
+    needed = spark.createDataFrame([(k, s) for k, sources in (NEEDS if needs is None else needs).items() for s in sources], "skill_id string, source string")
+    clues = lineage.prioritised(lineage.inferred(clues, needed, hypotheses_))
     clues = stored(clues if saved is None else disposal.restored(clues, saved).drop("changed"), "clues")
     sample = preflight.sample(flow, ["subject", "counterparty", "date"])
-    led, _ = hypotheses.from_findings(found, evidence, hypotheses_)
+    led, led_by = hypotheses.from_findings(found, evidence, hypotheses_)
+    kept, log = hypotheses.admitted(hypotheses_.limit(0) if standing is None else standing, led)
+    sources = spark.createDataFrame([(x,) for x in SOURCE_CHANNEL], "name string")
     return aligned | {
         "flow": resolve.write_back(flow, ["subject", "counterparty"], names),
         "registry": resolve.write_back(registry, ["subject", "legal_rep"], names),
         "findings": found,
         "evidence": evidence,
-        "hypotheses": led,
+        "hypotheses": kept,
+        "hypothesis_log": log,
+        "coverage": hypotheses.coverage_report(kept, led_by, sources),
+        "channels": channels,
         "clues": clues,
         "clue_evidence": cited,
         "crossing": lineage.cross_level(clues),
         "paths": graph.bridges(flow, modulus),
-        "collisions": scans.time_window_collisions(tables["tenders"], flow, modulus=modulus),
+        "collisions": collisions,
         "preflight": preflight.preflight(sample, {"H1": None, "H4": None}, modulus),
         "statuses": disposal.histogram(clues),
     }
@@ -72,3 +101,9 @@ def write(result: dict[str, DataFrame], folder: str) -> None:
     """Each result as a table of its own."""
     for name, df in result.items():
         df.write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
+def write_documents(result: dict[str, DataFrame], folder: str) -> None:
+    """The report's JSON documents: clues with their lineage, the mapping of names, the queue of reviews, coverage."""
+    for name, document in (("clues", "lineage_clues"), ("names", "entity_mapping"), ("review", "review_queue"), ("coverage", "coverage")):
+        write_json(result[name], f"{folder}/{document}.json")

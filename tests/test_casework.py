@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ def result(spark, case):
 def test_findings_lead_to_hypotheses_and_clues(result):
     assert {r.candidate for r in result["findings"]} == {"整数现金存入", "第三方过桥结构", "通话频次突增", "工商登记利益关联"}
     assert sorted(r.id for r in result["hypotheses"]) == ["H1", "H2", "H3", "H4"]
-    clues = {r.title: r for r in result["clues"]}
+    clues = {r.title: r for r in result["clues"] if r.skill_id == lineage.SCAN}
     assert {t: (r.assumption_chain, r.channels) for t, r in clues.items()} == {
         "整数现金存入": (["H1"], ["生间"]),
         "第三方过桥结构": (["H4"], ["反间"]),
@@ -34,13 +35,50 @@ def test_findings_lead_to_hypotheses_and_clues(result):
     assert {t: r.priority_score for t, r in clues.items()} == {"整数现金存入": 0.63, "工商登记利益关联": 0.565, "第三方过桥结构": 0.495, "通话频次突增": 0.375}
     assert [r.title for r in sorted(result["clues"], key=lambda r: r.priority_rank)][0] == "整数现金存入"
     assert result["crossing"][0].level == "可立案依据候选"
-    assert {r.status: r.n for r in result["statuses"]} == {lineage.PENDING: 4, lineage.VERIFYING: 0, lineage.EXCLUDED: 0, lineage.CONFIRMED: 0, lineage.FILED: 0}
+    assert {r.status: r.n for r in result["statuses"]} == {lineage.PENDING: 9, lineage.VERIFYING: 0, lineage.EXCLUDED: 0, lineage.CONFIRMED: 0, lineage.FILED: 0}
+
+
+def test_clues_of_plan_and_channels(result):
+    """Beside the scans' clues one of the plan and one for each channel with evidence, in the order of their scores."""
+    got = [(r.title, r.skill_id, tuple(r.channels), r.priority_score) for r in sorted(result["clues"], key=lambda r: r.priority_rank)]
+    assert got[:3] == [("整数现金存入", "scan", ("生间",), 0.63), ("奇正分工方案", "plan", ("生间", "反间", "因间"), 0.63), ("工商登记利益关联", "scan", ("因间",), 0.565)]
+    assert got[3:] == [
+        ("死间命中", "crossing", ("死间",), 0.56),
+        ("第三方过桥结构", "scan", ("反间",), 0.495),
+        ("因间命中", "crossing", ("因间",), 0.49),
+        ("反间命中", "crossing", ("反间",), 0.42),
+        ("通话频次突增", "scan", ("生间",), 0.375),
+        ("生间命中", "crossing", ("生间",), 0.35),
+    ]
+    assert {r.channel for r in result["channels"] if not r.hit} == {"内间"}
+
+
+def test_coverage_report(result, spark, case, tmp_path):
+    told = {r.section: json.loads(r.document) for r in result["coverage"]}
+    assert told["dimensions"]["percent"] == 100.0 and told["channels"]["missing"] == ["内间", "死间"] and told["conflicts"] == []
+    assert told["sources"]["covered"] == 5
+    casework.write_documents(casework.solve(case, theory(spark), ["李志强"], ["张卫国"]), str(tmp_path))
+    assert spark.read.json(str(tmp_path / "lineage_clues.json")).count() == 9
+    assert {p.name for p in tmp_path.iterdir()} == {"lineage_clues.json", "entity_mapping.json", "review_queue.json", "coverage.json"}
+
+
+def test_hypotheses_are_added_once(spark):
+    """A rerun adds nothing, an id that is taken is replaced by a free one, and what is over the limit is skipped."""
+    h = lambda *rows: spark.createDataFrame([(i, d, [], [], [], []) for i, d in rows], hypotheses.COLUMNS)
+    standing = h(("H1", "one"), ("H2", "two"), ("H7", "seven"))
+    after, log = hypotheses.admitted(standing, h(("H1", "other"), ("H2", "two"), ("H3", "three"), ("H4", "four")))
+    assert sorted((r.id, r.description) for r in after.collect()) == [("H1", "one"), ("H2", "two"), ("H3", "three"), ("H6", "other"), ("H7", "seven")]
+    assert sorted((r.id, r.given_id, r.action) for r in log.collect()) == [("H1", "H6", "added under another id"), ("H3", "H3", "added"), ("H4", "H4", "skipped")]
+    again, log = hypotheses.admitted(after, h(("H1", "other"), ("H2", "two"), ("H3", "three")))
+    assert again.count() == 5 and log.count() == 0
+    assert hypotheses.admitted(standing.limit(0), h(("H1", "x")))[0].count() == 1
 
 
 def test_evidence_is_whole(result):
     cited = {r.title: sum(e.clue_id == r.clue_id for e in result["clue_evidence"]) for r in result["clues"]}
+    cited = {t: n for t, n in cited.items() if n}
     assert cited == {"整数现金存入": 8, "第三方过桥结构": 3, "通话频次突增": 1, "工商登记利益关联": 3}
-    assert {r.title: r.n_rows for r in result["clues"]} == cited and len(result["evidence"]) == 15
+    assert {r.title: r.n_rows for r in result["clues"] if r.n_rows} == cited and len(result["evidence"]) == 15
 
 
 def test_names_are_resolved_before_the_scans(spark, case, result):
