@@ -13,6 +13,7 @@ from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import names, schema
@@ -1016,3 +1017,69 @@ def solved_registry(spark, sf_dir):
     tables = {"flow": _flow(spark, sf_dir), "calls": _calls(spark, sf_dir), "moves": _moves(spark, sf_dir), "registry": _registry(spark, sf_dir), "tenders": _tenders(spark, sf_dir)}
     done = casework.solve(tables, _theory(spark), ["AN", "1"], ["7"], ROUND)
     return done["registry"].groupBy(F.col("canonical_legal_rep").alias("canonical_rep")).agg(F.count(F.lit(1)).alias("rows"))
+
+
+def _solved(spark: SparkSession, sf_dir: str, **more) -> dict[str, DataFrame]:
+    """The whole job, with tasks for nations, suppliers in two spellings, and regions beside their branches."""
+    s, r = _table(spark, sf_dir, "supplier"), _table(spark, sf_dir, "region")
+    nobody = [F.lit(None).cast("string").alias(c) for c in ("legal_rep", "related_party")]
+    registry = _registry(spark, sf_dir)
+    shouted = registry.join(s.where("s_suppkey % 3 = 0").select(F.col("s_name").alias("subject")), "subject", "left_semi").select(F.upper("subject").alias("subject"), *nobody)
+    branch = F.concat("r_name", F.lit(" BRANCH"))
+    firms = registry.unionByName(shouted).unionByName(r.select(F.col("r_name").alias("subject"), *nobody)).unionByName(r.select(branch.alias("subject"), *nobody))
+    tables = {"flow": _flow(spark, sf_dir), "calls": _calls(spark, sf_dir), "moves": _moves(spark, sf_dir), "registry": firms, "tenders": _tenders(spark, sf_dir)}
+    candidate = F.concat(F.lit("rev_org_"), F.substring(F.md5(F.concat_ws("|", branch, branch)), 1, 8))
+    said = r.where("r_regionkey % 2 = 0").select(candidate.alias("candidate_id"), F.lit("REJECTED").alias("decision"), F.lit("Li").alias("operator"), F.lit("no such firm").alias("note"))
+    tasks = _table(spark, sf_dir, "nation").select(F.lit(casework.BY_PERSON).alias("side"), F.col("n_name").alias("task"))
+    return casework.solve(tables, _theory(spark), ["AN", "1"], ["7"], ROUND, decisions=said, tasks=tasks, **more)
+
+
+@_query("""WITH r AS (SELECT s_suppkey, s_name, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN customer ON c_custkey = s_suppkey),
+a AS (SELECT s_name AS name, n_name FROM r UNION ALL SELECT upper(s_name), n_name FROM r WHERE s_suppkey % 3 = 0), c AS (SELECT n_name, max(name) AS canonical FROM a GROUP BY 1)
+SELECT name, canonical FROM a JOIN c ON c.n_name = a.n_name UNION ALL SELECT r_name, r_name FROM region UNION ALL SELECT concat(r_name, ' BRANCH'), concat(r_name, ' BRANCH') FROM region WHERE r_regionkey % 2 = 1""")
+def solved_names(spark, sf_dir):
+    """Names of firms after the whole job: suppliers of one nation share their representative and are one, in both spellings; branches that a reviewer rejected are gone."""
+    names = _solved(spark, sf_dir)["names"]
+    return names.join(_table(spark, sf_dir, "region").select(F.col("r_name").alias("of")), F.col("name").startswith(F.col("of")), "left").where("of is not null or lower(name) like 'supplier#%'").select("name", "canonical")
+
+
+@_query(f"""WITH {_FOUND}, source AS (SELECT CASE k WHEN 2 THEN '反间' WHEN 5 THEN '死间' ELSE '生间' END AS c FROM found
+  UNION SELECT '因间' FROM (SELECT 1 FROM lineitem JOIN flow ON dt BETWEEN CAST(l_shipdate AS DATE) - 20 AND CAST(l_shipdate AS DATE) + 20 WHERE l_linenumber = 1 AND l_returnflag = 'R' AND {IS_ROUND} LIMIT 1)),
+k AS (SELECT candidate AS title, h AS chain, channel AS channels, n FROM found UNION ALL SELECT '奇正分工方案', '', '生间,反间,因间', 0 UNION ALL SELECT concat(c, '命中'), '', c, 0 FROM source)
+SELECT title, chain, channels, CAST(n AS BIGINT) AS n_rows, round(CAST(CASE chain WHEN 'H1' THEN 0.9 ELSE 0.7 END AS DOUBLE) * CAST(0.4 AS DOUBLE)
+  + CASE channels WHEN '死间' THEN 0.8::DOUBLE WHEN '因间' THEN 0.6::DOUBLE WHEN '反间' THEN 0.4::DOUBLE WHEN '生间' THEN 0.2::DOUBLE ELSE 1::DOUBLE END * CAST(0.35 AS DOUBLE)
+  + least(CAST(1 AS DOUBLE), CAST(n AS DOUBLE) / CAST(10 AS DOUBLE)) * CAST(0.25 AS DOUBLE), 3) AS priority_score FROM k""")
+def solved_clues(spark, sf_dir):
+    """Clues of the whole job: of the scans, of the plan, and of the channels that have evidence."""
+    clues = _solved(spark, sf_dir)["clues"]
+    return clues.select("title", F.array_join("assumption_chain", ",").alias("chain"), F.array_join("channels", ",").alias("channels"), "n_rows", "priority_score")
+
+
+@_query("""WITH k AS (SELECT * FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 4 = 1), nu AS (SELECT count(*) AS n FROM (SELECT DISTINCT r_name FROM region UNION SELECT n_name FROM nation)),
+e AS (SELECT DISTINCT n_name AS id, c_mktsegment AS x FROM k JOIN customer ON c_nationkey = n_nationkey AND c_custkey % 10 = 0),
+f AS (SELECT a.id AS a, b.id AS b, count(*) AS common FROM e a JOIN e b ON a.x = b.x AND a.id < b.id GROUP BY 1, 2)
+SELECT 'sources' AS section, CAST((SELECT count(DISTINCT r_name) + count(DISTINCT n_name) FROM k) AS BIGINT) AS covered, CAST(n AS BIGINT) AS expected, CAST(0 AS BIGINT) AS conflicts FROM nu
+UNION ALL SELECT 'dimensions', (SELECT count(DISTINCT n_regionkey) FROM k), 5, 0 UNION ALL SELECT 'channels', (SELECT count(DISTINCT n_regionkey) FROM k), 5, 0
+UNION ALL SELECT 'conflicts', NULL, NULL, (SELECT CAST(coalesce(sum(common), 0) AS BIGINT) FROM f)""")
+def coverage_report(spark, sf_dir):
+    """The report's documents, read back: what is covered of what is expected, and how many rows hypotheses have in common."""
+    n, c = _nations(spark, sf_dir).where("k % 4 = 1"), _table(spark, sf_dir, "customer").where("c_custkey % 10 = 0")
+    cited = n.join(c, n.k == c.c_nationkey).select("id", F.col("c_mktsegment").alias("x")).distinct()
+    sources = _table(spark, sf_dir, "region").select(F.col("r_name").alias("name")).union(_table(spark, sf_dir, "nation").select("n_name")).distinct()
+    told = hypotheses.coverage_report(n, cited, sources)
+    met = F.aggregate(F.from_json("document", "array<struct<common: bigint>>"), F.lit(0).cast("long"), lambda a, x: a + x["common"])
+    number = lambda path: F.get_json_object("document", path).cast("long")
+    return told.select("section", number("$.covered").alias("covered"), number("$.expected").alias("expected"), F.when(F.col("section") == "conflicts", met).otherwise(F.lit(0).cast("long")).alias("conflicts"))
+
+
+@_query("""WITH t AS (SELECT n_name AS d, n_nationkey AS k FROM nation), first AS (SELECT concat('H', row_number() OVER (ORDER BY d)) AS id, d FROM t WHERE k % 9 = 0),
+fresh AS (SELECT r_name AS d, row_number() OVER (ORDER BY r_name) AS i FROM region), room AS (SELECT 5 - count(*) AS n FROM first), taken AS (SELECT count(*) AS n FROM first)
+SELECT id, d AS description FROM first UNION ALL SELECT CASE WHEN i <= (SELECT n FROM taken) THEN concat('H', 5 + i) ELSE concat('H', i) END, d FROM fresh WHERE i <= (SELECT n FROM room)""")
+def hypotheses_rerun(spark, sf_dir):
+    """Hypotheses of some nations, to which those of regions are added, twice: ids that are taken move on, and the second time adds nothing."""
+    empty = [F.array().cast("array<string>").alias(c) for c in ("evidence_needed", "data_sources", "dimensions", "channels")]
+    numbered = lambda df, name: df.select(F.concat(F.lit("H"), F.row_number().over(W.orderBy(name))).alias("id"), F.col(name).alias("description"), *empty)  # noqa: E731  a few rows
+    standing, found = numbered(_table(spark, sf_dir, "nation").where("n_nationkey % 9 = 0"), "n_name"), numbered(_table(spark, sf_dir, "region"), "r_name")
+    once, _ = hypotheses.admitted(standing, found)
+    twice, _ = hypotheses.admitted(once, found.join(once.select("description"), "description", "left_semi").select(*found.columns))
+    return twice.select("id", "description")
