@@ -12,6 +12,8 @@ begin and end at bigrams of a template and are at most its size bound long.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +45,19 @@ TEMPLATES |= {
     "MPL-2.0 header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     "AGPL-3.0 header": TEMPLATES["GPL-3.0 header"].replace("GNU General", "GNU Affero General"),
     "LGPL-3.0 header": TEMPLATES["GPL-3.0 header"].replace("GNU General", "GNU Lesser General"),
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.",
+    "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    "BSL-1.0": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.",
 }
+#: Whole licences, a text file for each beside this module.
+WHOLE = "licence_texts"
+
+
+@lru_cache(maxsize=1)
+def all_templates() -> dict[str, str]:
+    """TEMPLATES and the whole licences: what a scan looks for unless it is told otherwise."""
+    folder = resources.files(__package__).joinpath(WHOLE)
+    return TEMPLATES | {f.name.removesuffix(".txt"): f.read_text() for f in folder.iterdir() if f.name.endswith(".txt")}
 
 #: Normal form: A-Z lower-cased, letters, digits and bytes over 127 kept, all else a gap.
 _NORMAL = np.full(256, 32, np.uint8)
@@ -181,7 +195,7 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, thres
     """
     docs = without(docs, ["matches", "passages", "__t"])
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields], f"matches {MATCH}", f"passages {MATCH}"])
-    return docs.withColumn("__t", text_of()).mapInArrow(_scan(_templates(templates or TEMPLATES), threshold), schema)
+    return docs.withColumn("__t", text_of()).mapInArrow(_scan(_templates(templates or all_templates()), threshold), schema)
 
 
 def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:

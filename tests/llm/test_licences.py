@@ -17,7 +17,8 @@ def bigrams(w):
     return set(zip(w, w[1:]))
 
 
-def by_hand(text, templates=L.TEMPLATES, threshold=L.THRESHOLD):
+def by_hand(text, templates=None, threshold=L.THRESHOLD):
+    templates = templates or L.all_templates()
     lines = (text or "").split("\n")
     own = [words(x) for x in lines]
     solid = [bool(re.search(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]", x.translate(LOW))) for x in lines]
@@ -105,3 +106,19 @@ def test_passages_over_blocks_and_within_lines(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     out = {r.doc_id: r for r in L.op10_licences(spark, str(tmp_path)).collect()}
     assert all(want[i] <= set(out[i].licenses) and bool(out[i].license) == bool(want[i]) for i in texts)
+
+
+def test_whole_licences(spark):
+    """Whole licence files, as they are, rewrapped, or below code, are found as themselves; half of one is not."""
+    whole = {n: t for n, t in L.all_templates().items() if n not in L.TEMPLATES}
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0"} == set(whole) and len(L.TEMPLATES) == 19
+    code = "\n".join(f"int f{i}(int x) {{ return x + {i}; }}" for i in range(80))
+    names = [*sorted(whole), "Unlicense", "zlib", "BSL-1.0"]
+    rows = []
+    for name in names:
+        text = L.all_templates()[name]
+        rows += [(name, text), (name, re.sub(r"\s+", " ", text)), (name, code + "\n\n" + text + "\n\n" + code), ("", text[: len(text) // 2])]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: {m.license for m in [*r.passages, *r.matches]} for r in L.license_scan(docs).collect()}
+    for i, (name, _) in enumerate(rows):
+        assert (name in got[i]) if name else not got[i] & set(names), (i, name, got[i])
