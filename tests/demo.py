@@ -1,43 +1,46 @@
-"""A small case with known answers: seven deposits near tender awards, one bridge, one busy pair of phones."""
+"""An invented case with known answers: five deposits near tender awards, one bridge, one busy pair of phones."""
 
 from __future__ import annotations
 
 import datetime
 
-TENDERS = [("滨江路改造", "2019-06-18", 7), ("城东管网", "2020-03-25", 5), ("安置房一期", "2020-11-10", 18), ("桥梁加固", "2021-09-02", 10), ("市政绿化", "2022-04-20", 8), ("智慧交通", "2022-12-05", 13), ("安置房二期", "2023-08-15", 7)]
+#: Project, day of its award, days until a deposit.
+TENDERS = [("一号泵站", "2018-05-14", 4), ("河堤整修", "2019-01-22", 9), ("水厂扩建", "2019-09-30", 15), ("管道更新", "2020-07-08", 6), ("污水处理站", "2021-03-03", 11)]
+DEPOSIT, WAGE_MONTHS, CALLS = 80_000, (2, 5, 8, 11), 90
 
 
 def tables(spark):
     day = datetime.date.fromisoformat
-    flow = [(f"{y}-{m:02d}-05", "张卫国", "财政局", 18532 + m) for y in range(2019, 2024) for m in (1, 4, 7, 10)]
-    flow += [(str(day(d) + datetime.timedelta(days=n)), "张卫国", "现金存入", 100000) for _, d, n in TENDERS]
-    flow += [("2021-10-01", "宏业建设", "A建材", 4600000), ("2021-11-15", "A建材", "张卫国配偶", 1700000)]
-    calls = [(f"2020-{i % 12 + 1:02d}-{i % 28 + 1:02d}", "张卫国", "李志强", 1) for i in range(114)]
-    moves = [(day(d) + datetime.timedelta(days=1), "张卫国", f"项目{n}") for n, d, _ in TENDERS]
-    registry = [("宏业建设", "李志强", "存续", None), ("A建材", "李志强妻弟", "存续", None), ("张卫国配偶", None, "-", "张卫国")]
+    after = lambda d, n: day(d) + datetime.timedelta(days=n)
+    wages = [(f"{year}-{month:02d}-12", "周启明", "水务局", 21_340 + month) for year in range(2018, 2022) for month in WAGE_MONTHS]
+    deposits = [(str(after(d, n)), "周启明", "现金存入", DEPOSIT) for _, d, n in TENDERS]
+    bridge = [("2020-08-01", "远图工程", "青石贸易", 3_200_000), ("2020-08-20", "青石贸易", "周启明之妹", 900_000)]
+    calls = [(str(after("2020-01-03", 4 * i)), "周启明", "何志远", 1) for i in range(CALLS)]
+    moves = [(after(d, 2), "周启明", f"{project}工地") for project, d, _ in TENDERS]
+    registry = [("远图工程", "何志远", "存续", None), ("青石贸易", "何志远之舅", "存续", None), ("周启明之妹", None, "-", "周启明")]
     return {
-        "flow": spark.createDataFrame(flow, "date string, subject string, counterparty string, amount long"),
+        "flow": spark.createDataFrame(wages + deposits + bridge, "date string, subject string, counterparty string, amount long"),
         "calls": spark.createDataFrame(calls, "date string, subject string, callee string, count long"),
         "moves": spark.createDataFrame(moves, "date date, subject string, place string"),
         "registry": spark.createDataFrame(registry, "subject string, legal_rep string, status string, related_party string"),
-        "tenders": spark.createDataFrame([(n, d) for n, d, _ in TENDERS], "project string, award_notice_date string"),
+        "tenders": spark.createDataFrame([(project, d) for project, d, _ in TENDERS], "project string, award_notice_date string"),
     }
 
 
 HYPOTHESES = [
-    ("H1", "收受财物（异常整数现金存入）", ["银行流水", "言词证据"], ["银行流水", "招投标档案"], ["资金", "时间"], ["生间"]),
-    ("H2", "宏业公司因行贿获中标优势（利益关联）", ["中标评分表", "利益输送链"], ["工商信息", "招投标档案"], ["关系"], ["因间"]),
-    ("H3", "二人存在密切私下关系（通讯频次突增）", ["通话频次", "轨迹同框"], ["通话记录", "轨迹出行"], ["通讯", "行为"], ["生间"]),
-    ("H4", "财物通过第三方过桥", ["A建材公司完整流水", "冠字号码溯源"], ["银行流水", "工商信息"], ["资金", "时间"], ["反间"]),
+    ("H1", "中标后有来历不明的整数存款", ["银行流水", "言词证据"], ["银行流水", "招投标档案"], ["资金", "时间"], ["生间"]),
+    ("H2", "供货方与主管人员有亲属关系", ["登记档案", "股权变更"], ["工商信息", "招投标档案"], ["关系"], ["因间"]),
+    ("H3", "评标前后联系异常频繁", ["话单", "行程"], ["通话记录", "轨迹出行"], ["通讯", "行为"], ["生间"]),
+    ("H4", "款项经第三家公司转出", ["完整账册"], ["银行流水", "工商信息"], ["资金", "时间"], ["反间"]),
 ]
 SPACE = {
-    "subject": ["张卫国", "李志强", "A建材", "张卫国配偶"],
-    "behaviour": ["现金收受", "购物卡", "转账", "过桥", "代持"],
-    "time": ["2018前", "2018-2024", "2024后"],
-    "amount": ["小额多次", "大额单次"],
-    "relation": ["直接", "间接"],
+    "subject": ["周启明", "何志远", "青石贸易", "周启明之妹"],
+    "behaviour": ["现金存入", "礼券", "转账", "过桥", "代持"],
+    "time": ["开标前", "公示期", "完工后"],
+    "amount": ["零散", "整笔"],
+    "relation": ["本人", "他人"],
 }
-SUPPORTED = [("现金收受", "H1"), ("过桥", "H4")]
+SUPPORTED = [("现金存入", "H1"), ("过桥", "H4")]
 
 
 def theory(spark):
