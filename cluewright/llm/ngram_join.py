@@ -264,16 +264,28 @@ def _product(percent: int, by: str):
 
 
 def _verified(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index
-            left, right = batch.column(at("grams")), batch.column(at("pivot_grams"))
-            keep = []
-            for x, y in zip(left, right):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                slot = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                keep.append(bool(linked(int(np.count_nonzero(y[slot] == x)), len(x), len(y), percent)))
-            yield batch.select(["s", "pivot"]).filter(pa.array(keep, pa.bool_()))
+    """(s, pivot) that link, of packs of blocks: rows (block, pivot, s, grams), s null for the pivot itself.
+
+    A block is the rows of sets that name one pivot; their overlaps with it are
+    the product of these rows with the pivot's column of the incidence. The
+    n-grams of a block are told from those of others by its number, so that one
+    search multiplies all blocks of a pack.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        s = table.column("s").combine_chunks()
+        block = K.mix(table.column("block").to_numpy().view(np.uint64))
+        h, size = _joined(table.column("grams"))
+        keys = K.mix(h * np.uint64(0x9E3779B97F4A7C15) + np.repeat(block, size))
+        own = np.repeat(s.is_null().to_numpy(zero_copy_only=False), size)
+        columns = np.sort(keys[own])
+        slot = np.minimum(np.searchsorted(columns, keys), max(len(columns) - 1, 0))
+        hits = np.r_[0, np.cumsum(columns[slot] == keys if len(columns) else np.zeros(len(keys), bool))]
+        at = np.r_[0, np.cumsum(size)]
+        both = hits[at[1:]] - hits[at[:-1]]
+        rows = np.flatnonzero(s.is_valid().to_numpy(zero_copy_only=False))
+        keep = rows[linked(both[rows], size[rows], table.column("pivot_n").to_numpy()[rows], percent)]
+        return table.select(["s", "pivot"]).take(pa.array(keep))
 
     return run
 
@@ -284,13 +296,20 @@ def signature(h: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little")
 
 
-def least_difference(x: np.ndarray, y: np.ndarray) -> int:
-    """How many n-grams two sets differ by at least: each flips one bit of one of their signatures."""
-    if len(x) > len(y):
-        x, y = y, x
-    while len(y) > len(x):
-        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum())
+def differences(x: pa.Array, y: pa.Array) -> np.ndarray:
+    """How many n-grams the sets of two columns of signatures differ by at least, row by row: each flips one bit of one of the two. Rows of like lengths are one matrix."""
+    out = np.zeros(len(x), np.int64)
+    lengths = np.stack([pc.binary_length(x).to_numpy(), pc.binary_length(y).to_numpy()], 1)
+    kinds, own = np.unique(lengths, axis=0, return_inverse=True)
+    for i, (k, m) in enumerate(kinds):
+        rows = pa.array(np.flatnonzero(own.ravel() == i))
+        short, long = (np.frombuffer(b"".join(c.take(rows).to_pylist()), np.uint8).reshape(len(rows), w) for c, w in ((x, k), (y, m)))
+        if k > m:
+            short, long = long, short
+        while long.shape[1] > short.shape[1]:
+            long = long[:, : long.shape[1] // 2] ^ long[:, long.shape[1] // 2 :]
+        out[rows.to_numpy()] = np.bitwise_count(short ^ long).sum(1, dtype=np.int64)
+    return out
 
 
 def _signatures(n: int, rows: np.ndarray):
@@ -346,10 +365,10 @@ def _alike(pairs: DataFrame, told: DataFrame, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index
-            most = (batch.column(at("n")).to_numpy() + batch.column(at("pivot_n")).to_numpy()) * (100 - percent) // (100 + percent)
-            keep = [least_difference(np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)) <= d for x, y, d in zip(batch.column(at("told")), batch.column(at("pivot_told")), most)]
-            yield batch.select(names).filter(pa.array(keep, pa.bool_()))
+            column = lambda c: batch.column(batch.schema.get_field_index(c))  # noqa: E731, B023
+            most = (column("n").to_numpy() + column("pivot_n").to_numpy()) * (100 - percent) // (100 + percent)
+            apart = differences(column("told"), column("pivot_told"))
+            yield batch.select(names).filter(pa.array(apart <= most))
 
     names = pairs.columns
     sized = F.lit(100) * F.least("n", "pivot_n") >= F.lit(percent) * F.greatest("n", "pivot_n")
@@ -364,11 +383,23 @@ def _sent(names: DataFrame, many: int) -> DataFrame:
     return F.broadcast(names) if many <= BROADCAST_BYTES // 128 else names
 
 
-def _tried(pairs: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
-    """(s, pivot) of the pairs that link."""
-    right = grams.select(F.col("s").alias("pivot"), F.col("grams").alias("pivot_grams"))
-    met = pairs.select("s", "pivot").join(grams.select("s", "grams"), "s").join(right, "pivot").select("s", "pivot", "grams", "pivot_grams")
-    return stored(met.mapInArrow(_verified(percent), "s binary, pivot binary"), "links")
+def _tried(pairs: DataFrame, grams: DataFrame, percent: int, block_grams: int) -> DataFrame:
+    """(s, pivot) of the pairs (s, n, pivot, pivot_n) that link.
+
+    Sets of one pivot are dealt into blocks of about block_grams n-grams, and
+    small blocks packed together. A pivot's list goes to each of its blocks
+    once, however many sets name it.
+    """
+    pairs = pairs.select("s", "n", "pivot", "pivot_n")
+    width = F.ceil((F.sum("n") + F.first("pivot_n")) / block_grams).alias("w")
+    total = pairs.agg(F.sum("n")).first()[0] or 0
+    packs = max(1, -(-2 * total // block_grams))
+    number = F.xxhash64("pivot", F.pmod(F.xxhash64("s"), F.col("w")))
+    dealt = stored(pairs.join(pairs.groupBy("pivot").agg(width), "pivot").select("s", "pivot", "pivot_n", number.alias("block")), "dealt")
+    rows = dealt.join(grams, "s").select("block", "pivot", "pivot_n", "s", "grams")
+    own = dealt.select("block", "pivot", "pivot_n").distinct().join(grams.withColumnRenamed("s", "pivot"), "pivot")
+    both = rows.unionByName(own.withColumn("s", F.lit(None).cast("binary"))).withColumn("pack", F.pmod("block", F.lit(packs)))
+    return stored(both.groupBy("pack").applyInArrow(_verified(percent), "s binary, pivot binary"), "links")
 
 
 def _apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
@@ -391,9 +422,9 @@ def _large(pairs: DataFrame, lists: DataFrame, told: DataFrame, fetch: Callable[
         # One pivot of a set, which most of its lists name, before the others.
         pairs = _alike(pairs, told, percent)
         grams = fetch(sides(pairs))
-        best = pairs.groupBy("s").agg(F.max_by("pivot", F.struct("lists", "pivot")).alias("pivot"))
-        once = _tried(best, grams, percent)
-        known = once.unionByName(_tried(_apart(pairs.join(best, ["s", "pivot"], "left_anti"), once), grams, percent))
+        best = pairs.groupBy("s").agg(F.max_by(F.struct("n", "pivot", "pivot_n"), F.struct("lists", "pivot")).alias("x")).select("s", "x.*")
+        once = _tried(best, grams, percent, block_grams)
+        known = once.unionByName(_tried(_apart(pairs.join(best, ["s", "pivot"], "left_anti"), once), grams, percent, block_grams))
         known = stored(known, "known", result=True)
         # Lists that still span several components.
         parts = components(known, "s", "pivot").withColumnRenamed("vertex", "s")
@@ -411,7 +442,7 @@ def _large(pairs: DataFrame, lists: DataFrame, told: DataFrame, fetch: Callable[
     rows = _blocks(members, percent, block, block_grams).join(_at_hand(told), "s").groupBy("pair").applyInArrow(_promising(percent), "pair long, s binary")
     rows = stored(rows, "promising")
     grams = fetch(sides(met).union(rows.select("s")).distinct())
-    more = _tried(met, grams, percent)
+    more = _tried(met, grams, percent, block_grams)
     blocks = rows.join(grams, "s").groupBy("pair").applyInArrow(_product(percent, "pair"), "u binary, v binary")
     return ends(known).unionByName(ends(more)).unionByName(blocks)
 
