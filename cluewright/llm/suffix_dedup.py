@@ -7,8 +7,9 @@ at equal places, so the suffixes that start with a repeated string fall into
 the bucket of their anchor's hash, whichever document they are from.
 
 1. Anchors are counted by hash. What occurs once cannot repeat and is dropped;
-   a bitmap of fixed size does that on the map side and only ever errs by
-   keeping too much.
+   a bitmap sized to the keys does that on the map side and only ever errs by
+   keeping too much. Where it would be too full to tell, what it keeps meets
+   the keys themselves before it is written.
 2. Consecutive suffixes of one anchor form a stretch. Equal stretches are one
    class, counted before any text moves: in a class of two, all suffixes
    repeat.
@@ -25,7 +26,7 @@ the bucket of their anchor's hash, whichever document they are from.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +39,8 @@ from .common import bitmap, digest, in_bitmap, load, stored, text_of, without
 SPAN, GRAM = 200, 100
 #: Distance of the cover's positions. A sample has SPAN - COVER bytes.
 COVER = 32
-#: Size of the bitmaps, as a power of two of flags.
-BITS = 25
+#: Sizes of the bitmaps, as powers of two of flags: at most the first, at least the second, and in between 2**SPARE flags for a key.
+MOST_BITS, LEAST_BITS, SPARE = 27, 18, 4
 CHUNK = 1 << 19
 #: Classes, of up to 3 * SPAN / 2 bytes each, that a task sorts as one bucket.
 MOST_CLASSES = 4096
@@ -245,7 +246,15 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*[batch.column(at(c)) for c in rest], pa.array(kept, pa.binary()), pa.array(spans, kind), pa.array(sizes, pa.int64())], [*rest, "kept", "spans", "n_bytes"])
 
 
-def suffix_dedup(docs: DataFrame, span: int = SPAN, gram: int = GRAM, cover: int = COVER, bits: int = BITS, most_classes: int = MOST_CLASSES) -> DataFrame:
+def _flags(keys: DataFrame, most: int) -> tuple[np.ndarray, Callable[[DataFrame], DataFrame]]:
+    """A bitmap of keys' h, and what makes sure of rows that passed it: nothing, or a join with the keys where they are too many for the flags."""
+    n = keys.count()
+    bits = min(most, max(LEAST_BITS, n.bit_length() + SPARE))
+    full = n > 1 << (bits - 2)
+    return bitmap(keys, "h", bits), lambda rows: rows.join(keys.select("h"), "h", "left_semi").select(*rows.columns) if full else rows
+
+
+def suffix_dedup(docs: DataFrame, span: int = SPAN, gram: int = GRAM, cover: int = COVER, bits: int = MOST_BITS, most_classes: int = MOST_CLASSES) -> DataFrame:
     """docs with text replaced by kept (its remaining bytes), spans (what was removed) and n_bytes.
 
     All texts are judged as they came. A string that starts twice in one text
@@ -258,12 +267,13 @@ def suffix_dedup(docs: DataFrame, span: int = SPAN, gram: int = GRAM, cover: int
     docs = without(docs, ["kept", "spans", "n_bytes", "__t", "__found", "__key"])
     texts = docs.select(text_of().alias("t"), digest(text_of()).alias("key")).where(F.octet_length("t") >= span)
     counted = texts.select("t").mapInArrow(_anchor_counts(span, gram), "h long, n long")
-    flags = bitmap(counted.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1"), "h", bits)
-    found = stored(texts.mapInArrow(_occurrences(span, gram, flags), "key binary, h long, r long, lo long, n int"), "stretches")
+    repeats = stored(counted.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"), "repeats")
+    flags, sure = _flags(repeats, bits)
+    found = stored(sure(texts.mapInArrow(_occurrences(span, gram, flags), "key binary, h long, r long, lo long, n int")), "stretches")
     classes = stored(found.groupBy("h", "r").agg(F.count(F.lit(1)).alias("copies"), F.first("n").alias("n")), "classes")
     kinds = stored(classes.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "buckets")
-    flags, hot = bitmap(kinds, "h", bits), bitmap(kinds.where(F.col("k") > most_classes), "h", bits)
-    sample = texts.select("t").mapInArrow(_class_texts(span, gram, flags, hot), "h long, r long, pre int, text binary").dropDuplicates(["h", "r"])
+    (flags, sure), (hot, _) = _flags(kinds, bits), _flags(kinds.where(F.col("k") > most_classes), bits)
+    sample = sure(texts.select("t").mapInArrow(_class_texts(span, gram, flags, hot), "h long, r long, pre int, text binary")).dropDuplicates(["h", "r"])
     runs = sample.repartition(F.col("h")).sortWithinPartitions("h").mapInArrow(_sorted_buckets(span, cover), "h long, r long, a int, b int")
     if hot.any():
         suffixes = stored(texts.select("t").mapInArrow(_class_suffixes(span, gram, hot), "h long, r long, i int, x long"), "suffixes")
