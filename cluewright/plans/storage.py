@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 _STORED: dict[str, list[str]] = {}
 _OPEN = threading.local()
+_LOCK = threading.Lock()
+#: By application: threads that write, and CLEANUP before the first of them began.
+_WRITING: dict[str, tuple[int, str]] = {}
 #: Spark's setting to delete the shuffle files of an execution when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -55,6 +58,25 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         _delete(spark, paths)
 
 
+@contextmanager
+def _cleaning(spark: SparkSession) -> Iterator[None]:
+    """CLEANUP is on while any thread of the session writes, and then what it was before the first of them."""
+    app = spark.sparkContext.applicationId
+    with _LOCK:
+        writers, before = _WRITING.get(app, (0, spark.conf.get(CLEANUP, "false")))
+        _WRITING[app] = writers + 1, before
+        spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _LOCK:
+            writers, before = _WRITING.pop(app)
+            if writers > 1:
+                _WRITING[app] = writers - 1, before
+            else:
+                spark.conf.set(CLEANUP, before)
+
+
 def stored(df: DataFrame, name: str = "part", result: bool = False) -> DataFrame:
     """Write df as a table in the shared folder and read it again.
 
@@ -68,10 +90,6 @@ def stored(df: DataFrame, name: str = "part", result: bool = False) -> DataFrame
     blocks = _OPEN.__dict__.get("blocks", [])[: -1 if result else None]
     if blocks:
         blocks[-1].append(path)
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with _cleaning(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)

@@ -634,10 +634,14 @@ def feature_put(spark, sf_dir):
 # ---- hypotheses ----
 
 
-@_query("""SELECT CAST(((a.i * 5 + b.i) * 3 + c.i) + 1 AS BIGINT) AS number, a.v AS subject, b.v AS behaviour, c.v AS time FROM (SELECT unnest(['a','b','c','d']) AS v, unnest([0,1,2,3]) AS i) a
-CROSS JOIN (SELECT unnest(['v','w','x','y','z']) AS v, unnest([0,1,2,3,4]) AS i) b CROSS JOIN (SELECT unnest(['k','l','m']) AS v, unnest([0,1,2]) AS i) c""")
+@_query("""WITH a AS (SELECT r_name AS v, row_number() OVER (ORDER BY r_name) - 1 AS i FROM region), b AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i FROM (SELECT DISTINCT c_mktsegment AS v FROM customer)),
+c AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i FROM (SELECT DISTINCT o_orderpriority AS v FROM orders))
+SELECT CAST((a.i * (SELECT count(*) FROM b) + b.i) * (SELECT count(*) FROM c) + c.i + 1 AS BIGINT) AS number, a.v AS subject, b.v AS behaviour, c.v AS time FROM a CROSS JOIN b CROSS JOIN c""")
 def enumerate_space(spark, sf_dir):
-    return hypotheses.combinations(spark, {"subject": list("abcd"), "behaviour": list("vwxyz"), "time": list("klm")}).select((F.col("place") + 1).alias("number"), "subject", "behaviour", "time")
+    """Regions by segments by priorities, numbered by their places."""
+    values = lambda t, c: sorted(r[0] for r in _table(spark, sf_dir, t).select(c).distinct().collect())  # noqa: E731  five each
+    space = {"subject": values("region", "r_name"), "behaviour": values("customer", "c_mktsegment"), "time": values("orders", "o_orderpriority")}
+    return hypotheses.combinations(spark, space).select((F.col("place") + 1).alias("number"), "subject", "behaviour", "time")
 
 
 @_query("""WITH seg AS (SELECT c_mktsegment AS b, row_number() OVER (ORDER BY c_mktsegment) - 1 AS j, concat('H', CAST(max(c_custkey) % 3 AS VARCHAR)) AS h, count(*) AS n FROM customer GROUP BY 1),
