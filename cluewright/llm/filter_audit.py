@@ -151,7 +151,8 @@ def failed_filters(docs: DataFrame, part: str = "lang", fingerprint: Column | No
     id are never E and make none. A null text is empty, a null part the empty
     string. Only doc_id, text and the part's column are read, so that other
     columns cannot clash. An empty table gives no rows. Texts of any length are
-    taken whole.
+    taken whole. docs has to give the same rows in the same order when a lost
+    task reads them again, as a table does.
 
     A text goes over the network once for each task and `held` bytes of texts
     that have it, however many rows do. Tasks sort what reaches them by
