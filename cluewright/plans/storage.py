@@ -19,11 +19,17 @@ _WRITING: dict[str, tuple[int, str]] = {}
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+def one_machine(spark: SparkSession) -> bool:
+    """The driver is the executor, so that they share its files."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share. Where the session names none, a local session gets one of our own; on a cluster that would be a folder of one machine, and is refused."""
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        if not one_machine(spark):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         place = f"file://{tempfile.mkdtemp(prefix='shared-')}"
         spark.conf.set("spark.checkpoint.dir", place)

@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..plans.storage import one_machine
+
 #: Rows of a batch, and row ids of a part at least.
 BATCH, PART_ROWS = 10_000, 20_000
 #: A row's place in its source: its row id, or its number in the sheet.
@@ -34,7 +36,7 @@ def _on_executors(spark: SparkSession, path: str) -> dict[str, str]:
     """Options that lead the driver and each task to the file."""
     url = urlparse(path)
     local = url.path if url.scheme == "file" else path
-    if url.scheme in ("", "file") and spark.sparkContext.master.startswith("local"):
+    if url.scheme in ("", "file") and one_machine(spark):
         return {"here": local, "name": ""}
     spark.sparkContext.addFile(path)
     return {"here": SparkFiles.get(os.path.basename(path)), "name": os.path.basename(path)}
