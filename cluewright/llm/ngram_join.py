@@ -53,8 +53,8 @@ FEW = 32
 THIN, SLICE = 24, 1024
 #: Sizes from one border to the next are one family; borders grow by this factor.
 FAMILY = 1.5
-#: Text bytes that are worked on at once.
-CHUNK = 1 << 20
+#: Text bytes that are worked on at once, and n-grams of pivots and their sets that are.
+CHUNK, PACK_GRAMS = 1 << 19, 1 << 17
 _SET = pa.binary(16)
 
 
@@ -383,17 +383,17 @@ def _sent(names: DataFrame, many: int) -> DataFrame:
     return F.broadcast(names) if many <= BROADCAST_BYTES // 128 else names
 
 
-def _tried(pairs: DataFrame, grams: DataFrame, percent: int, block_grams: int) -> DataFrame:
+def _tried(pairs: DataFrame, grams: DataFrame, percent: int, pack_grams: int = PACK_GRAMS) -> DataFrame:
     """(s, pivot) of the pairs (s, n, pivot, pivot_n) that link.
 
-    Sets of one pivot are dealt into blocks of about block_grams n-grams, and
+    Sets of one pivot are dealt into blocks of about pack_grams n-grams, and
     small blocks packed together. A pivot's list goes to each of its blocks
     once, however many sets name it.
     """
     pairs = pairs.select("s", "n", "pivot", "pivot_n")
-    width = F.ceil((F.sum("n") + F.first("pivot_n")) / block_grams).alias("w")
+    width = F.ceil((F.sum("n") + F.first("pivot_n")) / pack_grams).alias("w")
     total = pairs.agg(F.sum("n")).first()[0] or 0
-    packs = max(1, -(-2 * total // block_grams))
+    packs = max(1, -(-2 * total // pack_grams))
     number = F.xxhash64("pivot", F.pmod(F.xxhash64("s"), F.col("w")))
     dealt = stored(pairs.join(pairs.groupBy("pivot").agg(width), "pivot").select("s", "pivot", "pivot_n", number.alias("block")), "dealt")
     rows = dealt.join(grams, "s").select("block", "pivot", "pivot_n", "s", "grams")
@@ -423,8 +423,8 @@ def _large(pairs: DataFrame, lists: DataFrame, told: DataFrame, fetch: Callable[
         pairs = _alike(pairs, told, percent)
         grams = fetch(sides(pairs))
         best = pairs.groupBy("s").agg(F.max_by(F.struct("n", "pivot", "pivot_n"), F.struct("lists", "pivot")).alias("x")).select("s", "x.*")
-        once = _tried(best, grams, percent, block_grams)
-        known = once.unionByName(_tried(_apart(pairs.join(best, ["s", "pivot"], "left_anti"), once), grams, percent, block_grams))
+        once = _tried(best, grams, percent)
+        known = once.unionByName(_tried(_apart(pairs.join(best, ["s", "pivot"], "left_anti"), once), grams, percent))
         known = stored(known, "known", result=True)
         # Lists that still span several components.
         parts = components(known, "s", "pivot").withColumnRenamed("vertex", "s")
@@ -442,7 +442,7 @@ def _large(pairs: DataFrame, lists: DataFrame, told: DataFrame, fetch: Callable[
     rows = _blocks(members, percent, block, block_grams).join(_at_hand(told), "s").groupBy("pair").applyInArrow(_promising(percent), "pair long, s binary")
     rows = stored(rows, "promising")
     grams = fetch(sides(met).union(rows.select("s")).distinct())
-    more = _tried(met, grams, percent, block_grams)
+    more = _tried(met, grams, percent)
     blocks = rows.join(grams, "s").groupBy("pair").applyInArrow(_product(percent, "pair"), "u binary, v binary")
     return ends(known).unionByName(ends(more)).unionByName(blocks)
 
