@@ -142,9 +142,9 @@ def histogram(clues: DataFrame) -> DataFrame:
 
 
 def review_queue(found: DataFrame, kind: str) -> DataFrame:
-    """Clusters that need review as pending decisions; ids are from content."""
+    """Clusters that need review as pending decisions; ids are from content, the whole digest of it, as decisions are joined to them."""
     return found.where("needs_review").select(
-        F.concat(F.lit(f"rev_{kind}_"), F.substring(F.md5(F.concat_ws("|", "canonical", F.array_join("variants", ","))), 1, 8)).alias("candidate_id"),
+        F.concat(F.lit(f"rev_{kind}_"), F.md5(F.concat_ws("|", "canonical", F.array_join("variants", ",")))).alias("candidate_id"),
         F.lit(kind).alias("entity_type"),
         "canonical",
         "variants",

@@ -80,3 +80,13 @@ def test_requests_of_one_time(spark):
     got = sorted((r.clue_id, r.at, r.before, r.reason) for r in disposal.replay(log).collect() if r.clue_id == "a")
     assert got == [("a", 1, PENDING, "requests of one time disagree")] * 2 + [("a", 2, PENDING, None)]
     assert sorted(r.valid for r in disposal.replay(log).where("clue_id = 'b'").collect()) == [False, True]
+
+
+def test_candidates_whose_digests_begin_alike_are_told_apart(spark):
+    """The digests of these two agree in their first 8 digits; a decision on one of them is not one on the other."""
+    found = spark.createDataFrame([(True, f"c#{k}", [f"Customer#{k:09d}", f"x{k}"]) for k in (22104, 30075)], "needs_review boolean, canonical string, variants array<string>")
+    queue = disposal.review_queue(found, "org")
+    said = queue.select("candidate_id", F.when(F.col("canonical") == "c#22104", "REJECTED").otherwise("ACCEPTED").alias("decision"), F.lit("Li").alias("operator"), F.lit("why").alias("note"))
+    done = disposal.decided(queue, said)
+    assert sorted((r.canonical, r.decision) for r in done.collect()) == [("c#22104", "REJECTED"), ("c#30075", "ACCEPTED")]
+    assert disposal.review_summary(done).first().total == 2
