@@ -41,25 +41,30 @@ def clue_id(*columns: str) -> Column:
     return F.substring(evidence_key(*columns), 1, 8)
 
 
-def duplicate_links(clues: DataFrame, evidence: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """(u, v) between clues that overlap in evidence or share both a hypothesis and a channel.
+def duplicate_links(clues: DataFrame, evidence: DataFrame | None, threshold: float = 0.5) -> DataFrame:
+    """(u, v) between clues that overlap in evidence, if it is given, or share both a hypothesis and a channel.
 
     The second kind goes through a hub vertex for each hypothesis and channel: links grow with the clues, not their pairs.
     """
+    hubs = clues.select(F.concat(F.lit("c:"), "clue_id").alias("u"), F.explode("assumption_chain").alias("h"), "channels").select("u", "h", F.explode("channels").alias("j"))
+    shared = hubs.select("u", F.concat_ws(":", F.lit("h"), "h", "j").alias("v")).distinct()
+    if evidence is None:
+        return shared
     rows = evidence.select(F.concat(F.lit("c:"), "clue_id").alias("id"), "x")
     near = overlaps(rows, "id", "x", threshold).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    hubs = clues.select(F.concat(F.lit("c:"), "clue_id").alias("u"), F.explode("assumption_chain").alias("h"), "channels").select("u", "h", F.explode("channels").alias("j"))
-    return near.union(hubs.select("u", F.concat_ws(":", F.lit("h"), "h", "j").alias("v")).distinct())
+    return near.union(shared)
 
 
-def merged_clues(clues: DataFrame, evidence: DataFrame, threshold: float = 0.5) -> tuple[DataFrame, DataFrame]:
+def merged_clues(clues: DataFrame, evidence: DataFrame, threshold: float = 0.5, apart: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Clues with duplicates merged, and the evidence of what they were merged to.
 
     A merged clue has the first member's id, skill and policy, titles joined,
     lists united, the furthest status; its evidence is that of its members,
-    each row once.
+    each row once. apart (clue_id, n), the number of different rows of each
+    clue, is given where no two clues can have a row in common: then evidence
+    is not read until its caller does.
     """
-    found = stored(components(duplicate_links(clues, evidence, threshold)).where(F.col("vertex").startswith("c:")), "merged")
+    found = stored(components(duplicate_links(clues, evidence if apart is None else None, threshold)).where(F.col("vertex").startswith("c:")), "merged")
     label = found.select(F.expr("substring(vertex, 3)").alias("clue_id"), "component")
     rows = clues.join(label, "clue_id", "left").withColumn("component", F.coalesce("component", "clue_id"))
     union = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
@@ -68,6 +73,8 @@ def merged_clues(clues: DataFrame, evidence: DataFrame, threshold: float = 0.5)
     named = rows.groupBy("component").agg(F.min_by("clue_id", "ord").alias("to")).select("component", "to")
     cited = evidence.join(rows.select("clue_id", "component"), "clue_id").join(named, "component").select(F.col("to").alias("clue_id"), "x").distinct()
     counts = cited.groupBy("clue_id").agg(F.count(F.lit(1)).alias("n_rows"))
+    if apart is not None:
+        counts = rows.select("clue_id", "component").join(apart, "clue_id").join(named, "component").groupBy(F.col("to").alias("clue_id")).agg(F.sum("n").alias("n_rows"))
     out = rows.groupBy("component").agg(
         first("clue_id"),
         F.min("ord").alias("ord"),
