@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from decimal import Decimal
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.predicates import round_amount
+from ..plans.meetings import _groups as runs
 from ..plans.ranking import ranked
 from ..plans.storage import stored
 
 #: Edges on a side of a cell of a heavy node's grid, about, and heavy nodes that are broadcast at most.
 CELL, BROADCAST_NODES = 4096, 500_000
+#: Pairs of a bridge and window up to which they are joined to be counted, edges on a side of a cell beyond, and those of a sum.
+FEW, SIDE, STEP = 4096, 1 << 16, 1 << 14
 PATH = ["source", "bridge", "dest", "amount_in", "amount_out"]
 
 
@@ -75,6 +82,80 @@ def bridges(flow: DataFrame, modulus: int | None = None, within_days: int | None
     return paths.select("source", "bridge", "dest", "amount_in", "amount_out")
 
 
+def _sums(keys: int, within: int):
+    """(paths, total) of cells: for each edge in, how many edges out are in its window and large enough, and their cents, by search in sorted amounts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, table in runs(batches, keys):
+            side, day, amount, cents = (table.column(c).to_numpy() for c in ("side", "day", "amount", "cents"))
+            ins, outs = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            ins, outs = ins[np.argsort(day[ins], kind="stable")], outs[np.argsort(amount[outs], kind="stable")]
+            cuts = np.flatnonzero(np.r_[True, np.diff(day[ins]) != 0, True]) if len(ins) else []
+            paths = total = 0
+            for lo, hi in zip(cuts, cuts[1:]):
+                d = day[ins[lo]]
+                near = outs[(day[outs] >= d) & (day[outs] <= d + within)]
+                # Cents in two halves, so that no sum of a step leaves 64 bits.
+                upper, lower = (np.r_[0, np.cumsum(x[::-1])][::-1] for x in (cents[near] >> 30, cents[near] & ((1 << 30) - 1)))
+                for at in range(lo, hi, STEP):
+                    first = np.searchsorted(amount[near], amount[ins[at : min(hi, at + STEP)]])
+                    paths += int((len(near) - first).sum())
+                    total += (int(upper[first].sum()) << 30) + int(lower[first].sum())
+            yield pa.RecordBatch.from_arrays([pa.array([paths], pa.int64()), pa.array([Decimal(f"{total}e-2")], pa.decimal128(38, 2))], ["paths", "total"])
+
+    return run
+
+
+def _totals(a: DataFrame, b: DataFrame, keys: list[str], within: int, side: int, few: int) -> DataFrame:
+    """Rows (paths, total) to be added up: pairs of edges in (keys, name, day, amount, the least that goes on) and out (keys, name, day, amount, cents) that agree on keys. name only deals edges out.
+
+    Days are dealt into buckets as wide as the window; an edge out goes to the
+    bucket of its day and the one before, so that a pair meets once. Buckets of
+    many pairs are grids of about `side` edges a side, whose pairs are counted.
+    """
+    bucket = lambda back: F.floor((F.col("day") - back * (within + 1)) / (within + 1)).alias("bucket")
+    a = a.select(*keys, bucket(0), "name", "day", "amount")
+    b = b.select(*keys, F.explode(F.array(bucket(0), bucket(1))).alias("bucket"), "name", "day", "amount", "cents")
+    met = [*keys, "bucket"]
+    i, o = (df.groupBy(*met).agg(F.count(F.lit(1)).alias(n)) for df, n in ((a, "i"), (b, "o")))
+    parts = lambda c: F.ceil(F.col(c) / side).cast("int")
+    heavy = stored(i.join(o, met).where(F.col("i") * F.col("o") > few).select(*met, "i", "o", parts("i").alias("ins"), parts("o").alias("outs")), "heavy")
+    out = b.select(*met, F.col("day").alias("day_out"), F.col("amount").alias("amount_out"), "cents")
+    pairs = a.join(heavy, met, "left_anti").join(out, met).where(f"day_out between day and day + {within} and amount_out >= amount")
+    light = pairs.agg(F.count(F.lit(1)).alias("paths"), F.coalesce(F.sum(F.col("cents").cast("decimal(20,0)")) / 100, F.lit(0)).cast("decimal(38,2)").alias("total"))
+    rows = heavy.agg(F.sum(F.expr("cast(i as double) * outs + cast(o as double) * ins"))).first()[0]
+    if not rows:
+        return light
+    tasks = int(max(1, min(rows // 4096, 4 * int(heavy.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
+
+    def dealt(df: DataFrame, number: int, own: str, other: str, mine: str, theirs: str) -> DataFrame:
+        cents = F.col("cents") if "cents" in df.columns else F.lit(0).cast("long").alias("cents")
+        rows = df.join(heavy, met).withColumn(mine, F.pmod(F.xxhash64("name", "day", "amount"), F.col(own)).cast("int"))
+        rows = rows.withColumn(theirs, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        return rows.select(*met, "cell_in", "cell_out", F.lit(number).alias("side"), "day", "amount", cents)
+
+    cell = [*met, "cell_in", "cell_out"]
+    both = dealt(a, 0, "ins", "outs", "cell_in", "cell_out").unionByName(dealt(b, 1, "outs", "ins", "cell_out", "cell_in"))
+    return light.unionByName(both.repartition(tasks, *cell).sortWithinPartitions(*cell).mapInArrow(_sums(len(cell), within), "paths long, total decimal(38,2)"))
+
+
+def bridge_totals(flow: DataFrame, within_days: int, least_ratio: float, modulus: int | None = None, loops: bool = False, side: int = SIDE, few: int = FEW) -> DataFrame:
+    """One row, paths and total: the number of bridges() and the sum of their amount_out, without listing any.
+
+    Pairs of edges that meet at a bridge are counted, and those that return to
+    their source, which agree on one more key, are counted in the same way and
+    taken off. Amounts are summed as cents, exactly.
+    """
+    a, b = _legs(flow, modulus, loops)
+    a = a.where("amount_in is not null and date_in is not null").select("source", "bridge", F.col("source").alias("name"), F.unix_date("date_in").alias("day"), (F.lit(least_ratio) * F.col("amount_in")).cast("double").alias("amount"))
+    b = b.where("amount_out is not null and date_out is not null").select("dest", "bridge", F.col("dest").alias("name"), F.unix_date("date_out").alias("day"), F.col("amount_out").cast("double").alias("amount"), (F.col("amount_out").cast("decimal(18,2)") * 100).cast("long").alias("cents"))
+    every = _totals(a, b, ["bridge"], within_days, side, few)
+    back = _totals(a.withColumnRenamed("source", "end"), b.withColumnRenamed("dest", "end"), ["bridge", "end"], within_days, side, few)
+    both = every.unionByName(back.select((-F.col("paths")).alias("paths"), (-F.col("total")).cast("decimal(38,2)").alias("total")))
+    out = both.agg(F.coalesce(F.sum("paths"), F.lit(0)).alias("paths"), F.sum("total").alias("total"))
+    return out.select("paths", F.when(F.col("paths") > 0, F.col("total")).alias("total"))
+
+
 def least_paths(flow: DataFrame, rows: int, modulus: int | None = None, loops: bool = False) -> DataFrame:
     """The first `rows` of bridges() in order of source, bridge, dest, amount_in and amount_out, without listing the others.
 

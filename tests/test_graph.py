@@ -78,3 +78,19 @@ def test_reach_of_many_starts(spark):
     got = [tuple(r) for r in graph.reach(flow_of(spark, rows), starts, 3).collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert graph.reach(flow_of(spark, rows), starts.where("false"), 2).count() == 0
+
+
+@pytest.mark.parametrize("side, few", [(7, 0), (7, 30), (1000, 0), (1000, 10**9)])
+def test_totals_are_those_of_the_paths(spark, side, few):
+    """A hub's pairs are counted in cells and buckets of days; what they come to is what the listed paths do."""
+    rng = random.Random(5)
+    pick = lambda: rng.choice(["a", "b", "c", "d", "hub", "hub", None])
+    rows = [(pick(), pick(), rng.choice([None, *range(-3, 60)]), rng.choice([None, *[f"2024-0{m}-{d:02d}" for m in (1, 2, 3) for d in range(1, 29, 3)]])) for _ in range(300)]
+    flow = flow_of(spark, [(s, c, None if x is None else x / 4, d) for s, c, x, d in rows])
+    for loops in (True, False):
+        paths = graph.bridges(flow, within_days=10, least_ratio=0.5, loops=loops)
+        want = paths.agg(F.count(F.lit(1)).alias("paths"), F.sum(F.col("amount_out").cast("decimal(18,2)")).alias("total")).first()
+        got = graph.bridge_totals(flow, 10, 0.5, loops=loops, side=side, few=few).first()
+        assert got.paths == want.paths > 0 and got.total == want.total
+    none = graph.bridge_totals(flow.where("false"), 10, 0.5, side=side, few=few).first()
+    assert (none.paths, none.total) == (0, None)
