@@ -9,7 +9,8 @@ comes from: texts that represent a set are shingled where they are needed.
    hash. Sizes bound how many n-grams two linked sets can differ by, and there
    are more blocks than that: linked sets have the same n-grams in one block
    at least. So a set is told by a key for each of its blocks, sets that share
-   a key are a list, and pairs without a common list are discarded unseen.
+   a key are a list, and pairs without a common list are discarded unseen. Keys
+   and their sets go to buckets of keys once, packed, and are sorted there.
 2. Lists that share sets are one cluster. A cluster is a block of rows, and
    the sparse product of its rows accumulates the overlap of each pair.
 3. A cluster that is too large for one block is contracted first: each member
@@ -55,6 +56,8 @@ THIN, SLICE = 24, 1024
 FAMILY = 1.5
 #: Text bytes that are worked on at once, and n-grams of pivots and their sets that are.
 CHUNK, PACK_GRAMS = 1 << 19, 1 << 17
+#: Keys that a task sorts at once, and n-grams whose keys, about, meet in one bucket.
+FLUSH, BUCKET_GRAMS = 1 << 20, 1 << 20
 _SET = pa.binary(16)
 
 
@@ -100,13 +103,12 @@ def _named(n: int):
     return run
 
 
-def _incidence(batches: Iterator[pa.RecordBatch], n: int, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]:
-    """(n-grams of rows end to end, their number by row, names) for the texts whose row id may be in rows, some at a time."""
+def _incidence(batches: Iterator[pa.RecordBatch], n: int, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(n-grams of rows end to end, their number by row, both fingerprints) for the texts whose row id may be in rows, some at a time."""
     for batch in batches:
         batch = batch.filter(pa.array(in_bitmap(rows, batch.column(0).to_numpy())))
         for _, _, data, offs in K.chunks(batch.column(1), CHUNK):
-            h, size, a, b = _sets(data, offs, n)
-            yield h, size, _names(a, b)
+            yield _sets(data, offs, n)
 
 
 def _joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -166,27 +168,81 @@ def block_keys(h: np.ndarray, size: np.ndarray, percent: int) -> Iterator[tuple[
             yield K.mix(K.mix((empty * 64 + family[r]).astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))), np.full(len(empty), rows[r])
 
 
-def _keys(n: int, percent: int, rows: np.ndarray, shared: np.ndarray | None):
-    """k, each set's keys; or (k, s, n), those that may be in shared."""
+def _grouped(k: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of keys and sets in order, each once, and each one's turn among those of its key."""
+    order = np.argsort(k)
+    k, f = k[order], f[order]
+    same = np.r_[False, k[1:] == k[:-1], False]
+    run = np.flatnonzero(same[1:] | same[:-1])
+    f[run] = f[run][np.lexsort((f[run], k[run]))]
+    once = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (f[1:] != f[:-1])][: len(k)])
+    k, f = k[once], f[once]
+    at = np.arange(len(k))
+    return k, f, at - np.maximum.accumulate(np.where(np.r_[True, k[1:] != k[:-1]][: len(k)], at, 0))
+
+
+def _strung(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Values from cut to cut as binaries."""
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * 8).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _keys(n: int, percent: int, rows: np.ndarray, buckets: int, flush: int = FLUSH):
+    """(bucket, k, f): the sets' keys, with the first fingerprints of the sets, end to end in buckets of keys.
+
+    Of the pairs of one key that a task sorts at once, two go to the key's
+    bucket, where they tell that it is shared. Others need not be told apart,
+    so they go to further buckets, by turns and not by key: a key that very
+    many sets have fills none.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, size, names in _incidence(batches, n, rows):
-            for key, row in block_keys(h, size, percent):
-                if shared is None:
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], ["k"])
-                    continue
-                may = in_bitmap(shared, key)
-                yield pa.RecordBatch.from_arrays([pa.array(key[may].view(np.int64)), names.take(pa.array(row[may])), pa.array(size[row[may]])], ["k", "s", "n"])
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def dealt() -> Iterator[pa.RecordBatch]:
+            k, f, turn = _grouped(*(np.concatenate(c) for c in zip(*held)))
+            held.clear()
+            told, more = turn < 2, np.flatnonzero(turn >= 2)
+            k_, f_ = k[told], f[told]
+            bucket = _bucket(k_, buckets)
+            cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]]), _strung(k_, cuts), _strung(f_, cuts)], ["bucket", "k", "f"])
+            if len(more):
+                cuts = np.unique(np.r_[np.arange(0, len(more), 1 << 16), len(more)])
+                to = buckets + _bucket(K.mix(k[more[cuts[:-1]]] ^ f[more[cuts[:-1]]]), buckets)
+                yield pa.RecordBatch.from_arrays([pa.array(to), _strung(k[more], cuts), _strung(f[more], cuts)], ["bucket", "k", "f"])
+
+        for h, size, a, _ in _incidence(batches, n, rows):
+            held += [(key, a[row]) for key, row in block_keys(h, size, percent) if len(key)]
+            if sum(len(k) for k, _ in held) >= flush:
+                yield from dealt()
+        if held:
+            yield from dealt()
+
+    return run
+
+
+def _bucket(k: np.ndarray, buckets: int) -> np.ndarray:
+    return ((k >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def _shared(buckets: int):
+    """(k, f) of a bucket's keys that several sets have."""
+
+    def run(table: pa.Table) -> pa.Table:
+        k, f = _joined(table.column("k"))[0], _joined(table.column("f"))[0]
+        if table.column("bucket")[0].as_py() < buckets:
+            k, f, turn = _grouped(k, f)
+            keep = (turn > 0) | np.r_[turn[1:] > 0, False][: len(k)]
+            k, f = k[keep], f[keep]
+        return pa.table({"k": k.view(np.int64), "f": f.view(np.int64)})
 
     return run
 
 
 def _grams(n: int, rows: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, size, names in _incidence(batches, n, rows):
-            ends = np.r_[0, np.cumsum(size) * 8].astype(np.int32)
-            grams = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(h))])
-            yield pa.RecordBatch.from_arrays([names, grams], ["s", "grams"])
+        for h, size, a, b in _incidence(batches, n, rows):
+            yield pa.RecordBatch.from_arrays([_names(a, b), _strung(h, np.r_[0, np.cumsum(size)])], ["s", "grams"])
 
     return run
 
@@ -314,9 +370,9 @@ def differences(x: pa.Array, y: pa.Array) -> np.ndarray:
 
 def _signatures(n: int, rows: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for h, size, names in _incidence(batches, n, rows):
+        for h, size, a, b in _incidence(batches, n, rows):
             ends = np.cumsum(size)
-            yield pa.RecordBatch.from_arrays([names, pa.array([signature(h[e - k : e]).tobytes() for e, k in zip(ends, size)], pa.binary())], ["s", "told"])
+            yield pa.RecordBatch.from_arrays([_names(a, b), pa.array([signature(h[e - k : e]).tobytes() for e, k in zip(ends, size)], pa.binary())], ["s", "told"])
 
     return run
 
@@ -486,16 +542,20 @@ def _classes(docs: DataFrame, words: int, percent: int, block: int, block_grams:
     sets = stored(texts.mapInArrow(_named(words), f"doc_id {kind}, rid long, s binary, n long"), "sets", result=True)
     texts = texts.select("rid", "t")
     flagged = lambda of, key, n: bitmap(of, key, min(most_bits, max(LEAST_BITS, int(n).bit_length() + SPARE)))
-    reps = stored(sets.where("n > 0").groupBy("s").agg(F.min("rid").alias("rid"), F.first("n").alias("n")), "reps")
-    first = flagged(reps, "rid", reps.count())
-    seen = texts.mapInArrow(_keys(words, percent, first, None), "k long").groupBy("k").agg(F.count(F.lit(1)).alias("c"))
-    with scratch(docs.sparkSession):
-        shared = stored(seen.where("c > 1").select("k"), "shared")
-        flags = flagged(shared, "k", shared.count())
-    postings = stored(texts.mapInArrow(_keys(words, percent, first, flags), "k long, s binary, n long").distinct(), "postings")
-    pivots = postings.groupBy("k").agg(F.min_by("n", "s").alias("pivot_n"), F.min("s").alias("pivot"), F.max("s").alias("last")).where("pivot <> last").drop("last")
-    pairs = postings.join(pivots, "k").where("s <> pivot").groupBy("s", "pivot").agg(F.count(F.lit(1)).alias("lists"), F.first("n").alias("n"), F.first("pivot_n").alias("pivot_n"))
-    pairs = stored(pairs, "pairs")
+    own = F.expr("cast(conv(hex(substring(s, 1, 8)), 16, -10) as long)").alias("f")  # the first fingerprint
+    # Texts of few rows are picked before they go to Python, 32 bytes of a broadcast for each; those of many, there.
+    among = lambda rids, many: texts.join(F.broadcast(rids.select("rid")), "rid", "left_semi") if many <= BROADCAST_BYTES // 32 else texts
+    reps = stored(sets.where("n > 0").groupBy("s").agg(F.min("rid").alias("rid"), F.first("n").alias("n")).select("s", "rid", "n", own), "reps")
+    total = reps.agg(F.count(F.lit(1)).alias("sets"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    first = flagged(reps, "rid", total["sets"])
+    buckets = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total["n"] // BUCKET_GRAMS))
+    keys = texts.mapInArrow(_keys(words, percent, first, buckets), "bucket long, k binary, f binary")
+    postings = stored(keys.groupBy("bucket").applyInArrow(_shared(buckets), "k long, f long"), "postings")
+    # Lists are told by fingerprints; sets that agree in their first one go together, as pairs are verified.
+    pivots = postings.groupBy("k").agg(F.min("f").alias("pivot_f"), F.max("f").alias("last")).where("pivot_f <> last").drop("last")
+    met = stored(postings.join(pivots, "k").where("f <> pivot_f").groupBy("f", "pivot_f").agg(F.count(F.lit(1)).alias("lists")), "met")
+    pairs = met.join(reps.select("f", "s", "n"), "f").join(reps.select(F.col("f").alias("pivot_f"), F.col("s").alias("pivot"), F.col("n").alias("pivot_n")), "pivot_f")
+    pairs = stored(pairs.select("s", "pivot", "lists", "n", "pivot_n"), "pairs")
     clusters = components(pairs, "s", "pivot").select(F.col("vertex").alias("s"), F.col("component").alias("cluster"))
     clusters = stored(clusters.join(reps, "s"), "clusters")
     sizes = clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("all_n"))
@@ -504,22 +564,25 @@ def _classes(docs: DataFrame, words: int, percent: int, block: int, block_grams:
     # Small clusters are packed, so that a group of them makes up about half a block.
     packs = max(1, -(-2 * (totals["sets"] or 0) // block), -(-2 * (totals["n"] or 0) // block_grams))
     placed = stored(clusters.join(sizes.select("cluster", small.alias("fits")), "cluster").withColumn("pack", F.pmod(F.xxhash64("cluster"), F.lit(packs))), "placed")
-    wanted = texts.mapInArrow(_grams(words, flagged(clusters, "rid", clusters.count())), "s binary, grams binary")
+    members = clusters.count()
+    wanted = among(clusters, members).mapInArrow(_grams(words, flagged(clusters, "rid", members)), "s binary, grams binary")
     packed = wanted.join(_sent(placed.where("fits").select("s", "cluster", "pack"), totals["sets"] or 0), "s").select("pack", "cluster", "s", "grams")
     links = stored(packed.groupBy("pack").applyInArrow(_product(percent, "cluster"), "u binary, v binary"), "pack-links")
     if totals["large"]:
         wide = placed.where("not fits").select("s")
+        sets_wide = wide.count()
+        lists = stored(postings.join(_sent(placed.where("not fits").select("f", "s", "n"), sets_wide), "f").select("k", "s", "n"), "lists")
 
         def fetch(some: DataFrame) -> DataFrame:
             some = stored(some.join(reps, "s").select("s", "rid"), "some")
             many = some.count()
-            rows = texts.mapInArrow(_grams(words, flagged(some, "rid", many)), "s binary, grams binary")
+            rows = among(some, many).mapInArrow(_grams(words, flagged(some, "rid", many)), "s binary, grams binary")
             return stored(rows.join(_sent(some.select("s"), many), "s").dropDuplicates(["s"]), "grams")
 
         rids = placed.where("not fits").select("rid")
-        told = texts.mapInArrow(_signatures(words, flagged(rids, "rid", rids.count())), "s binary, told binary")
+        told = among(rids, sets_wide).mapInArrow(_signatures(words, flagged(rids, "rid", sets_wide)), "s binary, told binary")
         told = stored(told.join(wide, "s").dropDuplicates(["s"]), "signatures")
-        links = links.unionByName(_large(pairs.join(wide, "s", "left_semi"), postings, told, fetch, percent, block, block_grams))
+        links = links.unionByName(_large(pairs.join(wide, "s", "left_semi"), lists, told, fetch, percent, block, block_grams))
     return sets, stored(components(links), "final", result=True)
 
 

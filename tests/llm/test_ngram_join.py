@@ -205,3 +205,48 @@ def test_odd_rows(odd, none):
     assert kept.columns == odd.columns
     ids = [r.doc_id for r in kept.collect()]
     assert ids.count(None) == 2 and {0, 1, 2} <= set(ids) and not {8, 9} <= set(ids)
+
+
+def test_lists_hold_shared_keys_alone(spark, monkeypatch):
+    """However small the bitmaps are, a key that one set has is in no list."""
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdefghij") * rng.randint(1, 4) + str(rng.randint(0, 99)) for _ in range(60)) for _ in range(30)]
+    texts += [texts[0] + " end", texts[0], texts[1] + " end"]
+    put, alone = J.stored, []
+
+    def seen(df, name="part", result=False):
+        out = put(df, name, result)
+        if name == "postings":
+            alone.append(out.groupBy("k").count().where("count = 1").count())
+        return out
+
+    monkeypatch.setattr(J, "stored", seen)
+    out = J.jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), most_bits=8)
+    assert {r.doc_id: r.component_id for r in out.collect() if r.doc_id != r.component_id} == {30: 0, 31: 0, 32: 1}
+    assert alone == [0]
+
+
+def test_keys_of_very_many_sets_fill_no_bucket():
+    """Two pairs of a key for each sort, the others elsewhere; no pair of a shared key is lost, none of another stays."""
+    texts = ["one two three four five six seven eight nine ten " * 2 + f"w{i % 40} v{i % 40}" for i in range(400)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400), pa.int64()), pa.array(texts)], ["rid", "t"])
+    rows, want = np.full(8, 255, np.uint8), defaultdict(set)
+    for h, size, a, _ in J._incidence([batch], 3, rows):
+        for k, row in J.block_keys(h, size, 80):
+            for key, f in zip(k.tolist(), a[row].tolist()):
+                want[key].add(f)
+    want = {(k, f) for k, fs in want.items() if len(fs) > 1 for f in fs}
+    assert want
+    made = [pa.Table.from_batches([b]) for part in (batch.slice(i, 50) for i in range(0, 400, 50)) for b in J._keys(3, 80, rows, 4)([part])]
+    table = pa.concat_tables(made)
+    got = set()
+    for bucket in set(table.column("bucket").to_pylist()):
+        mine = table.filter(pa.array([b == bucket for b in table.column("bucket").to_pylist()]))
+        if bucket < 4:
+            counts = defaultdict(int)
+            for k in J._joined(mine.column("k"))[0].tolist():
+                counts[k] += 1
+            assert max(counts.values()) <= 2 * 8
+        out = J._shared(4)(mine)
+        got |= set(zip(out.column("k").to_numpy().view(np.uint64).tolist(), out.column("f").to_numpy().view(np.uint64).tolist()))
+    assert got == want
