@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -201,3 +202,24 @@ def read_split_json(spark: SparkSession, path: str, name: str | None = None) ->
     out = lines.select(told.alias("told"), comma.alias("comma"), body.alias("body")).select(F.concat(F.expr("substring(told, 1, length(told) - 1)"), "comma", "body").alias("value"))
     out.write.text(place)
     return spark.read.json(place)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of a part, a batch of them as one text, with the numbers of the part and of the text in it."""
+    part = TaskContext.get().partitionId()
+    for n, batch in enumerate(b for b in batches if b.num_rows):
+        text = "\n".join(batch.column(0).to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([n]), pa.array([text])], ["part", "n", "text"])
+
+
+def write_in_order(lines: DataFrame, key: str, to: str) -> None:
+    """Write the column value of lines as one text file, in order of key.
+
+    Ranges of the key are sorted by many tasks. The file's one writer puts
+    their chunks in order by Python's sort of pairs, which spills beyond
+    spark.python.worker.memory, so that its memory has that bound and does not
+    grow with the file.
+    """
+    chunks = lines.repartitionByRange(key).sortWithinPartitions(key).select("value").mapInArrow(_chunks, "part long, n long, text string")
+    ordered = chunks.rdd.map(lambda r: ((r["part"], r["n"]), r["text"])).repartitionAndSortWithinPartitions(1)
+    lines.sparkSession.createDataFrame(ordered.map(lambda x: (x[1],)), "value string", verifySchema=False).write.text(to)

@@ -104,3 +104,24 @@ def test_ids_lead_back_to_rows(spark, tmp_path):
     assert sorted((r.subject, r.source_row_id, r["_source_row"]) for r in flow.collect()) == [("乙", "流水.csv:3", 3), ("甲", "流水.csv:1", 1)]
     assert sorted((r.subject, r.source_row_id) for r in read_file(spark, str(tmp_path / "通话.json")).collect()) == [("丙", "通话.json:2"), ("甲", "通话.json:1")]
     assert flow.where(F.col("source_row_id").isNull()).count() == 0
+
+
+def test_one_file_in_order_without_one_task_that_sorts_it(spark, tmp_path, monkeypatch):
+    """The writer of the split JSON gets chunks of sorted ranges: no frame of all lines is brought to one partition."""
+    from pyspark.sql import functions as F
+
+    from cluewright import queries
+    from cluewright.sources import records
+
+    lines = spark.range(50_000, numPartitions=5).select((-F.col("id")).cast("double").alias("k"), F.concat(F.lit("line "), -F.col("id")).alias("value"))
+    records.write_in_order(lines, "k", to := f"{tmp_path}/lines.txt")
+    parts = [p for p in (tmp_path / "lines.txt").iterdir() if p.name.startswith("part-")]
+    assert len(parts) == 1
+    assert parts[0].read_text().splitlines() == [f"line {-i}" for i in range(49_999, -1, -1)]
+
+    kind, asked = type(lines), []
+    of = kind.repartition
+    monkeypatch.setattr(kind, "repartition", lambda self, *a: asked.append(a[0]) or of(self, *a))
+    got = queries.QUERIES["json_split_ingest"](spark, "/root/testdata/sf0.001")
+    assert got.count() == spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()
+    assert 1 not in asked
