@@ -1,8 +1,10 @@
 """Statuses of clues while requests arrive: files that come twice count once, and requests are played in the order of their time.
 
-A request waits in its clue's state until the watermark has passed its time,
-when no earlier one can come any more. Then it is judged by the same rules as
-in operators.disposal, and the clue's new status is kept for the next one.
+A request waits in the state until the watermark has passed its time, when no
+earlier one can come any more. Then it is judged by the same rules as in
+operators.disposal, and the clue's new status is kept for the next one. Clues
+are dealt into buckets, and a bucket's clues have one state and are played in
+one call, as a call for each clue would cost more than playing it.
 """
 
 from __future__ import annotations
@@ -20,7 +22,9 @@ from ..operators.lineage import PENDING
 
 REQUESTS = "request_id string, clue_id string, at timestamp, seq long, status string"
 STEPS = "clue_id string, at timestamp, seq long, status string, before string, valid boolean"
-STATE = "status string, at array<long>, seq array<long>, asked array<string>"
+STATE = "clue array<string>, status array<string>, of array<string>, at array<long>, seq array<long>, asked array<string>"
+#: Buckets of clues. A checkpoint belongs to one number of them.
+BUCKETS = 4096
 
 
 def request_stream(spark: SparkSession, folder: str, files_per_batch: int = 100) -> DataFrame:
@@ -33,31 +37,33 @@ def once(requests: DataFrame, delay: str = "2 days") -> DataFrame:
 
 
 def _play(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Requests whose time the watermark has passed, each with the status before it; the others wait."""
-    status, waiting = PENDING, []
+    """Requests of a bucket whose time the watermark has passed, each with its clue's status before it; the others wait."""
+    status, waiting = {}, []
     if state.exists:
-        status, *columns = state.get
+        clues, known, *columns = state.get
+        status = dict(zip(clues, known))
         waiting = list(zip(*columns))
     if not state.hasTimedOut:
         for frame in frames:
-            waiting += zip(frame["at"].astype("datetime64[us]").astype("int64").tolist(), frame["seq"].tolist(), frame["status"].tolist())
+            waiting += zip(frame["clue_id"].tolist(), frame["at"].astype("datetime64[us]").astype("int64").tolist(), frame["seq"].tolist(), frame["status"].tolist())
     passed = state.getCurrentWatermarkMs() * 1000
     out = []
-    for at, seq, asked in sorted(w for w in waiting if w[0] < passed):
-        valid = asked in TRANSITIONS[status]
-        out.append((key[0], pd.Timestamp(at, unit="us"), seq, asked, status, valid))
-        status = asked if valid else status
-    waiting = [w for w in waiting if w[0] >= passed]
-    state.update((status, *([list(c) for c in zip(*waiting)] or [[], [], []])))
+    for clue, at, seq, asked in sorted(w for w in waiting if w[1] < passed):
+        before = status.get(clue, PENDING)
+        valid = asked in TRANSITIONS[before]
+        out.append((clue, pd.Timestamp(at, unit="us"), seq, asked, before, valid))
+        status[clue] = asked if valid else before
+    waiting = [w for w in waiting if w[1] >= passed]
+    state.update((list(status), list(status.values()), *([list(c) for c in zip(*waiting)] or [[], [], [], []])))
     if waiting:  # once its first request can be played
-        state.setTimeoutTimestamp(max(min(w[0] for w in waiting), passed) // 1000 + 1)
+        state.setTimeoutTimestamp(max(min(w[1] for w in waiting), passed) // 1000 + 1)
     yield pd.DataFrame(out, columns=["clue_id", "at", "seq", "status", "before", "valid"])
 
 
-def steps(requests: DataFrame, delay: str = "2 days") -> DataFrame:
-    """STEPS of a stream of REQUESTS. A clue's state is its status and the requests of the last `delay`; requests without a clue belong to none."""
-    keyed = once(requests.where("clue_id is not null"), delay).groupBy("clue_id")
-    return keyed.applyInPandasWithState(_play, STEPS, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+def steps(requests: DataFrame, delay: str = "2 days", buckets: int = BUCKETS) -> DataFrame:
+    """STEPS of a stream of REQUESTS. A bucket's state is its clues' statuses and their requests of the last `delay`; requests without a clue belong to none."""
+    keyed = once(requests.where("clue_id is not null"), delay).withColumn("bucket", F.pmod(F.xxhash64("clue_id"), F.lit(buckets)))
+    return keyed.groupBy("bucket").applyInPandasWithState(_play, STEPS, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def start(requests: DataFrame, to: str, checkpoint: str, delay: str = "2 days") -> StreamingQuery:

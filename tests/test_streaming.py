@@ -72,3 +72,29 @@ def test_windows_with_a_late_row(spark, tmp_path):
     run([("c", 1, day(30))])
     got = {(r.subject, r.start.day): (r.cnt, r.total) for r in spark.read.parquet(place("out")).where(F.col("start") < F.lit(day(15))).collect()}
     assert got == {("a", 1): (2, 3), ("b", 2): (1, 5), ("a", 2): (1, 4), ("a", 10): (1, 3)}
+
+
+def test_one_call_plays_all_clues_of_a_bucket():
+    """Clues of a bucket have statuses of their own, those that wait stay in the state, and the timeout is the first one's."""
+    import pandas as pd
+
+    class State:
+        exists, hasTimedOut, get, timeout = False, False, None, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+        def setTimeoutTimestamp(self, at):
+            self.timeout = at
+
+        def getCurrentWatermarkMs(self):
+            return int(day(5).replace(tzinfo=datetime.timezone.utc).timestamp() * 1000)
+
+    asked = [("b", day(2), 1, EXCLUDED), ("a", day(3), 2, FILED), ("a", day(1), 3, CONFIRMED), ("b", day(9), 4, PENDING), ("c", day(8), 5, VERIFYING)]
+    frame = pd.DataFrame(asked, columns=["clue_id", "at", "seq", "status"])
+    state = State()
+    [out] = status._play((7,), iter([frame]), state)
+    assert list(zip(out.clue_id, out.seq, out.before, out.valid)) == [("a", 3, PENDING, True), ("a", 2, CONFIRMED, True), ("b", 1, PENDING, True)]
+    clues, known, of, _, seq, _ = state.get
+    assert dict(zip(clues, known)) == {"a": FILED, "b": EXCLUDED} and sorted(zip(of, seq)) == [("b", 4), ("c", 5)]
+    assert state.timeout == int(day(8).replace(tzinfo=datetime.timezone.utc).timestamp() * 1000) + 1
