@@ -110,12 +110,20 @@ def score(confidence: Column, weight: Column, rows: Column) -> Column:
     return confidence * F.lit(0.4).cast("double") + part(weight, 5.0) * F.lit(0.35).cast("double") + part(rows, 10.0) * F.lit(0.25).cast("double")
 
 
-def prioritised(clues: DataFrame) -> DataFrame:
-    """Clues with priority_score and priority_rank; ranks follow the unrounded score, then arrival."""
+def _raw_score(clues: DataFrame) -> DataFrame:
     conf = F.coalesce(F.array_max(F.transform("assumption_chain", _confidence)), F.lit(OTHER_CONFIDENCE).cast("double"))
     weight = F.aggregate(F.transform("channels", _weight), F.lit(0), lambda a, x: a + x)
-    raw = clues.withColumn("__score", score(conf, weight, F.col("n_rows")))
-    return ranked(raw, [F.desc("__score"), F.asc("ord"), F.asc("clue_id")], "priority_rank").withColumn("priority_score", F.round("__score", 3)).drop("__score")
+    return clues.withColumn("__score", score(conf, weight, F.col("n_rows")))
+
+
+def scored(clues: DataFrame) -> DataFrame:
+    """Clues with priority_score alone, not ranked."""
+    return _raw_score(clues).withColumn("priority_score", F.round("__score", 3)).drop("__score")
+
+
+def prioritised(clues: DataFrame) -> DataFrame:
+    """Clues with priority_score and priority_rank; ranks follow the unrounded score, then arrival."""
+    return ranked(_raw_score(clues), [F.desc("__score"), F.asc("ord"), F.asc("clue_id")], "priority_rank").withColumn("priority_score", F.round("__score", 3)).drop("__score")
 
 
 def level(channels: Column) -> Column:

@@ -55,6 +55,16 @@ def test_clues_of_plan_and_channels(result):
     assert {r.channel for r in result["channels"] if not r.hit} == {"内间"}
 
 
+def test_members_of_merged_clues_are_told(spark, case):
+    """Calls and movements speak for one hypothesis by one channel, so that their clues are one; each is told with its own rows and score too."""
+    moves = spark.createDataFrame([("a", "x", "2020-01-01"), ("b", "x", "2020-01-02"), ("c", "x", "2020-01-02")], "subject string, place string, date string")
+    done = casework.solve(case | {"moves": moves}, theory(spark), ["何志远"], ["周启明"])
+    rows = lambda df: {r.title: (r.n_rows, r.priority_score) for r in df.collect() if r.assumption_chain == ["H3"]}
+    assert rows(done["clues"]) == {"轨迹同框 | 通话频次突增": (4, 0.45)}
+    assert rows(done["members"]) == {"通话频次突增": (1, 0.375), "轨迹同框": (3, 0.425)}
+    assert done["members"].count() == done["clues"].count() + 1 == 10
+
+
 def test_coverage_report(result, spark, case, tmp_path):
     told = {r.section: json.loads(r.document) for r in result["coverage"]}
     assert told["dimensions"]["percent"] == 100.0 and told["channels"]["missing"] == ["内间", "死间"] and told["conflicts"] == []
