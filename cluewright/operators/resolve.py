@@ -72,7 +72,7 @@ def clusters(records: DataFrame, keys: list[str], kind: str = "org", aliases: Da
         part = rows.where(F.col(k) != "").select(F.concat(F.lit("c:"), "core").alias("u"), F.concat(F.lit(f"k:{k}:"), k).alias("v")).distinct()
         ends = part if ends is None else ends.union(part)
     label = components(ends).where(F.col("vertex").startswith("c:")).select(F.expr("substring(vertex, 3)").alias("core"), F.expr("substring(component, 3)").alias("cluster"))
-    placed = stored(rows.join(label, "core", "left").withColumn("cluster", F.coalesce("cluster", "core")), "placed")
+    placed = stored(rows.join(label.hint("merge"), "core", "left").withColumn("cluster", F.coalesce("cluster", "core")), "placed")
     freq = placed.groupBy("cluster", "core", "name").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first"), F.max("given").alias("given"))
     groups = placed.groupBy("cluster").agg(F.count_distinct("core").alias("groups"), F.max(F.col("given").isNotNull()).alias("known"), F.count_distinct("name").alias("spellings"))
     canonical = _canonical(freq.groupBy("cluster", "name").agg(F.sum("n").alias("n"), F.min("first").alias("first")), "cluster")
@@ -102,49 +102,92 @@ def prefix_pairs(cores: DataFrame, least: int, within: list[str] | None = None)
     by = within or []
     distinct = cores.select(*by, "core").distinct()
     prefixes = distinct.where(F.char_length("core") > least).select(*by, F.col("core").alias("b"), F.explode(F.transform(F.sequence(F.lit(least), F.char_length("core") - 1), lambda n: F.substring(F.col("core"), F.lit(1), n))).alias("core"))
-    return prefixes.join(distinct, [*by, "core"]).select(*by, F.col("core").alias("a"), "b")
+    return prefixes.join(distinct.hint("merge"), [*by, "core"]).select(*by, F.col("core").alias("a"), "b")
 
 
-def fuzzy_pairs(cores: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """(a, b, similarity), a < b: 1 - edit distance / longer length of threshold or more.
+def _most_edits(length: Column, threshold: float) -> Column:
+    """Edits that the longer string's length bounds."""
+    return F.floor((1 - threshold) * length + 1e-9).cast("int")
+
 
-    Lossless blocking: d edits leave one of d + 1 pieces of the shorter string
-    whole, at most d letters from its place. Every core is cut into pieces for
-    each d that its length allows, and pieces are joined to the places where
-    they may stand in the other.
+def _one_letter_apart(distinct: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Groups of cores one edit apart, of those whose lengths allow one: (at, rest, many), cores that differ in the letter at alone; and (rest, whole, many), a core and those that become it by losing one letter. distinct has core.
+
+    Each core is written once for each of its letters and meets none that is
+    two edits away.
     """
-    distinct = cores.select("core").distinct().where(F.char_length("core") > 0)
     n = F.char_length("core")
-    # The longer string's length bounds the edits; the shorter one has at least threshold of its letters.
-    most = lambda length: F.floor((1 - threshold) * length + 1e-9).cast("int")
+    without = lambda at: F.concat(F.expr("substring(core, 1, at - 1)"), F.expr("substring(core, at + 1)")).alias("rest")
+    one = lambda length: (_most_edits(length, threshold) == 1) & (1 - 1 / length >= threshold)
+    cut = distinct.where(one(n)).select("core", F.explode(F.sequence(F.lit(1), n)).alias("at")).select("core", "at", without("at"))
+    same = cut.groupBy("at", "rest").agg(F.collect_list("core").alias("many")).where(F.size("many") > 1)
+    whole = distinct.where(one(n + 1)).select(F.col("core").alias("rest"), F.col("core").alias("whole"), F.lit(None).cast("string").alias("core"))
+    both = whole.unionByName(cut.select("rest", F.lit(None).cast("string").alias("whole"), "core"))
+    longer = both.groupBy("rest").agg(F.max("whole").alias("whole"), F.collect_set("core").alias("many")).where(F.col("whole").isNotNull() & (F.size("many") > 0))
+    return same, longer
+
+def _pieces_meet(distinct: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity), a < b, as fuzzy_pairs(), of those whose lengths allow two edits or more. distinct has core."""
+    n = F.char_length("core")
+    most = lambda length: _most_edits(length, threshold)
     longest = F.floor(n / threshold + 1e-9).cast("int")
-    short = distinct.select(F.col("core").alias("a"), n.alias("na"), F.explode(F.sequence(n, longest)).alias("nb")).withColumn("d", most(F.col("nb")))
+    # The shorter string has at least threshold of the longer one's letters.
+    short = distinct.select(F.col("core").alias("a"), n.alias("na"), F.explode(F.sequence(n, longest)).alias("nb")).withColumn("d", most(F.col("nb"))).where("d > 1")
     cut = lambda i: F.floor(i * F.col("na") / (F.col("d") + 1)).cast("int")
     short = short.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("d"))))
     short = short.select("a", "na", "nb", cut(F.col("i")).alias("at"), F.expr("substring(a, cast(floor(i * na / (d + 1)) as int) + 1, cast(floor((i + 1) * na / (d + 1)) as int) - cast(floor(i * na / (d + 1)) as int))").alias("piece"))
-    long = distinct.select(F.col("core").alias("b"), n.alias("nb")).withColumn("d", most(F.col("nb")))
+    long = distinct.select(F.col("core").alias("b"), n.alias("nb")).withColumn("d", most(F.col("nb"))).where("d > 1")
     long = long.withColumn("na", F.explode(F.sequence(F.ceil(F.col("nb") * threshold - 1e-9).cast("int"), F.col("nb")))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("d"))))
     long = long.withColumn("at", cut(F.col("i"))).withColumn("shift", F.explode(F.sequence(-F.col("d"), F.col("d")))).where("at + shift >= 0 and at + shift <= nb")
     long = long.select("b", "na", "nb", "at", F.expr("substring(b, at + shift + 1, cast(floor((i + 1) * na / (d + 1)) as int) - at)").alias("piece")).distinct()
-    pairs = short.join(long, ["na", "nb", "at", "piece"]).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    similarity = 1 - F.levenshtein("a", "b") / F.greatest(F.char_length("a"), F.char_length("b"))
-    return pairs.withColumn("similarity", similarity).where(F.col("similarity") >= threshold)
+    pairs = short.join(long.hint("merge"), ["na", "nb", "at", "piece"]).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return pairs.withColumn("similarity", _similarity()).where(F.col("similarity") >= threshold)
+
+
+def _similarity() -> Column:
+    return 1 - F.levenshtein("a", "b") / F.greatest(F.char_length("a"), F.char_length("b"))
+
+
+def fuzzy_pairs(cores: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """(a, b, similarity), a < b: 1 - edit distance / longer length of threshold or more.
+
+    Lossless blocking: cores one edit apart share what is left without one
+    letter, and meet those alone, so that numbered names do not all meet. Of
+    d > 1 edits one of d + 1 pieces of the shorter string stays whole, at most
+    d letters from its place: every core is cut into pieces for each d that
+    its length allows, and pieces are joined to the places where they may
+    stand in the other.
+    """
+    distinct = cores.select("core").distinct().where(F.char_length("core") > 0)
+    same, longer = _one_letter_apart(distinct, threshold)
+    one = same.select("many", F.explode("many").alias("a")).select("a", F.explode("many").alias("b")).where("a < b")
+    one = one.unionByName(longer.select("whole", F.explode("many").alias("core")).select(F.least("whole", "core").alias("a"), F.greatest("whole", "core").alias("b")))
+    return one.withColumn("similarity", _similarity()).unionByName(_pieces_meet(distinct, threshold))
+
+
+def fuzzy_cores(cores: DataFrame, threshold: float, least: int) -> DataFrame:
+    """(core,): those of fuzzy_pairs() whose longer one has least letters, each once or more. Pairs one edit apart, of which numbered names have very many, are not listed."""
+    distinct = cores.select("core").distinct().where(F.char_length("core") > 0)
+    same, longer = _one_letter_apart(distinct, threshold)
+    one = same.select(F.explode("many").alias("core")).where(F.char_length("core") >= least)
+    one = one.unionByName(longer.where(F.char_length("whole") + 1 >= least).select(F.explode(F.concat(F.array("whole"), "many")).alias("core")))
+    rest = _pieces_meet(distinct, threshold).where(F.greatest(F.char_length("a"), F.char_length("b")) >= least)
+    return one.unionByName(rest.select(F.explode(F.array("a", "b")).alias("core")))
 
 
 def flagged(found: DataFrame, kind: str = "org", threshold: float = 0.85, unicode: bool = True) -> DataFrame:
     """clusters() with needs_review also set where a canonical name is a prefix of another's or, for persons, spelt like it, and for organisations where spellings of one cluster extend each other."""
     form, least = (N.org_core, LEAST_ORG_CORE) if kind == "org" else (N.person_core, LEAST_PERSON_CORE)
-    cores = found.select("cluster", form(F.col("canonical"), unicode).alias("core"))
-    pairs = prefix_pairs(cores, least)
+    cores = stored(found.select("cluster", form(F.col("canonical"), unicode).alias("core")), "cores")  # read for every length and edit
+    near = prefix_pairs(cores, least).select(F.explode(F.array("a", "b")).alias("core"))
     if kind == "person":
-        close = fuzzy_pairs(cores, threshold).where(F.greatest(F.char_length("a"), F.char_length("b")) >= least).select("a", "b")
-        pairs = pairs.unionByName(close)
-    marked = pairs.select(F.col("a").alias("core")).union(pairs.select("b")).distinct().join(cores, "core").select("cluster")
+        near = near.unionByName(fuzzy_cores(cores, threshold, least))
+    marked = near.distinct().join(cores.hint("merge"), "core").select("cluster")
     if kind == "org":
         own = found.select("cluster", F.explode("variants").alias("name")).select("cluster", form(F.col("name"), unicode).alias("core")).distinct()
         marked = marked.union(prefix_pairs(own, least, ["cluster"]).select("cluster"))
     marked = marked.distinct().withColumn("mark", F.lit(True))
-    return found.join(marked, "cluster", "left").withColumn("needs_review", F.col("needs_review") | F.coalesce("mark", F.lit(False))).drop("mark")
+    return found.join(marked.hint("merge"), "cluster", "left").withColumn("needs_review", F.col("needs_review") | F.coalesce("mark", F.lit(False))).drop("mark")
 
 
 def mapping(found: DataFrame, rejected: DataFrame | None = None) -> DataFrame:
@@ -159,7 +202,7 @@ def write_back(df: DataFrame, columns: list[str], names: DataFrame) -> DataFrame
     for c in columns:
         if c in df.columns:
             own = one.select(F.col("name").alias(f"__{c}"), F.col("canonical").alias(f"canonical_{c}"))
-            df = df.join(own, F.col(c) == F.col(f"__{c}"), "left").drop(f"__{c}").withColumn(f"canonical_{c}", F.coalesce(f"canonical_{c}", F.col(c)))
+            df = df.join(own.hint("merge"), F.col(c) == F.col(f"__{c}"), "left").drop(f"__{c}").withColumn(f"canonical_{c}", F.coalesce(f"canonical_{c}", F.col(c)))
     return df
 
 
@@ -190,7 +233,7 @@ def align(people: DataFrame, firms: DataFrame, person_aliases: DataFrame | None
     """
     out, queue, known, told = {}, None, None, None
     for name, kind, records, keys, aliases in (("persons", "person", people, PERSON_KEYS, person_aliases), ("organisations", "org", firms, ORG_KEYS, org_aliases)):
-        found = stored(flagged(clusters(records, keys, kind, aliases), kind), name)
+        found = stored(flagged(stored(clusters(records, keys, kind, aliases), "clusters"), kind), name)
         out[name] = found
         parts = review_queue(found, kind), found, report(found).withColumn("kind", F.lit(kind))
         queue, told = (parts[0], parts[2]) if queue is None else (queue.unionByName(parts[0]), told.unionByName(parts[2]))

@@ -4,6 +4,7 @@ Edges are contracted first: every task turns the edges it has, a bounded
 number, into stars. Where one task had them all, that is the answer; beyond,
 alternating large-star and small-star rounds settle it, in a number that grows
 with the logarithm of the vertices. A round is aggregates and equi-joins only,
+by sorting, as a file's size tells too little of what a broadcast would hold,
 so a vertex of very many edges is split like any skewed join key, and no
 component is ever gathered in one place.
 """
@@ -59,12 +60,12 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select("v", "u"))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = edges.join(least.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -91,5 +92,5 @@ def components(edges: DataFrame, u: str = "u", v: str = "v", task_edges: int = T
         else:
             raise RuntimeError("components did not settle")
         roots = links.select("u").distinct()
-        out = roots.join(now, "u", "left").select(F.col("u").alias("vertex"), F.coalesce("v", "u").alias("component"))
+        out = roots.join(now.hint("merge"), "u", "left").select(F.col("u").alias("vertex"), F.coalesce("v", "u").alias("component"))
         return stored(out, "components", result=True)

@@ -7,6 +7,7 @@ import pytest
 
 from cluewright.functions import names as N
 from cluewright.operators import resolve as R
+from cluewright.plans.storage import stored
 from pyspark.sql import functions as F
 
 ORG = "name string, credit_code string, legal_rep string, address string, source_row_id string, ord long"
@@ -85,3 +86,40 @@ def test_write_back(spark):
     known = spark.createDataFrame([("宏业建设第一项目部", "宏业建设"), ("宏业建设（集团）", "宏业建设")], "name string, canonical string")
     got = {(r.subject, r.canonical_subject, r.canonical_counterparty) for r in R.write_back(flow, ["subject", "counterparty", "none"], known).collect()}
     assert got == {("宏业建设第一项目部", "宏业建设", "A建材"), ("宏业建设（集团）", "宏业建设", "现金"), (None, None, "x")}
+
+
+def test_numbered_names_meet_those_one_edit_apart_alone(spark):
+    """Names of one prefix and many numbers: what is joined grows with the names, not with their pairs."""
+    names = [f"C{i:06d}" for i in range(3000)] + ["C00001", "CC000100", "x"]
+    df = spark.createDataFrame([(n,) for n in names], "core string")
+    same, longer = R._one_letter_apart(df, 0.85)
+    assert max(r.n for r in same.select(F.size("many").alias("n")).collect()) == 10 and longer.count() == 2
+    got = sorted((r.a, r.b) for r in R.fuzzy_pairs(df).collect())
+    numbers = [n for n in names if len(n) == 7]
+    near = lambda a, b: sum(x != y for x, y in zip(a, b)) == 1
+    swaps = [(a, a[:k] + c + a[k + 1 :]) for a in numbers for k in range(1, 7) for c in "0123456789"]
+    held = set(numbers)
+    want = {(a, b) for a, b in swaps if a < b and b in held and near(a, b)} | {tuple(sorted((x, y))) for x, y in (("C00001", n) for n in numbers) if x in {y[:k] + y[k + 1 :] for k in range(7)}} | {("C000100", "CC000100")}
+    assert got == sorted(want)
+    close = R.fuzzy_cores(df, 0.85, 2)
+    assert {r.core for r in close.collect()} == {x for pair in want for x in pair}
+
+
+@pytest.mark.parametrize("threshold", [0.6, 0.8, 0.85])
+def test_fuzzy_cores_are_those_of_the_pairs(spark, threshold):
+    rng = random.Random(7)
+    df = spark.createDataFrame([("".join(rng.choice("abc") for _ in range(rng.randint(1, 22))),) for _ in range(150)] + [("aab张三",), ("aab张",)], "core string")
+    for least in (2, 6):
+        want = {x for r in R.fuzzy_pairs(df, threshold).collect() if max(len(r.a), len(r.b)) >= least for x in (r.a, r.b)}
+        assert {r.core for r in R.fuzzy_cores(df, threshold, least).collect()} == want
+
+
+def test_no_join_of_names_is_sent_to_the_driver(spark):
+    """Stored tables are small as files; joins of what is made of them are sorted all the same."""
+    df = spark.createDataFrame([(f"C{i}",) for i in range(50)], "core string").withColumn("cluster", F.col("core"))
+    found = stored(df.select("cluster", F.col("core").alias("canonical"), F.array("core").alias("variants"), F.lit(False).alias("needs_review")), "found")
+    for kind in ("person", "org"):
+        plan = R.flagged(found, kind)._jdf.queryExecution().sparkPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    back = R.write_back(df, ["core"], stored(df.select(F.col("core").alias("name"), F.col("core").alias("canonical")), "names"))
+    assert "BroadcastHashJoin" not in back._jdf.queryExecution().sparkPlan().toString() and back.where("canonical_core = core").count() == 50
