@@ -28,6 +28,7 @@ comes from: texts that represent a set are shingled where they are needed.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import combinations_with_replacement
 
 import numpy as np
@@ -58,6 +59,8 @@ FAMILY = 1.5
 CHUNK, PACK_GRAMS = 1 << 19, 1 << 17
 #: Keys that a task sorts at once, and n-grams whose keys, about, meet in one bucket.
 FLUSH, BUCKET_GRAMS = 1 << 20, 1 << 20
+#: Keys go to their buckets in so many passes at most, one for as many n-grams: each holds its share of the keys on disk, and shingles the texts again.
+PASSES, PASS_GRAMS = 2, 1 << 25
 _SET = pa.binary(16)
 
 
@@ -186,8 +189,8 @@ def _strung(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * 8).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
 
 
-def _keys(n: int, percent: int, rows: np.ndarray, buckets: int, flush: int = FLUSH):
-    """(bucket, k, f): the sets' keys, with the first fingerprints of the sets, end to end in buckets of keys.
+def _keys(n: int, percent: int, rows: np.ndarray, buckets: int, flush: int = FLUSH, lo: int = 0, hi: int | None = None):
+    """(bucket, k, f): the sets' keys, with the first fingerprints of the sets, end to end in buckets of keys. Keys of the buckets from lo to hi alone.
 
     Of the pairs of one key that a task sorts at once, two go to the key's
     bucket, where they tell that it is shared. Others need not be told apart,
@@ -212,7 +215,13 @@ def _keys(n: int, percent: int, rows: np.ndarray, buckets: int, flush: int = FLU
                 yield pa.RecordBatch.from_arrays([pa.array(to), _strung(k[more], cuts), _strung(f[more], cuts)], ["bucket", "k", "f"])
 
         for h, size, a, _ in _incidence(batches, n, rows):
-            held += [(key, a[row]) for key, row in block_keys(h, size, percent) if len(key)]
+            for key, row in block_keys(h, size, percent):
+                if lo or hi is not None:
+                    bucket = _bucket(key, buckets)
+                    mine = (bucket >= lo) & (bucket < (buckets if hi is None else hi))
+                    key, row = key[mine], row[mine]
+                if len(key):
+                    held.append((key, a[row]))
             if sum(len(k) for k, _ in held) >= flush:
                 yield from dealt()
         if held:
@@ -489,10 +498,10 @@ def _large(pairs: DataFrame, lists: DataFrame, told: DataFrame, fetch: Callable[
         wide = own.groupBy("k").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.count(F.lit(1)).alias("sets")).where("a <> b").select("k", "sets")
         rest = stored(own.join(wide, "k"), "open", result=True)
     # In a list of a few sets all pairs may meet, in longer ones blocks do.
-    few = rest.where(F.col("sets") <= FEW)
+    few = _each_once(rest.where(F.col("sets") <= FEW))
     other = few.select("k", F.col("s").alias("pivot"), F.col("n").alias("pivot_n"), F.col("c").alias("pivot_c"))
     met = few.join(other, "k").where("s < pivot and c <> pivot_c").select("s", "n", "pivot", "pivot_n")
-    met = _alike(met, told, percent)
+    met = _alike(met.distinct(), told, percent)  # signatures go to a pair once, however many lists it is in
     members = stored(_members(rest.where(F.col("sets") > FEW).drop("sets"), percent), "members")
     # Signatures are a small part of the n-grams, so they are what goes to all pairs of blocks.
     rows = _blocks(members, percent, block, block_grams).join(_at_hand(told), "s").groupBy("pair").applyInArrow(_promising(percent), "pair long, s binary")
@@ -503,6 +512,13 @@ def _large(pairs: DataFrame, lists: DataFrame, told: DataFrame, fetch: Callable[
     return ends(known).unionByName(ends(more)).unionByName(blocks)
 
 
+def _each_once(lists: DataFrame) -> DataFrame:
+    """lists (k, s, ...), of those that have the same sets one alone: near copies share most of their keys."""
+    told = [F.bit_xor(F.xxhash64("s", F.lit(salt))).alias(f"x{salt}") for salt in (1, 2)]
+    same = lists.groupBy("k").agg(F.count(F.lit(1)).alias("m"), *told).groupBy("m", "x1", "x2").agg(F.min("k").alias("k"))
+    return lists.join(same.select("k"), "k", "left_semi")
+
+
 def _members(lists: DataFrame, percent: int) -> DataFrame:
     """(cluster, s, c, n): sets of lists (k, s, c, n) that may link with sets of other components, those that may with each other in one cluster."""
     # Sizes are few however long a list is, so the window is over them and not over members.
@@ -549,8 +565,11 @@ def _classes(docs: DataFrame, words: int, percent: int, block: int, block_grams:
     total = reps.agg(F.count(F.lit(1)).alias("sets"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     first = flagged(reps, "rid", total["sets"])
     buckets = max(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total["n"] // BUCKET_GRAMS))
-    keys = texts.mapInArrow(_keys(words, percent, first, buckets), "bucket long, k binary, f binary")
-    postings = stored(keys.groupBy("bucket").applyInArrow(_shared(buckets), "k long, f long"), "postings")
+    passes = max(1, min(PASSES, -(-total["n"] // PASS_GRAMS)))
+    cuts = [i * buckets // passes for i in range(passes + 1)]
+    dealt = [texts.mapInArrow(_keys(words, percent, first, buckets, FLUSH, lo, hi), "bucket long, k binary, f binary") for lo, hi in zip(cuts, cuts[1:])]
+    # A pass is written before the next one begins, and its shuffle goes.
+    postings = reduce(DataFrame.unionByName, [stored(keys.groupBy("bucket").applyInArrow(_shared(buckets), "k long, f long"), "postings") for keys in dealt])
     # Lists are told by fingerprints; sets that agree in their first one go together, as pairs are verified.
     pivots = postings.groupBy("k").agg(F.min("f").alias("pivot_f"), F.max("f").alias("last")).where("pivot_f <> last").drop("last")
     met = stored(postings.join(pivots, "k").where("f <> pivot_f").groupBy("f", "pivot_f").agg(F.count(F.lit(1)).alias("lists")), "met")

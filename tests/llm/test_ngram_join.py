@@ -250,3 +250,33 @@ def test_keys_of_very_many_sets_fill_no_bucket():
         out = J._shared(4)(mine)
         got |= set(zip(out.column("k").to_numpy().view(np.uint64).tolist(), out.column("f").to_numpy().view(np.uint64).tolist()))
     assert got == want
+
+
+def test_keys_go_to_buckets_in_passes(spark, monkeypatch):
+    """Each pass deals its own share of the keys, so that the disk holds no more than that at once; links are those of one pass."""
+    rows = varied(3, 60, 50, 2)
+    put, passes = J.stored, []
+
+    def seen(df, name="part", result=False):
+        out = put(df, name, result)
+        if name == "postings":
+            passes.append({r.k for r in out.collect()})
+        return out
+
+    monkeypatch.setattr(J, "stored", seen)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(J.jaccard_components(docs)) == by_hand(rows) and len(passes) == 1
+    monkeypatch.setattr(J, "PASS_GRAMS", 1)
+    assert result(J.jaccard_components(docs)) == by_hand(rows)
+    whole, first, second = passes
+    assert first and second and not first & second and first | second == whole
+
+
+def test_lists_of_the_same_sets_are_one(spark):
+    """Pairs of sets are met by one of the lists that have the same sets, and by each of those that do not."""
+    lists = {1: "ab", 2: "ab", 3: "abc", 4: "abc", 5: "bc", 6: "ac"}
+    df = spark.createDataFrame([(k, s.encode(), 9, "x") for k, names in lists.items() for s in names], "k long, s binary, n long, c string")
+    got = {}
+    for r in J._each_once(df).collect():
+        got.setdefault(r.k, set()).add(bytes(r.s).decode())
+    assert got == {1: {"a", "b"}, 3: {"a", "b", "c"}, 5: {"b", "c"}, 6: {"a", "c"}}
